@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from .knn import OP10_SQL, op10_top_k
+from .license_scan import op9_license_scans
 from .mixing import OP5_SQL, op5_mixing
 from .url_filter import OP3_SQL, op3_url_filters
 
 QUERIES = {
     "op3_url_filters": op3_url_filters,
     "op5_mixing": op5_mixing,
+    "op9_license_scans": op9_license_scans,
+    "op10_top_k": op10_top_k,
 }
 
 ORACLES = {
     "op3_url_filters": OP3_SQL,
     "op5_mixing": OP5_SQL,
+    "op10_top_k": OP10_SQL,
 }
