@@ -5,11 +5,13 @@ from __future__ import annotations
 from .bpe import op7_bpe
 from .knn import OP10_SQL, op10_top_k
 from .license_scan import op9_license_scans
+from .minhash import op1_minhash
 from .mixing import OP5_SQL, op5_mixing
 from .sketch import op4_fingerprints
 from .url_filter import OP3_SQL, op3_url_filters
 
 QUERIES = {
+    "op1_minhash": op1_minhash,
     "op3_url_filters": op3_url_filters,
     "op4_fingerprints": op4_fingerprints,
     "op5_mixing": op5_mixing,
