@@ -8,6 +8,7 @@ from .license_scan import op9_license_scans
 from .minhash import op1_minhash
 from .mixing import OP5_SQL, op5_mixing
 from .sketch import op4_fingerprints
+from .substring_dedup import op8_suffix_array
 from .url_filter import OP3_SQL, op3_url_filters
 
 QUERIES = {
@@ -16,6 +17,7 @@ QUERIES = {
     "op4_fingerprints": op4_fingerprints,
     "op5_mixing": op5_mixing,
     "op7_bpe": op7_bpe,
+    "op8_suffix_array": op8_suffix_array,
     "op9_license_scans": op9_license_scans,
     "op10_top_k": op10_top_k,
 }
