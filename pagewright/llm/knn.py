@@ -13,6 +13,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..runtime import python_ready
+
 #: Parameters: pivots are at most so many rows, those of least id hash.  Only pivots (a bounded number
 #: of vectors), their summaries (k+1 numbers a cell) and counts reach the driver.
 PIVOTS = 12
@@ -53,6 +55,7 @@ def top_k(data: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vect
     counts twice; with fewer rows than ``k`` all are returned; empty tables give no rows.
     """
     spark = data.sparkSession
+    python_ready(spark)
     rows = data.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast("array<long>").alias("v"))
     asked = queries.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("query_id"), F.col(vector).cast("array<long>").alias("v")).distinct()
     square = F.aggregate(F.transform("v", lambda x: x.cast("double") * x), F.lit(0.0), lambda a, x: a + x)

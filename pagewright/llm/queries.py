@@ -9,10 +9,12 @@ from .minhash import op1_minhash
 from .mixing import OP5_SQL, op5_mixing
 from .sketch import op4_fingerprints
 from .substring_dedup import op8_suffix_array
+from .toxicity import op2_toxicity
 from .url_filter import OP3_SQL, op3_url_filters
 
 QUERIES = {
     "op1_minhash": op1_minhash,
+    "op2_toxicity": op2_toxicity,
     "op3_url_filters": op3_url_filters,
     "op4_fingerprints": op4_fingerprints,
     "op5_mixing": op5_mixing,

@@ -13,6 +13,8 @@ from hashlib import blake2b
 import numpy as np
 import pyarrow as pa
 
+from ..runtime import python_ready
+
 U64 = np.uint64
 SPAN, LONG = 1 << 18, 1 << 16  # bytes hashed at once; longer words are hashed by blake2b
 SPACE = np.zeros(256, bool)
@@ -126,4 +128,5 @@ def shingle_set(words: np.ndarray, width: int) -> np.ndarray:
 
 def small_batches(spark, rows: int = 400) -> None:
     """Hand texts to Python a few hundred rows at a time, so very long texts fit a worker."""
+    python_ready(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
