@@ -183,6 +183,25 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     return rows.select(F.col("id").alias(key), "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
 
 
+#: Keys to drop are broadcast if there are at most so many (8 bytes each).
+BROADCAST_KEYS = 1_000_000
+
+
+def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` whose component begins with them: one document of each group, of least key.
+
+    Rows of null key and texts without words all stay.  Of rows of one key one stays.
+    """
+    judged = near_duplicates(docs, key, text, width, percent)
+    gone = cut_lineage(judged.where(~F.col("kept")).select(key).distinct())
+    stay = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_KEYS else gone, key, "left_anti").select(*docs.columns)
+    twice = docs.groupBy(key).count().where(f"count > 1 AND `{key}` IS NOT NULL").select(key)
+    if twice.isEmpty():
+        return stay
+    once = stay.join(twice, key, "left_semi").dropDuplicates([key])
+    return stay.join(twice, key, "left_anti").unionByName(once)
+
+
 def op1_minhash(spark, sf_dir: str) -> DataFrame:
     """Components of all ``documents`` by four-word shingles at a likeness of 0.8."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), width=4)

@@ -49,8 +49,8 @@ def water_fill(sources: DataFrame, weights: list[float], share: float, cap: floa
     )
 
 
-def mix(docs: DataFrame, weights: list[float], share: float = 1.0, cap: float = 3.0, text: str = "text", key: str = "doc_id", source: str = "source", seed: str = "mix", keep: list[str] | None = None) -> DataFrame:
-    """``docs``'s columns ``keep`` with ``size``, ``source_size``, ``target`` and ``copies``.
+def mix(docs: DataFrame, weights: list[float], share: float = 1.0, cap: float = 3.0, text: str = "text", key: str = "doc_id", source: str = "source", seed: str = "mix", keep: list[str] | None = None, extra_source: bool = False) -> DataFrame:
+    """``docs``'s columns ``keep`` (and ``source`` with ``extra_source``) with ``size``, ``source_size``, ``target`` and ``copies``.
 
     ``size`` counts the words of the whole text (null: 0), ``copies`` says how often the mix takes the
     document.  A document of no words counts as one to be drawn, which adds nothing to the mix.  Null
@@ -60,10 +60,12 @@ def mix(docs: DataFrame, weights: list[float], share: float = 1.0, cap: float =
     """
     keep = keep or [key]
     id_text = F.coalesce(F.col(key).cast("string"), F.lit(""))
-    sized = cut_lineage(
+    sized = (
         docs.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)], F.col(source).alias("source"), word_count(F.col(text)).alias("size"), F.col(key).alias("_key"), (F.conv(F.substring(F.md5(id_text), 1, 4), 16, 10).cast("int") % SLICES).alias("slice"))
         .withColumn("bits", F.length(F.bin("size")))
     )
+    if text not in keep:  # the words of narrow rows are counted once; whole texts are not stored for it
+        sized = cut_lineage(sized)
     block = ["source", "bits", "slice"]
     blocks = sized.groupBy(*block).agg(F.count("*").alias("_n"), F.sum("size").alias("_size"))
     targets = water_fill(blocks.groupBy("source").agg(F.sum("_size").alias("source_size")), weights, share, cap)
@@ -78,7 +80,7 @@ def mix(docs: DataFrame, weights: list[float], share: float = 1.0, cap: float =
     ranked = sized.withColumn("_rank", rank).join(blocks, F.expr(" AND ".join(f"{c} <=> _{c}" for c in block)))
     expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     upto = lambda k: F.floor(expected * (F.col("_before") + F.col("_rank") - k) + F.col("_offset"))
-    return ranked.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], "size", "source_size", "target", (upto(0) - upto(1)).cast("long").alias("copies"))
+    return ranked.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], *([F.col("source").alias(source)] if extra_source else []), "size", "source_size", "target", (upto(0) - upto(1)).cast("long").alias("copies"))
 
 
 #: The weights of the registered query and of the pipeline.

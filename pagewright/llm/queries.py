@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op7_bpe
 from .knn import OP10_SQL, op10_top_k
+from .language import op6_language
 from .license_scan import op9_license_scans
 from .minhash import op1_minhash
 from .mixing import OP5_SQL, op5_mixing
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_url_filters": op3_url_filters,
     "op4_fingerprints": op4_fingerprints,
     "op5_mixing": op5_mixing,
+    "op6_language": op6_language,
     "op7_bpe": op7_bpe,
     "op8_suffix_array": op8_suffix_array,
     "op9_license_scans": op9_license_scans,

@@ -280,6 +280,11 @@ def remove_repeats(docs: DataFrame, length: int = 400, key: str = "doc_id", text
     return made.withColumnsRenamed({f"_k{i}": c for i, c in enumerate(out)})
 
 
+def text_of(kept: str):
+    """The characters of ``kept`` bytes that are whole: bytes left of a cut character are dropped."""
+    return F.replace(F.call_function("decode", F.col(kept), F.lit("UTF-8")), F.lit("\ufffd"), F.lit(""))
+
+
 def op8_suffix_array(spark, sf_dir: str) -> DataFrame:
     """All ``documents`` without the bytes of repeated 400-byte strings."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
