@@ -1,2 +1,69 @@
-"""The corpus pipeline."""
-QUERY = {}
+"""The corpus pipeline: from raw documents to token ids.
+
+Each stage takes all that the one before kept and returns the columns of ``documents``; the last
+returns the encoded mix.  Stages are meant to be written and read again between one another.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from pagewright.llm import bpe, language, minhash, mixing, substring_dedup
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: A text whose language gets less than this share of its words' chances is rejected, as is one without a letter.
+LEAST_SCORE = 0.5
+#: Bytes of the strings whose repeats are removed: shorter than any passage of more than 50 words.
+REPEAT = 200
+VOCABULARY = "byte_bpe_50k.tiktoken"
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is clear; ``lang`` becomes the language found."""
+    found = language.identify(docs.select(*COLUMNS), language.train(docs))
+    clear = found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
+    return clear.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies (five-word shingles, likeness 0.8)."""
+    return minhash.drop_near_duplicates(docs.select(*COLUMNS))
+
+
+def repeat_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages that repeat within or across documents; every document stays.
+
+    A character whose bytes are removed in part is removed.  ``n_chars`` is counted again.
+    """
+    cut = substring_dedup.remove_repeats(docs.select(*COLUMNS), REPEAT)
+    whole = F.when(F.col("n_removed") == 0, F.col("text")).otherwise(substring_dedup.text_of("kept"))
+    return cut.withColumn("text", whole).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix of sources at the target weights; a document is repeated as often as the mix takes it."""
+    mixed = mixing.mix(docs.select(*COLUMNS), mixing.WEIGHTS, keep=[c for c in COLUMNS if c != "source"], extra_source=True)
+    return mixed.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*COLUMNS)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document of the mix, with digests of the ids and of the decoded text."""
+    import public_tokenizers
+
+    return bpe.encode_texts(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, keep=["doc_id", "lang", "source"])
+
+
+STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("repeat_removal", repeat_removal), ("source_mix", source_mix), ("encode", encode)]
+#: Trained models, byte spans and token ids are beyond SQL: the stages are tested against brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in turn over ``documents``."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES:
+        docs = stage(spark, docs, sf_dir)
+    return docs
+
+
+QUERY = {"pipeline": run}
