@@ -28,7 +28,8 @@ def water_fill(sources: DataFrame, weights: list[float], share: float, cap: floa
     Sources in code point order, null last, take ``weights`` in turn and share ``share`` of all sizes in
     proportion to them; a target stops at ``cap`` times its source's size and the excess is shared
     again by weight until none is above.  With sources ordered by cap / weight the level is found in
-    closed form: a source is capped if what is left at its turn, dealt by weight, exceeds its cap.
+    closed form: a source is capped if what is left at its turn, dealt by weight, exceeds its cap; the
+    first that isn't fixes the level (later ones would give a lower one).
     The table has a row a source, so its windows are small.
     """
     n = len(weights)
@@ -43,7 +44,7 @@ def water_fill(sources: DataFrame, weights: list[float], share: float, cap: floa
         .withColumn("_ratio", F.col("_cap") / F.col("_w"))
         .withColumn("_total", F.sum("source_size").over(whole) * F.lit(float(share))).withColumn("_weights", F.sum("_w").over(whole))
         .withColumn("_level", left / weight_left)
-        .withColumn("_level", F.min(F.when(F.col("_level") <= F.col("_ratio"), F.col("_level"))).over(whole))
+        .withColumn("_level", F.max(F.when(F.col("_level") <= F.col("_ratio"), F.col("_level"))).over(whole))
         .withColumn("target", F.when(F.col("_level").isNull() | (F.col("_ratio") <= F.col("_level")), F.col("_cap")).otherwise(F.col("_level") * F.col("_w")))
         .select("source", "source_size", "target")
     )
@@ -105,7 +106,7 @@ WITH sized AS (
 ), l AS (
   SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
           / (weights - coalesce(sum(w) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level FROM r
-), m AS (SELECT min(level) FILTER (level <= ratio) AS level FROM l
+), m AS (SELECT max(level) FILTER (level <= ratio) AS level FROM l
 ), t AS (SELECT source, source_size, CASE WHEN m.level IS NULL OR ratio <= m.level THEN cap ELSE m.level * w END AS target FROM l, m
 ), k AS (
   SELECT d.*, row_number() OVER (PARTITION BY source ORDER BY length(bin(size)), slice, size, doc_id NULLS LAST) AS rank FROM sized d

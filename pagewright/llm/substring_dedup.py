@@ -236,8 +236,9 @@ def _beside(table: DataFrame, lists: DataFrame, how: str = "inner") -> DataFrame
     return table.join(lists, "id", how)
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` and ``kept`` (bytes).
+def remove_repeats(docs: DataFrame, length: int = 400, key: str = "doc_id", text: str = "text", as_text: bool = False) -> DataFrame:
+    """``docs`` with ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` and ``kept`` (bytes; with
+    ``as_text`` the text of its whole characters: bytes left of a cut character are dropped).
 
     A text is its UTF-8 bytes (null: none).  Removed is each byte covered by a string of ``length``
     bytes that also starts elsewhere, in the same or another text; overlaps count, matches never cross
@@ -270,21 +271,16 @@ def remove_repeats(docs: DataFrame, length: int = 400, key: str = "doc_id", text
                         kept.append(raw[at : s["lo"]])
                     reach = at = max(reach, s["end"])
                 rest = b"".join([*kept, raw[at:]])
-                rows.append((len(raw), len(raw) - len(rest), runs, hashlib.sha256(rest).hexdigest(), rest))
-            arrays = [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()], strict=True)] if rows else []
+                rows.append((len(raw), len(raw) - len(rest), runs, hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "ignore") if as_text else rest))
+            arrays = [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string() if as_text else pa.binary()], strict=True)] if rows else []
             if rows:
                 yield pa.RecordBatch.from_arrays([*b.columns[2:], *arrays], names=[*b.schema.names[2:], *names])
 
     kinds = [f"_k{i} {kind}" for i, (_, kind) in enumerate(joined.drop("text", "lists").dtypes)]
-    made = joined.mapInArrow(cut, ", ".join([*kinds, "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"]))
+    made = joined.mapInArrow(cut, ", ".join([*kinds, "n_bytes long, n_removed long, n_spans long, kept_sha256 string", "kept string" if as_text else "kept binary"]))
     return made.withColumnsRenamed({f"_k{i}": c for i, c in enumerate(out)})
 
 
-def text_of(kept: str):
-    """The characters of ``kept`` bytes that are whole: bytes left of a cut character are dropped."""
-    return F.replace(F.call_function("decode", F.col(kept), F.lit("UTF-8")), F.lit("\ufffd"), F.lit(""))
-
-
 def op8_suffix_array(spark, sf_dir: str) -> DataFrame:
     """All ``documents`` without the bytes of repeated 400-byte strings."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
