@@ -35,9 +35,8 @@ def repeat_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     A character whose bytes are removed in part is removed.  ``n_chars`` is counted again.
     """
-    cut = substring_dedup.remove_repeats(docs.select(*COLUMNS), REPEAT)
-    whole = F.when(F.col("n_removed") == 0, F.col("text")).otherwise(substring_dedup.text_of("kept"))
-    return cut.withColumn("text", whole).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    cut = substring_dedup.remove_repeats(docs.select(*COLUMNS), REPEAT, as_text=True)
+    return cut.withColumn("text", F.col("kept")).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
