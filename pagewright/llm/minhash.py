@@ -21,6 +21,10 @@ from .text_hash import U64, mix64, shingle_set, small_batches, texts_words
 BANDS, ROWS = 32, 5
 #: Partners of a leader that are compared in one task.
 FAN = 64
+#: Members of a block where a group is compared within; a task holds two blocks.
+BLOCK = 256
+#: Keys that are sought or dropped are broadcast if there are at most so many (8 bytes each).
+BROADCAST_KEYS = 1_000_000
 
 
 def _permute(x: np.ndarray) -> None:
@@ -86,6 +90,8 @@ def _signed(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
 
 def _sets(docs: DataFrame, ids: DataFrame, key: str, text: str, width: int) -> DataFrame:
     """id and shingle set (8 bytes each) of the rows of ``docs`` whose id is in ``ids``."""
+    ids = cut_lineage(ids)
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_KEYS else ids
     table = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(ids, "id", "left_semi")
 
     def run(batches):
@@ -134,6 +140,78 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def _compare(rows: list[tuple], same: bool, percent: int) -> list[tuple[int, int]]:
+    """Links between the two blocks of ``rows`` (block, id, component, set), or within the one block.
+
+    Only sets of different components are compared, and a link found joins two components, so the
+    links connect what is connected and no more.
+    """
+    lower = min(r[0] for r in rows)
+    probes = [r for r in rows if r[0] == lower]
+    others = probes if same else [r for r in rows if r[0] != lower]
+    if not others:
+        return []
+    root = {r[2]: r[2] for r in rows}
+
+    def find(c: int) -> int:
+        while root[c] != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+
+    def laid(some: list[tuple]):
+        size = np.array([len(r[3]) for r in some])
+        return some, size, np.cumsum(size) - size, np.concatenate([r[3] for r in some])
+
+    found = []
+    comps, counts = np.unique([r[2] for r in others], return_counts=True)
+    main = comps[counts.argmax()]
+    all_of, rest_of = laid(others), [r for r in others if r[2] != main]
+    rest_of = laid(rest_of) if rest_of else None
+    for _, me, comp, own in probes:
+        against = rest_of if comp == main else all_of
+        if against is None or len(comps) == 1 and comp == main:
+            continue
+        some, size, start, flat = against
+        at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+        both = np.add.reduceat((own[at] == flat).astype(np.int64), start)
+        for i in np.flatnonzero(100 * both >= percent * (len(own) + size - both)):
+            if some[i][1] != me and (x := find(comp)) != (y := find(some[i][2])):
+                root[max(x, y)] = min(x, y)
+                found.append((me, some[i][1]))
+    return found
+
+
+def _linked_within(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that connect the members (rep, comp) of each group (lead) as all their links do.
+
+    A group is cut into blocks of about ``BLOCK``; each pair of blocks is compared in a task of its own.
+    """
+    blocks = groups.groupBy("lead").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("n"))
+    placed = groups.join(blocks, "lead").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("n")))
+    spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    spread = spread.select("lead", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "comp")
+    dealt = spread.join(sets.withColumnsRenamed({"id": "rep"}), "rep").select("lead", "i", "j", "block", "rep", "comp", "shingles")
+    dealt = dealt.repartition(partitions(groups.sparkSession), "lead", "i", "j").sortWithinPartitions("lead", "i", "j")
+
+    def run(batches):
+        held, rows = None, []
+        for b in batches:
+            found = []
+            for lead, i, j, block, rep, comp, raw in zip(*(b.column(k).to_pylist() for k in range(6)), b.column(6), strict=True):
+                if (lead, i, j) != held:
+                    found += _compare(rows, held[1] == held[2], percent) if rows else []
+                    held, rows = (lead, i, j), []
+                rows.append((block, rep, comp, np.frombuffer(raw.as_py(), U64)))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
+        found = _compare(rows, held[1] == held[2], percent) if rows else []
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """``key``, ``n_shingles``, ``component_id``, ``kept`` for each row of ``docs``.
 
@@ -156,37 +234,20 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     pairs = cut_lineage(members.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct())
     links = cut_lineage(_linked(pairs, sets, percent))
     graph = components(links)
-    compared, pool, many = pairs, members.where("rep <> lead").select("bucket", "rep"), 4
-    while True:
-        # what is left of a bucket once its leaders are done: compare on while it has two components
-        named = pool.join(graph, F.col("rep") == F.col("node"), "left").select("bucket", "rep", F.coalesce("component", "rep").alias("comp"))
-        parts = named.groupBy("bucket", "comp").agg(F.count("*").alias("n"), F.min("rep").alias("first"))
-        open_ = parts.groupBy("bucket").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("bucket")
-        pool = cut_lineage(named.join(open_, "bucket", "left_semi"))
-        if pool.isEmpty():
-            break
-        # new leaders of a bucket: the least member of each of its ``many`` smallest components
-        small = pool.groupBy("bucket", "comp").agg(F.count("*").alias("n"), F.min("rep").alias("first"))
-        chosen = small.groupBy("bucket").agg(F.slice(F.array_sort(F.collect_list(F.struct("n", "first", "comp"))), 1, many).alias("chosen")).select("bucket", F.explode("chosen").alias("c")).select("bucket", F.col("c.first").alias("first"), F.col("c.comp").alias("of"))
-        fresh = pool.join(chosen, "bucket").where("comp <> of").select(F.least("first", "rep").alias("a"), F.greatest("first", "rep").alias("b")).distinct().join(compared, ["a", "b"], "left_anti")
-        fresh = cut_lineage(fresh)
-        compared = compared.union(fresh)
-        more = cut_lineage(_linked(fresh, sets, percent))
+    # a leader is compared with all of its buckets; what still has two components is compared in blocks
+    named = members.where("rep <> lead").join(graph, F.col("rep") == F.col("node"), "left").select("bucket", "lead", "rep", F.coalesce("component", "rep").alias("comp"))
+    open_ = named.groupBy("bucket").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("bucket")
+    groups = cut_lineage(named.join(open_, "bucket", "left_semi").select("lead", "rep", "comp").distinct())
+    if not groups.isEmpty():
+        more = cut_lineage(_linked_within(groups, sets, percent))
         if not more.isEmpty():
-            links = cut_lineage(links.union(more))
-            graph = components(links)
-        pool = pool.join(chosen, (pool["bucket"] == chosen["bucket"]) & (pool["rep"] == chosen["first"]), "left_anti").select("bucket", "rep")
-        many *= 4
+            graph = components(links.union(more))
     named = reps.select("s1", "s2", "rep").join(graph, F.col("rep") == F.col("node"), "left").select("s1", "s2", F.coalesce("component", "rep").alias("component"))
     rows = signed.select("id", "n_shingles", "s1", "s2").join(named, ["s1", "s2"], "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return rows.select(F.col("id").alias(key), "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
 
 
-#: Keys to drop are broadcast if there are at most so many (8 bytes each).
-BROADCAST_KEYS = 1_000_000
-
-
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` whose component begins with them: one document of each group, of least key.
 
