@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ..runtime import cut_lineage
+from ..runtime import cut_lineage, cut_to_table
 from .suffix_array import common_prefixes, suffix_array
 from .text_hash import U64, _powers, mix64, small_batches
 
@@ -50,9 +50,9 @@ def _power_pair(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 class Prints:
     """Fingerprints of any substring of some bytes."""
 
-    def __init__(self, data: np.ndarray):
+    def __init__(self, data: np.ndarray, words: tuple[int, ...] = (0, 1)):
         self.sums, self.inverse = [], []
-        for which in (0, 1):
+        for which in words:
             power, inverse = _power_pair(which, len(data) + 1)
             run = np.zeros(len(data) + 1, U64)
             np.cumsum(_TABLES[which][data] * power[: len(data)], out=run[1:])
@@ -90,7 +90,7 @@ def intervals(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np
     grams = grams[: starts + w - 1]
     at = np.arange(len(grams), dtype=U64)
     # the rightmost of equal grams wins
-    order = (mix64(grams) & U64(0xFFFFFFFF00000000)) | (U64(0xFFFFFFFF) - at)
+    order = (grams * U64(0x9E3779B97F4A7C15) & U64(0xFFFFFFFF00000000)) | (U64(0xFFFFFFFF) - at)
     least = (U64(0xFFFFFFFF) - (_sliding_least(order, w) & U64(0xFFFFFFFF))).astype(np.int64)[:starts]
     lo = np.concatenate([[0], np.flatnonzero(np.diff(least)) + 1])
     return lo, np.append(lo[1:], starts) - 1, least[lo]
@@ -102,16 +102,23 @@ def segments(data: np.ndarray, length: int) -> Iterator[tuple[int, np.ndarray]]:
         yield a, np.ascontiguousarray(data[a : a + SEGMENT + length - 1])
 
 
+def cores(part: np.ndarray, length: int):
+    """Intervals of a segment: lo, hi, core fingerprints, and pieces: the bytes from one interval to the
+    next, and the tail after the last start."""
+    lo, hi, gram = intervals(part, length)
+    p = Prints(part, (0,))
+    core = p.of(0, gram, gram + length - window(length) + 1)
+    pieces = np.append(p.of(0, lo, hi + 1), p.of(0, hi[-1:] + 1, np.array([len(part)])))
+    return lo, hi, core, pieces
+
+
 def contexts(part: np.ndarray, length: int):
-    """Intervals of a segment with their fingerprints: lo, hi, core, context (two words), pieces."""
+    """Intervals of a segment: lo, hi, fingerprints of core and context (two words)."""
     lo, hi, gram = intervals(part, length)
     p = Prints(part)
     core = p.of(0, gram, gram + length - window(length) + 1)
     shape = (gram - lo) * (length + 1) + (hi - lo) + 1
-    f1, f2 = (p.of(k, lo, hi + length, shape) for k in (0, 1))
-    # pieces: the bytes from one interval to the next, and the tail after the last start
-    pieces = np.append(p.of(0, lo, hi + 1), p.of(0, hi[-1:] + 1, np.array([len(part)])))
-    return lo, hi, core, f1, f2, pieces
+    return lo, hi, core, *(p.of(k, lo, hi + length, shape) for k in (0, 1))
 
 
 def block_cores(parts: list[tuple], length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -120,12 +127,12 @@ def block_cores(parts: list[tuple], length: int) -> tuple[np.ndarray, np.ndarray
     Equal contexts are neighbours in the suffix array, and their common prefix is as long as the
     context; each run of neighbours is one class and is counted once.
     """
-    pieces = np.concatenate([p[5] for p in parts])
+    pieces = np.concatenate([p[3] for p in parts])
     distinct, symbols = np.unique(pieces, return_inverse=True)
     text: list[int] = []
     ends, core, need = [], [], []
     at = 0
-    for k, (lo, hi, c, _, _, own) in enumerate(parts):
+    for k, (lo, hi, c, own) in enumerate(parts):
         text += symbols[at : at + len(own)].tolist()
         text.append(len(distinct) + k)  # separators differ, so no prefix crosses a text
         at += len(own)
@@ -169,7 +176,7 @@ def repeated_spans(docs: DataFrame, length: int, key: str = "doc_id", text: str
         for b in batches:
             for data in _texts(b):
                 for _, part in segments(data, length):
-                    parts.append(contexts(part, length))
+                    parts.append(cores(part, length))
                     held += len(part)
                     if held >= BLOCK:
                         yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in block_cores(parts, length)], names=["core", "n"])
@@ -184,7 +191,7 @@ def repeated_spans(docs: DataFrame, length: int, key: str = "doc_id", text: str
             for i, data in zip(b.column("id").to_pylist(), _texts(b), strict=True):
                 own = _print64(data) if len(data) >= length else 0
                 for a, part in segments(data, length):
-                    lo, hi, core, f1, f2, _ = contexts(part, length)
+                    lo, hi, core, f1, f2 = contexts(part, length)
                     n = len(lo)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.full(n, i, np.int64)), pa.array(np.full(n, own, np.int64)), pa.array(lo + a), pa.array((hi - lo + 1).astype(np.int32)), *[pa.array(x.view(np.int64)) for x in (core, f1, f2)]],
@@ -192,9 +199,9 @@ def repeated_spans(docs: DataFrame, length: int, key: str = "doc_id", text: str
                     )
 
     places = table.mapInArrow(place, "id long, print long, lo long, n_starts int, core long, f1 long, f2 long")
-    places = cut_lineage(places.join(repeated, "core"))
+    places = cut_to_table(places.join(repeated, "core"))
     kinds = places.groupBy("f1", "f2").agg(F.count("*").alias("n"), F.min(F.struct("id", "print", "lo", "n_starts", "core")).alias("first"))
-    kinds = cut_lineage(kinds.select("f1", "f2", "n", "first.*"))
+    kinds = cut_to_table(kinds.select("f1", "f2", "n", "first.*"))
     whole = places.join(kinds.where("n > 1").select("f1", "f2"), ["f1", "f2"]).select("id", "print", "lo", (F.col("lo") + F.col("n_starts") - 1 + length).alias("end"))
 
     # edges: cores with a context that is met once; one place stands for each context
@@ -222,7 +229,7 @@ def repeated_spans(docs: DataFrame, length: int, key: str = "doc_id", text: str
                     )
 
     near = _beside(table, asked).mapInArrow(each_start, "h1 long, h2 long, n long, id long, print long, lo long")
-    near = cut_lineage(near)
+    near = cut_to_table(near)
     again = near.groupBy("h1", "h2").agg(F.sum("n").alias("n")).where("n > 1").select("h1", "h2")
     single = near.where("n = 1").join(again, ["h1", "h2"]).select("id", "print", "lo", (F.col("lo") + length).alias("end"))
     return whole.union(single).groupBy("id", "print").agg(F.array_sort(F.collect_list(F.struct("lo", "end"))).alias("spans"))
