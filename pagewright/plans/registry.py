@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from . import search_queries
+
 FLAGSHIP = "bm25_top5"
-QUERIES: dict = {}
-ORACLES: dict = {}
+QUERIES = search_queries.QUERIES
+ORACLES = search_queries.ORACLES
