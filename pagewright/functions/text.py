@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, functions as F
 
 #: Line patterns of manuals.
-LINE_BREAK = "\r\n|[\n\r\u000b\u000c\u001c-\u001e\u0085  ]"
+LINE_BREAK = "\r\n|[\n\r\u000b\u000c\u001c-\u001e\u0085\u2028\u2029]"
 FORMAT_TAG = r"(?i)</?(?:u|span|div|p|font|strong|em|b|i|sub|sup)(?:\s[^>]*)?>|<br\s*/?>"
 BROKEN_LINK = r"\*\*\[([^\]]+?)\*\*\]\(([^)]+?)\*\*\)"
 MANY_STARS = r"\*{4,}"
@@ -59,7 +59,7 @@ def normalized(line: Column) -> Column:
     """A line without format tags, leaders and extra blanks."""
     line = repaired(F.regexp_replace(line, FORMAT_TAG, ""))
     line = F.regexp_replace(F.regexp_replace(line, DOTS, " "), UNDERSCORES, " ")
-    return F.trim(F.regexp_replace(F.translate(line, " ", " "), "[ \t]+", " "))
+    return F.trim(F.regexp_replace(F.translate(line, "\u00a0", " "), "[ \t]+", " "))
 
 
 def plain(line: Column) -> Column:

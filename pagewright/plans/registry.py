@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from . import search_queries
+from . import cleaning_queries, search_queries
 
 FLAGSHIP = "bm25_top5"
-QUERIES = search_queries.QUERIES
-ORACLES = search_queries.ORACLES
+_MODULES = [search_queries, cleaning_queries]
+QUERIES = {k: q for m in _MODULES for k, q in m.QUERIES.items()}
+ORACLES = {k: q for m in _MODULES for k, q in m.ORACLES.items()}
