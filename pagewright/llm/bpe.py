@@ -41,8 +41,9 @@ class Transducer:
         self.forget()
 
     def forget(self) -> None:
-        """Empty the automaton: state 0 is the start; a state is (settled token, open bytes, last tokens)."""
-        self.states = [(None, b"", (None,))]
+        """Empty the automaton.  A state is (settled token, open bytes, last token of each prefix of them,
+        places where a token may still begin); state 0 is the start."""
+        self.states = [(None, b"", (None,), (0,))]
         self.number: dict[tuple, int] = {(None, b""): 0}
         self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
         self.finals: dict[int, tuple[int, ...]] = {}
@@ -88,39 +89,47 @@ class Transducer:
 
     def move(self, number: int, byte: int) -> tuple[int, tuple[int, ...]]:
         """The next state and the tokens settled by one more byte."""
-        before, todo, last = self.states[number]
+        before, todo, last, live = self.states[number]
         todo += bytes((byte,))
-        n, ranks = len(todo), self.ranks
-        for j in range(max(0, n - self.longest), n):
+        n, ranks, agree, halves, opened = len(todo), self.ranks, self.agree, self.halves, self.open
+        for j in live:  # the longest token first
             token = todo[j:]
-            if token in ranks and (n - j == 1 or self.made_of(token)):
+            if token in ranks and (n - j == 1 or (halves[token] if token in halves else self.made_of(token))):
                 left = last[j] if j else before
-                if left is None and j == 0 or left is not None and self.adjacent(left, token):
+                if left is None:
                     break
-        last += (todo[j:],)
+                known = agree.get((left, token))
+                if known or known is None and self.adjacent(left, token):
+                    break
+        last += (token,)
+        live = [j for j in live if todo[j:] in opened]
+        live.append(n)
         # what the segmentations before all open beginnings share is settled
-        live = {i for i in range(max(0, n - self.longest + 1), n) if todo[i:] in self.open}
-        live.add(n)
-        while len(live) > 1:
-            i = max(live)
-            live.remove(i)
-            live.add(i - len(last[i]))
-        cut = i = live.pop()
-        out = []
-        while i:
-            out.append(last[i])
+        ends = live.copy()
+        while len(ends) > 1:
+            i = ends.pop()
             i -= len(last[i])
-        before, out = (out[0] if out else before), [ranks[t] for t in reversed(out)]
-        todo, last = todo[cut:], (None, *last[cut + 1 :])
+            if i not in ends:
+                ends.append(i)
+                ends.sort()
+        cut = i = ends[0]
+        out = ()
+        if i:
+            path = []
+            while i:
+                path.append(last[i])
+                i -= len(last[i])
+            before, out = path[0], tuple([ranks[t] for t in reversed(path)])
+            todo, last, live = todo[cut:], (None, *last[cut + 1 :]), [j - cut for j in live]
         to = self.number.get((before, todo))
         if to is None:
             to = self.number[before, todo] = len(self.states)
-            self.states.append((before, todo, last))
-        return to, tuple(out)
+            self.states.append((before, todo, last, tuple(live)))
+        return to, out
 
     def finish(self, number: int) -> tuple[int, ...]:
         """The tokens of the bytes that are not settled at the end of a pre-token."""
-        _, todo, last = self.states[number]
+        _, todo, last, _ = self.states[number]
         i, out = len(todo), []
         while i:
             out.append(self.ranks[last[i]])
@@ -189,7 +198,7 @@ def decode_stream(ids: np.ndarray, tokens: list[bytes], step: int = 8192):
     """The text of ``ids`` in pieces."""
     machine = Utf8Stream()
     for a in range(0, len(ids), step):
-        yield machine.feed(b"".join([tokens[i] for i in ids[a : a + step]]))
+        yield machine.feed(b"".join([tokens[i] for i in ids[a : a + step].tolist()]))
     if machine.rest:
         yield machine.rest.decode("utf-8", "replace")
 
@@ -226,7 +235,7 @@ def encode_texts(docs: DataFrame, vocab: str, pattern: str, text: str = "text",
             count, sha, back, lists = [], [], [], []
             for t in b.column("_text"):
                 t = t.as_py() or ""
-                found = np.fromiter(machine.encode(splitter.findall(t)), dtype="<u4")
+                found = np.array(machine.encode(splitter.findall(t)), dtype="<u4")
                 digest = hashlib.sha256()
                 for piece in decode_stream(found, tokens):
                     digest.update(piece.encode())
