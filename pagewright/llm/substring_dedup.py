@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..runtime import cut_lineage, cut_to_table
 from .suffix_array import common_prefixes, suffix_array
@@ -32,8 +32,8 @@ SEGMENT = 1 << 17
 #: Bytes of text of a block whose suffix array is made.
 BLOCK = 1 << 21
 GRAM = 8
-#: Place lists of at most so many rows (about 100 bytes each) are broadcast to the texts; longer ones are joined by key.
-BROADCAST_ROWS = 200_000
+#: Lists of at most so many places or runs in all (about 40 bytes each) are broadcast to the texts; longer ones are joined by key.
+BROADCAST_ITEMS = 1_000_000
 
 _TABLES = [mix64(np.arange(1, 257, dtype=U64) * U64(k)) for k in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 _BASES = [0x8EBC6AF09C88C6E3, 0x589965CC75374CC3]
@@ -163,7 +163,7 @@ def _print64(data: np.ndarray) -> int:
 
 
 def repeated_spans(docs: DataFrame, length: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, print, spans: for each text that has some, its sorted removable spans [start, end) in bytes.
+    """id, print, lo, end: the maximal runs of removable bytes [lo, end) of the texts that have some.
 
     A text is known by its id (null: 0) and 64 bits of its bytes.
     """
@@ -228,17 +228,22 @@ def repeated_spans(docs: DataFrame, length: int, key: str = "doc_id", text: str
                         names=["h1", "h2", "n", "id", "print", "lo"],
                     )
 
-    near = _beside(table, asked).mapInArrow(each_start, "h1 long, h2 long, n long, id long, print long, lo long")
+    near = _beside(table, asked, "places").mapInArrow(each_start, "h1 long, h2 long, n long, id long, print long, lo long")
     near = cut_to_table(near)
     again = near.groupBy("h1", "h2").agg(F.sum("n").alias("n")).where("n > 1").select("h1", "h2")
     single = near.where("n = 1").join(again, ["h1", "h2"]).select("id", "print", "lo", (F.col("lo") + length).alias("end"))
-    return whole.union(single).groupBy("id", "print").agg(F.array_sort(F.collect_list(F.struct("lo", "end"))).alias("spans"))
+    spans = whole.union(single).distinct()
+    text_of = Window.partitionBy("id", "print").orderBy("lo", "end")
+    reach = F.max("end").over(text_of.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = (F.col("lo") > F.coalesce(reach, F.lit(-1))).cast("int")
+    run = spans.withColumn("_fresh", fresh).withColumn("_run", F.sum("_fresh").over(text_of.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return run.groupBy("id", "print", "_run").agg(F.min("lo").alias("lo"), F.max("end").alias("end")).drop("_run")
 
 
-def _beside(table: DataFrame, lists: DataFrame, how: str = "inner") -> DataFrame:
+def _beside(table: DataFrame, lists: DataFrame, column: str, how: str = "inner") -> DataFrame:
     """``table`` with the lists of its ids; a list that belongs to another text of the id is told apart by its print."""
     lists = cut_lineage(lists)
-    if lists.count() <= BROADCAST_ROWS:
+    if (lists.agg(F.sum(F.size(column))).first()[0] or 0) <= BROADCAST_ITEMS:
         lists = F.broadcast(lists)
     return table.join(lists, "id", how)
 
@@ -257,9 +262,8 @@ def remove_repeats(docs: DataFrame, length: int = 400, key: str = "doc_id", text
     names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
     out = [c for c in docs.columns if c not in names]
     table = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(0).cast("long")).alias("id"), F.col(text).alias("text"), *[F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(out)])
-    spans = repeated_spans(docs, length, key, text)
-    lists = spans.groupBy("id").agg(F.collect_list(F.struct("print", "spans")).alias("lists"))
-    joined = _beside(table, lists, "left").select("text", "lists", *[f"_k{i}" for i in range(len(out))])
+    lists = repeated_spans(docs, length, key, text).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("print", "lo", "end"))).alias("lists"))
+    joined = _beside(table, lists, "lists", "left").select("text", "lists", *[f"_k{i}" for i in range(len(out))])
 
     def cut(batches):
         for b in batches:
@@ -268,17 +272,13 @@ def remove_repeats(docs: DataFrame, length: int = 400, key: str = "doc_id", text
                 mine = []
                 if lists and len(data) >= length:
                     own = _print64(data)
-                    mine = [s for x in lists if x["print"] == own for s in x["spans"]]
-                runs, kept, at = 0, [], 0
-                reach = -1
-                raw = data.tobytes()
+                    mine = [s for s in lists if s["print"] == own]
+                kept, at, raw = [], 0, data.tobytes()
                 for s in mine:
-                    if s["lo"] > reach:
-                        runs += 1
-                        kept.append(raw[at : s["lo"]])
-                    reach = at = max(reach, s["end"])
+                    kept.append(raw[at : s["lo"]])
+                    at = s["end"]
                 rest = b"".join([*kept, raw[at:]])
-                rows.append((len(raw), len(raw) - len(rest), runs, hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "ignore") if as_text else rest))
+                rows.append((len(raw), len(raw) - len(rest), len(mine), hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "ignore") if as_text else rest))
             arrays = [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string() if as_text else pa.binary()], strict=True)] if rows else []
             if rows:
                 yield pa.RecordBatch.from_arrays([*b.columns[2:], *arrays], names=[*b.schema.names[2:], *names])
