@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import chunking as K, structure as S
-from ..runtime import table
+from ..runtime import cut_lineage, table
 from . import manuals as M
 
 QUERIES: dict = {}
@@ -164,8 +164,8 @@ def procedure_step_groups(spark, sf_dir: str) -> DataFrame:
 
 def every_chunk(spark, sf_dir: str) -> DataFrame:
     """All chunks of the parts' manuals with their ordinals."""
-    line = _lines(spark, sf_dir)
-    return K.all_chunks(K.section_chunks(line), K.parent_child_chunks(line), K.procedure_chunks(S.procedures(line)), K.table_row_chunks(S.table_rows(line)), K.identifier_chunks(S.identifiers(line)))
+    line = cut_lineage(_lines(spark, sf_dir))  # read by every strategy
+    return cut_lineage(K.all_chunks(K.section_chunks(line), K.parent_child_chunks(line), K.procedure_chunks(S.procedures(line)), K.table_row_chunks(S.table_rows(line)), K.identifier_chunks(S.identifiers(line))))
 
 
 @_query()

@@ -20,7 +20,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     A reliable checkpoint survives the loss of any executor.  The folder is the one named by
     ``spark.checkpoint.dir``; only where that is unset (tests) a temporary one is made.
     """
-    _shared(df.sparkSession)
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -30,12 +30,12 @@ def cut_to_table(df: DataFrame) -> DataFrame:
     Spark does not clear such tables; they go with the checkpoint folder of the application.
     """
     spark = df.sparkSession
-    path = f"{_shared(spark)}/tables/{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _shared(spark: SparkSession) -> str:
+def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder of this application."""
     context = spark.sparkContext
     if not context.getCheckpointDir():
