@@ -73,8 +73,9 @@ def pixel_features(images: DataFrame, mode: str = "data") -> DataFrame:
     python_ready(images.sparkSession)
 
     def one(height, width, channels, data):
-        if data is None or not height or not width:
+        if not isinstance(data, (bytes, bytearray, memoryview)) or not height > 0 or not width > 0:
             return (None,) * 9
+        height, width, channels = int(height), int(width), int(channels)
         px = np.frombuffer(bytes(data), np.uint8)[: height * width * channels].reshape(height, width, channels)
         alpha = float((px[:, :, 3] > 0).mean()) if channels == 4 else 1.0
         grey = px[:, :, :3].mean(2) if channels >= 3 else px[:, :, 0].astype(float)
@@ -118,8 +119,8 @@ def pixel_features(images: DataFrame, mode: str = "data") -> DataFrame:
             out = pd.DataFrame(made, columns=names)
             out["component_count"] = out["component_count"].astype("Int32")
             out["blank_center"] = out["blank_center"].astype("boolean")
-            out.insert(0, "height", b["height"].values)
-            out.insert(0, "width", b["width"].values)
+            out.insert(0, "height", b["height"].astype("Int32").values)
+            out.insert(0, "width", b["width"].astype("Int32").values)
             out.insert(0, "asset_id", b["asset_id"].values)
             yield out
 
