@@ -28,7 +28,7 @@ class Transducer:
     """BPE of pre-tokens by rank merges, left to right with bounded lookahead."""
 
     #: Pre-tokens, moves and pairs that are remembered; a memory that is full is emptied and refilled.
-    KEEP = 400_000
+    KEEP = 150_000
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
