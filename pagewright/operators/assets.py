@@ -108,7 +108,7 @@ def pixel_features(images: DataFrame, mode: str = "data") -> DataFrame:
         near = float((np.abs(grey - np.median(grey)) <= 5).mean())
         center = float(edge[inner].mean()) if inner.any() else 0.0
         border = float(edge[~inner].mean()) if (~inner).any() else 0.0
-        return entropy, float(edge.mean()), border, center, near, count, alpha, f"{int(''.join('01'[b] for b in bits), 2):016x}", center < 0.005
+        return entropy, float(edge.mean()), border, center, near, count, alpha, f"{int(''.join('1' if b else '0' for b in bits), 2):016x}", center < 0.005
 
     names = ["entropy", "edge_density", "border_edge_density", "center_edge_density", "near_uniform_fraction", "component_count", "alpha_coverage", "perceptual_hash", "blank_center"]
     schema = "asset_id string, width int, height int, entropy double, edge_density double, border_edge_density double, center_edge_density double, near_uniform_fraction double, component_count int, alpha_coverage double, perceptual_hash string, blank_center boolean"
