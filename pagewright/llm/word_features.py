@@ -79,9 +79,14 @@ def labelled_sample(docs: DataFrame, label: str, per_label: dict | int, key: str
     """Rows for training: of each label those of least key hash, at most ``per_label``; whole texts of at
     most ``most_bytes``.  Only keys outside fold 0 are learned from."""
     ready = docs.where((fold_of(F.col(key)) != 0) & F.col("text").isNotNull() & F.col(label).isNotNull() & (F.octet_length("text") <= most_bytes) & (F.length("text") > 0))
-    labels = [r[0] for r in ready.select(label).distinct().limit(1000).collect()]
+    counts = {r[0]: r["n"] for r in ready.groupBy(label).agg(F.count("*").alias("n")).orderBy(F.desc("n"), label).limit(1000).collect()}
     out = []
-    for value in sorted(labels):
+    for value in sorted(counts):
         n = per_label if isinstance(per_label, int) else per_label[value]
-        out += ready.where(F.col(label) == value).orderBy(F.xxhash64(key), "text").select(*columns).limit(n).collect()
+        # only rows of hashes low enough to be among the first n are ranked, so tasks send few rows each
+        share = (1.5 * n + 100) / counts[value]
+        low = ready.where(F.col(label) == value)
+        if share < 1:
+            low = low.where(F.xxhash64(key) < F.lit(int(-(2**63) + share * 2**64)))
+        out += low.orderBy(F.xxhash64(key), "text").select(*columns).limit(n).collect()
     return out
