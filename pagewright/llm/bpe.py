@@ -48,6 +48,13 @@ class Transducer:
         self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
         self.finals: dict[int, tuple[int, ...]] = {}
 
+    def release(self) -> None:
+        """Forget all that was remembered, so an idle worker holds no more than the vocabulary."""
+        self.known.clear()
+        self.agree.clear()
+        self.halves.clear()
+        self.forget()
+
     def made_of(self, token: bytes) -> tuple[bytes, bytes] | None:
         """The two tokens of the last merge that gives ``token``; None for one byte or no such merge."""
         if token not in self.halves:
@@ -247,6 +254,7 @@ def encode_texts(docs: DataFrame, vocab: str, pattern: str, text: str = "text",
             more = [pa.array(count, pa.int64()), *([pa.array(lists, pa.list_(pa.int32()))] if ids else []), pa.array(sha, pa.string()), pa.array(back, pa.string())]
             names = ["n_tokens", *(["ids"] if ids else []), "ids_sha256", "decoded_sha256"]
             yield pa.RecordBatch.from_arrays([*[b.column(f"_k{i}") for i in range(len(keep))], *more], names=[*[f"_k{i}" for i in range(len(keep))], *names])
+        machine.release()
 
     kinds = ", ".join(f"_k{i} {kind}" for i, (_, kind) in enumerate(table.drop("_text").dtypes))
     out = table.mapInArrow(run, ", ".join([*([kinds] if kinds else []), "n_tokens long", *(["ids array<int>"] if ids else []), "ids_sha256 string", "decoded_sha256 string"]))
