@@ -2,7 +2,7 @@
 
 A text is normalised to words joined by single blanks.  Texts without a trigger substring need no
 more work.  Around each trigger word a context of some words is cut; a rule is tried in a context
-only if the context holds the rule's keyword; overlapping detections are resolved by priority and
+only if the context holds one of the rule's keywords, as every match does; overlapping detections are resolved by priority and
 containment of their word intervals.  All of it is row-local: no join, no shuffle.
 """
 
@@ -18,15 +18,15 @@ REACH = 14
 #: Phrases whose places are counted exactly, and their labels.
 BASE = [("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl")]
 #: Substrings that gate a text, and the words that are looked at closely.
-GATES = ["licen", "copyright"]
-TRIGGERS = ["license", "licence", "licenses", "licences", "licensed", "licenced", "licensing", "relicensed", "sublicense", "copyright", "copyrighted"]
+GATES = ["licen", "copyright", "domain"]
+TRIGGERS = ["license", "licence", "licenses", "licences", "licensed", "licenced", "licensing", "licencing", "relicensed", "relicenced", "sublicense", "copyright", "copyrighted", "domain"]
 
-#: Label, keyword that gates the rule, regex of the name in normalised words.
+#: Label, keywords that gate the rule (each match has one as a word), regex of the name in normalised words.
 NAMES = [
-    ("mit", "mit", "(?:mit|expat)(?: x11)?"),
+    ("mit", "mit expat", "(?:mit|expat)(?: x11)?"),
     ("x11", "x11", "x11"),
-    ("apache", "apache", "(?:apache|asl)(?: software)?"),
-    ("gpl", "gpl", "(?:gnu )?gpl(?: ?v)?"),
+    ("apache", "apache asl", "(?:apache|asl)(?: software)?"),
+    ("gpl", "gpl gplv", "(?:gnu )?gpl(?: ?v)?"),
     ("gpl", "public", "gnu general public"),
     ("lgpl", "lgpl", "(?:gnu )?lgpl"),
     ("lgpl", "lesser", "(?:gnu )?lesser general public"),
@@ -66,11 +66,11 @@ NAMES = [
     ("ms-pl", "microsoft", "microsoft public"),
     ("ms-rl", "reciprocal", "microsoft reciprocal"),
     ("cc0", "cc0", "cc0"),
-    ("cc-by-nc", "nc", "(?:cc|creative commons)(?: attribution| by)?(?: nc| noncommercial)"),
-    ("cc-by-sa", "sa", "(?:cc|creative commons)(?: attribution| by)?(?: sa| sharealike)"),
-    ("cc-by-nd", "nd", "(?:cc|creative commons)(?: attribution| by)?(?: nd| noderivatives)"),
+    ("cc-by-nc", "nc noncommercial", "(?:cc|creative commons)(?: attribution| by)?(?: nc| noncommercial)"),
+    ("cc-by-sa", "sa sharealike", "(?:cc|creative commons)(?: attribution| by)?(?: sa| sharealike)"),
+    ("cc-by-nd", "nd noderivatives", "(?:cc|creative commons)(?: attribution| by)?(?: nd| noderivatives)"),
     ("cc-by-nc", "noncommercial", "creative commons attribution noncommercial"),
-    ("cc-by-sa", "sharealike", "creative commons attribution share ?alike"),
+    ("cc-by-sa", "sharealike alike", "creative commons attribution share ?alike"),
     ("cc-by", "by", "cc by"),
     ("cc", "commons", "creative commons"),
     ("cecill", "cecill", "cecill(?: [abc])?"),
@@ -88,7 +88,7 @@ SHAPES = [
     (LICENSE + " (?:is )?(?:the )?{n}" + VERSION, 3, 0.75),
     ("{n}" + VERSION + " licen[sc](?:ed|ing)", 2, 0.6),
 ]
-#: Statements that name no license: label, keyword, regex, priority, confidence.
+#: Statements that name no license: label, keywords, regex, priority, confidence.
 STATEMENTS = [
     ("all-rights-reserved", "reserved", "copyright (?:c )?.{0,60}all rights reserved", 1, 0.7),
     ("copyright", "copyright", "copyright (?:c )?(?:19|20)[0-9]{2}", 1, 0.5),
@@ -97,7 +97,7 @@ STATEMENTS = [
 
 
 def rules() -> list[tuple[str, str, str, int, float]]:
-    """All rules: label, keyword, regex, priority, confidence."""
+    """All rules: label, keywords, regex, priority, confidence."""
     named = [(label, word, shape.replace("{n}", f"(?:{name})"), p, c) for label, word, name in NAMES for shape, p, c in SHAPES]
     return named + STATEMENTS
 
@@ -107,8 +107,8 @@ def _spaces(text: Column) -> Column:
 
 
 def _rule_array() -> Column:
-    kind = "array<struct<label:string,keyword:string,regex:string,priority:int,confidence:double>>"
-    text = F.array(*[F.struct(F.lit(a), F.lit(b), F.lit(f"(?<= ){r}(?= )"), F.lit(p), F.lit(c)) for a, b, r, p, c in rules()])
+    kind = "array<struct<label:string,keywords:array<string>,regex:string,priority:int,confidence:double>>"
+    text = F.array(*[F.struct(F.lit(a), F.array(*map(F.lit, b.split())), F.lit(f"(?<= ){r}(?= )"), F.lit(p), F.lit(c)) for a, b, r, p, c in rules()])
     return text.cast(kind)
 
 
@@ -158,7 +158,7 @@ def scan_licenses(docs: DataFrame, text: str = "text") -> DataFrame:
         )
 
     def finds(c: Column) -> Column:
-        fit = F.filter(F.col("_rules"), lambda r: F.array_contains(c["words"], r["keyword"]) & F.call_function("rlike", c["line"], r["regex"]))
+        fit = F.filter(F.col("_rules"), lambda r: F.exists(r["keywords"], lambda k: F.array_contains(c["words"], k)) & F.call_function("rlike", c["line"], r["regex"]))
         return F.transform(fit, lambda r: find(c, r))
 
     def beaten(x: Column, y: Column) -> Column:

@@ -204,6 +204,53 @@ def test_license_scan(spark):
     assert len(license_scan.rules()) > 200
 
 
+def samples(tree):
+    """Strings a regex accepts: the shortest one first, and one for each alternative and option."""
+    parts = []
+    for op, arg in tree:
+        name = str(op)
+        if name == "LITERAL":
+            parts.append([chr(arg)])
+        elif name == "ANY":
+            parts.append(["x"])
+        elif name == "IN":
+            parts.append([chr(a if str(o) == "LITERAL" else a[0]) for o, a in arg])
+        elif name == "BRANCH":
+            parts.append([s for branch in arg[1] for s in samples(branch)])
+        elif name == "SUBPATTERN":
+            parts.append(samples(arg[3]))
+        else:
+            assert name == "MAX_REPEAT"
+            low, high, inner = arg
+            parts.append([s * n for n in (low, min(int(high), low + 1)) for s in (samples(inner) if n else [""])])
+    least = [p[0] for p in parts]
+    return list(dict.fromkeys("".join([*least[:i], s, *least[i + 1 :]]) for i, p in enumerate(parts or [[""]]) for s in p))
+
+
+def test_license_gates_lose_nothing(spark):
+    """The scan gives the labels that all rules give without triggers and keywords, for each alternative of each rule."""
+    import re
+
+    rules = license_scan.rules()
+    texts = list(dict.fromkeys(s for r in rules for s in samples(re._parser.parse(r[2]))))
+    texts += ["Public-\nDomain", "dedicated to the Public-\nDomain", "licensed under creative commons attribution noderivatives", "Expat License", "ASL license", "GPLv licence", "relicenced under isc", "mit licencing"]
+    patterns = [(label, re.compile(f"(?<= ){r}(?= )"), p) for label, _, r, p, _ in rules]
+
+    def ungated(text):
+        line = f" {' '.join(re.findall(license_scan.WORD, text.lower()))} "
+        found = [(label, m.start(), m.end(), p) for label, r, p in patterns if (m := r.search(line))]
+        words = lambda x: line.count(" ", x[1], x[2])
+        beaten = lambda x, y: y[1] <= x[1] and y[2] >= x[2] and (y[3] > x[3] or (y[3] == x[3] and words(y) > words(x)))
+        based = {label for phrase, label in license_scan.BASE if f" {phrase} " in line}
+        return sorted({x[0] for x in found if not any(beaten(x, y) for y in found)} | based)
+
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.text: r.labels for r in license_scan.scan_licenses(rows).select("text", "labels").collect()}
+    assert {t: (got[t], ungated(t)) for t in texts if got[t] != ungated(t)} == {}
+    assert got["Expat License"] == ["mit"] and got["ASL license"] == ["apache"] and got["dedicated to the Public-\nDomain"] == ["public-domain"]
+    assert got["licensed under creative commons attribution noderivatives"] == ["cc-by-nd"] and len(texts) > 1000
+
+
 def test_urls(spark):
     urls = ["http://a.www.EXAMPLE.com/en/x?q", "https://example.com/en/", "https://x.example.com/en", "http://net/es/1", "ftp://b.net#x", "http://example.com", "nothing", None, "http://notexample.com/en/", "http://net/es/1", "x://h.com/a://b"]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("rule", F.lit("clash"))
