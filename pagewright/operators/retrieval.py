@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.text import any_of, identifiers, tokens
+from ..runtime import python_ready
 
 K1, B = 1.2, 0.75
-#: A table of query tokens or query vectors of at most so many rows is broadcast.
+#: A table of query tokens of at most so many rows is broadcast.
 BROADCAST_ROWS = 200_000
+#: Query vectors and vectors that meet in one task are about so many at most.
+QUERY_BLOCK, VECTOR_CHUNK = 20_000, 16_384
 #: Expansions of query tokens, and the words that a broad failure report brings in.
 SYNONYMS = {
     "topic": ["topics"], "chapter": ["topics"], "required": ["requirements", "requirement"], "setting": ["setup"],
@@ -126,16 +132,47 @@ def vector_ok(v: Column, size: int) -> Column:
 def dense(vectors: DataFrame, queries: DataFrame, k: int, match: list[str] | None = None, least: float | None = None) -> DataFrame:
     """query_id, chunk_id, score, rank: exact cosine top-k of each query vector over all vectors.
 
-    The stated query set is broadcast if it is small; ``match`` columns must be equal (an equi-join).
+    Blocks of queries meet chunks of vectors, both of bounded size, and only a chunk's best ``k`` of each
+    query leave a task.  ``match`` columns must be equal; vectors of different sizes have no cosine.
     """
-    a = vectors.withColumn("_n", norm(F.col("vector")))
-    q = small(queries.withColumnRenamed("vector", "_q").withColumn("_m", norm(F.col("_q"))), 20_000)
-    pairs = a.join(q, match) if match else a.join(q)
-    score = F.round(dot(F.col("vector"), F.col("_q")) / (F.col("_n") * F.col("_m")), 6)
-    scored = pairs.where((F.col("_n") > 0) & (F.col("_m") > 0)).select("query_id", "chunk_id", score.alias("score"))
-    if least is not None:
-        scored = scored.where(F.col("score") >= least)
-    return top(scored, "query_id", [F.desc("score"), "chunk_id"], k)
+    python_ready(vectors.sparkSession)
+    keys = [*(match or []), "_size"]
+
+    def ready(df: DataFrame, name: str) -> DataFrame:
+        x = df.select(name, *keys[:-1], F.size("vector").alias("_size"), F.transform("vector", lambda x: x.cast("double")).alias("vector"), norm(F.col("vector")).alias("_n"))
+        return x.where("_n > 0").dropna(subset=keys)
+
+    def dealt(name: str, n: int) -> Column:
+        return F.pmod(F.xxhash64(name), F.lit(n)).cast("int")
+
+    blocks, chunks = max(1, -(-queries.count() // QUERY_BLOCK)), max(1, -(-vectors.count() // VECTOR_CHUNK))
+    a = ready(vectors, "chunk_id").withColumns({"_chunk": dealt("chunk_id", chunks), "_block": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))})
+    q = ready(queries, "query_id").withColumns({"_block": dealt("query_id", blocks), "_chunk": F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))})
+
+    def solve(d: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        held = dict(list(d.groupby(keys)))
+        for key, mine in asked.groupby(keys):
+            if key not in held:
+                continue
+            near = held[key].sort_values("chunk_id", kind="stable")
+            ids, x = near["chunk_id"].to_numpy(), np.stack(near["vector"].to_numpy())
+            for at in range(0, len(mine), 256):
+                part = mine.iloc[at : at + 256]
+                raw = (np.stack(part["vector"].to_numpy()) @ x.T) / (part["_n"].to_numpy()[:, None] * near["_n"].to_numpy())
+                scores = np.sign(raw) * np.floor(np.abs(raw) * 1e6 + 0.5) / 1e6  # half away from zero, as round() does
+                for me, s in zip(part["query_id"], scores, strict=True):
+                    order = np.where(np.isnan(s), -np.inf, -s)  # NaN comes first in a descending order
+                    ok = np.arange(len(ids)) if least is None else np.flatnonzero(~(s < least))
+                    if len(ok) > k:
+                        ok = ok[order[ok] <= np.partition(order[ok], k - 1)[k - 1]]
+                    best = ok[np.argsort(order[ok], kind="stable")][:k]
+                    out.append(pd.DataFrame({"query_id": me, "chunk_id": ids[best], "score": s[best]}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "chunk_id": [], "score": []})
+
+    kind = StructType([queries.schema["query_id"], vectors.schema["chunk_id"], StructField("score", DoubleType())])
+    found = a.groupBy("_block", "_chunk").cogroup(q.groupBy("_block", "_chunk")).applyInPandas(solve, kind)
+    return top(found, "query_id", [F.desc("score"), "chunk_id"], k)
 
 
 def fuse(dense_hits: DataFrame, lexical_hits: DataFrame, k: int, weights: tuple[float, float] = (1.0, 1.5), rrf_k: int = 30) -> DataFrame:

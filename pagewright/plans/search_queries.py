@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.text import tokens
 from ..operators import retrieval as R
-from ..runtime import table
+from ..runtime import cut_lineage, table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -110,6 +110,17 @@ def retrieval_metrics(spark, sf_dir: str) -> DataFrame:
     )
 
 
+#: The query set of the searches whose SQL names it, and the whole one: each row whose id is divisible by 20.
+FEW, WHOLE = "{id} < 20", "{id} % 20 = 0"
+
+
+def _whole(sql: str) -> str:
+    """The same SQL over the whole query set."""
+    for name in ("q.vec_id", "doc_id"):
+        sql = sql.replace(FEW.format(id=name), WHOLE.format(id=name))
+    return sql
+
+
 def _vectors(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"), "label")
 
@@ -126,8 +137,18 @@ WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE)
 @_query(_DENSE + "SELECT query_id, chunk_id, score, rank FROM dense WHERE rank <= 10")
 def dense_topk(spark, sf_dir: str) -> DataFrame:
     """The ten nearest vectors of the query vectors (ids below 20), exact cosine."""
-    v = _vectors(spark, sf_dir)
-    return R.dense(v.drop("label"), v.where("chunk_id < 20").select(F.col("chunk_id").alias("query_id"), "vector"), 10)
+    return _near(spark, sf_dir, 10)
+
+
+def _near(spark, sf_dir, k, asked=FEW) -> DataFrame:
+    v = _vectors(spark, sf_dir).drop("label")
+    return R.dense(v, v.where(asked.format(id="chunk_id")).select(F.col("chunk_id").alias("query_id"), "vector"), k)
+
+
+@_query(_whole(ORACLES["dense_topk"]))
+def dense_topk_whole(spark, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors of every vector whose id is divisible by 20, exact cosine."""
+    return _near(spark, sf_dir, 10, WHOLE)
 
 
 @_query("""
@@ -138,22 +159,39 @@ FROM v q JOIN v d ON q.vec_id < 20 AND q.label = d.label AND round(list_cosine_s
 """)
 def dense_topk_filtered(spark, sf_dir: str) -> DataFrame:
     """The nearest vectors of the same label with a score of 0.1 or more."""
+    return _near_of_label(spark, sf_dir)
+
+
+def _near_of_label(spark, sf_dir, asked=FEW) -> DataFrame:
     v = _vectors(spark, sf_dir)
-    return R.dense(v, v.where("chunk_id < 20").select(F.col("chunk_id").alias("query_id"), "vector", "label"), 5, match=["label"], least=0.1)
+    return R.dense(v, v.where(asked.format(id="chunk_id")).select(F.col("chunk_id").alias("query_id"), "vector", "label"), 5, match=["label"], least=0.1)
+
+
+@_query(_whole(ORACLES["dense_topk_filtered"]))
+def dense_topk_filtered_whole(spark, sf_dir: str) -> DataFrame:
+    """The same for every vector whose id is divisible by 20."""
+    return _near_of_label(spark, sf_dir, WHOLE)
 
 
 @_query()
 def dense_topk_lsh(spark, sf_dir: str) -> DataFrame:
-    """Approximate nearest vectors by random projections of unit vectors, scored exactly."""
+    """Approximate nearest vectors of every vector whose id is divisible by 20, by random projections of unit vectors, scored exactly.
+
+    A query that shares buckets with fewer than ten vectors is answered exactly.
+    """
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
 
     v = _vectors(spark, sf_dir).withColumn("n", R.norm(F.col("vector"))).where("n > 0")
     v = v.withColumn("unit", array_to_vector(F.transform("vector", lambda x: x.cast("double") / F.col("n")))).select("chunk_id", "vector", "unit")
     model = BucketedRandomProjectionLSH(inputCol="unit", outputCol="hash", bucketLength=0.6, numHashTables=24, seed=7).fit(v)
-    near = model.approxSimilarityJoin(v.where("chunk_id < 20"), v, 1.3, "distance")
+    asked = v.where(WHOLE.format(id="chunk_id"))
+    near = model.approxSimilarityJoin(asked, v, 2.1, "distance")  # no two unit vectors are farther apart
     scored = near.select(F.col("datasetA.chunk_id").alias("query_id"), F.col("datasetB.chunk_id").alias("chunk_id"), F.round(1 - F.col("distance") * F.col("distance") / 2, 5).alias("score")).distinct()
-    return R.top(scored, "query_id", [F.desc("score"), "chunk_id"], 10)
+    found = cut_lineage(R.top(scored, "query_id", [F.desc("score"), "chunk_id"], 10))
+    short = asked.join(found.where("rank = 10"), F.col("query_id") == asked["chunk_id"], "left_anti").select(asked["chunk_id"].alias("query_id"), "vector")
+    rest = R.dense(v.select("chunk_id", "vector"), short, 10).withColumn("score", F.round("score", 5))
+    return found.join(short, "query_id", "left_anti").unionByName(rest)
 
 
 _FUSED = _DENSE + """, lex AS (
@@ -169,23 +207,32 @@ _FUSED = _DENSE + """, lex AS (
 )"""
 
 
-def _lexical(spark, sf_dir) -> DataFrame:
+def _lexical(spark, sf_dir, asked=FEW) -> DataFrame:
     first = table(spark, sf_dir, "documents").select("doc_id", F.array_distinct(tokens(F.substring_index("text", "\n", 1))).alias("t"))
-    asked = R.small(first.where("doc_id < 20").select(F.col("doc_id").alias("query_id"), F.explode("t").alias("token")))
+    asked = R.small(first.where(asked.format(id="doc_id")).select(F.col("doc_id").alias("query_id"), F.explode("t").alias("token")))
     n = first.select(F.col("doc_id").alias("chunk_id"), F.explode("t").alias("token")).join(asked, "token").groupBy("query_id", "chunk_id").agg(F.count("*").alias("n"))
     return R.top(n, "query_id", [F.desc("n"), "chunk_id"], 32)
 
 
-def _fused(spark, sf_dir, k):
-    v = _vectors(spark, sf_dir).drop("label")
-    near = R.dense(v, v.where("chunk_id < 20").select(F.col("chunk_id").alias("query_id"), "vector"), 32)
-    return near, R.fuse(near, _lexical(spark, sf_dir), k)
+def _fused(spark, sf_dir, k, asked=FEW):
+    near = _near(spark, sf_dir, 32, asked)
+    return near, R.fuse(near, _lexical(spark, sf_dir, asked), k)
 
 
 @_query(_FUSED + "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, dense_rank NULLS LAST, lexical_rank NULLS LAST, chunk_id)::INT AS rank FROM fused QUALIFY rank <= 10")
 def rrf_fusion(spark, sf_dir: str) -> DataFrame:
     """Dense hits of vectors and first-line hits of documents, fused by rank."""
-    return _fused(spark, sf_dir, 10)[1].select("query_id", "chunk_id", "dense_rank", "lexical_rank", "score", "rank")
+    return _best(spark, sf_dir)
+
+
+def _best(spark, sf_dir, asked=FEW) -> DataFrame:
+    return _fused(spark, sf_dir, 10, asked)[1].select("query_id", "chunk_id", "dense_rank", "lexical_rank", "score", "rank")
+
+
+@_query(_whole(ORACLES["rrf_fusion"]))
+def rrf_fusion_whole(spark, sf_dir: str) -> DataFrame:
+    """The same for every id divisible by 20."""
+    return _best(spark, sf_dir, WHOLE)
 
 
 @_query(_FUSED + """, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, dense_rank NULLS LAST, lexical_rank NULLS LAST, chunk_id)::INT AS was FROM fused QUALIFY was <= 32
@@ -194,11 +241,21 @@ SELECT query_id, chunk_id, source, score, row_number() OVER (PARTITION BY query_
 """)
 def rrf_diversified(spark, sf_dir: str) -> DataFrame:
     """The fused hits with one hit of each source first."""
-    _, hits = _fused(spark, sf_dir, 32)
+    return _diverse(spark, sf_dir)
+
+
+def _diverse(spark, sf_dir, asked=FEW) -> DataFrame:
+    _, hits = _fused(spark, sf_dir, 32, asked)
     source = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "source")
     return R.diversify(source.join(R.small(hits), "chunk_id"), "source", 5).select("query_id", "chunk_id", "source", "score", "rank")
 
 
+@_query(_whole(ORACLES["rrf_diversified"]))
+def rrf_diversified_whole(spark, sf_dir: str) -> DataFrame:
+    """The same for every id divisible by 20."""
+    return _diverse(spark, sf_dir, WHOLE)
+
+
 @_query(_FUSED + """, status AS (SELECT query_id, max(score) AS best FROM dense GROUP BY 1)
 SELECT query_id, coalesce(best < 0.999, false) AS abstained, CASE WHEN best < 0.999 THEN 'low_dense_confidence' END AS reason,
        count(dense_rank) AS dense_candidates, count(lexical_rank) AS lexical_candidates, count(*) FILTER (dense_rank IS NOT NULL AND lexical_rank IS NOT NULL) AS overlap
@@ -206,11 +263,21 @@ FROM fused JOIN status USING (query_id) GROUP BY query_id, best
 """)
 def retrieval_diagnostics(spark, sf_dir: str) -> DataFrame:
     """Candidates of both lists, their overlap, and abstention at a dense threshold."""
-    near, hits = _fused(spark, sf_dir, 1000)
+    return _diagnosed(spark, sf_dir)
+
+
+def _diagnosed(spark, sf_dir, asked=FEW) -> DataFrame:
+    near, hits = _fused(spark, sf_dir, 1000, asked)
     counts = hits.groupBy("query_id").agg(F.count("dense_rank").alias("dense_candidates"), F.count("lexical_rank").alias("lexical_candidates"), F.count_if(F.col("dense_rank").isNotNull() & F.col("lexical_rank").isNotNull()).alias("overlap"))
     return R.abstentions(counts, hits, near, 0.999).join(counts, "query_id")
 
 
+@_query(_whole(ORACLES["retrieval_diagnostics"]))
+def retrieval_diagnostics_whole(spark, sf_dir: str) -> DataFrame:
+    """The same for every id divisible by 20."""
+    return _diagnosed(spark, sf_dir, WHOLE)
+
+
 @_query("""
 WITH e AS (SELECT embedding AS a, list_transform(embedding, lambda x: round(x::DOUBLE, 2)) AS b FROM embeddings),
 c AS (SELECT list_cosine_similarity(list_transform(a, lambda x: x::DOUBLE), b) AS s FROM e WHERE len(a) = 64)

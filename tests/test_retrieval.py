@@ -39,3 +39,36 @@ def test_recall(spark):
     hits = spark.createDataFrame([(1, "answer", 1), (1, "other", 2)], "query_id int, chunk_id string, rank int")
     labels = spark.createDataFrame([(1, "answer"), (2, "gone")], "query_id int, chunk_id string")
     assert sorted((r.query_id, r.recall, r.reciprocal_rank) for r in R.recall_and_rank(hits, labels).collect()) == [(1, 1.0, 1.0), (2, 0.0, 0.0)]
+
+
+def test_dense_in_blocks(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = rng.integers(-3, 4, (90, 5)).astype(float)
+    x[40:60] = x[7]
+    v = spark.createDataFrame([(i, r.tolist(), i % 2) for i, r in enumerate(x)] + [(90, None, 0), (91, [1.0], 1), (92, [0.0] * 5, 0)], "chunk_id long, vector array<double>, label int")
+    q = v.where("chunk_id < 70").select(F.col("chunk_id").alias("query_id"), "vector", "label")
+    monkeypatch.setattr(R, "QUERY_BLOCK", 9)
+    monkeypatch.setattr(R, "VECTOR_CHUNK", 20)
+
+    def want(i, match, least):
+        n = np.linalg.norm(x, axis=1)
+        s = [(round(float(x[i] @ x[j] / (n[i] * n[j])), 6), j) for j in range(90) if n[i] > 0 and n[j] > 0 and (not match or i % 2 == j % 2)]
+        return [(i, j, r + 1) for r, (a, j) in enumerate(sorted((p for p in s if least is None or p[0] >= least), key=lambda p: (-p[0], p[1]))[:4])]
+
+    for match, least in ((None, None), (["label"], 0.3)):
+        got = R.dense(v if match else v.drop("label"), q, 4, match=match, least=least).collect()
+        assert sorted((r.query_id, r.chunk_id, r["rank"]) for r in got) == sorted(w for i in range(70) for w in want(i, match, least))
+
+
+def test_lsh_recall(spark):
+    """At least 0.9 of the exact neighbours of the whole query set, and ten rows a query."""
+    from pagewright.plans import search_queries as Q
+
+    data = "/root/testdata/sf0.001"
+    exact = {(r.query_id, r.chunk_id) for r in Q.dense_topk_whole(spark, data).collect()}
+    found = [(r.query_id, r.chunk_id) for r in Q.dense_topk_lsh(spark, data).collect()]
+    assert len(found) == len(exact) == 10 * len({q for q, _ in exact}) and {q for q, _ in exact} == set(range(0, 500, 20))
+    print("recall of dense_topk_lsh", len(exact & set(found)) / len(exact))
+    assert len(exact & set(found)) >= 0.9 * len(exact)
