@@ -232,17 +232,31 @@ def asset_groups(spark, sf_dir: str) -> DataFrame:
 @_query(_DEMOTED + ", h AS (SELECT l_orderkey AS query_id, l_partkey % 500 AS chunk_id FROM lineitem WHERE l_orderkey % 100 = 0), k AS (SELECT p_partkey AS asset_id, p_partkey % 500 AS chunk_id, p_size AS page FROM part), g AS (SELECT query_id, k.asset_id, min(page) AS page FROM k JOIN z ON k.asset_id = z.asset_id AND cl = 'valid' JOIN h USING (chunk_id) GROUP BY 1, 2) SELECT query_id, asset_id, page FROM g QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY page, asset_id) = 1")
 def image_for_hits(spark, sf_dir: str) -> DataFrame:
     """The first valid image of each query's hits."""
+    return _images(spark, sf_dir, "l_orderkey % 100 = 0")
+
+
+def _images(spark, sf_dir, asked) -> DataFrame:
     assets = A.demote(A.scored(_features(spark, sf_dir)))
     links = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("asset_id"), (F.col("p_partkey") % 500).alias("chunk_id"), F.col("p_size").alias("page"))
-    hits = table(spark, sf_dir, "lineitem").where("l_orderkey % 100 = 0").select(F.col("l_orderkey").alias("query_id"), (F.col("l_partkey") % 500).alias("chunk_id"))
+    hits = table(spark, sf_dir, "lineitem").where(asked).select(F.col("l_orderkey").alias("query_id"), (F.col("l_partkey") % 500).alias("chunk_id"))
     return A.for_hits(assets, links, hits)
 
 
-def _part_queries(spark, sf_dir) -> DataFrame:
+@_query(ORACLES["image_for_hits"].replace(" WHERE l_orderkey % 100 = 0", ""))
+def image_for_hits_whole(spark, sf_dir: str) -> DataFrame:
+    """The same for all line items."""
+    return _images(spark, sf_dir, "true")
+
+
+#: The search set: each part whose key is divisible by 20.
+WHOLE = "p_partkey % 20 = 0"
+
+
+def _part_queries(spark, sf_dir, asked=WHOLE) -> DataFrame:
     """Questions about parts, some with an error code or part number."""
     k = F.col("p_partkey")
     text = F.when(k % 3 == 0, F.concat(F.lit("which unit needs spare part M"), F.lpad(k.cast("string"), 5, "0"), F.lit("-001"))).when(k % 3 == 1, F.concat(F.lit("How do I check the "), F.col("p_name"))).otherwise(F.concat(F.lit("warning for "), F.col("p_name"), F.lit(" will not print")))
-    return table(spark, sf_dir, "part").where(k % 100 == 7).select(k.alias("query_id"), text.alias("text"), F.col("p_brand").alias("identity"))
+    return table(spark, sf_dir, "part").where(asked).select(k.alias("query_id"), text.alias("text"), F.col("p_brand").alias("identity"))
 
 
 _PQ = """pq AS (SELECT p_partkey AS query_id, CASE p_partkey % 3 WHEN 0 THEN 'which unit needs spare part M' || lpad(p_partkey::VARCHAR, 5, '0') || '-001' WHEN 1 THEN 'How do I check the ' || p_name ELSE 'warning for ' || p_name || ' will not print' END AS text FROM part WHERE p_partkey % 100 = 7)"""
@@ -264,6 +278,12 @@ def bm25_query_rewrite(spark, sf_dir: str) -> DataFrame:
 ) SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY chunk_id)::INT AS rank, 1.0::DOUBLE AS score FROM h QUALIFY rank <= 5""")
 def exact_identifier_hits(spark, sf_dir: str) -> DataFrame:
     """Identifier chunks that hold an identifier of the query."""
+    return exact_hits(K_identifier_chunks(spark, sf_dir), _part_queries(spark, sf_dir, "p_partkey % 100 = 7"), 5)
+
+
+@_query(ORACLES["exact_identifier_hits"].replace("p_partkey % 100 = 7", WHOLE))
+def exact_identifier_hits_whole(spark, sf_dir: str) -> DataFrame:
+    """The same for the whole search set."""
     return exact_hits(K_identifier_chunks(spark, sf_dir), _part_queries(spark, sf_dir), 5)
 
 
@@ -277,7 +297,7 @@ def K_identifier_chunks(spark, sf_dir) -> DataFrame:
 def exact_identifier_route(spark, sf_dir: str) -> DataFrame:
     """Exact hits where the query names an identifier, BM25 hits elsewhere."""
     q = _part_queries(spark, sf_dir)
-    return routed(exact_identifier_hits(spark, sf_dir), bm25_query_rewrite(spark, sf_dir).select("query_id", "chunk_id", "rank", "score"), q)
+    return routed(exact_identifier_hits_whole(spark, sf_dir), bm25_query_rewrite(spark, sf_dir).select("query_id", "chunk_id", "rank", "score"), q)
 
 
 def _evidence(spark, sf_dir) -> DataFrame:

@@ -68,3 +68,17 @@ def test_pixels(spark):
     rows = spark.createDataFrame([("a", height, width, 3, bytes(px)), ("n", None, None, None, None)], "asset_id string, height int, width int, nChannels int, data binary")
     got = {r.asset_id: r for r in A.pixel_features(rows).collect()}
     assert got["a"].entropy > 0.5 and got["a"].edge_density > 0.1 and got["n"].entropy is None
+
+
+def test_whole_search_set(spark):
+    from pagewright.plans import session_queries as Q
+
+    data = "/root/testdata/sf0.001"
+    asked = {r.query_id for r in Q._part_queries(spark, data).collect()}
+    part = spark.read.parquet(f"{data}/part.parquet")
+    assert asked == {r.p_partkey for r in part.where("p_partkey % 20 = 0").collect()} and len(asked) > 2
+    routes = {r.query_id: r.route for r in Q.exact_identifier_route(spark, data).collect()}
+    assert {q for q, r in routes.items() if r == "exact"} == {r.query_id for r in Q.exact_identifier_hits_whole(spark, data).collect()}
+    assert set(routes) <= asked and len(routes) > 2
+    few, whole = Q.image_for_hits(spark, data).collect(), Q.image_for_hits_whole(spark, data).collect()
+    assert set(few) < set(whole)
