@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from ..functions import text as T
+from ..runtime import cut_lineage, partitions, python_ready
 
 
 def latest_facts(events: DataFrame) -> DataFrame:
@@ -50,20 +56,62 @@ def collapse_repeats(asked: DataFrame, ttl: float, keys: list[str]) -> DataFrame
     """``asked`` with ``canonical`` and ``reused``: whether an equal query was retrieved within ``ttl`` before.
 
     Times are seconds.  A retrieval serves equal queries until ``ttl`` after it began, so the next one
-    after that retrieves again: a fold over the times of one query text.
+    after that retrieves again.  Ranges of (query, time) go to tasks, so a frequent query has several.
+    Each range first says where its last retrieval is for any retrieval before the range, then streams its rows.
     """
+    spark = asked.sparkSession
+    python_ready(spark)
     canonical = F.trim(F.regexp_replace(F.lower("text"), r"\s+", " "))
     x = asked.withColumn("canonical", F.sha2(F.concat_ws("|", canonical, *keys), 256))
-    lists = x.groupBy("canonical").agg(F.array_sort(F.collect_list(F.struct("at", "query_id"))).alias("q"))
-    fold = F.aggregate(
-        "q", F.struct(F.lit(None).cast("double").alias("start"), F.array().cast("array<struct<query_id:bigint,reused:boolean>>").alias("out")),
-        lambda s, v: F.when(s["start"].isNotNull() & (v["at"] < s["start"] + ttl), F.struct(s["start"].alias("start"), F.concat(s["out"], F.array(F.struct(v["query_id"].alias("query_id"), F.lit(True).alias("reused")))).alias("out"))).otherwise(
-            F.struct(v["at"].cast("double").alias("start"), F.concat(s["out"], F.array(F.struct(v["query_id"].alias("query_id"), F.lit(False).alias("reused")))).alias("out"))
-        ),
-        lambda s: s["out"],
-    )
-    said = lists.select("canonical", F.explode(fold).alias("r")).select("canonical", "r.query_id", "r.reused")
-    return x.join(said, ["canonical", "query_id"])
+    order = ["canonical", "at", "query_id"]
+    x = cut_lineage(x.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)).withColumn("_part", F.spark_partition_id())
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, first, last, start, times = None, None, None, None, []
+        for b in batches:
+            for part, text, at in zip(*(b.column(c).to_pylist() for c in ("_part", "canonical", "at")), strict=True):
+                first = text if first is None else first
+                if text == first:
+                    if at is not None and not (times and times[-1] == at):
+                        times.append(float(at))
+                    continue
+                start = None if text != last else start
+                last = text
+                if at is None or start is None or at >= start + ttl:
+                    start = at
+        if first is None:
+            return
+        final = times[:]
+        for i in range(len(times) - 1, -1, -1):
+            then = bisect_left(times, times[i] + ttl)
+            final[i] = final[then] if then < len(times) else times[i]
+        steps = [i for i in range(len(times)) if i + 1 == len(times) or final[i] != final[i + 1]]
+        row = {"part": part, "first": first, "upto": [times[i] for i in steps], "final": [final[i] for i in steps], "last": last, "start": None if start is None else float(start)}
+        yield pa.RecordBatch.from_pylist([row], schema=pa.schema([("part", pa.int32()), ("first", pa.string()), ("upto", pa.list_(pa.float64())), ("final", pa.list_(pa.float64())), ("last", pa.string()), ("start", pa.float64())]))
+
+    before, text, start = {}, None, None
+    for r in sorted(x.select("_part", "canonical", "at").mapInArrow(ends, "part int, first string, upto array<double>, final array<double>, last string, start double").collect(), key=lambda r: r.part):
+        start = start if text == r.first else None
+        before[r.part] = (r.first, start)
+        at = 0 if start is None else bisect_left(r.upto, start + ttl)
+        text, start = (r.last, r.start) if r.last is not None else (r.first, r.final[at] if at < len(r.final) else start)
+
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        text = start = None
+        fresh = True
+        for b in batches:
+            if fresh and b.num_rows:
+                text, start = before[b.column("_part")[0].as_py()]
+                fresh = False
+            reused = []
+            for said, at in zip(b.column("canonical").to_pylist(), b.column("at").to_pylist(), strict=True):
+                start = start if said == text else None
+                text = said
+                reused.append(start is not None and at is not None and at < start + ttl)
+                start = start if reused[-1] else at
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(reused, pa.bool_())], names=[*b.schema.names, "reused"])
+
+    return x.mapInArrow(judged, StructType([*x.schema.fields, StructField("reused", BooleanType())])).drop("_part")
 
 
 def policy_violations(turns: DataFrame) -> DataFrame:

@@ -82,3 +82,22 @@ def test_whole_search_set(spark):
     assert set(routes) <= asked and len(routes) > 2
     few, whole = Q.image_for_hits(spark, data).collect(), Q.image_for_hits_whole(spark, data).collect()
     assert set(few) < set(whole)
+
+
+def test_collapse_of_frequent_queries(spark):
+    """A frequent query in many ranges is judged as one fold over its times does."""
+    import random
+
+    rng = random.Random(6)
+    rows = [(i, rng.choice(["hot", "hot  ", "HOT", f"q{i % 7}"]), None if i % 97 == 0 else float(rng.randint(0, 9000))) for i in range(3000)]
+    asked = spark.createDataFrame(rows, "query_id long, text string, at double")
+    want, starts = {}, {}
+    for i, text, at in sorted(rows, key=lambda r: (-1 if r[2] is None else r[2], r[0])):
+        start = starts.get(c := text.strip().lower())
+        want[i] = start is not None and at < start + 70
+        starts[c] = start if want[i] else at
+    out = S.collapse_repeats(asked, 70.0, [])
+    assert {r.query_id: r.reused for r in out.collect()} == want and out.columns == ["query_id", "text", "at", "canonical", "reused"]
+    assert "collect_list" not in out._jdf.queryExecution().toString()  # no query's askings in one row
+    assert out.where("lower(trim(text)) = 'hot'").select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    assert S.collapse_repeats(asked.limit(0), 70.0, []).count() == 0
