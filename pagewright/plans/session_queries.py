@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as T
 from ..operators import assets as A, evidence as E, sessions as S
@@ -68,9 +68,8 @@ def session_progress(spark, sf_dir: str) -> DataFrame:
     return S.progress(c)
 
 
-def _asked(spark, sf_dir) -> DataFrame:
-    c = table(spark, sf_dir, "conversations").where("role = 'user'")
-    return c.select((F.col("conv_id") * 100 + F.col("turn")).alias("query_id"), F.substring("text", 1, 12).alias("text"), (F.col("conv_id") * 60.0 + F.col("turn")).alias("at"))
+def _asked(c: DataFrame, text: Column) -> DataFrame:
+    return c.where("role = 'user'").select((F.col("conv_id") * 100 + F.col("turn")).alias("query_id"), text.alias("text"), (F.col("conv_id") * 60.0 + F.col("turn")).alias("at"))
 
 
 @_query("""
@@ -85,7 +84,13 @@ SELECT query_id, reused FROM r
 """)
 def repeat_query_collapse(spark, sf_dir: str) -> DataFrame:
     """User turns' beginnings as queries: which ones a retrieval of the last 900 seconds serves."""
-    return S.collapse_repeats(_asked(spark, sf_dir), 900.0, []).select("query_id", "reused")
+    return S.collapse_repeats(_asked(table(spark, sf_dir, "conversations"), F.substring("text", 1, 12)), 900.0, []).select("query_id", "reused")
+
+
+@_query(ORACLES["repeat_query_collapse"].replace("substr(text, 1, 12)", "text"))
+def repeat_query_collapse_whole(spark, sf_dir: str) -> DataFrame:
+    """User turns' whole texts as queries: which ones a retrieval of the last 900 seconds serves."""
+    return S.collapse_repeats(_asked(table(spark, sf_dir, "conversations"), F.col("text")), 900.0, []).select("query_id", "reused")
 
 
 def _turns(spark, sf_dir) -> DataFrame:
@@ -355,3 +360,14 @@ def repeat_query_stream(spark, sf_dir: str) -> DataFrame:
     raw = spark.readStream.schema(table(spark, sf_dir, "conversations").schema).parquet(f"{sf_dir}/conversation[s].parquet")
     asked = raw.where("role = 'user'").select(F.substring("text", 1, 12).alias("text"), F.timestamp_seconds(F.lit(1_700_000_000)).alias("at"))
     return Z.collected(spark, Z.first_queries_stream(asked), *_work(spark, "queries")).select("canonical")
+
+
+@_query(ORACLES["repeat_query_collapse"].replace("substr(text, 1, 12)", "text").replace("SELECT query_id, reused FROM r", "SELECT query_id, c AS canonical FROM r WHERE NOT reused"))
+def repeat_query_stream_whole(spark, sf_dir: str) -> DataFrame:
+    """User turns' whole texts as a stream at the times of ``repeat_query_collapse_whole``: those that retrieve.
+
+    The times begin at a date, as the first watermark is the epoch and what isn't after it is late.
+    """
+    raw = spark.readStream.schema(table(spark, sf_dir, "conversations").schema).parquet(f"{sf_dir}/conversation[s].parquet")
+    asked = _asked(raw, F.col("text")).withColumn("at", F.timestamp_seconds(F.col("at") + 1_700_000_000))
+    return Z.collected(spark, Z.first_queries_stream(asked), *_work(spark, "queries")).select("query_id", "canonical")

@@ -41,10 +41,33 @@ def fact_history_stream(events: DataFrame) -> DataFrame:
     return events.groupBy("session").applyInPandasWithState(step, HISTORY, "facts string", "append", GroupStateTimeout.NoTimeout)
 
 
-def first_queries_stream(asked: DataFrame, ttl: str = "900 seconds") -> DataFrame:
-    """The first of equal queries within the time to live; ``asked``: at (timestamp), text."""
+def first_queries_stream(asked: DataFrame, ttl: int = 900) -> DataFrame:
+    """``asked`` with ``canonical``: the queries that no equal one of the last ``ttl`` seconds serves; ``asked``: at (timestamp), text.
+
+    State is the time of the last retrieval of each text, dropped ``ttl`` after it.  The queries of a micro-batch
+    are taken in order of time; the watermark drops queries that come later than ``ttl``.
+    """
+    python_ready(asked.sparkSession)
     canonical = F.trim(F.regexp_replace(F.lower("text"), r"\s+", " "))
-    return asked.withColumn("canonical", canonical).withWatermark("at", ttl).dropDuplicatesWithinWatermark(["canonical"])
+    x = asked.withColumn("canonical", canonical).withWatermark("at", f"{ttl} seconds")
+    order = [c for c in ("at", "query_id") if c in asked.columns]
+
+    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        start = pd.Timestamp(state.get[0], unit="us") if state.exists else None
+        rows = pd.concat(list(batches), ignore_index=True).sort_values(order, kind="stable", ignore_index=True)
+        kept = []
+        for i, at in enumerate(rows["at"]):
+            if start is None or at >= start + pd.Timedelta(seconds=ttl):
+                start = at
+                kept.append(i)
+        state.update((start.value // (1000 if start.unit == "ns" else 1),))
+        state.setTimeoutTimestamp(max(state.get[0] // 1000 + ttl * 1000, state.getCurrentWatermarkMs()) + 1)
+        yield rows.iloc[kept].reset_index(drop=True)
+
+    return x.groupBy("canonical").applyInPandasWithState(step, x.schema, "start long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def collected(spark: SparkSession, stream: DataFrame, checkpoint: str, path: str) -> DataFrame:

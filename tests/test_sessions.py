@@ -101,3 +101,19 @@ def test_collapse_of_frequent_queries(spark):
     assert "collect_list" not in out._jdf.queryExecution().toString()  # no query's askings in one row
     assert out.where("lower(trim(text)) = 'hot'").select(F.spark_partition_id().alias("p")).distinct().count() > 1
     assert S.collapse_repeats(asked.limit(0), 70.0, []).count() == 0
+
+
+def test_query_stream_is_its_batch_twin(spark, tmp_path):
+    """Whole texts and times decide, in one micro-batch and over several."""
+    long = "how do i check the "
+    rows = [(i, long + ["paper", "toner", "Paper "][i % 3], i * 130.0) for i in range(40)]
+    asked = spark.createDataFrame(rows, "query_id long, text string, at double")
+    want = {r.query_id for r in S.collapse_repeats(asked, 900.0, []).where("not reused").collect()}
+    assert 2 < len(want) < 40
+    for name, cuts in (("one", [(0, 40)]), ("three", [(0, 11), (11, 25), (25, 40)])):
+        for a, b in cuts:
+            part = asked.where(f"query_id >= {a} and query_id < {b}").withColumn("at", F.timestamp_seconds(F.col("at") + 1_700_000_000))
+            part.coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+            stream = spark.readStream.schema(part.schema).parquet(str(tmp_path / name))
+            out = Z.collected(spark, Z.first_queries_stream(stream), str(tmp_path / f"c{name}"), str(tmp_path / f"o{name}"))
+        assert sorted(r.query_id for r in out.collect()) == sorted(want)
