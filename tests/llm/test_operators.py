@@ -6,6 +6,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,8 +48,6 @@ def shingles(text, n):
 
 
 def test_word_hashes_of_odd_texts():
-    import pyarrow as pa
-
     rng = np.random.default_rng(1)
     long = "w" * 70_000
     column = pa.array(["A b", None, "", "a  B\n", long + " a b " + long, " ".join(map(str, rng.integers(0, 99, 60_000)))])
@@ -315,10 +314,26 @@ def test_bpe(spark, docs):
             assert docs.where(F.col("doc_id") == r.doc_id).count() > 1
     machine = bpe.Transducer(ranks)
     rng, vocabulary = random.Random(6), list(ranks)
-    for _ in range(300):
-        piece = b"".join(rng.choice(vocabulary) for _ in range(rng.randint(1, 5)))
-        assert list(machine.run(piece)) == theirs._encode_single_piece(piece)
+    pieces = [b"".join(rng.choice(vocabulary) for _ in range(rng.randint(1, 60))) for _ in range(200)] + [b"", b"a" * 9000, b"".join(rng.choice(vocabulary) for _ in range(3000))]
+    for keep in (machine.KEEP, 300):  # the second forgets its states again and again
+        machine.KEEP = keep
+        tokens, counts = machine.encode(pa.array(pieces, pa.binary()))
+        assert machine.nodes.n < keep + 20_000
+        ends = np.cumsum(counts)
+        for p, a, b in zip(pieces, ends - counts, ends, strict=True):
+            assert machine.ids[tokens[a:b]].tolist() == (theirs._encode_single_piece(p) if p else [])
+    parts = list(machine.stream(pieces[-1]))
+    assert len(parts) > 2 and sum(machine.size[parts[0]]) > machine.EMIT - 2 * machine.longest
+    codec = bpe.Codec(ranks, public_tokenizers.PATTERN)
+    codec.PART = 7  # texts come in parts
+    odd = ["", "a b  c\n\n d1234 'll 日本 " * 9, "x", "", "e" * 40]
+    got = [[] for _ in odd]
+    for i, t in codec.encode(odd):
+        got[i] += codec.machine.ids[t].tolist()
+    assert got == [theirs.encode_ordinary(t) for t in odd]
     assert bpe.encode_texts(docs.limit(0), path, public_tokenizers.PATTERN).count() == 0
+    ids = spark.createDataFrame([(1, theirs.encode_ordinary(odd[1])), (2, []), (3, None), (4, [int(ranks[b"\xe6"])])], "k long, ids array<int>").withColumn("text", F.lit(0))
+    assert {r.k: r.text for r in bpe.decode_ids(ids, path, public_tokenizers.PATTERN).collect()} == {1: odd[1], 2: "", 3: None, 4: "\ufffd"}
 
 
 def test_utf8_stream():
@@ -330,6 +345,12 @@ def test_utf8_stream():
     machine = bpe.Utf8Stream()
     machine.feed(data[:2])
     assert not machine.finish()
+    rng = random.Random(3)
+    for _ in range(2000):  # bytes that are no UTF-8, cut anywhere
+        data = b"".join(rng.choice([b"a", bytes([rng.randrange(128, 256)]), "é日😀"[rng.randrange(3)].encode(), b"\xed\xa0\x80", b"\xf0\x82", b"\xe0\x80"]) for _ in range(rng.randint(0, 12)))
+        machine, n = bpe.Utf8Stream(), rng.randint(1, 6)
+        got = "".join(machine.feed(data[i : i + n]) for i in range(0, len(data), n))
+        assert (got if machine.finish() else got + "\ufffd") == data.decode("utf-8", "replace")
 
 
 def test_top_k(spark):
