@@ -2,22 +2,27 @@
 
 Winnowing cuts the start positions of a text into intervals by content: positions whose first window of
 hashes has the same least gram lie in one interval, and equal long strings start in intervals around
-equal grams.  A block of texts becomes a sequence of such pieces, and its suffix array (grouping
-construction) brings equal contexts of the block together, so a block sends each context once with its
-count.  Counts are summed over blocks by fingerprint:
+equal grams.  The bytes from one interval to the next are a piece, and a block of texts is a sequence of
+pieces.  Its suffix array (grouping construction) decides what repeats inside the block:
 
-1. an interval whose core (the bytes that all its long strings hold) is met once has no repeat;
-2. an interval whose whole context is met twice repeats at every start;
-3. the others are the edges of repeats: there every start's long string is counted by itself.
+1. an interval repeats as a whole if its suffix shares its whole context (all bytes of the strings that
+   start in it) with a neighbour in the array; its bytes are given out there and then;
+2. intervals that share their context with each other are one class, and one of them goes on for all.
 
-Only fingerprints (128 bits where they decide) and places move between tasks, with counts combined
-before each shuffle, so a passage in a third of all documents is as many rows as one in two.
+So a passage in a third of all texts is one row a block.  What goes on meets the other blocks:
+
+3. an interval whose core (the bytes that all its long strings hold) is met in one class only is done;
+4. a context that two blocks have, by its fingerprint of 128 bits, repeats at every start;
+5. the others are the edges of repeats: there every start's long string is counted by itself.
+
+Only fingerprints and places move between tasks, with counts combined before each shuffle.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -102,54 +107,95 @@ def segments(data: np.ndarray, length: int) -> Iterator[tuple[int, np.ndarray]]:
         yield a, np.ascontiguousarray(data[a : a + SEGMENT + length - 1])
 
 
-def cores(part: np.ndarray, length: int):
-    """Intervals of a segment: lo, hi, core fingerprints, and pieces: the bytes from one interval to the
-    next, and the tail after the last start."""
-    lo, hi, gram = intervals(part, length)
-    p = Prints(part, (0,))
-    core = p.of(0, gram, gram + length - window(length) + 1)
-    pieces = np.append(p.of(0, lo, hi + 1), p.of(0, hi[-1:] + 1, np.array([len(part)])))
-    return lo, hi, core, pieces
+class Part(NamedTuple):
+    """A segment of a text with its intervals and pieces."""
+
+    id: int
+    print: int
+    offset: int
+    lo: np.ndarray  # first and last start of each interval, within the segment
+    hi: np.ndarray
+    gram: np.ndarray  # the gram's place after lo
+    core: np.ndarray
+    context: tuple[np.ndarray, np.ndarray]  # fingerprints of two words
+    pieces: tuple[np.ndarray, np.ndarray]  # the same of the pieces: each interval's, and the tail
 
 
-def contexts(part: np.ndarray, length: int):
-    """Intervals of a segment: lo, hi, fingerprints of core and context (two words)."""
+def cut_part(id: int, own: int, offset: int, part: np.ndarray, length: int) -> Part:
     lo, hi, gram = intervals(part, length)
     p = Prints(part)
     core = p.of(0, gram, gram + length - window(length) + 1)
     shape = (gram - lo) * (length + 1) + (hi - lo) + 1
-    return lo, hi, core, *(p.of(k, lo, hi + length, shape) for k in (0, 1))
+    begin, end = np.append(lo, hi[-1] + 1), np.append(hi + 1, len(part))
+    return Part(id, own, offset, lo, hi, gram - lo, core, tuple(p.of(k, lo, hi + length, shape) for k in (0, 1)), tuple(p.of(k, begin, end) for k in (0, 1)))
 
 
-def block_cores(parts: list[tuple], length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Core fingerprints of a block's intervals with their counts, by the block's suffix array.
+def _symbols(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, int]:
+    """Whole numbers from 0 that are equal where both fingerprints are, and how many."""
+    distinct, at, symbols = np.unique(first, return_index=True, return_inverse=True)
+    if (second[at][symbols] != second).any():
+        distinct, symbols = np.unique(np.stack([first, second], 1), axis=0, return_inverse=True)
+    return symbols.ravel(), len(distinct)
 
-    Equal contexts are neighbours in the suffix array, and their common prefix is as long as the
-    context; each run of neighbours is one class and is counted once.
+
+def block_classes(parts: list[Part], length: int) -> tuple[np.ndarray, np.ndarray]:
+    """For all intervals of a block: whether it repeats as a whole inside it, and whether it stands for its class.
+
+    Both are read off the suffix array of the block's pieces: suffixes that share the most are neighbours.
     """
-    pieces = np.concatenate([p[3] for p in parts])
-    distinct, symbols = np.unique(pieces, return_inverse=True)
+    symbols, n = _symbols(*(np.concatenate([p.pieces[k] for p in parts]) for k in (0, 1)))
     text: list[int] = []
-    ends, core, need = [], [], []
+    ends, need, gram = [], [], []
     at = 0
-    for k, (lo, hi, c, own) in enumerate(parts):
-        text += symbols[at : at + len(own)].tolist()
-        text.append(len(distinct) + k)  # separators differ, so no prefix crosses a text
-        at += len(own)
-        ends.append(np.append(np.append(lo, hi[-1] + 1), hi[-1] + length))
-        core.append(np.append(c, np.zeros(2, U64)))
-        need.append(np.append(hi - lo + length, np.zeros(2, np.int64)))
-    order = np.array(suffix_array(text))
-    shared = np.array(common_prefixes(text, order.tolist()))
-    ends, core, need = (np.concatenate(x) for x in (ends, core, need))
-    covered = ends[np.minimum(order + shared, len(ends) - 1)] - ends[order]
-    real = need[order] > 0
-    same = real & (shared > 0) & (covered >= need[order])
-    same[1:] &= core[order][1:] == core[order][:-1]
-    first = np.flatnonzero(real & ~same)
-    size = np.diff(np.append(np.cumsum(real)[first] - 1, real.sum()))
-    found, which = np.unique(core[order][first], return_inverse=True)
-    return found, np.bincount(which, weights=size, minlength=len(found)).astype(np.int64)
+    for k, p in enumerate(parts):
+        text += symbols[at : at + len(p.lo) + 1].tolist()
+        text.append(n + k)  # separators differ, so no prefix crosses a text
+        at += len(p.lo) + 1
+        ends.append(np.append(p.lo, [p.hi[-1] + 1, p.hi[-1] + length]))
+        need.append(np.append(p.hi - p.lo + length, [0, 0]))
+        gram.append(np.append(p.gram, [0, 0]))
+    array = suffix_array(text)
+    order, shared = np.array(array), np.array(common_prefixes(text, array))
+    ends, need, gram = (np.concatenate(x)[order] for x in (ends, need, gram))
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+
+    def bytes_shared(symbols_shared: np.ndarray) -> np.ndarray:
+        return ends[place[np.minimum(order + symbols_shared, len(order) - 1)]] - ends
+
+    before = bytes_shared(shared) >= need  # shares its context with the suffix before it in the array
+    after = bytes_shared(np.append(shared[1:], 0)) >= need
+    alike = before.copy()
+    alike[1:] &= (need[1:] == need[:-1]) & (gram[1:] == gram[:-1])
+    real = need > 0
+    repeats, stands = np.zeros(len(order), bool), np.zeros(len(order), bool)
+    repeats[order], stands[order] = real & (before | after), real & ~alike
+    some = np.zeros(len(order), bool)
+    some[order] = real
+    return repeats[some], stands[some]
+
+
+def block_rows(parts: list[Part], length: int) -> pa.RecordBatch:
+    """What a block gives out: runs of bytes that repeat inside it (n = 0), and one row for each class of
+    intervals (n = 1, or 2 if it repeats inside the block)."""
+    repeats, stands = block_classes(parts, length)
+    cuts = np.cumsum([0, *(len(p.lo) for p in parts)])
+    rows = []
+    for p, a, b in zip(parts, cuts[:-1], cuts[1:], strict=True):
+        edge = np.diff(np.concatenate([[0], repeats[a:b].astype(np.int8), [0]]))
+        lo, end = p.lo[np.flatnonzero(edge == 1)], p.hi[np.flatnonzero(edge == -1) - 1] + length
+        own = np.flatnonzero(stands[a:b])
+        none = np.zeros(len(lo), np.int64)
+        m = len(lo) + len(own)
+        rows.append((
+            np.full(m, p.id), np.full(m, p.print), p.offset + np.append(lo, p.lo[own]), np.append(end - lo, p.hi[own] - p.lo[own] + 1),
+            *(np.append(none, x.view(np.int64)[own]) for x in (p.core, *p.context)), np.append(none, repeats[a:b][own] + 1),
+        ))
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)).cast(k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=ROWS)
+
+
+ROWS = ["id", "print", "lo", "size", "core", "f1", "f2", "n"]
 
 
 def _texts(batch, column: str = "text"):
@@ -158,69 +204,59 @@ def _texts(batch, column: str = "text"):
         yield np.frombuffer(b"" if t is None else t.encode(), np.uint8)
 
 
-def _print64(data: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(data.tobytes(), digest_size=8).digest(), "little", signed=True)
+def _keyed(docs: DataFrame, key: str, text: str) -> list:
+    """``id`` and ``print``, which tell a text: its key and a hash of it; a text of null key has another hash for an id."""
+    data = F.coalesce(F.col(text), F.lit(""))
+    return [F.coalesce(F.col(key).cast("long"), F.xxhash64(data, F.lit("no key"))).alias("id"), F.xxhash64(data).alias("print")]
 
 
 def repeated_spans(docs: DataFrame, length: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """id, print, lo, end: the maximal runs of removable bytes [lo, end) of the texts that have some.
 
-    A text is known by its id (null: 0) and 64 bits of its bytes.
+    A text is known by its id and 64 bits of its bytes (null ids: 128 bits).
     """
     spark = docs.sparkSession
     small_batches(spark)
-    table = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(0).cast("long")).alias("id"), F.col(text).alias("text"))
+    table = docs.select(*_keyed(docs, key, text), F.col(text).alias("text")).where(F.octet_length("text") >= length)
 
-    def count_cores(batches):
+    def blocks(batches):
         parts, held = [], 0
         for b in batches:
-            for data in _texts(b):
-                for _, part in segments(data, length):
-                    parts.append(cores(part, length))
+            for i, own, data in zip(b.column("id").to_pylist(), b.column("print").to_pylist(), _texts(b), strict=True):
+                for a, part in segments(data, length):
+                    parts.append(cut_part(i, own, a, part, length))
                     held += len(part)
                     if held >= BLOCK:
-                        yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in block_cores(parts, length)], names=["core", "n"])
+                        yield block_rows(parts, length)
                         parts, held = [], 0
         if parts:
-            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in block_cores(parts, length)], names=["core", "n"])
-
-    repeated = table.select("text").mapInArrow(count_cores, "core long, n long").groupBy("core").agg(F.sum("n").alias("n")).where("n > 1").select("core")
-
-    def place(batches):
-        for b in batches:
-            for i, data in zip(b.column("id").to_pylist(), _texts(b), strict=True):
-                own = _print64(data) if len(data) >= length else 0
-                for a, part in segments(data, length):
-                    lo, hi, core, f1, f2 = contexts(part, length)
-                    n = len(lo)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(n, i, np.int64)), pa.array(np.full(n, own, np.int64)), pa.array(lo + a), pa.array((hi - lo + 1).astype(np.int32)), *[pa.array(x.view(np.int64)) for x in (core, f1, f2)]],
-                        names=["id", "print", "lo", "n_starts", "core", "f1", "f2"],
-                    )
-
-    places = table.mapInArrow(place, "id long, print long, lo long, n_starts int, core long, f1 long, f2 long")
-    places = cut_to_table(places.join(repeated, "core"))
-    kinds = places.groupBy("f1", "f2").agg(F.count("*").alias("n"), F.min(F.struct("id", "print", "lo", "n_starts", "core")).alias("first"))
+            yield block_rows(parts, length)
+
+    found = cut_to_table(table.mapInArrow(blocks, "id long, print long, lo long, size int, core long, f1 long, f2 long, n int"))
+    runs = found.where("n = 0").select("id", "print", "lo", (F.col("lo") + F.col("size")).alias("end"))
+    rows = found.where("n > 0")
+    shared = rows.groupBy("core").agg(F.count("*").alias("classes")).where("classes > 1").select("core")
+    places = cut_to_table(rows.join(shared, "core"))
+    kinds = places.groupBy("f1", "f2").agg(F.sum("n").alias("n"), F.min(F.struct("id", "print", "lo", "size", "core")).alias("first"))
     kinds = cut_to_table(kinds.select("f1", "f2", "n", "first.*"))
-    whole = places.join(kinds.where("n > 1").select("f1", "f2"), ["f1", "f2"]).select("id", "print", "lo", (F.col("lo") + F.col("n_starts") - 1 + length).alias("end"))
+    # those that repeat inside a block are among the runs already
+    whole = places.where("n = 1").join(kinds.where("n > 1").select("f1", "f2"), ["f1", "f2"]).select("id", "print", "lo", (F.col("lo") + F.col("size") - 1 + length).alias("end"))
 
     # edges: cores with a context that is met once; one place stands for each context
     mixed = kinds.where("n = 1").select("core").distinct()
-    asked = kinds.join(mixed, "core", "left_semi").groupBy("id", "print").agg(F.collect_list(F.struct("lo", "n_starts", (F.col("n") == 1).alias("alone"))).alias("places"))
+    asked = kinds.join(mixed, "core", "left_semi").groupBy("id", "print").agg(F.collect_list(F.struct("lo", "size", (F.col("n") == 1).alias("alone"))).alias("places"))
 
     def each_start(batches):
         for b in batches:
             for i, own, data, spots in zip(b.column("id").to_pylist(), b.column("print").to_pylist(), _texts(b), b.column("places").to_pylist(), strict=True):
-                if len(data) < length or _print64(data) != own:
-                    continue
-                spots = sorted({(s["lo"], s["n_starts"], s["alone"]) for s in spots})
+                spots = sorted({(s["lo"], s["size"], s["alone"]) for s in spots})
                 starts = np.concatenate([np.arange(lo, lo + n) for lo, n, _ in spots])
                 alone = np.repeat([x for _, _, x in spots], [n for _, n, _ in spots])
                 for a, part in segments(data, length):
                     use = (starts >= a) & (starts < a + SEGMENT)
-                    s, p = starts[use] - a, Prints(part)
-                    if not len(s):
+                    if not use.any():
                         continue
+                    s, p = starts[use] - a, Prints(part)
                     h1, h2 = (p.of(k, s, s + length).view(np.int64) for k in (0, 1))
                     n = len(s)
                     yield pa.RecordBatch.from_arrays(
@@ -228,24 +264,23 @@ def repeated_spans(docs: DataFrame, length: int, key: str = "doc_id", text: str
                         names=["h1", "h2", "n", "id", "print", "lo"],
                     )
 
-    near = _beside(table, asked, "places").mapInArrow(each_start, "h1 long, h2 long, n long, id long, print long, lo long")
+    near = _beside(table, asked, "places").select("id", "print", "text", "places").mapInArrow(each_start, "h1 long, h2 long, n long, id long, print long, lo long")
     near = cut_to_table(near)
     again = near.groupBy("h1", "h2").agg(F.sum("n").alias("n")).where("n > 1").select("h1", "h2")
     single = near.where("n = 1").join(again, ["h1", "h2"]).select("id", "print", "lo", (F.col("lo") + length).alias("end"))
-    spans = whole.union(single).distinct()
     text_of = Window.partitionBy("id", "print").orderBy("lo", "end")
     reach = F.max("end").over(text_of.rowsBetween(Window.unboundedPreceding, -1))
     fresh = (F.col("lo") > F.coalesce(reach, F.lit(-1))).cast("int")
-    run = spans.withColumn("_fresh", fresh).withColumn("_run", F.sum("_fresh").over(text_of.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    run = runs.union(whole).union(single).withColumn("_fresh", fresh).withColumn("_run", F.sum("_fresh").over(text_of.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     return run.groupBy("id", "print", "_run").agg(F.min("lo").alias("lo"), F.max("end").alias("end")).drop("_run")
 
 
 def _beside(table: DataFrame, lists: DataFrame, column: str, how: str = "inner") -> DataFrame:
-    """``table`` with the lists of its ids; a list that belongs to another text of the id is told apart by its print."""
+    """``table`` with the lists of its texts."""
     lists = cut_lineage(lists)
     if (lists.agg(F.sum(F.size(column))).first()[0] or 0) <= BROADCAST_ITEMS:
         lists = F.broadcast(lists)
-    return table.join(lists, "id", how)
+    return table.join(lists, ["id", "print"], how)
 
 
 def remove_repeats(docs: DataFrame, length: int = 400, key: str = "doc_id", text: str = "text", as_text: bool = False) -> DataFrame:
@@ -261,24 +296,20 @@ def remove_repeats(docs: DataFrame, length: int = 400, key: str = "doc_id", text
     """
     names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
     out = [c for c in docs.columns if c not in names]
-    table = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(0).cast("long")).alias("id"), F.col(text).alias("text"), *[F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(out)])
-    lists = repeated_spans(docs, length, key, text).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("print", "lo", "end"))).alias("lists"))
+    table = docs.select(*_keyed(docs, key, text), F.col(text).alias("text"), *[F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(out)])
+    lists = repeated_spans(docs, length, key, text).groupBy("id", "print").agg(F.array_sort(F.collect_list(F.struct("lo", "end"))).alias("lists"))
     joined = _beside(table, lists, "lists", "left").select("text", "lists", *[f"_k{i}" for i in range(len(out))])
 
     def cut(batches):
         for b in batches:
             rows = []
             for data, lists in zip(_texts(b), b.column("lists").to_pylist(), strict=True):
-                mine = []
-                if lists and len(data) >= length:
-                    own = _print64(data)
-                    mine = [s for s in lists if s["print"] == own]
                 kept, at, raw = [], 0, data.tobytes()
-                for s in mine:
+                for s in lists or ():
                     kept.append(raw[at : s["lo"]])
                     at = s["end"]
                 rest = b"".join([*kept, raw[at:]])
-                rows.append((len(raw), len(raw) - len(rest), len(mine), hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "ignore") if as_text else rest))
+                rows.append((len(raw), len(raw) - len(rest), len(lists or ()), hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "ignore") if as_text else rest))
             arrays = [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string() if as_text else pa.binary()], strict=True)] if rows else []
             if rows:
                 yield pa.RecordBatch.from_arrays([*b.columns[2:], *arrays], names=[*b.schema.names[2:], *names])
@@ -289,6 +320,6 @@ def remove_repeats(docs: DataFrame, length: int = 400, key: str = "doc_id", text
 
 
 def op8_suffix_array(spark, sf_dir: str) -> DataFrame:
-    """All ``documents`` without the bytes of repeated 400-byte strings."""
+    """All ``documents`` without the bytes of repeated 400-byte strings; ``text`` is what is left, in whole characters."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return remove_repeats(docs, 400).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return remove_repeats(docs, 400, as_text=True).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.col("kept").alias("text"))

@@ -151,6 +151,34 @@ def test_repeats(spark, docs, length):
     assert substring_dedup.remove_repeats(docs.limit(0), length).count() == 0
 
 
+def test_suffix_array_decides_in_a_block():
+    rng = random.Random(7)
+    length, shared = 60, words(rng, 40)
+    data = [f"{words(rng, 30)} {shared} {words(rng, 30)}".encode() for _ in range(3)] + [words(rng, 50).encode(), b"ab" * 200]
+    parts = [substring_dedup.cut_part(i, i, 0, np.frombuffer(t, np.uint8), length) for i, t in enumerate(data)]
+    repeats, stands = substring_dedup.block_classes(parts, length)
+    strings = [t[p : p + length] for t in data for p in range(len(t) - length + 1)]
+    places = [(p, lo, hi) for p in parts for lo, hi in zip(p.lo, p.hi, strict=True)]
+    kinds = {}
+    for (p, lo, hi), twice in zip(places, repeats, strict=True):
+        context = data[p.id][lo : hi + length]
+        assert not twice or all(strings.count(context[k : k + length]) > 1 for k in range(hi - lo + 1))
+        kinds[context] = kinds.get(context, 0) + 1
+    # all but the edges of the shared passage are found inside the block, and copies have one row
+    found = sum(hi - lo + 1 for (p, lo, hi), twice in zip(places, repeats, strict=True) if twice and p.id < 3)
+    assert found > 3 * (len(shared) - length) * 0.5
+    assert len(kinds) <= stands.sum() < len(places) - 6
+
+
+def test_repeats_of_null_keys(spark):
+    rng = random.Random(9)
+    shared = words(rng, 30)
+    rows = [(None, shared + " " + words(rng, 9)) for _ in range(3)] + [(None, None), (None, words(rng, 60)), (3, shared), (3, "other " + words(rng, 40)), (3, shared)]
+    cut = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").withColumn("id", F.lit("clash")), 80).collect()
+    assert len(cut) == len(rows) and {r.id for r in cut} == {"clash"}
+    assert sorted((r.doc_id or -1, r.n_removed > 0) for r in cut) == [(-1, False)] * 2 + [(-1, True)] * 3 + [(3, False), (3, True), (3, True)]
+
+
 def test_repeats_in_long_texts(spark, monkeypatch):
     monkeypatch.setattr(substring_dedup, "SEGMENT", 64)
     data = np.frombuffer((words(random.Random(3), 60)).encode(), np.uint8)
