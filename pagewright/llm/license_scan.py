@@ -1,9 +1,10 @@
 """License scans: ordered signature rules over normalised words, with DataFrame functions only.
 
-A text is normalised to words joined by single blanks.  Texts without a trigger substring need no
-more work.  Around each trigger word a context of some words is cut; a rule is tried in a context
-only if the context holds one of the rule's keywords, as every match does; overlapping detections are resolved by priority and
-containment of their word intervals.  All of it is row-local: no join, no shuffle.
+A text is normalised to words joined by single blanks.  Texts without a gate substring need no more
+work.  A rule is tried on the whole text if the text has one of the rule's keywords and one of its
+anchors as words, as every match does; all its matches count.  Overlapping finds of all rules are
+resolved by priority and containment of their word intervals in one sweep.  All of it is row-local: no
+join, no shuffle.
 """
 
 from __future__ import annotations
@@ -12,26 +13,22 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Words on either side of a trigger word that a rule can see.
-REACH = 14
-
 #: Phrases whose places are counted exactly, and their labels.
 BASE = [("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl")]
-#: Substrings that gate a text, and the words that are looked at closely.
-GATES = ["licen", "copyright", "domain"]
-TRIGGERS = ["license", "licence", "licenses", "licences", "licensed", "licenced", "licensing", "licencing", "relicensed", "relicenced", "sublicense", "copyright", "copyrighted", "domain"]
+#: Substrings of which every match of a rule has one.
+GATES = ["licen", "copyright", "domain", "under"]
 
-#: Label, keywords that gate the rule (each match has one as a word), regex of the name in normalised words.
+#: Label, keywords (each match has one as a word), regex of the name in normalised words.
 NAMES = [
     ("mit", "mit expat", "(?:mit|expat)(?: x11)?"),
     ("x11", "x11", "x11"),
     ("apache", "apache asl", "(?:apache|asl)(?: software)?"),
-    ("gpl", "gpl gplv", "(?:gnu )?gpl(?: ?v)?"),
+    ("gpl", "gpl gplv gpl1 gpl2 gpl3 gplv1 gplv2 gplv3", "(?:gnu )?gplv?[123]?"),
     ("gpl", "public", "gnu general public"),
-    ("lgpl", "lgpl", "(?:gnu )?lgpl"),
+    ("lgpl", "lgpl lgplv lgpl2 lgpl3 lgplv2 lgplv3", "(?:gnu )?lgplv?[23]?"),
     ("lgpl", "lesser", "(?:gnu )?lesser general public"),
     ("lgpl", "library", "(?:gnu )?library general public"),
-    ("agpl", "agpl", "(?:gnu )?agpl"),
+    ("agpl", "agpl agplv agpl1 agpl3 agplv1 agplv3", "(?:gnu )?agplv?[13]?"),
     ("agpl", "affero", "(?:gnu )?affero(?: general)? public"),
     ("gfdl", "gfdl", "(?:gnu )?gfdl"),
     ("gfdl", "documentation", "(?:gnu )?free documentation"),
@@ -79,26 +76,32 @@ NAMES = [
 ]
 VERSION = "(?: (?:v|version|v?[0-9]+))?(?: [0-9]+){0,2}(?: or (?:any )?later)?"
 LICENSE = "licen[sc]es?"
-#: Shapes of a statement, with priority and confidence.  ``{n}`` stands for the name.
+GIVEN = "(?:released|distributed|available|published|provided|offered|covered)"
+LICENSES, LICENSED = "license licence licenses licences", "licensed licenced relicensed relicenced"
+#: Shapes of a statement: anchors (each match has one as a word), regex, priority, confidence.  ``{n}`` stands for the name.
 SHAPES = [
-    ("(?:re)?licen[sc]ed (?:to you )?under (?:the )?(?:terms of )?(?:the )?{n} " + LICENSE + VERSION, 6, 1.0),
-    ("(?:released|distributed|available|published|provided|made available) under (?:the )?(?:terms of )?(?:the )?{n} " + LICENSE + VERSION, 6, 1.0),
-    ("(?:re)?licen[sc]ed (?:to you )?under (?:the )?(?:terms of )?(?:the )?{n}" + VERSION, 5, 0.95),
-    ("(?:the )?{n} " + LICENSE + VERSION, 4, 0.85),
-    (LICENSE + " (?:is )?(?:the )?{n}" + VERSION, 3, 0.75),
-    ("{n}" + VERSION + " licen[sc](?:ed|ing)", 2, 0.6),
+    (LICENSES, "(?:re)?licen[sc]ed (?:to you )?under (?:the )?(?:terms of )?(?:the )?{n} " + LICENSE + VERSION, 6, 1.0),
+    (LICENSES, GIVEN + " under (?:the )?(?:terms of )?(?:the )?{n} " + LICENSE + VERSION, 6, 1.0),
+    (LICENSED, "(?:re)?licen[sc]ed (?:to you )?under (?:the )?(?:terms of )?(?:the )?{n}" + VERSION, 5, 0.95),
+    ("under", GIVEN + " under (?:the )?(?:terms of )?(?:the )?{n}" + VERSION, 5, 0.9),
+    (LICENSES, "(?:the )?{n} " + LICENSE + VERSION, 4, 0.85),
+    (LICENSES, LICENSE + " (?:is )?(?:the )?{n}" + VERSION, 3, 0.75),
+    ("licensed licenced licensing licencing", "{n}" + VERSION + " licen[sc](?:ed|ing)", 2, 0.6),
 ]
-#: Statements that name no license: label, keywords, regex, priority, confidence.
+#: Words between ``copyright`` and ``all rights reserved`` at most.
+HOLDER = 40
+#: Statements that name no license: label, keywords, anchors, regex, priority, confidence.
 STATEMENTS = [
-    ("all-rights-reserved", "reserved", "copyright (?:c )?.{0,60}all rights reserved", 1, 0.7),
-    ("copyright", "copyright", "copyright (?:c )?(?:19|20)[0-9]{2}", 1, 0.5),
-    ("public-domain", "domain", "(?:released into|dedicated to) the public domain", 1, 0.7),
+    ("all-rights-reserved", "reserved", "copyright", "copyright (?:[^ ]+ ){0,%d}?all rights reserved" % HOLDER, 1, 0.7),
+    ("copyright", "copyright", "copyright", "copyright (?:c )?(?:19|20)[0-9]{2}", 1, 0.5),
+    ("public-domain", "domain", "domain", "(?:released into|dedicated to|placed in|placed into) the public domain", 1, 0.7),
 ]
+PRIORITIES = 6
 
 
-def rules() -> list[tuple[str, str, str, int, float]]:
-    """All rules: label, keywords, regex, priority, confidence."""
-    named = [(label, word, shape.replace("{n}", f"(?:{name})"), p, c) for label, word, name in NAMES for shape, p, c in SHAPES]
+def rules() -> list[tuple[str, str, str, str, int, float]]:
+    """All rules: label, keywords, anchors, regex, priority, confidence."""
+    named = [(label, word, anchors, shape.replace("{n}", f"(?:{name})"), p, c) for label, word, name in NAMES for anchors, shape, p, c in SHAPES]
     return named + STATEMENTS
 
 
@@ -106,19 +109,45 @@ def _spaces(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))
 
 
+def _words(x: str) -> Column:
+    return F.array(*map(F.lit, x.split()))
+
+
 def _rule_array() -> Column:
-    kind = "array<struct<label:string,keywords:array<string>,regex:string,priority:int,confidence:double>>"
-    text = F.array(*[F.struct(F.lit(a), F.array(*map(F.lit, b.split())), F.lit(f"(?<= ){r}(?= )"), F.lit(p), F.lit(c)) for a, b, r, p, c in rules()])
-    return text.cast(kind)
+    kind = "array<struct<label:string,keywords:array<string>,anchors:array<string>,regex:string,priority:int,confidence:double>>"
+    return F.array(*[F.struct(F.lit(a), _words(k), _words(n), F.lit(f"(?<= ){r}(?= )"), F.lit(p), F.lit(c)) for a, k, n, r, p, c in rules()]).cast(kind)
+
+
+def _unbeaten(finds: Column) -> Column:
+    """The finds that no other suppresses, by start: one that contains the find's interval and has a higher
+    priority, or the same and more words.
+
+    Those before a find in the order of start, then of falling end and priority, are all that can contain
+    it, so one sweep needs only the greatest end (and the least start with it) of each priority.
+    """
+    order = F.transform(finds, lambda x: F.struct(x["start"], (-x["end"]).alias("e"), (-x["priority"]).alias("p"), x["label"], x["confidence"]))
+    sorted_ = F.array_sort(F.array_distinct(order))
+    none = F.transform(F.sequence(F.lit(1), F.lit(PRIORITIES)), lambda _: F.struct(F.lit(-1).cast("long").alias("end"), F.lit(-1).cast("long").alias("start")))
+
+    def step(s: Column, x: Column) -> Column:
+        end, p = -x["e"], -x["p"]
+        beaten = F.exists(F.transform(s["far"], lambda y, i: ((i + 1 > p) & (y["end"] >= end)) | ((i + 1 == p) & ((y["end"] > end) | ((y["end"] == end) & (y["start"] < x["start"]))))), lambda z: z)
+        far = F.transform(s["far"], lambda y, i: F.when((i + 1 == p) & (end > y["end"]), F.struct(end.alias("end"), x["start"].alias("start"))).otherwise(y))
+        return F.struct(far.alias("far"), F.concat(s["stays"], F.when(beaten, F.lit("0")).otherwise(F.lit("1"))).alias("stays"))
+
+    stays = F.aggregate(sorted_, F.struct(none.alias("far"), F.lit("").alias("stays")), step, lambda s: s["stays"])
+    kept = F.transform(F.arrays_zip(sorted_.alias("x"), F.split(stays, "").alias("y")), lambda z: z)
+    kept = F.filter(kept, lambda z: z["y"] == "1")
+    return F.transform(kept, lambda z: F.struct(z["x"]["label"].alias("label"), z["x"]["start"].alias("start"), (-z["x"]["e"]).alias("end"), (-z["x"]["p"]).alias("priority"), z["x"]["confidence"].alias("confidence")))
 
 
 def scan_licenses(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with ``n_words``, ``base_places``, ``detections``, ``labels`` and ``score``.
 
     ``base_places`` has a struct (label, places, first, last) for each phrase of ``BASE``, counted over
-    the whole text; ``detections`` the rules' finds that nothing suppresses (label, start, end in words,
-    priority, confidence).  A find is suppressed by one that contains its interval and has a higher
-    priority, or the same priority and more words.  ``labels`` are the distinct sorted labels of both;
+    the whole text; ``detections`` all matches of the rules that nothing suppresses (label, start, end in
+    words, priority, confidence), by start.  A match is suppressed by one that contains its interval and
+    has a higher priority, or the same priority and more words; equal finds of two rules are one.  ``labels`` are the distinct sorted labels of both;
     ``score`` is the highest confidence, 0.85 at least for a base phrase, else 0.
 
     Null and empty texts have no words, no finds and score 0.  Rows are judged one by one, so repeated
@@ -142,41 +171,29 @@ def scan_licenses(docs: DataFrame, text: str = "text") -> DataFrame:
         return F.struct(F.lit(label).alias("label"), places.alias("places"), F.when(places > 0, first).alias("first"), F.when(places > 0, last.cast("long")).alias("last"))
 
     d = d.withColumn("base_places", F.array(*[base(p, label) for p, label in BASE]))
-    triggers = F.array(*[F.lit(t) for t in TRIGGERS])
-    at = F.filter(F.transform("_words", lambda w, i: F.when(F.array_contains(triggers, w), i).otherwise(F.lit(-1))), lambda i: i >= 0)
-
-    def context(i: Column) -> Column:
-        start = F.greatest(i - REACH, F.lit(0))
-        words = F.slice("_words", start + 1, i - start + 1 + REACH)
-        return F.struct(start.alias("start"), words.alias("words"), F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" ")).alias("line"))
-
-    def find(c: Column, r: Column) -> Column:
-        begin = c["start"] + _spaces(F.substring(c["line"], F.lit(1), F.regexp_instr(c["line"], r["regex"]) - 1)) - 1
-        return F.struct(
-            r["label"].alias("label"), begin.cast("long").alias("start"), (begin + _spaces(F.call_function("regexp_extract", c["line"], r["regex"], F.lit(0))) + 1).cast("long").alias("end"),
-            r["priority"].alias("priority"), r["confidence"].alias("confidence"),
-        )
-
-    def finds(c: Column) -> Column:
-        fit = F.filter(F.col("_rules"), lambda r: F.exists(r["keywords"], lambda k: F.array_contains(c["words"], k)) & F.call_function("rlike", c["line"], r["regex"]))
-        return F.transform(fit, lambda r: find(c, r))
-
-    def beaten(x: Column, y: Column) -> Column:
-        wider = (y["end"] - y["start"]) > (x["end"] - x["start"])
-        return (y["start"] <= x["start"]) & (y["end"] >= x["end"]) & ((y["priority"] > x["priority"]) | ((y["priority"] == x["priority"]) & wider))
-
-    def resolved(found: Column) -> Column:
-        return F.filter(found, lambda x: ~F.exists(found, lambda y: beaten(x, y)))
-
-    d = d.withColumn("_contexts", F.transform(at, context)).withColumn("_rules", _rule_array())
-    # finds of one context compete with each other; a statement seen from two triggers is the same find
-    d = d.withColumn("_finds", F.transform("_contexts", finds))
-    d = d.withColumn("detections", F.coalesce(F.array_distinct(F.flatten(F.transform("_finds", resolved))), F.array().cast("array<struct<label:string,start:bigint,end:bigint,priority:int,confidence:double>>")))
+    known = sorted({w for _, k, n, *_ in rules() for w in (k + " " + n).split()})
+    d = d.withColumn("_keys", F.array_intersect("_words", F.array(*map(F.lit, known)))).withColumn("_rules", _rule_array())
+
+    def finds(r: Column) -> Column:
+        # the begins and ends of all matches are marked, and found again as words
+        marked = F.split(F.call_function("regexp_replace", F.col("_line"), r["regex"], F.lit("\u0001$0\u0002")), " ")
+
+        def places(mark: Column, at: str) -> Column:
+            return F.filter(F.transform(marked, lambda w, i: F.when(F.call_function(at, w, mark), i)), lambda i: i.isNotNull())
+
+        both = F.arrays_zip(places(F.lit("\u0001"), "startswith").alias("a"), places(F.lit("\u0002"), "endswith").alias("b"))
+        return F.transform(both, lambda m: F.struct(r["label"].alias("label"), (m["a"] - 1).cast("long").alias("start"), m["b"].cast("long").alias("end"), r["priority"].alias("priority"), r["confidence"].alias("confidence")))
+
+    fit = F.filter("_rules", lambda r: F.arrays_overlap(r["keywords"], F.col("_keys")) & F.arrays_overlap(r["anchors"], F.col("_keys")))
+    fit = F.filter(fit, lambda r: F.call_function("rlike", F.col("_line"), r["regex"]))
+    kind = "array<struct<label:string,start:bigint,end:bigint,priority:int,confidence:double>>"
+    d = d.withColumn("_finds", F.when(F.size("_keys") > 0, F.flatten(F.transform(fit, finds))))
+    d = d.withColumn("detections", F.when(F.size("_finds") > 0, _unbeaten(F.col("_finds"))).otherwise(F.array()).cast(kind))
     based = F.transform(F.filter("base_places", lambda b: b["places"] > 0), lambda b: b["label"])
     d = d.withColumn("labels", F.array_sort(F.array_distinct(F.concat(based, F.transform("detections", lambda x: x["label"])))))
     top = F.coalesce(F.array_max(F.transform("detections", lambda x: x["confidence"])), F.lit(0.0))
     d = d.withColumn("score", F.greatest(top, F.when(F.size(based) > 0, F.lit(0.85)).otherwise(F.lit(0.0))))
-    return d.drop("_low", "_words", "_line", "_contexts", "_rules", "_finds")
+    return d.drop("_low", "_words", "_line", "_keys", "_rules", "_finds")
 
 
 def op9_license_scans(spark, sf_dir: str) -> DataFrame:

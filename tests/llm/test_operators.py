@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagewright.llm import bpe, components, knn, language, license_scan, minhash, mixing, sketch, substring_dedup, suffix_array, text_hash, toxicity, url_filter
-from pagewright.llm.word_features import fold_of
+from pagewright.llm.word_features import fold_of, labelled_sample
 
 DOC = "doc_id long, text string, lang string, source string"
 FIRST = ["alpha", "beta", "gamma", "delta", "edge", "fox", "golf", "hotel", "india", "jazz"]
@@ -238,7 +238,7 @@ def samples(tree):
         name = str(op)
         if name == "LITERAL":
             parts.append([chr(arg)])
-        elif name == "ANY":
+        elif name in ("ANY", "NOT_LITERAL"):
             parts.append(["x"])
         elif name == "IN":
             parts.append([chr(a if str(o) == "LITERAL" else a[0]) for o, a in arg])
@@ -247,35 +247,45 @@ def samples(tree):
         elif name == "SUBPATTERN":
             parts.append(samples(arg[3]))
         else:
-            assert name == "MAX_REPEAT"
+            assert name in ("MAX_REPEAT", "MIN_REPEAT")
             low, high, inner = arg
             parts.append([s * n for n in (low, min(int(high), low + 1)) for s in (samples(inner) if n else [""])])
     least = [p[0] for p in parts]
     return list(dict.fromkeys("".join([*least[:i], s, *least[i + 1 :]]) for i, p in enumerate(parts or [[""]]) for s in p))
 
 
-def test_license_gates_lose_nothing(spark):
-    """The scan gives the labels that all rules give without triggers and keywords, for each alternative of each rule."""
+def test_license_scan_is_exhaustive(spark):
+    """The scan against all rules tried everywhere and compared in pairs: each alternative of each rule, and shuffled fragments."""
     import re
 
     rules = license_scan.rules()
-    texts = list(dict.fromkeys(s for r in rules for s in samples(re._parser.parse(r[2]))))
+    texts = list(dict.fromkeys(s for r in rules for s in samples(re._parser.parse(r[3]))))
     texts += ["Public-\nDomain", "dedicated to the Public-\nDomain", "licensed under creative commons attribution noderivatives", "Expat License", "ASL license", "GPLv licence", "relicenced under isc", "mit licencing"]
-    patterns = [(label, re.compile(f"(?<= ){r}(?= )"), p) for label, _, r, p, _ in rules]
+    texts += ["mit x11 license" + " word" * 12 + " license", "Released under GPLv3.", "released into the public domain", "mit license, mit license; MIT License", "copyright " + "holder " * 38 + "all rights reserved", "Copyright 2019 " + "w " * 41 + "all rights reserved"]
+    rng = random.Random(5)
+    pool = "mit x11 expat license licensed under the terms of gpl gplv3 version 2 0 or later apache software released public domain into copyright c 2001 all rights reserved cc by nc sa licensing gnu general lesser".split()
+    texts += [" ".join(rng.choice(pool) for _ in range(rng.randint(2, 120))) for _ in range(150)]
+    patterns = [(label, re.compile(f"(?<= ){r}(?= )"), p, c) for label, _, _, r, p, c in rules]
 
-    def ungated(text):
+    def everywhere(text):
         line = f" {' '.join(re.findall(license_scan.WORD, text.lower()))} "
-        found = [(label, m.start(), m.end(), p) for label, r, p in patterns if (m := r.search(line))]
-        words = lambda x: line.count(" ", x[1], x[2])
-        beaten = lambda x, y: y[1] <= x[1] and y[2] >= x[2] and (y[3] > x[3] or (y[3] == x[3] and words(y) > words(x)))
-        based = {label for phrase, label in license_scan.BASE if f" {phrase} " in line}
-        return sorted({x[0] for x in found if not any(beaten(x, y) for y in found)} | based)
+        found = {(label, line.count(" ", 0, m.start()) - 1, line.count(" ", 0, m.end()), p, c) for label, r, p, c in patterns for m in r.finditer(line)}
+        beaten = lambda x, y: y[1] <= x[1] and y[2] >= x[2] and (y[3] > x[3] or (y[3] == x[3] and y[2] - y[1] > x[2] - x[1]))
+        return sorted(x for x in found if not any(beaten(x, y) for y in found))
 
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
-    got = {r.text: r.labels for r in license_scan.scan_licenses(rows).select("text", "labels").collect()}
-    assert {t: (got[t], ungated(t)) for t in texts if got[t] != ungated(t)} == {}
-    assert got["Expat License"] == ["mit"] and got["ASL license"] == ["apache"] and got["dedicated to the Public-\nDomain"] == ["public-domain"]
-    assert got["licensed under creative commons attribution noderivatives"] == ["cc-by-nd"] and len(texts) > 1000
+    got = {r.doc_id: r for r in license_scan.scan_licenses(rows).select("doc_id", "labels", "detections").collect()}
+    for i, t in enumerate(texts):
+        found = everywhere(t)
+        assert sorted((x.label, x.start, x.end, x.priority, x.confidence) for x in got[i].detections) == found, t
+        line = f" {' '.join(re.findall(license_scan.WORD, t.lower()))} "
+        assert got[i].labels == sorted({x[0] for x in found} | {label for phrase, label in license_scan.BASE if f" {phrase} " in line})
+    labels = {t: got[i].labels for i, t in enumerate(texts)}
+    assert labels["Expat License"] == ["mit"] and labels["ASL license"] == ["apache"] and labels["dedicated to the Public-\nDomain"] == ["public-domain"]
+    assert labels["licensed under creative commons attribution noderivatives"] == ["cc-by-nd"] and len(texts) > 1000
+    assert labels[texts[-156]] == ["mit"] and labels["Released under GPLv3."] == ["gpl"] and labels["released into the public domain"] == ["public-domain"]
+    assert [x.priority for x in got[texts.index("mit license, mit license; MIT License")].detections].count(4) == 3
+    assert labels[texts[-152]] == ["all-rights-reserved"] and labels[texts[-151]] == ["copyright"]
 
 
 def test_urls(spark):
@@ -422,6 +432,10 @@ def test_language(spark):
     mixed = np.concatenate([tagger.emissions(p) for p in language.pieces(rows[0][1] + " " + rows[1][1])])
     (chance,) = tagger.chances([mixed])
     assert chance[0].argmax() != chance[-1].argmax() and np.allclose(chance.sum(1), 1)
+    runs = language.identify(spark.createDataFrame([(rows[0][1] + " " + rows[1][1],), (None,)], "text string"), tagger, runs=True).collect()
+    first, second = (len(rows[i][1].split()) for i in (0, 1))
+    assert [(r.lang, r.first, r.words) for r in runs[0].runs] == [("bb", 0, first), ("aa", first, second)] and runs[0].sure > 0.9 > runs[0].score
+    assert runs[1].runs == [] and runs[1].lang_pred == "und"
     assert language.train(docs.limit(0)).predict(["abc", None]) == [("und", 0.0)] * 2
 
 
@@ -454,6 +468,18 @@ def test_toxicity(spark):
     assert None in thresholds and toxicity.train(docs, labels.limit(0))[0] is None
 
 
+def test_sample_has_every_label(spark):
+    docs = spark.createDataFrame([(i, f"text {i}", f"l{i % 1500}") for i in range(6000)] + [(None, "x", "l0"), (7, None, "l7"), (8, "long " * 99, "l8")], "doc_id long, text string, lang string")
+    got = labelled_sample(docs, "lang", 2, "doc_id", 100, ["doc_id", "text", "lang"])
+    count = {}
+    for r in got:
+        count[r.lang] = count.get(r.lang, 0) + 1
+    usable = {f"l{i % 1500}" for i in range(6000) if zlib.crc32(str(i).encode()) % 5}
+    assert set(count) == usable and max(count.values()) <= 2 and all(len(r.text) < 100 for r in got)
+    few = labelled_sample(docs.withColumn("lang", F.lit("one")), "lang", 5, "doc_id", 100, ["doc_id"])
+    assert len(few) == 5 and few == labelled_sample(docs.withColumn("lang", F.lit("one")).repartition(7), "lang", 5, "doc_id", 100, ["doc_id"])
+
+
 def test_folds(spark):
     rows = spark.range(50).withColumn("f", fold_of(F.col("id"))).collect()
     assert all(r.f == zlib.crc32(str(r.id).encode()) % 5 for r in rows)
