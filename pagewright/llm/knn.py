@@ -13,13 +13,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..runtime import python_ready
+from ..runtime import cut_to_table, python_ready
 
-#: Parameters: pivots are at most so many rows, those of least id hash.  Only pivots (a bounded number
-#: of vectors), their summaries (k+1 numbers a cell) and counts reach the driver.
-PIVOTS = 12
-#: Rows of a block of queries and of data; a task holds one block of each.
-QUERY_BLOCK, DATA_BLOCK = 512, 4096
+#: Rows of a block of queries and of data; a task holds one block of each.  What is shuffled is the data
+#: once for each block of queries and the queries once for each block of data, so blocks are large.
+QUERY_BLOCK, DATA_BLOCK = 4096, 32_768
+#: Pivots: one for each block of queries, within these bounds; the rows of least id hash.  Only pivots, their
+#: summaries (k+1 numbers a cell) and counts reach the driver.
+LEAST_PIVOTS, MOST_PIVOTS = 4, 1024
 
 
 def usable(vector: Column) -> Column:
@@ -46,7 +47,7 @@ def _gaps(x: np.ndarray, last: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(sq[:, None] + (pivots * pivots).sum(1) - 2 * dot, 0))
 
 
-def top_k(data: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "vector", n_pivots: int = PIVOTS, query_block: int = QUERY_BLOCK, data_block: int = DATA_BLOCK) -> DataFrame:
+def top_k(data: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "vector", n_pivots: int | None = None, query_block: int = QUERY_BLOCK, data_block: int = DATA_BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` highest inner products of each query with all of ``data``.
 
     ``vector`` is an array of whole numbers.  A query's own row, that is any row of its id, is no
@@ -56,15 +57,16 @@ def top_k(data: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vect
     """
     spark = data.sparkSession
     python_ready(spark)
-    rows = data.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast("array<long>").alias("v"))
-    asked = queries.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("query_id"), F.col(vector).cast("array<long>").alias("v")).distinct()
+    rows = cut_to_table(data.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast("array<long>").alias("v")))
+    asked = cut_to_table(queries.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("query_id"), F.col(vector).cast("array<long>").alias("v")).distinct())
     square = F.aggregate(F.transform("v", lambda x: x.cast("double") * x), F.lit(0.0), lambda a, x: a + x)
     n, width, most = rows.agg(F.count("*"), F.max(F.size("v")), F.max(square)).first()
     schema = "query_id long, rank int, vec_id long, score long"
-    q_width, = asked.agg(F.max(F.size("v"))).first()
+    n_asked, q_width = asked.agg(F.count("*"), F.max(F.size("v"))).first()
     if not n or q_width is None:
         return spark.createDataFrame([], schema)
     width = max(width, q_width, 1)
+    n_pivots = n_pivots or min(MOST_PIVOTS, max(LEAST_PIVOTS, -(-n_asked // query_block)))
     chosen = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(n_pivots).collect()  # at most n_pivots rows
     pivots = _matrix([r.v for r in chosen], width)
     pivots = np.hstack([pivots, np.sqrt(np.maximum(most - (pivots * pivots).sum(1), 0))[:, None]])
