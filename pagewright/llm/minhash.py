@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..runtime import cut_lineage, partitions
 from .components import components
@@ -251,7 +251,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` whose component begins with them: one document of each group, of least key.
 
-    Rows of null key and texts without words all stay.  Of rows of one key one stays.
+    Rows of null key and texts without words all stay.  Of rows of one key that of the least text stays.
     """
     judged = near_duplicates(docs, key, text, width, percent)
     gone = cut_lineage(judged.where(~F.col("kept")).select(key).distinct())
@@ -259,7 +259,8 @@ def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text
     twice = docs.groupBy(key).count().where(f"count > 1 AND `{key}` IS NOT NULL").select(key)
     if twice.isEmpty():
         return stay
-    once = stay.join(twice, key, "left_semi").dropDuplicates([key])
+    first = F.row_number().over(Window.partitionBy(key).orderBy(text, F.xxhash64(*docs.columns)))
+    once = stay.join(twice, key, "left_semi").withColumn("_first", first).where("_first = 1").drop("_first")
     return stay.join(twice, key, "left_anti").unionByName(once)
 
 
