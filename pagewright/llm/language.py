@@ -158,9 +158,11 @@ class Tagger:
             square += grad * grad
             self.weights += 0.15 * grad / np.sqrt(square)
 
-    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        """Language and score of whole texts; ``und`` with score 0 for texts without a letter."""
-        out: list[tuple[str, float]] = [("und", 0.0)] * len(texts)
+    def judge(self, texts: list[str | None]) -> list[tuple[str, float, float, list[tuple[str, int, int]]]]:
+        """Of whole texts: the language with the greatest share of its words' chances, that share, how sure
+        the labels of the words are (the mean of each word's greatest chance), and runs of words of one
+        label (language, first word, words).  ``und``, 0, 0 and no runs for texts without a letter."""
+        out: list = [("und", 0.0, 0.0, [])] * len(texts)
         if not self.langs:
             return out
         some = [i for i, t in enumerate(texts) if t and _LETTER.search(t)]
@@ -169,11 +171,20 @@ class Tagger:
             parts = [self.emissions(p) for p in pieces(texts[i])]
             found.append(np.concatenate(parts) if parts else np.zeros((0, len(self.langs))))
         for i, chance in zip(some, self.chances(found), strict=True):
-            mean = chance.mean(0) if len(chance) else np.full(len(self.langs), 1 / len(self.langs))
+            if not len(chance):  # letters of no word: all languages are alike
+                out[i] = (self.langs[0], 1 / len(self.langs), 1 / len(self.langs), [])
+                continue
+            mean, label = chance.mean(0), chance.argmax(1)
             best = int(mean.argmax())
-            out[i] = (self.langs[best], float(mean[best]))
+            first = np.append(0, np.flatnonzero(np.diff(label)) + 1)
+            runs = [(self.langs[x], a, n) for x, a, n in zip(label[first].tolist(), first.tolist(), np.diff(np.append(first, len(label))).tolist(), strict=True)]
+            out[i] = (self.langs[best], float(mean[best]), float(chance.max(1).mean()), runs)
         return out
 
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """Language and score of whole texts."""
+        return [x[:2] for x in self.judge(texts)]
+
 
 def train(docs: DataFrame, key: str = "doc_id", lang: str = "lang", sample: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> Tagger:
     """A tagger of the languages of ``docs``, learned from a bounded sample of each; only keys outside
@@ -185,28 +196,32 @@ def train(docs: DataFrame, key: str = "doc_id", lang: str = "lang", sample: int
     return tagger
 
 
-def identify(docs: DataFrame, tagger: Tagger, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``docs``'s columns ``keep`` with ``lang_pred`` and ``score``.
+def identify(docs: DataFrame, tagger: Tagger, text: str = "text", keep: list[str] | None = None, runs: bool = False) -> DataFrame:
+    """``docs``'s columns ``keep`` with ``lang_pred``, ``score`` and ``sure``; with ``runs`` also ``runs``.
 
-    ``und`` with score 0: null texts, texts without a letter, and all texts if no language is known.
-    Rows are judged one by one, so null keys and repeated rows are kept as they are; columns named like
-    the results are not kept.
+    ``score`` is the share of the words' chances that the language has, ``sure`` the mean of each word's
+    greatest chance (high for code-switched text with clear words), ``runs`` the runs of words of one
+    label: an array of (lang, first, words), words counted from 0.  ``und`` with score 0: null texts, texts
+    without a letter, and all texts if no language is known.  Rows are judged one by one, so null keys and
+    repeated rows are kept as they are; columns named like the results are not kept.
     """
     small_batches(docs.sparkSession)
-    keep = [c for c in (keep or docs.columns) if c not in ("lang_pred", "score")]
+    names = ["lang_pred", "score", "sure", *(["runs"] if runs else [])]
+    keep = [c for c in (keep or docs.columns) if c not in names]
     table = docs.select(*[F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(keep)], F.col(text).alias("_text"))
     known = docs.sparkSession.sparkContext.broadcast(tagger)  # a table of fixed size
+    run_type = pa.list_(pa.struct([("lang", pa.string()), ("first", pa.int32()), ("words", pa.int32())]))
 
     def run(batches):
         for b in batches:
-            found = known.value.predict(b.column("_text").to_pylist())
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns[:-1], pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())],
-                names=[*b.schema.names[:-1], "lang_pred", "score"],
-            )
+            found = known.value.judge(b.column("_text").to_pylist())
+            more = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), pa.array([x[2] for x in found], pa.float64())]
+            if runs:
+                more.append(pa.array([[dict(zip(("lang", "first", "words"), r, strict=True)) for r in x[3]] for x in found], run_type))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *more], names=[*b.schema.names[:-1], *names])
 
     kinds = [f"_k{i} {kind}" for i, (_, kind) in enumerate(table.drop("_text").dtypes)]
-    made = table.mapInArrow(run, ", ".join([*kinds, "lang_pred string", "score double"]))
+    made = table.mapInArrow(run, ", ".join([*kinds, "lang_pred string, score double, sure double", *(["runs array<struct<lang:string,first:int,words:int>>"] if runs else [])]))
     return made.withColumnsRenamed({f"_k{i}": c for i, c in enumerate(keep)})
 
 
@@ -214,4 +229,4 @@ def op6_language(spark, sf_dir: str) -> DataFrame:
     """The language of every whole text of ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     found = identify(docs, train(docs), keep=["doc_id"])
-    return found.select("doc_id", F.coalesce(fold_of(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", F.coalesce(fold_of(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score", "sure")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .text_hash import U64, _powers, mix64
 
@@ -75,18 +75,21 @@ class Words:
         return self.print_of(at, at + n, 50 + n), word
 
 
-def labelled_sample(docs: DataFrame, label: str, per_label: dict | int, key: str, most_bytes: int, columns: list[str]) -> list:
+def labelled_sample(docs: DataFrame, label: str, per_label: int, key: str, most_bytes: int, columns: list[str]) -> list:
     """Rows for training: of each label those of least key hash, at most ``per_label``; whole texts of at
-    most ``most_bytes``.  Only keys outside fold 0 are learned from."""
+    most ``most_bytes``.  Only keys outside fold 0 are learned from.
+
+    All labels are counted in one scan and sampled in a second one; a model holds weights for each label,
+    so one count a label is no more than it.
+    """
     ready = docs.where((fold_of(F.col(key)) != 0) & F.col("text").isNotNull() & F.col(label).isNotNull() & (F.octet_length("text") <= most_bytes) & (F.length("text") > 0))
-    counts = {r[0]: r["n"] for r in ready.groupBy(label).agg(F.count("*").alias("n")).orderBy(F.desc("n"), label).limit(1000).collect()}
-    out = []
-    for value in sorted(counts):
-        n = per_label if isinstance(per_label, int) else per_label[value]
-        # only rows of hashes low enough to be among the first n are ranked, so tasks send few rows each
-        share = (1.5 * n + 100) / counts[value]
-        low = ready.where(F.col(label) == value)
-        if share < 1:
-            low = low.where(F.xxhash64(key) < F.lit(int(-(2**63) + share * 2**64)))
-        out += low.orderBy(F.xxhash64(key), "text").select(*columns).limit(n).collect()
-    return out
+    counts = {r[0]: r["n"] for r in ready.groupBy(label).agg(F.count("*").alias("n")).collect()}
+    # only rows of hashes low enough to be among the first are ranked, so few rows are shuffled
+    shares = {value: (1.5 * per_label + 100) / n for value, n in counts.items()}
+    limits = [x for value, share in shares.items() if share < 1 for x in (F.lit(value), F.lit(int(-(2**63) + share * 2**64)))]
+    low = ready.withColumn("_hash", F.xxhash64(key))
+    if limits:
+        most = F.try_element_at(F.create_map(*limits), F.col(label))
+        low = low.where(most.isNull() | (F.col("_hash") < most))
+    place = F.row_number().over(Window.partitionBy(label).orderBy("_hash", "text"))
+    return low.withColumn("_place", place).where(F.col("_place") <= per_label).orderBy(label, "_place").select(*columns).collect()
