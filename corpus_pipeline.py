@@ -1,7 +1,7 @@
 """The corpus pipeline: from raw documents to token ids.
 
 Each stage takes all that the one before kept and returns the columns of ``documents``; the last
-returns the encoded mix.  Stages are meant to be written and read again between one another.
+returns the encoded mix.  ``run`` writes what a stage returns and reads it again for the next one.
 """
 
 from __future__ import annotations
@@ -9,10 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pagewright.llm import bpe, language, minhash, mixing, substring_dedup
+from pagewright.runtime import cut_to_table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: A text whose language gets less than this share of its words' chances is rejected, as is one without a letter.
-LEAST_SCORE = 0.5
+#: A text whose words are labelled less surely than this in the mean is rejected, as is one without a letter.
+#: Code-switched text stays: its words are clear, though no language has most of them.
+LEAST_SURE = 0.5
 #: Bytes of the strings whose repeats are removed: shorter than any passage of more than 50 words.
 REPEAT = 200
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -21,7 +23,7 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is clear; ``lang`` becomes the language found."""
     found = language.identify(docs.select(*COLUMNS), language.train(docs))
-    clear = found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
+    clear = found.where((F.col("lang_pred") != "und") & (F.col("sure") >= LEAST_SURE))
     return clear.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
@@ -60,8 +62,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in turn over ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (_, stage) in enumerate(STAGES, 1):
         docs = stage(spark, docs, sf_dir)
+        # else each action of a later stage would run the earlier ones again
+        docs = cut_to_table(docs) if k < len(STAGES) else docs
     return docs
 
 
