@@ -31,11 +31,16 @@ NO_PROCEDURE = r"(?i)\b(?:licenses?|licen[cs]es?|trademarks?|copyright|terms\s*(
 PIPE_ROW = r"^\s*\|[^\n]*\|\s*$"
 TOKEN = r"[a-z0-9]+(?:[-_][a-z0-9]+)*"
 IDENTIFIER = r"[a-z0-9]+(?:[-_][a-z0-9]+)+|[a-z]+\d+|\d+[a-z]+|\b\d{2,}\b"
+PREREQUISITE_BLOCK = r"(?i)^(?:before you begin|prerequisite|preparation|prepare|requirements?|required tools?)\b"
+STEP_BLOCK = r"^(?:\*\*)?\d+[.)](?:\*\*)?\s+"
 TECHNICAL = r"(?i)\b(?:error code|failure code|blink(?:ing)? pattern|part number|model number)\b"
 #: Headings that are kept although they repeat.
 PROTECTED = ["cause", "what to do", "warning", "caution", "danger", "important", "note"]
-#: Short acknowledgements.
-ACKNOWLEDGED = ["ok", "okay", "got it", "thanks", "thank you", "done", "yes", "sure", "understood", "what next", "next", "continue"]
+#: Replies that only acknowledge, and phrases that make one of a reply of at most 12 words.
+ACKNOWLEDGED = ["yes", "yeah", "yep", "okay", "ok", "done", "thanks", "thank you", "understood"]
+ACKNOWLEDGING = ["got it", "what next", "what is next", "whats next", "i understand", "i have done it", "i checked it"]
+#: Words that make a query about printing a broad failure report.
+FAILURES = ["not", "cannot", "unable", "won't", "wont", "fails", "offline"]
 
 
 def lines_of(text: Column) -> Column:
@@ -112,8 +117,8 @@ def block_type(line: Column, is_heading: Column) -> Column:
     return (
         F.when(is_heading, "heading")
         .when(line.rlike(WARNING), "warning")
-        .when(line.rlike(r"(?i)^(?:before you begin|prerequisite|preparation|prepare|requirements?|required tools?)\b"), "prerequisite")
-        .when(line.rlike(r"^(?:\*\*)?\d+[.)](?:\*\*)?\s+"), "ordered_list")
+        .when(line.rlike(PREREQUISITE_BLOCK), "prerequisite")
+        .when(line.rlike(STEP_BLOCK), "ordered_list")
         .when(line.startswith("|") & line.endswith("|"), "table")
         .when(line.rlike(TECHNICAL), "technical_identifier")
         .otherwise("narrative")
@@ -121,13 +126,12 @@ def block_type(line: Column, is_heading: Column) -> Column:
 
 
 def acknowledgement(text: Column) -> Column:
-    """Whether a reply only acknowledges: it is an acknowledgement, or has at most 12 words and holds one."""
+    """Whether a reply only acknowledges: it is an acknowledgement, or has at most 12 words and holds an acknowledging phrase."""
     said = F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
-    held = any_of(F.concat(F.lit(" "), said, F.lit(" ")), [f" {a} " for a in ACKNOWLEDGED])
-    return said.isin(ACKNOWLEDGED) | ((F.size(F.split(said, " ")) <= 12) & held)
+    return said.isin(ACKNOWLEDGED) | ((F.size(F.split(said, " ")) <= 12) & any_of(said, ACKNOWLEDGING))
 
 
 def broad_failure(query: Column) -> Column:
     """Whether a query only says that printing fails."""
     q = F.lower(query)
-    return F.contains(q, F.lit("print")) & any_of(q, ["not", "cannot", "unable", "won't", "wont", "offline"])
+    return F.contains(q, F.lit("print")) & any_of(q, FAILURES)

@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..runtime import python_ready
+
 #: Rules of the score: reason, points, condition over the features.
 RULES = [
     ("too_small", -2, "width < 80 OR height < 80"),
@@ -35,15 +39,17 @@ def scored(features: DataFrame) -> DataFrame:
 
 
 def demote(assets: DataFrame) -> DataFrame:
-    """Small assets that occur three times or more are rejected (-4); of equal hashes all but the least id (-2)."""
+    """Small assets that occur three times or more are rejected (-4); of equal hashes all but the least id (-2).
+
+    Assets without a hash (undecodable images) are nobody's duplicates.
+    """
     small = (F.col("n_occurrences") >= 3) & (F.col("width") * F.col("height") < 50_000)
-    w = Window.partitionBy("perceptual_hash")
-    keeper = F.min("asset_id").over(w)
-    twin = F.col("asset_id") != keeper
-    x = assets.withColumn("duplicate_of", F.when(twin, keeper))
+    keepers = assets.where("perceptual_hash IS NOT NULL").groupBy("perceptual_hash").agg(F.min("asset_id").alias("_keeper"))
+    twin = F.coalesce(F.col("asset_id") != F.col("_keeper"), F.lit(False))
+    x = assets.join(keepers, "perceptual_hash", "left").withColumn("duplicate_of", F.when(twin, F.col("_keeper")))
     x = x.withColumn("quality_score", F.col("quality_score") - F.when(small, 4).otherwise(0) - F.when(twin, 2).otherwise(0))
     x = x.withColumn("reasons", F.concat("reasons", F.array_compact(F.array(F.when(small, F.lit("repeated_small_asset")), F.when(twin, F.lit("duplicate"))))))
-    return x.withColumn("classification", F.when(small | twin, "reject").otherwise(F.col("classification")))
+    return x.withColumn("classification", F.when(small | twin, "reject").otherwise(F.col("classification"))).drop("_keeper")
 
 
 def grouped(occurrences: DataFrame) -> DataFrame:
@@ -59,69 +65,92 @@ def for_hits(assets: DataFrame, links: DataFrame, hits: DataFrame) -> DataFrame:
     return found.withColumn("_n", F.row_number().over(Window.partitionBy("query_id").orderBy("page", "asset_id"))).where("_n = 1").drop("_n")
 
 
+def _shrunk(grey: np.ndarray, rows: int, cols: int) -> np.ndarray:
+    """``grey`` (whole levels) at another size: cubic filter widened by the scale, columns first, rounded after each pass."""
+
+    def weights(old: int, new: int) -> np.ndarray:
+        scale = old / new
+        wide = max(scale, 1.0)
+        x = np.abs((np.arange(old)[None] + 0.5 - (np.arange(new)[:, None] + 0.5) * scale) / wide)
+        w = np.where(x < 1, (1.5 * x - 2.5) * x * x + 1, np.where(x < 2, ((-0.5 * x + 2.5) * x - 4) * x + 2, 0))
+        return w / w.sum(1, keepdims=True)
+
+    def level(x: np.ndarray) -> np.ndarray:
+        return np.clip(np.floor(x + 0.5), 0, 255)
+
+    return level(weights(grey.shape[0], rows) @ level(grey @ weights(grey.shape[1], cols).T))
+
+
+def _steps(x: np.ndarray) -> list[np.ndarray]:
+    """Absolute differences of neighbours along each axis that has some."""
+    return [np.abs(np.diff(x, axis=k)) for k in (1, 0) if x.shape[k] >= 2]
+
+
+def _edges(x: np.ndarray) -> float:
+    """The share of neighbours that differ by more than 20, as the mean of both axes."""
+    shares = [float((d > 20).mean()) for d in _steps(x) if d.size]
+    return sum(shares) / len(shares) if shares else 0.0
+
+
+def _components(grid: np.ndarray) -> int:
+    """Regions of true cells that touch, corners included: each cell takes the least label around it until none changes."""
+    label = np.where(grid, np.arange(1, grid.size + 1).reshape(grid.shape), 0)
+    far = grid.size + 1
+    while True:
+        padded = np.pad(np.where(grid, label, far), 1, constant_values=far)
+        least = np.min([padded[i : i + grid.shape[0], j : j + grid.shape[1]] for i in range(3) for j in range(3)], axis=0)
+        least = np.where(grid, least, 0)
+        if np.array_equal(least, label):
+            return len(np.unique(label[grid]))
+        label = least
+
+
+def _image_features(height: int, width: int, channels: int, data: bytes) -> tuple:
+    px = np.frombuffer(data, np.uint8)[: height * width * channels].reshape(height, width, channels).astype(np.int64)
+    alpha = float((px[:, :, 3] > 5).mean()) if channels == 4 else 1.0
+    # Spark's images are blue, green, red
+    grey = ((px[:, :, 2] * 19595 + px[:, :, 1] * 38470 + px[:, :, 0] * 7471 + 0x8000) >> 16 if channels >= 3 else px[:, :, 0]).astype(float)
+    share = np.bincount(grey.astype(int).ravel(), minlength=256) / grey.size
+    entropy = float(-(share[share > 0] * np.log2(share[share > 0])).sum())
+    m = max(1, int(min(width, height) * 0.1))
+    center = grey[m : height - m, m : width - m] if height > 2 * m and width > 2 * m else grey
+    strips = [grey[:m], grey[-m:], grey[:, :m], grey[:, -m:]]
+    rim = np.concatenate([x.ravel() for x in strips])
+    slope = float(np.concatenate([d.ravel() for d in _steps(center)] or [np.zeros(1)]).mean())
+    rim_slope = float(np.abs(np.diff(rim)).mean()) if rim.size > 1 else 0.0
+    small = _shrunk(grey, 64, 64)
+    grid = np.zeros((64, 64), bool)
+    across, down = _steps(small)
+    grid[:, 1:] |= across > 20
+    grid[1:] |= down > 20
+    tiny = _shrunk(grey, 8, 9)
+    bits = "".join("1" if b else "0" for b in (tiny[:, 1:] > tiny[:, :-1]).ravel())
+    return (
+        entropy, _edges(grey), max(map(_edges, strips)), _edges(center), float((np.abs(grey - np.median(grey)) <= 3).mean()), _components(grid), alpha, f"{int(bits, 2):016x}",
+        bool(center.std() < 8 and slope < 3), bool(rim_slope > max(slope * 2.5, 8)),
+    )
+
+
+FEATURES = ["entropy", "edge_density", "border_edge_density", "center_edge_density", "near_uniform_fraction", "component_count", "alpha_coverage", "perceptual_hash", "blank_center", "strong_border"]
+
+
 def pixel_features(images: DataFrame, mode: str = "data") -> DataFrame:
     """Features of decoded images (Spark's ``image`` source: height, width, nChannels, data), in Arrow batches.
 
-    Entropy and edges of the grey levels, near-uniform share, components of a 64 x 64 threshold grid, and
-    a 9 x 8 difference hash. Null data gives null features.
+    Entropy and edges of the grey levels, of their border (a tenth of the shorter side) and centre, levels
+    within 3 of the median, edge regions of a 64 x 64 copy, opaque share, and the difference hash of a 9 x 8
+    copy.  Null data or an empty image gives null features.
     """
-    import numpy as np
-    import pandas as pd
-
-    from ..runtime import python_ready
-
     python_ready(images.sparkSession)
-
-    def one(height, width, channels, data):
-        if not isinstance(data, (bytes, bytearray, memoryview)) or not height > 0 or not width > 0:
-            return (None,) * 9
-        height, width, channels = int(height), int(width), int(channels)
-        px = np.frombuffer(bytes(data), np.uint8)[: height * width * channels].reshape(height, width, channels)
-        alpha = float((px[:, :, 3] > 0).mean()) if channels == 4 else 1.0
-        grey = px[:, :, :3].mean(2) if channels >= 3 else px[:, :, 0].astype(float)
-        share = np.bincount(grey.astype(int).ravel(), minlength=256) / grey.size
-        entropy = float(-(share[share > 0] * np.log2(share[share > 0])).sum())
-        edge = np.zeros(grey.shape, bool)
-        edge[:, 1:] |= np.abs(np.diff(grey, axis=1)) > 20
-        edge[1:] |= np.abs(np.diff(grey, axis=0)) > 20
-        h, w = max(1, height // 10), max(1, width // 10)
-        inner = np.zeros(grey.shape, bool)
-        inner[h : height - h or None, w : width - w or None] = True
-        rows, cols = np.arange(64) * height // 64, np.arange(64) * width // 64
-        grid = np.abs(grey[np.ix_(rows, cols)] - np.median(grey)) > 20
-        label, count = np.zeros(grid.shape, int), 0
-        for start in zip(*np.nonzero(grid), strict=True):
-            if label[start]:
-                continue
-            count += 1
-            todo = [start]
-            label[start] = count
-            while todo:
-                r, c = todo.pop()
-                for y in range(max(0, r - 1), min(64, r + 2)):
-                    for x in range(max(0, c - 1), min(64, c + 2)):
-                        if grid[y, x] and not label[y, x]:
-                            label[y, x] = count
-                            todo.append((y, x))
-        tiny = grey[np.ix_(np.arange(8) * height // 8, np.arange(9) * width // 9)]
-        bits = (tiny[:, 1:] > tiny[:, :-1]).ravel()
-        near = float((np.abs(grey - np.median(grey)) <= 5).mean())
-        center = float(edge[inner].mean()) if inner.any() else 0.0
-        border = float(edge[~inner].mean()) if (~inner).any() else 0.0
-        return entropy, float(edge.mean()), border, center, near, count, alpha, f"{int(''.join('1' if b else '0' for b in bits), 2):016x}", center < 0.005
-
-    names = ["entropy", "edge_density", "border_edge_density", "center_edge_density", "near_uniform_fraction", "component_count", "alpha_coverage", "perceptual_hash", "blank_center"]
-    schema = "asset_id string, width int, height int, entropy double, edge_density double, border_edge_density double, center_edge_density double, near_uniform_fraction double, component_count int, alpha_coverage double, perceptual_hash string, blank_center boolean"
+    kinds = [pa.float64()] * 5 + [pa.int32(), pa.float64(), pa.string(), pa.bool_(), pa.bool_()]
 
     def run(batches):
         for b in batches:
-            made = [one(*r) for r in zip(b["height"], b["width"], b["nChannels"], b[mode], strict=True)]
-            out = pd.DataFrame(made, columns=names)
-            out["component_count"] = out["component_count"].astype("Int32")
-            out["blank_center"] = out["blank_center"].astype("boolean")
-            out.insert(0, "height", b["height"].astype("Int32").values)
-            out.insert(0, "width", b["width"].astype("Int32").values)
-            out.insert(0, "asset_id", b["asset_id"].values)
-            yield out
-
-    return images.select("asset_id", "height", "width", "nChannels", mode).mapInPandas(run, schema).withColumn("strong_border", F.col("border_edge_density") > 0.04)
+            made = []
+            for h, w, c, data in zip(*(b.column(i).to_pylist() for i in (1, 2, 3, 4)), strict=True):
+                made.append(_image_features(h, w, c, data) if data and h and w and c and h > 0 and w > 0 else (None,) * len(FEATURES))
+            columns = [pa.array([r[i] for r in made], kind) for i, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(1), *columns], names=["asset_id", "width", "height", *FEATURES])
+
+    schema = "asset_id string, width int, height int, entropy double, edge_density double, border_edge_density double, center_edge_density double, near_uniform_fraction double, component_count int, alpha_coverage double, perceptual_hash string, blank_center boolean, strong_border boolean"
+    return images.select(F.col("asset_id").cast("string").alias("asset_id"), "height", "width", "nChannels", mode).mapInArrow(run, schema)

@@ -7,8 +7,11 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..functions import text as T
 from .retrieval import top
 
-#: Condition groups that evidence may add to a broad failure report.
-CONDITIONS = [["wireless", "wi-fi", "network"], ["usb", "cable"], ["after", "update"], ["cartridge", "toner"], ["paper", "tray"]]
+#: Circumstances that evidence may name only if a broad failure report does.
+CONDITIONS = [
+    ["wireless", "wi-fi", "wifi", "wlan"], ["firewall"], ["multiple sheets", "misfeed", "pick up paper", "paper feed"],
+    ["print quality", "image defect", "toner", "streak", "blur", "blank page"], ["job storage", "stored job", "private print", "delayed print"],
+]
 MARKER = r"\[source:([^\]]+)\]"
 
 
@@ -17,7 +20,7 @@ def specific_evidence(hits: DataFrame) -> DataFrame:
 
     ``hits``: query, section, content and more; others stay as they are.
     """
-    q, s, body = F.lower("query"), F.lower("section"), F.lower(F.concat_ws(" ", "section", "content"))
+    q, s, body = F.lower("query"), F.lower("section"), F.lower(F.concat_ws("\n", "section", "content"))
     says = T.any_of(s, ["does not print", "cannot print"])
     foreign = F.lit(False)
     for group in CONDITIONS:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.text import any_of, identifiers, tokens
-from ..runtime import python_ready
+from ..runtime import cut_to_table, python_ready
 
 K1, B = 1.2, 0.75
 #: A table of query tokens of at most so many rows is broadcast.
@@ -25,6 +25,10 @@ SYNONYMS = {
 FAILURE = ["not", "cannot", "unable", "wont", "fails", "failure", "offline"]
 FAILURE_WORDS = ["printer", "does", "not", "print", "troubleshoot", "problem", "solve"]
 TOPIC_WORDS = ["topic", "topics", "chapter", "section"]
+#: Wordings of a query that weigh sections more.
+TOPIC_TERMS = ["chapter", "topic", "section", "where is"]
+SECTION_TERMS = ["how do i", "how can i", "steps", "set up", "setup", "connect", "remove", "warning", "caution", "safety", "hot surface", "led", "light", "blink", "beep", "lcd", "button"]
+FAILING_TERMS = ["not", "cannot", "unable", "won't", "wont", "offline"]
 
 
 def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
@@ -39,10 +43,13 @@ def top(df: DataFrame, by: str | list[str], order: list, k: int, rank: str = "ra
 
 
 def rewritten(query: Column, identity: Column | None = None) -> Column:
-    """Query tokens without device identity tokens, with synonyms, bridges and the topic mode."""
-    words = tokens(query)
-    if identity is not None:
-        words = F.filter(words, lambda w: ~F.array_contains(tokens(F.coalesce(identity, F.lit(""))), w))
+    """Query tokens without the tokens of the device's identity, with synonyms, bridges and the topic mode.
+
+    Where no device is known (no ``identity``, or a null one) the query's plain tokens.
+    """
+    if identity is None:
+        return tokens(query)
+    words = F.filter(tokens(query), lambda w: ~F.array_contains(tokens(F.coalesce(identity, F.lit(""))), w))
     table = F.create_map(*[x for k, v in SYNONYMS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
     none = F.array().cast("array<string>")
     more = F.flatten(F.transform(words, lambda w: F.coalesce(F.try_element_at(table, w), none)))
@@ -51,16 +58,16 @@ def rewritten(query: Column, identity: Column | None = None) -> Column:
     bridge = F.when(fails, F.array(*map(F.lit, FAILURE_WORDS))).otherwise(none)
     full = F.concat(words, more, off, bridge)
     topic = F.array_contains(words, "topic") | F.array_contains(words, "topics")
-    return F.when(topic, F.filter(full, lambda w: w.isin(TOPIC_WORDS))).otherwise(full)
+    return F.when(identity.isNull(), tokens(query)).when(topic, F.filter(full, lambda w: w.isin(TOPIC_WORDS))).otherwise(full)
 
 
 def field_weights(query: Column) -> tuple[Column, Column]:
     """Weights of body and section that the wording of a query asks for."""
     q = F.lower(query)
-    topic = any_of(q, ["chapter", "topic", "section", "where is"])
-    plain = any_of(q, ["how do i", "how can i", "steps", "set up", "setup", "connect", "remove", "warning", "caution", "safety", "hot surface", "led", "light", "blink", "beep", "lcd", "button"])
+    topic = any_of(q, TOPIC_TERMS)
+    plain = any_of(q, SECTION_TERMS)
     section = F.when(topic, 6.0).when(plain, 2.5).otherwise(1.0)
-    failing = F.contains(q, F.lit("print")) & any_of(q, ["not", "cannot", "unable", "won't", "wont", "offline"])
+    failing = F.contains(q, F.lit("print")) & any_of(q, FAILING_TERMS)
     return F.when(topic, 0.35).otherwise(1.0), F.when(failing, F.greatest(section, F.lit(4.0))).otherwise(section)
 
 
@@ -70,26 +77,25 @@ def bm25(chunks: DataFrame, queries: DataFrame, k: int = 5, scope: list[str] | N
     ``chunks`` has chunk_id and a text column for each field; ``queries`` query_id, ``terms`` (tokens in
     order, repeats count) and a ``<field>_weight`` where a field's weight isn't 1.  With ``scope``, both
     have these columns, and statistics and matches stay inside a scope.  Only tokens that a query has
-    are counted, and no text enters a shuffle.
+    are counted, no text enters a shuffle, and texts are cut into tokens once.
     """
     scope = scope or []
     term = queries.select("query_id", *scope, *[F.col(f"{f}_weight") if f"{f}_weight" in queries.columns else F.lit(1.0).alias(f"{f}_weight") for f in fields], F.explode("terms").alias("token"))
     term = small(term.groupBy("query_id", *scope, *[f"{f}_weight" for f in fields], "token").agg(F.count("*").alias("times")))
-    wanted = small(term.select(*scope, "token").distinct())
-    scored = None
-    for f in fields:
-        listed = chunks.select("chunk_id", *scope, tokens(F.col(f)).alias("t"))
-        size = listed.groupBy(*scope).agg(F.count("*").alias("n"), F.greatest(F.avg(F.size("t")), F.lit(1.0)).alias("mean"))
-        hit = listed.select("chunk_id", *scope, F.size("t").alias("len"), F.explode("t").alias("token")).join(wanted, [*scope, "token"], "left_semi")
-        hit = hit.groupBy("chunk_id", *scope, "len", "token").agg(F.count("*").alias("tf"))
-        df = hit.groupBy(*scope, "token").agg(F.count("*").alias("df"))
-        df = df.join(F.broadcast(size), scope) if scope else df.crossJoin(F.broadcast(size))  # one row, or one a scope
-        idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        weight = term.join(df, [*scope, "token"]).select("query_id", *scope, "token", "mean", (F.col("times") * F.col(f"{f}_weight") * idf).alias("w"))
-        one = hit.join(weight, [*scope, "token"]).select(
-            "query_id", "chunk_id", (F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))).alias("s")
-        )
-        scored = one if scored is None else scored.unionByName(one)
+    wanted = small(term.select(*scope, "token").distinct().withColumn("asked", F.lit(True)))
+    texts = chunks.select("chunk_id", *scope, F.explode(F.array(*[F.struct(F.lit(f).alias("field"), tokens(F.col(f)).alias("t")) for f in fields])).alias("x"))
+    # the null token stands for the text itself
+    listed = texts.select("chunk_id", *scope, "x.field", F.size("x.t").alias("len"), F.explode(F.concat(F.array(F.lit(None).cast("string")), "x.t")).alias("token"))
+    kept = listed.join(wanted, [*scope, "token"], "left").where("token IS NULL OR asked")
+    rows = cut_to_table(kept.groupBy("chunk_id", *scope, "field", "len", "token").agg(F.count("*").alias("tf")))
+    by = [*scope, "field"]
+    size = rows.where("token IS NULL").groupBy(*by).agg(F.sum("tf").alias("n"), F.greatest(F.avg("len"), F.lit(1.0)).alias("mean"))
+    hit = rows.where("token IS NOT NULL")
+    df = hit.groupBy(*by, "token").agg(F.count("*").alias("df")).join(F.broadcast(size), by)  # a row a field and scope
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weight = F.coalesce(*[F.when(F.col("field") == f, F.col(f"{f}_weight")) for f in fields])
+    weight = small(term.join(df, [*scope, "token"]).select("query_id", *by, "token", "mean", (F.col("times") * weight * idf).alias("w")))
+    scored = hit.join(weight, [*by, "token"]).select("query_id", "chunk_id", (F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))).alias("s"))
     total = scored.groupBy("query_id", "chunk_id").agg(F.round(F.sum("s"), 6).alias("score"))
     return top(total, "query_id", [F.desc("score"), "chunk_id"], k)
 
@@ -194,12 +200,12 @@ def diversify(hits: DataFrame, group: str, k: int) -> DataFrame:
 
 
 def abstentions(queries: DataFrame, hits: DataFrame, dense_hits: DataFrame | None = None, threshold: float | None = None) -> DataFrame:
-    """query_id, abstained, reason: no hits, or the best dense score below the threshold."""
+    """query_id, abstained, reason: no hits, or the best dense score (0 without dense hits) below the threshold."""
     status = queries.select("query_id").join(hits.groupBy("query_id").agg(F.count("*").alias("n")), "query_id", "left")
     low = F.lit(False)
     if threshold is not None and dense_hits is not None:
         status = status.join(dense_hits.groupBy("query_id").agg(F.max("score").alias("best")), "query_id", "left")
-        low = F.coalesce(F.col("best") < threshold, F.lit(False))
+        low = F.coalesce("best", F.lit(0.0)) < threshold
     reason = F.when(low, "low_dense_confidence").when(F.col("n").isNull(), "no_retrieval_hits")
     return status.select("query_id", reason.isNotNull().alias("abstained"), reason.alias("reason"))
 
@@ -212,6 +218,31 @@ def with_parents(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     return first.withColumn("place", place).join(chunks.select("chunk_id"), "chunk_id", "left_semi").select("query_id", "chunk_id", "place")
 
 
+#: Tokens inside a passage by which texts that may hold it are found.
+ANCHOR = 3
+
+
+def holding(chunks: DataFrame, passages: DataFrame) -> DataFrame:
+    """query_id, chunk_id: the ``chunks`` (chunk_id, text) whose text holds a passage (query_id, passage) as it is.
+
+    The first and last token of a passage may be parts of a text's tokens, the others are whole: texts that
+    have the tokens after the first in a row are looked at closely.  Passages of fewer tokens are sought in
+    every text.  Null texts and passages give no rows.
+    """
+    t = tokens(F.col("passage"))
+    asked = passages.where(F.col("passage").isNotNull()).select("query_id", "passage", F.when(F.size(t) >= ANCHOR + 2, F.xxhash64(*[F.get(t, F.lit(1 + i)) for i in range(ANCHOR)])).alias("anchor"))
+    own = tokens(F.col("text"))
+    shifted = F.arrays_zip(*[F.slice(own, F.lit(1 + i), F.size(own)).alias(f"t{i}") for i in range(ANCHOR)])
+    runs = F.array_distinct(F.transform(shifted, lambda x: F.xxhash64(*[x[f"t{i}"] for i in range(ANCHOR)])))
+    anchors = small(asked.where("anchor IS NOT NULL").select("anchor").distinct())
+    may = chunks.select("chunk_id", F.explode(runs).alias("anchor")).join(anchors, "anchor")
+    found = may.join(small(asked), "anchor").join(chunks, "chunk_id").where(F.contains("text", F.col("passage"))).select("query_id", "chunk_id")
+    short = asked.where("anchor IS NULL").select("query_id", "passage")
+    if short.isEmpty():
+        return found
+    return found.unionByName(chunks.join(small(short), F.contains("text", F.col("passage"))).select("query_id", "chunk_id"))
+
+
 def recall_and_rank(hits: DataFrame, labels: DataFrame, k: int = 5) -> DataFrame:
     """query_id, recall, reciprocal_rank for each labelled query: share of its relevant chunks among the first ``k``."""
     relevant = labels.select("query_id", "chunk_id").distinct()

@@ -114,31 +114,76 @@ def collapse_repeats(asked: DataFrame, ttl: float, keys: list[str]) -> DataFrame
     return x.mapInArrow(judged, StructType([*x.schema.fields, StructField("reused", BooleanType())])).drop("_part")
 
 
-def policy_violations(turns: DataFrame) -> DataFrame:
-    """session, turn, violation: turns that break the rules of their mode.
+def transitions(turns: DataFrame) -> DataFrame:
+    """session, turn, key, old, value, rechecked, told: each change of a known fact.
 
-    ``turns``: session, turn, mode, response, why, basis, asks_key, recheck, fact_key, source_ids.
+    ``rechecked``: a turn up to this one asked to recheck the fact and had an action; ``told``: response and
+    interpretation name the old and the new value.  Facts of one turn are learned in their order.
     """
-    w = Window.partitionBy("session").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    turns = turns.withColumn("_known", F.array_contains(F.collect_set("fact_key").over(w), F.col("asks_key")))
-    empty = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
+    said = F.lower(F.concat_ws(" ", "response", "interpretation"))
+    facts = turns.select("session", "turn", said.alias("said"), F.posexplode("facts").alias("pos", "f")).select("session", "turn", "said", "pos", "f.*")
+    facts = facts.withColumn("old", F.lag("value").over(Window.partitionBy("session", "key").orderBy("turn", "pos"))).where(F.col("old") != F.col("value"))
+    asked = turns.where(F.col("asks_key").isNotNull() & F.col("recheck") & F.col("action").isNotNull()).groupBy("session", F.col("asks_key").alias("key")).agg(F.min("turn").alias("since"))
+    told = F.contains("said", F.lower("old")) & F.contains("said", F.lower("value"))
+    return facts.join(asked, ["session", "key"], "left").select("session", "turn", "key", "old", "value", F.coalesce(F.col("since") <= F.col("turn"), F.lit(False)).alias("rechecked"), told.alias("told"))
+
+
+def _ends(turns: DataFrame) -> DataFrame:
+    """session, final (the last mode), useful (the place of the first turn that advances or solves)."""
+    place = F.row_number().over(Window.partitionBy("session").orderBy("turn"))
+    useful = F.when(F.col("mode").isin("advance", "solve"), F.col("place"))
+    return turns.select("session", "turn", "mode", place.alias("place")).groupBy("session").agg(F.max_by("mode", "turn").alias("final"), F.min(useful).alias("useful"))
+
+
+def policy_violations(turns: DataFrame, cases: DataFrame | None = None) -> DataFrame:
+    """session, turn, violation: what breaks the conversation policy; the turn is null for a whole session.
+
+    ``turns``: session, turn, mode, response, interpretation, action (null: none), why, causes (those the
+    turn tells apart; null: no basis), asks_key (the fact it asks for; null: none), recheck (after the
+    action), facts (array of key, value: learned).  ``cases``: session, evidence_sufficient, tool_calls,
+    expected_mode, most_turns (to the first useful one).  A turn may break a rule for each of its facts.
+    """
+    mode, asks, acts = F.col("mode"), F.col("asks_key").isNotNull(), F.col("action").isNotNull()
+    causes = F.coalesce(F.size("causes"), F.lit(0))
     rules = [
-        ((F.col("mode") == "advance") & empty(F.col("why")), "advance_without_reason"),
-        ((F.col("mode") == "advance") & empty(F.col("basis")), "advance_without_discrimination"),
-        ((F.col("mode") == "clarify") & F.col("asks_key").isNull(), "clarify_without_question"),
-        ((F.col("mode") == "solve") & (F.size("source_ids") == 0), "solve_without_source"),
-        (F.col("asks_key").isNotNull() & F.coalesce("_known", F.lit(False)) & ~F.col("recheck"), "known_fact_asked_again"),
-        (~F.col("mode").isin("solve", "advance", "clarify", "abstain"), "unknown_mode"),
+        ((mode == "advance") & ~acts, "advance_without_action"),
+        ((mode == "advance") & (~acts | (F.coalesce("why", F.lit("")) == "")), "advance_without_reason"),
+        ((mode == "advance") & (causes < 2), "advance_without_discrimination"),
+        ((mode == "clarify") & ~asks, "clarify_without_question"),
+        ((mode == "clarify") & acts, "clarify_with_action"),
+        ((mode == "clarify") & F.col("causes").isNull(), "clarify_without_basis"),
+        ((mode == "solve") & (acts | asks), "solve_goes_on"),
+        ((mode == "abstain") & (acts | asks), "abstain_goes_on"),
+        (asks & F.col("recheck") & ~acts, "recheck_without_action"),
     ]
     found = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(r)) for c, r in rules]))
-    return turns.select("session", "turn", F.explode(found).alias("violation"))
+    out = turns.select("session", "turn", F.explode(found).alias("violation"))
+    known = turns.select("session", "turn", F.explode("facts").alias("f")).groupBy("session", F.col("f.key").alias("asks_key")).agg(F.min("turn").alias("since"))
+    again = turns.where(asks & ~F.col("recheck")).join(known, ["session", "asks_key"]).where("since < turn")
+    out = out.unionByName(again.select("session", "turn", F.lit("known_fact_asked_again").alias("violation")))
+    changed = transitions(turns)
+    why = F.array_compact(F.array(F.when(~F.col("rechecked"), F.lit("changed_without_recheck")), F.when(~F.col("told"), F.lit("transition_not_acknowledged"))))
+    out = out.unionByName(changed.select("session", "turn", F.explode(why).alias("violation")))
+    if cases is None:
+        return out
+    late = [
+        (F.col("evidence_sufficient") & (F.col("tool_calls") > 0), "needless_search"), (F.col("final") != F.col("expected_mode"), "terminal_mode"),
+        (F.col("useful").isNull() & (F.col("expected_mode") != "abstain"), "no_useful_turn"), (F.col("useful") > F.col("most_turns"), "useful_turn_too_late"),
+    ]
+    found = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(r)) for c, r in late]))
+    whole = cases.join(_ends(turns), "session").select("session", F.lit(None).cast(turns.schema["turn"].dataType).alias("turn"), F.explode(found).alias("violation"))
+    return out.unionByName(whole)
 
 
 def policy_report(turns: DataFrame, violations: DataFrame) -> DataFrame:
-    """One row: sessions, the share without violations, and the longest streak of questions."""
-    per = turns.select("session").distinct().join(violations.groupBy("session").agg(F.count("*").alias("n")), "session", "left")
-    per = per.join(streaks(turns, "mode", "clarify"), "session")
-    return per.agg(F.count("*").alias("sessions"), F.round(F.avg(F.col("n").isNull().cast("int")), 6).alias("pass_rate"), F.max("longest").alias("longest_clarify"), F.coalesce(F.sum("n"), F.lit(0)).alias("violations"))
+    """One row: sessions, the share without violations, the longest streak of questions, and the share of changed facts that are told."""
+    per = _ends(turns).join(violations.groupBy("session").agg(F.count("*").alias("n")), "session", "left").join(streaks(turns, "mode", "clarify"), "session")
+    whole = per.agg(
+        F.count("*").alias("sessions"), F.round(F.avg(F.col("n").isNull().cast("int")), 6).alias("pass_rate"), F.max("longest").alias("longest_clarify"), F.coalesce(F.sum("n"), F.lit(0)).alias("violations"),
+        F.round(F.avg("useful"), 6).alias("mean_first_useful"),
+    )
+    told = transitions(turns).agg(F.count("*").alias("transitions"), F.round(F.coalesce(F.avg(F.col("told").cast("int")), F.lit(1.0)), 6).alias("acknowledged_rate"))
+    return whole.crossJoin(F.broadcast(told))  # one row each
 
 
 TURN = "mode string, response string, facts array<struct<key:string,value:string>>, options array<struct<id:string,label:string,value:string>>, source_ids array<string>"

@@ -83,8 +83,8 @@ def bm25_scoped(spark, sf_dir: str) -> DataFrame:
 
 def _labels(spark, sf_dir) -> DataFrame:
     """Documents that hold a passage word for word."""
-    docs, asked = table(spark, sf_dir, "documents"), R.small(_asked(spark, sf_dir).withColumnRenamed("text", "passage"))
-    return docs.join(asked, F.contains("text", F.col("passage"))).select("query_id", F.col("doc_id").alias("chunk_id"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    return R.holding(docs, _asked(spark, sf_dir).withColumnRenamed("text", "passage"))
 
 
 @_query(_BM25 + """, m AS (
@@ -110,15 +110,8 @@ def retrieval_metrics(spark, sf_dir: str) -> DataFrame:
     )
 
 
-#: The query set of the searches whose SQL names it, and the whole one: each row whose id is divisible by 20.
-FEW, WHOLE = "{id} < 20", "{id} % 20 = 0"
-
-
-def _whole(sql: str) -> str:
-    """The same SQL over the whole query set."""
-    for name in ("q.vec_id", "doc_id"):
-        sql = sql.replace(FEW.format(id=name), WHOLE.format(id=name))
-    return sql
+#: The query set of the searches: each row whose id is divisible by 20.
+WHOLE = "{id} % 20 = 0"
 
 
 def _vectors(spark, sf_dir) -> DataFrame:
@@ -130,49 +123,37 @@ WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE)
 ), dense AS (
   SELECT q.vec_id AS query_id, d.vec_id AS chunk_id, round(list_cosine_similarity(q.v, d.v), 6) AS score,
          row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.v, d.v), 6) DESC, d.vec_id)::INT AS rank
-  FROM v q JOIN v d ON q.vec_id < 20 QUALIFY rank <= 32
+  FROM v q JOIN v d ON q.vec_id % 20 = 0 QUALIFY rank <= 32
 )"""
 
 
 @_query(_DENSE + "SELECT query_id, chunk_id, score, rank FROM dense WHERE rank <= 10")
 def dense_topk(spark, sf_dir: str) -> DataFrame:
-    """The ten nearest vectors of the query vectors (ids below 20), exact cosine."""
+    """The ten nearest vectors of the query vectors (ids divisible by 20), exact cosine."""
     return _near(spark, sf_dir, 10)
 
 
-def _near(spark, sf_dir, k, asked=FEW) -> DataFrame:
+def _near(spark, sf_dir, k, asked=WHOLE) -> DataFrame:
     v = _vectors(spark, sf_dir).drop("label")
     return R.dense(v, v.where(asked.format(id="chunk_id")).select(F.col("chunk_id").alias("query_id"), "vector"), k)
 
 
-@_query(_whole(ORACLES["dense_topk"]))
-def dense_topk_whole(spark, sf_dir: str) -> DataFrame:
-    """The ten nearest vectors of every vector whose id is divisible by 20, exact cosine."""
-    return _near(spark, sf_dir, 10, WHOLE)
-
-
 @_query("""
 WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings)
 SELECT q.vec_id AS query_id, d.vec_id AS chunk_id, round(list_cosine_similarity(q.v, d.v), 6) AS score,
        row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.v, d.v), 6) DESC, d.vec_id)::INT AS rank
-FROM v q JOIN v d ON q.vec_id < 20 AND q.label = d.label AND round(list_cosine_similarity(q.v, d.v), 6) >= 0.1 QUALIFY rank <= 5
+FROM v q JOIN v d ON q.vec_id % 20 = 0 AND q.label = d.label AND round(list_cosine_similarity(q.v, d.v), 6) >= 0.1 QUALIFY rank <= 5
 """)
 def dense_topk_filtered(spark, sf_dir: str) -> DataFrame:
     """The nearest vectors of the same label with a score of 0.1 or more."""
     return _near_of_label(spark, sf_dir)
 
 
-def _near_of_label(spark, sf_dir, asked=FEW) -> DataFrame:
+def _near_of_label(spark, sf_dir, asked=WHOLE) -> DataFrame:
     v = _vectors(spark, sf_dir)
     return R.dense(v, v.where(asked.format(id="chunk_id")).select(F.col("chunk_id").alias("query_id"), "vector", "label"), 5, match=["label"], least=0.1)
 
 
-@_query(_whole(ORACLES["dense_topk_filtered"]))
-def dense_topk_filtered_whole(spark, sf_dir: str) -> DataFrame:
-    """The same for every vector whose id is divisible by 20."""
-    return _near_of_label(spark, sf_dir, WHOLE)
-
-
 @_query()
 def dense_topk_lsh(spark, sf_dir: str) -> DataFrame:
     """Approximate nearest vectors of every vector whose id is divisible by 20, by random projections of unit vectors, scored exactly.
@@ -197,7 +178,7 @@ def dense_topk_lsh(spark, sf_dir: str) -> DataFrame:
 _FUSED = _DENSE + """, lex AS (
   SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, chunk_id)::INT AS rank FROM (
     SELECT a.doc_id AS query_id, b.doc_id AS chunk_id, len(list_intersect(a.t, b.t)) AS n FROM
-      (SELECT doc_id, list_distinct(regexp_extract_all(lower(split_part(text, chr(10), 1)), '[a-z0-9]+(?:[-_][a-z0-9]+)*')) AS t FROM documents WHERE doc_id < 20) a
+      (SELECT doc_id, list_distinct(regexp_extract_all(lower(split_part(text, chr(10), 1)), '[a-z0-9]+(?:[-_][a-z0-9]+)*')) AS t FROM documents WHERE doc_id % 20 = 0) a
       JOIN (SELECT doc_id, list_distinct(regexp_extract_all(lower(split_part(text, chr(10), 1)), '[a-z0-9]+(?:[-_][a-z0-9]+)*')) AS t FROM documents) b ON len(list_intersect(a.t, b.t)) > 0
   ) QUALIFY rank <= 32
 ), fused AS (
@@ -207,14 +188,14 @@ _FUSED = _DENSE + """, lex AS (
 )"""
 
 
-def _lexical(spark, sf_dir, asked=FEW) -> DataFrame:
+def _lexical(spark, sf_dir, asked=WHOLE) -> DataFrame:
     first = table(spark, sf_dir, "documents").select("doc_id", F.array_distinct(tokens(F.substring_index("text", "\n", 1))).alias("t"))
     asked = R.small(first.where(asked.format(id="doc_id")).select(F.col("doc_id").alias("query_id"), F.explode("t").alias("token")))
     n = first.select(F.col("doc_id").alias("chunk_id"), F.explode("t").alias("token")).join(asked, "token").groupBy("query_id", "chunk_id").agg(F.count("*").alias("n"))
     return R.top(n, "query_id", [F.desc("n"), "chunk_id"], 32)
 
 
-def _fused(spark, sf_dir, k, asked=FEW):
+def _fused(spark, sf_dir, k, asked=WHOLE):
     near = _near(spark, sf_dir, 32, asked)
     return near, R.fuse(near, _lexical(spark, sf_dir, asked), k)
 
@@ -225,16 +206,10 @@ def rrf_fusion(spark, sf_dir: str) -> DataFrame:
     return _best(spark, sf_dir)
 
 
-def _best(spark, sf_dir, asked=FEW) -> DataFrame:
+def _best(spark, sf_dir, asked=WHOLE) -> DataFrame:
     return _fused(spark, sf_dir, 10, asked)[1].select("query_id", "chunk_id", "dense_rank", "lexical_rank", "score", "rank")
 
 
-@_query(_whole(ORACLES["rrf_fusion"]))
-def rrf_fusion_whole(spark, sf_dir: str) -> DataFrame:
-    """The same for every id divisible by 20."""
-    return _best(spark, sf_dir, WHOLE)
-
-
 @_query(_FUSED + """, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, dense_rank NULLS LAST, lexical_rank NULLS LAST, chunk_id)::INT AS was FROM fused QUALIFY was <= 32
 ), g AS (SELECT r.*, source, row_number() OVER (PARTITION BY query_id, source ORDER BY was) > 1 AS later FROM r JOIN documents ON chunk_id = doc_id)
 SELECT query_id, chunk_id, source, score, row_number() OVER (PARTITION BY query_id ORDER BY later, was)::INT AS rank FROM g QUALIFY rank <= 5
@@ -244,40 +219,28 @@ def rrf_diversified(spark, sf_dir: str) -> DataFrame:
     return _diverse(spark, sf_dir)
 
 
-def _diverse(spark, sf_dir, asked=FEW) -> DataFrame:
+def _diverse(spark, sf_dir, asked=WHOLE) -> DataFrame:
     _, hits = _fused(spark, sf_dir, 32, asked)
     source = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "source")
     return R.diversify(source.join(R.small(hits), "chunk_id"), "source", 5).select("query_id", "chunk_id", "source", "score", "rank")
 
 
-@_query(_whole(ORACLES["rrf_diversified"]))
-def rrf_diversified_whole(spark, sf_dir: str) -> DataFrame:
-    """The same for every id divisible by 20."""
-    return _diverse(spark, sf_dir, WHOLE)
-
-
 @_query(_FUSED + """, status AS (SELECT query_id, max(score) AS best FROM dense GROUP BY 1)
-SELECT query_id, coalesce(best < 0.999, false) AS abstained, CASE WHEN best < 0.999 THEN 'low_dense_confidence' END AS reason,
+SELECT query_id, coalesce(best, 0) < 0.999 AS abstained, CASE WHEN coalesce(best, 0) < 0.999 THEN 'low_dense_confidence' END AS reason,
        count(dense_rank) AS dense_candidates, count(lexical_rank) AS lexical_candidates, count(*) FILTER (dense_rank IS NOT NULL AND lexical_rank IS NOT NULL) AS overlap
-FROM fused JOIN status USING (query_id) GROUP BY query_id, best
+FROM fused LEFT JOIN status USING (query_id) GROUP BY query_id, best
 """)
 def retrieval_diagnostics(spark, sf_dir: str) -> DataFrame:
     """Candidates of both lists, their overlap, and abstention at a dense threshold."""
     return _diagnosed(spark, sf_dir)
 
 
-def _diagnosed(spark, sf_dir, asked=FEW) -> DataFrame:
+def _diagnosed(spark, sf_dir, asked=WHOLE) -> DataFrame:
     near, hits = _fused(spark, sf_dir, 1000, asked)
     counts = hits.groupBy("query_id").agg(F.count("dense_rank").alias("dense_candidates"), F.count("lexical_rank").alias("lexical_candidates"), F.count_if(F.col("dense_rank").isNotNull() & F.col("lexical_rank").isNotNull()).alias("overlap"))
     return R.abstentions(counts, hits, near, 0.999).join(counts, "query_id")
 
 
-@_query(_whole(ORACLES["retrieval_diagnostics"]))
-def retrieval_diagnostics_whole(spark, sf_dir: str) -> DataFrame:
-    """The same for every id divisible by 20."""
-    return _diagnosed(spark, sf_dir, WHOLE)
-
-
 @_query("""
 WITH e AS (SELECT embedding AS a, list_transform(embedding, lambda x: round(x::DOUBLE, 2)) AS b FROM embeddings),
 c AS (SELECT list_cosine_similarity(list_transform(a, lambda x: x::DOUBLE), b) AS s FROM e WHERE len(a) = 64)

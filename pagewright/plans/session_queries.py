@@ -52,12 +52,13 @@ def fact_history(spark, sf_dir: str) -> DataFrame:
 
 
 _ACK = f"""trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'))"""
-_ACKS = "[" + ", ".join(repr(a) for a in T.ACKNOWLEDGED) + "]"
+_ACKS = "['yes', 'yeah', 'yep', 'okay', 'ok', 'done', 'thanks', 'thank you', 'understood']"
+_ACK_PHRASES = "['got it', 'what next', 'what is next', 'whats next', 'i understand', 'i have done it', 'i checked it']"
 
 
 @_query(f"""
 WITH a AS (SELECT conv_id AS session, turn, role, {_ACK} AS said FROM conversations
-), b AS (SELECT *, role = 'user' AND (list_contains({_ACKS}, said) OR (len(string_split(said, ' ')) <= 12 AND len(list_filter({_ACKS}, lambda k: contains(' ' || said || ' ', ' ' || k || ' '))) > 0)) AS acknowledged FROM a
+), b AS (SELECT *, role = 'user' AND (list_contains({_ACKS}, said) OR (len(string_split(said, ' ')) <= 12 AND len(list_filter({_ACK_PHRASES}, lambda k: contains(said, k))) > 0)) AS acknowledged FROM a
 ), c AS (SELECT *, role = 'user' AND NOT acknowledged AND coalesce(lag(role) OVER w = 'assistant', false) AS answers FROM b WINDOW w AS (PARTITION BY session ORDER BY turn)
 ), d AS (SELECT *, sum(answers::INT) OVER (PARTITION BY session ORDER BY turn)::BIGINT AS completed FROM c)
 SELECT session, turn, acknowledged, completed FROM d WHERE role = 'user'
@@ -74,7 +75,7 @@ def _asked(c: DataFrame, text: Column) -> DataFrame:
 
 @_query("""
 WITH RECURSIVE q AS (
-  SELECT conv_id * 100 + turn AS query_id, conv_id * 60.0::DOUBLE + turn AS tm, trim(regexp_replace(lower(substr(text, 1, 12)), '\\s+', ' ', 'g')) AS c FROM conversations WHERE role = 'user'
+  SELECT conv_id * 100 + turn AS query_id, conv_id * 60.0::DOUBLE + turn AS tm, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS c FROM conversations WHERE role = 'user'
 ), o AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY tm, query_id) AS n FROM q
 ), r AS (
   SELECT c, n, query_id, tm, tm AS start, false AS reused FROM o WHERE n = 1
@@ -83,49 +84,72 @@ WITH RECURSIVE q AS (
 SELECT query_id, reused FROM r
 """)
 def repeat_query_collapse(spark, sf_dir: str) -> DataFrame:
-    """User turns' beginnings as queries: which ones a retrieval of the last 900 seconds serves."""
-    return S.collapse_repeats(_asked(table(spark, sf_dir, "conversations"), F.substring("text", 1, 12)), 900.0, []).select("query_id", "reused")
-
-
-@_query(ORACLES["repeat_query_collapse"].replace("substr(text, 1, 12)", "text"))
-def repeat_query_collapse_whole(spark, sf_dir: str) -> DataFrame:
-    """User turns' whole texts as queries: which ones a retrieval of the last 900 seconds serves."""
+    """User turns as queries: which ones a retrieval of the last 900 seconds serves."""
     return S.collapse_repeats(_asked(table(spark, sf_dir, "conversations"), F.col("text")), 900.0, []).select("query_id", "reused")
 
 
 def _turns(spark, sf_dir) -> DataFrame:
-    """Conversation turns as diagnostic turns with some faults."""
+    """Conversation turns as diagnostic turns with some faults; a turn learns one or two facts."""
     c, t = table(spark, sf_dir, "conversations"), F.col("turn")
     n = F.length("text")
     mode = F.when(F.col("role") == "user", "clarify").when(n % 4 == 0, "solve").when(n % 4 == 1, "advance").otherwise("clarify")
+    fact = lambda k, v: F.struct(F.concat(F.lit("k"), k.cast("string")).alias("key"), F.concat(F.lit("v"), v.cast("string")).alias("value"))
+    basis = F.when(n % 3 == 1, F.array(F.lit("a"), F.lit("b"))).when(n % 3 == 2, F.array(F.lit("a")))
     return c.select(
-        F.col("conv_id").alias("session"), "turn", mode.alias("mode"), F.col("text").alias("response"), F.when(n % 5 != 0, "because").alias("why"), F.when(n % 3 != 0, "basis").alias("basis"),
-        F.when((mode == "clarify") & (n % 6 != 0), F.concat(F.lit("k"), (n % 4).cast("string"))).alias("asks_key"), (t % 2 == 1).alias("recheck"), F.concat(F.lit("k"), (t % 4).cast("string")).alias("fact_key"),
-        F.when(n % 7 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("s1"))).alias("source_ids"),
+        F.col("conv_id").alias("session"), "turn", mode.alias("mode"), F.when(n % 2 == 0, "It went from v0 to V1.").alias("response"), F.when(n % 5 == 0, "now v2").alias("interpretation"),
+        F.when(n % 5 < 3, F.lit("try it")).alias("action"), F.when(n % 5 != 0, "because").alias("why"), basis.alias("causes"),
+        F.when((mode == "clarify") & (n % 6 != 0), F.concat(F.lit("k"), (n % 4).cast("string"))).alias("asks_key"), (t % 2 == 1).alias("recheck"),
+        F.when(n % 7 == 0, F.array(fact(t % 4, n % 3), fact(t % 3, n % 2))).otherwise(F.array(fact(t % 4, n % 3))).alias("facts"),
     )
 
 
+def _cases(spark, sf_dir) -> DataFrame:
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session")).distinct()
+    n = F.col("session")
+    mode = F.when(n % 3 == 0, "solve").when(n % 3 == 1, "clarify").otherwise("abstain")
+    return c.select("session", (n % 4 == 0).alias("evidence_sufficient"), (n % 5).cast("int").alias("tool_calls"), mode.alias("expected_mode"), (n % 2 + 1).cast("int").alias("most_turns"))
+
+
 _TURNS = """
 WITH m AS (SELECT *, length(text) AS n, CASE WHEN role = 'user' THEN 'clarify' WHEN length(text) % 4 = 0 THEN 'solve' WHEN length(text) % 4 = 1 THEN 'advance' ELSE 'clarify' END AS mode FROM conversations
 ), t AS (
-  SELECT conv_id AS session, turn, mode, n, CASE WHEN mode = 'clarify' AND n % 6 <> 0 THEN 'k' || (n % 4) END AS asks_key, turn % 2 = 1 AS recheck, 'k' || (turn % 4) AS fact_key FROM m
-), k AS (SELECT *, list(fact_key) OVER (PARTITION BY session ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS known FROM t
+  SELECT conv_id AS session, turn, mode, n, CASE WHEN mode = 'clarify' AND n % 6 <> 0 THEN 'k' || (n % 4) END AS asks_key, turn % 2 = 1 AS recheck, n % 5 < 3 AS acts, n % 5 <> 0 AS why, n % 3 AS causes,
+         lower(concat_ws(' ', CASE WHEN n % 2 = 0 THEN 'It went from v0 to V1.' END, CASE WHEN n % 5 = 0 THEN 'now v2' END)) AS said FROM m
+), fc AS (
+  SELECT session, turn, 0 AS pos, 'k' || (turn % 4) AS key, 'v' || (n % 3) AS value, said FROM t UNION ALL SELECT session, turn, 1, 'k' || (turn % 3), 'v' || (n % 2), said FROM t WHERE n % 7 = 0
+), fl AS (SELECT *, lag(value) OVER (PARTITION BY session, key ORDER BY turn, pos) AS old FROM fc
+), ra AS (SELECT session, asks_key AS key, min(turn) AS turn FROM t WHERE asks_key IS NOT NULL AND recheck AND acts GROUP BY 1, 2
+), tr AS (
+  SELECT fl.*, ra.turn IS NOT NULL AND ra.turn <= fl.turn AS rechecked, contains(said, old) AND contains(said, value) AS told FROM fl LEFT JOIN ra ON fl.session = ra.session AND fl.key = ra.key WHERE old <> value
+), kn AS (SELECT session, key, min(turn) AS since FROM fc GROUP BY 1, 2
+), cs AS (SELECT DISTINCT conv_id AS session, CASE conv_id % 3 WHEN 0 THEN 'solve' WHEN 1 THEN 'clarify' ELSE 'abstain' END AS expected, conv_id % 2 + 1 AS most FROM conversations
+), se AS (SELECT session, arg_max(mode, turn) AS final, min(o) FILTER (mode IN ('advance', 'solve')) AS useful FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY turn) AS o FROM t) GROUP BY 1
 ), v AS (
-  SELECT session, turn, 'advance_without_reason' AS violation FROM k WHERE mode = 'advance' AND n % 5 = 0
-  UNION ALL SELECT session, turn, 'advance_without_discrimination' FROM k WHERE mode = 'advance' AND n % 3 = 0
-  UNION ALL SELECT session, turn, 'clarify_without_question' FROM k WHERE mode = 'clarify' AND asks_key IS NULL
-  UNION ALL SELECT session, turn, 'solve_without_source' FROM k WHERE mode = 'solve' AND n % 7 = 0
-  UNION ALL SELECT session, turn, 'known_fact_asked_again' FROM k WHERE asks_key IS NOT NULL AND coalesce(list_contains(known, asks_key), false) AND NOT recheck
+  SELECT session, turn, 'advance_without_action' AS violation FROM t WHERE mode = 'advance' AND NOT acts
+  UNION ALL SELECT session, turn, 'advance_without_reason' FROM t WHERE mode = 'advance' AND NOT (acts AND why)
+  UNION ALL SELECT session, turn, 'advance_without_discrimination' FROM t WHERE mode = 'advance' AND causes <> 1
+  UNION ALL SELECT session, turn, 'clarify_without_question' FROM t WHERE mode = 'clarify' AND asks_key IS NULL
+  UNION ALL SELECT session, turn, 'clarify_with_action' FROM t WHERE mode = 'clarify' AND acts
+  UNION ALL SELECT session, turn, 'clarify_without_basis' FROM t WHERE mode = 'clarify' AND causes = 0
+  UNION ALL SELECT session, turn, 'solve_goes_on' FROM t WHERE mode = 'solve' AND (acts OR asks_key IS NOT NULL)
+  UNION ALL SELECT session, turn, 'recheck_without_action' FROM t WHERE asks_key IS NOT NULL AND recheck AND NOT acts
+  UNION ALL SELECT t.session, t.turn, 'known_fact_asked_again' FROM t JOIN kn ON t.session = kn.session AND asks_key = key AND since < turn WHERE NOT recheck
+  UNION ALL SELECT session, turn, 'changed_without_recheck' FROM tr WHERE NOT rechecked
+  UNION ALL SELECT session, turn, 'transition_not_acknowledged' FROM tr WHERE NOT told
+  UNION ALL SELECT session, NULL, 'needless_search' FROM cs WHERE session % 4 = 0 AND session % 5 > 0
+  UNION ALL SELECT session, NULL, 'terminal_mode' FROM cs JOIN se USING (session) WHERE final <> expected
+  UNION ALL SELECT session, NULL, 'no_useful_turn' FROM cs JOIN se USING (session) WHERE useful IS NULL AND expected <> 'abstain'
+  UNION ALL SELECT session, NULL, 'useful_turn_too_late' FROM cs JOIN se USING (session) WHERE useful > most
 ), i AS (
   SELECT session, mode, turn, row_number() OVER (PARTITION BY session ORDER BY turn) - sum((mode = 'clarify')::INT) OVER (PARTITION BY session ORDER BY turn) AS island FROM t
 ), st AS (SELECT session, max(c)::BIGINT AS longest FROM (SELECT session, island, sum((mode = 'clarify')::INT) AS c FROM i GROUP BY 1, 2) GROUP BY 1)
 """
 
 
-@_query(_TURNS + "SELECT session, turn, violation FROM v")
+@_query(_TURNS + "SELECT session, turn, violation, count(*) AS times FROM v GROUP BY 1, 2, 3")
 def policy_violations(spark, sf_dir: str) -> DataFrame:
-    """Turns that break the rules of their mode."""
-    return S.policy_violations(_turns(spark, sf_dir))
+    """Breaches of the conversation policy by turn, and of whole sessions (null turn)."""
+    return S.policy_violations(_turns(spark, sf_dir), _cases(spark, sf_dir)).groupBy("session", "turn", "violation").agg(F.count("*").alias("times"))
 
 
 @_query(_TURNS + "SELECT session, longest FROM st")
@@ -134,11 +158,12 @@ def clarify_streak(spark, sf_dir: str) -> DataFrame:
     return S.streaks(_turns(spark, sf_dir), "mode", "clarify")
 
 
-@_query(_TURNS + "SELECT (SELECT count(*) FROM st) AS sessions, round((SELECT avg((session NOT IN (SELECT session FROM v))::INT) FROM st), 6) AS pass_rate, (SELECT max(longest) FROM st) AS longest_clarify, (SELECT count(*) FROM v) AS violations")
+@_query(_TURNS + """SELECT (SELECT count(*) FROM st) AS sessions, round((SELECT avg((session NOT IN (SELECT session FROM v))::INT) FROM st), 6) AS pass_rate, (SELECT max(longest) FROM st) AS longest_clarify, (SELECT count(*) FROM v) AS violations,
+  (SELECT count(*) FROM tr) AS transitions, (SELECT round(coalesce(avg(told::INT), 1), 6) FROM tr) AS acknowledged_rate, (SELECT round(avg(useful), 6) FROM se) AS mean_first_useful""")
 def policy_report(spark, sf_dir: str) -> DataFrame:
-    """Sessions, pass rate, longest streak and violations."""
+    """Sessions, pass rate, longest streak, violations and acknowledged changes of facts."""
     t = _turns(spark, sf_dir)
-    return S.policy_report(t, S.policy_violations(t))
+    return S.policy_report(t, S.policy_violations(t, _cases(spark, sf_dir)))
 
 
 @_query("""
@@ -234,25 +259,15 @@ def asset_groups(spark, sf_dir: str) -> DataFrame:
     return g.select("asset_id", F.col("n_occurrences").cast("long").alias("n_occurrences"), F.element_at("occurrences", 1)["document_id"].alias("first_document"))
 
 
-@_query(_DEMOTED + ", h AS (SELECT l_orderkey AS query_id, l_partkey % 500 AS chunk_id FROM lineitem WHERE l_orderkey % 100 = 0), k AS (SELECT p_partkey AS asset_id, p_partkey % 500 AS chunk_id, p_size AS page FROM part), g AS (SELECT query_id, k.asset_id, min(page) AS page FROM k JOIN z ON k.asset_id = z.asset_id AND cl = 'valid' JOIN h USING (chunk_id) GROUP BY 1, 2) SELECT query_id, asset_id, page FROM g QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY page, asset_id) = 1")
+@_query(_DEMOTED + ", h AS (SELECT l_orderkey AS query_id, l_partkey % 500 AS chunk_id FROM lineitem), k AS (SELECT p_partkey AS asset_id, p_partkey % 500 AS chunk_id, p_size AS page FROM part), g AS (SELECT query_id, k.asset_id, min(page) AS page FROM k JOIN z ON k.asset_id = z.asset_id AND cl = 'valid' JOIN h USING (chunk_id) GROUP BY 1, 2) SELECT query_id, asset_id, page FROM g QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY page, asset_id) = 1")
 def image_for_hits(spark, sf_dir: str) -> DataFrame:
     """The first valid image of each query's hits."""
-    return _images(spark, sf_dir, "l_orderkey % 100 = 0")
-
-
-def _images(spark, sf_dir, asked) -> DataFrame:
     assets = A.demote(A.scored(_features(spark, sf_dir)))
     links = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("asset_id"), (F.col("p_partkey") % 500).alias("chunk_id"), F.col("p_size").alias("page"))
-    hits = table(spark, sf_dir, "lineitem").where(asked).select(F.col("l_orderkey").alias("query_id"), (F.col("l_partkey") % 500).alias("chunk_id"))
+    hits = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("query_id"), (F.col("l_partkey") % 500).alias("chunk_id"))
     return A.for_hits(assets, links, hits)
 
 
-@_query(ORACLES["image_for_hits"].replace(" WHERE l_orderkey % 100 = 0", ""))
-def image_for_hits_whole(spark, sf_dir: str) -> DataFrame:
-    """The same for all line items."""
-    return _images(spark, sf_dir, "true")
-
-
 #: The search set: each part whose key is divisible by 20.
 WHOLE = "p_partkey % 20 = 0"
 
@@ -264,7 +279,7 @@ def _part_queries(spark, sf_dir, asked=WHOLE) -> DataFrame:
     return table(spark, sf_dir, "part").where(asked).select(k.alias("query_id"), text.alias("text"), F.col("p_brand").alias("identity"))
 
 
-_PQ = """pq AS (SELECT p_partkey AS query_id, CASE p_partkey % 3 WHEN 0 THEN 'which unit needs spare part M' || lpad(p_partkey::VARCHAR, 5, '0') || '-001' WHEN 1 THEN 'How do I check the ' || p_name ELSE 'warning for ' || p_name || ' will not print' END AS text FROM part WHERE p_partkey % 100 = 7)"""
+_PQ = """pq AS (SELECT p_partkey AS query_id, CASE p_partkey % 3 WHEN 0 THEN 'which unit needs spare part M' || lpad(p_partkey::VARCHAR, 5, '0') || '-001' WHEN 1 THEN 'How do I check the ' || p_name ELSE 'warning for ' || p_name || ' will not print' END AS text FROM part WHERE p_partkey % 20 = 0)"""
 
 
 @_query()
@@ -283,12 +298,6 @@ def bm25_query_rewrite(spark, sf_dir: str) -> DataFrame:
 ) SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY chunk_id)::INT AS rank, 1.0::DOUBLE AS score FROM h QUALIFY rank <= 5""")
 def exact_identifier_hits(spark, sf_dir: str) -> DataFrame:
     """Identifier chunks that hold an identifier of the query."""
-    return exact_hits(K_identifier_chunks(spark, sf_dir), _part_queries(spark, sf_dir, "p_partkey % 100 = 7"), 5)
-
-
-@_query(ORACLES["exact_identifier_hits"].replace("p_partkey % 100 = 7", WHOLE))
-def exact_identifier_hits_whole(spark, sf_dir: str) -> DataFrame:
-    """The same for the whole search set."""
     return exact_hits(K_identifier_chunks(spark, sf_dir), _part_queries(spark, sf_dir), 5)
 
 
@@ -302,7 +311,7 @@ def K_identifier_chunks(spark, sf_dir) -> DataFrame:
 def exact_identifier_route(spark, sf_dir: str) -> DataFrame:
     """Exact hits where the query names an identifier, BM25 hits elsewhere."""
     q = _part_queries(spark, sf_dir)
-    return routed(exact_identifier_hits_whole(spark, sf_dir), bm25_query_rewrite(spark, sf_dir).select("query_id", "chunk_id", "rank", "score"), q)
+    return routed(exact_identifier_hits(spark, sf_dir), bm25_query_rewrite(spark, sf_dir).select("query_id", "chunk_id", "rank", "score"), q)
 
 
 def _evidence(spark, sf_dir) -> DataFrame:
@@ -322,20 +331,36 @@ def context_blocks(spark, sf_dir: str) -> DataFrame:
     return E.contexts(_evidence(spark, sf_dir))
 
 
-@_query("""
-WITH h AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN 'The printer will not print' ELSE 'How do I print' END AS query,
-  CASE p_partkey % 4 WHEN 0 THEN 'The printer does not print' WHEN 1 THEN 'Solve problems' WHEN 2 THEN 'It cannot print after setup' ELSE 'Cannot print' END AS section,
-  CASE WHEN p_partkey % 3 = 0 THEN 'Check the usb port of the ' || p_name ELSE 'Restart the ' || p_name END AS content FROM part)
-SELECT id FROM h WHERE NOT (contains(lower(query), 'print') AND (contains(lower(query), 'not'))) OR ((contains(lower(section), 'does not print') OR contains(lower(section), 'cannot print')) AND NOT contains(lower(content), 'usb') AND NOT contains(lower(section), 'after '))
-""")
+_SAID = ["The printer will not print", "How do I print", "Print fails on wifi", "It cannot print, toner is new"]
+_HEADS = ["The printer does not print", "Solve problems", "It cannot print after setup", "Cannot print"]
+_TEXTS = ["Check the WLAN of the ", "Restart the ", "Open the firewall for the ", "Clear a misfeed of the ", "Change the toner of the ", "Delete a stored job of the ", "A usb cable fits the "]
+
+
+def _picked(k: str, values: list[str]) -> str:
+    return f"CASE {k} % {len(values)} " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(values)) + " END"
+
+
+_HITS = f"""h AS (SELECT p_partkey AS id, {_picked('p_partkey', _SAID)} AS query, {_picked('p_size', _HEADS)} AS section, {_picked('p_partkey', _TEXTS)} || p_name AS content FROM part)"""
+_GROUPS = [
+    ["wireless", "wi-fi", "wifi", "wlan"], ["firewall"], ["multiple sheets", "misfeed", "pick up paper", "paper feed"],
+    ["print quality", "image defect", "toner", "streak", "blur", "blank page"], ["job storage", "stored job", "private print", "delayed print"],
+]
+
+
+def _has(column: str, terms: list[str]) -> str:
+    return "(" + " OR ".join("contains({}, '{}')".format(column, t.replace("'", "''")) for t in terms) + ")"
+
+
+_FOREIGN = " OR ".join(f"({_has('body', g)} AND NOT {_has('q', g)})" for g in _GROUPS)
+_BROAD = "(contains(q, 'print') AND " + _has("q", ["not", "cannot", "unable", "won't", "wont", "fails", "offline"]) + ")"
+
+
+@_query(f"""WITH {_HITS}, x AS (SELECT id, lower(query) AS q, lower(section) AS s, lower(section || chr(10) || content) AS body FROM h)
+SELECT id FROM x WHERE NOT {_BROAD} OR ({_has('s', ['does not print', 'cannot print'])} AND NOT ({_FOREIGN}) AND NOT contains(s, 'after '))""")
 def evidence_filter(spark, sf_dir: str) -> DataFrame:
     """Evidence that fits a broad failure report, over hits made of the parts."""
-    k = F.col("p_partkey")
-    h = table(spark, sf_dir, "part").select(
-        k.alias("id"), F.when(k % 2 == 0, "The printer will not print").otherwise("How do I print").alias("query"),
-        F.when(k % 4 == 0, "The printer does not print").when(k % 4 == 1, "Solve problems").when(k % 4 == 2, "It cannot print after setup").otherwise("Cannot print").alias("section"),
-        F.when(k % 3 == 0, F.concat(F.lit("Check the usb port of the "), F.col("p_name"))).otherwise(F.concat(F.lit("Restart the "), F.col("p_name"))).alias("content"),
-    )
+    pick = lambda k, values: F.element_at(F.array(*map(F.lit, values)), (F.col(k) % len(values) + 1).cast("int"))
+    h = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), pick("p_partkey", _SAID).alias("query"), pick("p_size", _HEADS).alias("section"), F.concat(pick("p_partkey", _TEXTS), F.col("p_name")).alias("content"))
     return E.specific_evidence(h).select("id")
 
 
@@ -352,19 +377,9 @@ def fact_stream(spark, sf_dir: str) -> DataFrame:
     return Z.collected(spark, Z.fact_history_stream(facts), *_work(spark, "facts"))
 
 
-@_query("""
-SELECT DISTINCT trim(regexp_replace(lower(substr(text, 1, 12)), '\\s+', ' ', 'g')) AS canonical FROM conversations WHERE role = 'user'
-""")
+@_query(ORACLES["repeat_query_collapse"].replace("SELECT query_id, reused FROM r", "SELECT query_id, c AS canonical FROM r WHERE NOT reused"))
 def repeat_query_stream(spark, sf_dir: str) -> DataFrame:
-    """User turns' beginnings as a stream: equal ones within the watermark appear once."""
-    raw = spark.readStream.schema(table(spark, sf_dir, "conversations").schema).parquet(f"{sf_dir}/conversation[s].parquet")
-    asked = raw.where("role = 'user'").select(F.substring("text", 1, 12).alias("text"), F.timestamp_seconds(F.lit(1_700_000_000)).alias("at"))
-    return Z.collected(spark, Z.first_queries_stream(asked), *_work(spark, "queries")).select("canonical")
-
-
-@_query(ORACLES["repeat_query_collapse"].replace("substr(text, 1, 12)", "text").replace("SELECT query_id, reused FROM r", "SELECT query_id, c AS canonical FROM r WHERE NOT reused"))
-def repeat_query_stream_whole(spark, sf_dir: str) -> DataFrame:
-    """User turns' whole texts as a stream at the times of ``repeat_query_collapse_whole``: those that retrieve.
+    """User turns' whole texts as a stream at the times of ``repeat_query_collapse``: those that retrieve.
 
     The times begin at a date, as the first watermark is the epoch and what isn't after it is late.
     """

@@ -48,18 +48,21 @@ def resolved_sources(entries: DataFrame, files: DataFrame, key: str = "relative_
 
 def page_documents(spark: SparkSession, path: str) -> DataFrame:
     """document_id, page_seq (order in the file), page_number, text and more from page documents."""
-    raw = spark.read.schema(PAGE_DOCUMENT).option("multiLine", "true").option("pathGlobFilter", "[!p]*.json").json(path)
+    raw = spark.read.schema(PAGE_DOCUMENT).option("multiLine", "true").option("pathGlobFilter", "*.json").json(path)
+    raw = raw.where(F.col("_metadata.file_name") != "parse_report.json")
     return raw.select(F.col("source_file").alias("document_id"), F.posexplode("pages").alias("page_seq", "p")).select("document_id", "page_seq", "p.*")
 
 
-def chunk_lines(spark: SparkSession, path: str, profile: str | None = None, document_id: str | None = None, limit: int | None = None) -> DataFrame:
-    """Chunks of JSON lines in a stable order; a line that can't be read is an error."""
+def chunk_lines(spark: SparkSession, path: str, profile: str | None = None, document_id: str | None = None, limit: int | None = None, category: str | None = None) -> DataFrame:
+    """Chunks of JSON lines in a stable order; a line that can't be read is an error. ``category``: a folder of the path."""
     raw = spark.read.schema(CHUNK + ", _corrupt_record string").option("columnNameOfCorruptRecord", "_corrupt_record").json(path).withColumn("_file", F.input_file_name())
     bad = raw.select("_file", "_corrupt_record").cache()
     if rows := bad.where("_corrupt_record IS NOT NULL").limit(1).collect():
         raise ValueError(f"{rows[0][0]}: not a chunk: {rows[0][1][:200]}")
     bad.unpersist()
     out = raw.drop("_corrupt_record")
+    if category:
+        out = out.where(F.array_contains(F.split("_file", "/"), category))
     if profile:
         out = out.where(F.array_contains("retrieval_profiles", profile))
     if document_id:

@@ -19,9 +19,9 @@ def test_bm25_and_exact(spark):
 
 
 def test_rewriting(spark):
-    q = spark.createDataFrame([("Example 1 recommended tools", "Example 1"), ("it will not print", None), ("which topic is it", None)], "q string, identity string")
+    q = spark.createDataFrame([("Example 1 recommended tools", "Example 1"), ("it will not print", ""), ("which topic is it", ""), ("the paper topic", None)], "q string, identity string")
     got = [r[0] for r in q.select(R.rewritten(F.col("q"), F.col("identity"))).collect()]
-    assert got[0] == ["recommended", "tools"] and got[1][-2:] == ["problem", "solve"] and got[2] == ["topic", "topics"]
+    assert got[0] == ["recommended", "tools"] and got[1][-2:] == ["problem", "solve"] and got[2] == ["topic", "topics"] and got[3] == ["the", "paper", "topic"]
 
 
 def test_fusion_and_diversity(spark):
@@ -67,7 +67,7 @@ def test_lsh_recall(spark):
     from pagewright.plans import search_queries as Q
 
     data = "/root/testdata/sf0.001"
-    exact = {(r.query_id, r.chunk_id) for r in Q.dense_topk_whole(spark, data).collect()}
+    exact = {(r.query_id, r.chunk_id) for r in Q.dense_topk(spark, data).collect()}
     found = [(r.query_id, r.chunk_id) for r in Q.dense_topk_lsh(spark, data).collect()]
     assert len(found) == len(exact) == 10 * len({q for q, _ in exact}) and {q for q, _ in exact} == set(range(0, 500, 20))
     print("recall of dense_topk_lsh", len(exact & set(found)) / len(exact))

@@ -1,9 +1,11 @@
 import datetime as dt
+import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pagewright.functions.text import acknowledgement
+from pagewright.functions.text import acknowledgement, broad_failure
 from pagewright.operators import assets as A
 from pagewright.operators import sessions as S
 from pagewright.sources import tables as X
@@ -11,8 +13,10 @@ from pagewright.streaming import sessions as Z
 
 
 def test_acknowledgement(spark):
-    rows = spark.createDataFrame([("Got it",), ("The light blinks amber",), ("ok, what next?",)], "t string")
-    assert [r[0] for r in rows.select(acknowledgement(F.col("t"))).collect()] == [True, False, True]
+    said = {"Got it": True, "The light blinks amber": False, "ok, what next?": True, "yes the light is red": False, "next": False, "I checked it.": True, "Thank you!": True, "": False, "got it " + "and more " * 6: False}
+    rows = spark.createDataFrame([(k,) for k in said] + [(None,)], "t string")
+    assert {r.t: r.a for r in rows.select("t", acknowledgement(F.col("t")).alias("a")).collect()} == said | {None: None}
+    assert spark.sql("SELECT 'print fails' AS q").select(broad_failure(F.col("q"))).first()[0]
 
 
 def test_fact_history(spark):
@@ -67,7 +71,70 @@ def test_pixels(spark):
             px += bytes((v, v, v))
     rows = spark.createDataFrame([("a", height, width, 3, bytes(px)), ("n", None, None, None, None)], "asset_id string, height int, width int, nChannels int, data binary")
     got = {r.asset_id: r for r in A.pixel_features(rows).collect()}
-    assert got["a"].entropy > 0.5 and got["a"].edge_density > 0.1 and got["n"].entropy is None
+    # neighbours that differ by more than 20, as the mean of the shares of both axes
+    dark = lambda r, c: px[(r * width + c) * 3]
+    across = sum(dark(r, c) != dark(r, c + 1) for r in range(100) for c in range(99)) / 9900
+    down = sum(dark(r, c) != dark(r + 1, c) for r in range(99) for c in range(100)) / 9900
+    expected = (across + down) / 2
+    assert got["a"].entropy > 0.5 and got["a"].edge_density == pytest.approx(expected) and got["n"].entropy is None
+
+
+def test_pixel_helpers():
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 256, (64, 64)).astype(float)
+    assert np.array_equal(A._shrunk(x, 64, 64), x) and np.array_equal(A._shrunk(np.full((300, 7), 9.0), 8, 9), np.full((8, 9), 9.0))
+    ramp = A._shrunk(np.repeat(np.arange(0, 256, 2.0)[None], 5, 0), 5, 16)
+    assert (np.diff(ramp, axis=1) > 10).all()
+    for _ in range(30):
+        grid = rng.random((12, 9)) < 0.3
+        seen, count = set(), 0
+        for cell in zip(*np.nonzero(grid), strict=True):
+            if cell in seen:
+                continue
+            count, todo = count + 1, [cell]
+            while todo:
+                r, c = todo.pop()
+                if (r, c) in seen or not (0 <= r < 12 and 0 <= c < 9) or not grid[r, c]:
+                    continue
+                seen.add((r, c))
+                todo += [(r + i, c + j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+        assert A._components(grid) == count
+    assert A._edges(np.array([[0.0, 30.0], [0.0, 0.0]])) == 0.5 and A._edges(np.zeros((1, 1))) == 0.0
+
+
+def test_undecodable_images_are_no_twins(spark):
+    rows = [(i, h, 300, 300, 1, 0, "valid", ["x"]) for i, h in enumerate(["a", "a", None, None, "b"])]
+    df = spark.createDataFrame(rows, "asset_id long, perceptual_hash string, width int, height int, n_occurrences int, quality_score int, classification string, reasons array<string>")
+    assert {r.asset_id: r.duplicate_of for r in A.demote(df).collect()} == {0: None, 1: 0, 2: None, 3: None, 4: None}
+
+
+def test_page_documents(spark, tmp_path):
+    for name in ("printer", "scanner", "parse_report"):
+        page = {"page_number": 1, "text": name, "parser": "native", "confidence": 1.0, "requires_ocr": False}
+        (tmp_path / f"{name}.json").write_text(json.dumps({"source_file": name, "pdf_type": "native", "pages": [page, page | {"page_number": 2}]}, indent=1))
+    got = X.page_documents(spark, str(tmp_path)).collect()
+    assert sorted((r.document_id, r.page_seq, r.page_number) for r in got) == [(n, i, i + 1) for n in ("printer", "scanner") for i in (0, 1)]
+
+
+def test_policy(spark):
+    schema = "session int, turn int, mode string, response string, interpretation string, action string, why string, causes array<string>, asks_key string, recheck boolean, facts array<struct<key:string,value:string>>"
+    rows = [
+        (1, 1, "clarify", "which light?", None, None, None, ["a"], "light", False, []),
+        (1, 2, "advance", "try it", None, "hold power", "because", ["a", "b"], "light", True, [("light", "Amber")]),
+        (1, 3, "solve", "It went from amber to white.", None, None, None, None, None, False, [("light", "white")]),
+        (2, 1, "advance", None, None, None, None, None, None, False, [("k", "1"), ("k", "2")]),
+        (2, 2, "clarify", None, None, "act", None, None, "k", False, []),
+        (2, 3, "abstain", None, None, None, None, None, "z", True, []),
+    ]
+    cases = spark.createDataFrame([(1, True, 0, "solve", 2), (2, True, 1, "solve", 1)], "session int, evidence_sufficient boolean, tool_calls int, expected_mode string, most_turns int")
+    turns = spark.createDataFrame(rows, schema)
+    found = S.policy_violations(turns, cases)
+    assert sorted((r.session, r.turn or 0, r.violation) for r in found.collect()) == [
+        (2, 0, "needless_search"), (2, 0, "terminal_mode"), (2, 1, "advance_without_action"), (2, 1, "advance_without_discrimination"), (2, 1, "advance_without_reason"), (2, 1, "changed_without_recheck"),
+        (2, 1, "transition_not_acknowledged"), (2, 2, "clarify_with_action"), (2, 2, "clarify_without_basis"), (2, 2, "known_fact_asked_again"), (2, 3, "abstain_goes_on"), (2, 3, "recheck_without_action"),
+    ]
+    r = S.policy_report(turns, found).first()
+    assert (r.sessions, r.pass_rate, r.longest_clarify, r.transitions, r.acknowledged_rate) == (2, 0.5, 1, 2, 0.5)
 
 
 def test_whole_search_set(spark):
@@ -78,10 +145,10 @@ def test_whole_search_set(spark):
     part = spark.read.parquet(f"{data}/part.parquet")
     assert asked == {r.p_partkey for r in part.where("p_partkey % 20 = 0").collect()} and len(asked) > 2
     routes = {r.query_id: r.route for r in Q.exact_identifier_route(spark, data).collect()}
-    assert {q for q, r in routes.items() if r == "exact"} == {r.query_id for r in Q.exact_identifier_hits_whole(spark, data).collect()}
+    assert {q for q, r in routes.items() if r == "exact"} == {r.query_id for r in Q.exact_identifier_hits(spark, data).collect()}
     assert set(routes) <= asked and len(routes) > 2
-    few, whole = Q.image_for_hits(spark, data).collect(), Q.image_for_hits_whole(spark, data).collect()
-    assert set(few) < set(whole)
+    orders = spark.read.parquet(f"{data}/lineitem.parquet")
+    assert {r.query_id for r in Q.image_for_hits(spark, data).collect()} <= {r.l_orderkey for r in orders.collect()}
 
 
 def test_collapse_of_frequent_queries(spark):
