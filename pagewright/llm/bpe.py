@@ -15,6 +15,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from functools import cached_property
 from itertools import islice
 
 import numpy as np
@@ -104,7 +105,7 @@ class Transducer:
     """BPE of pre-tokens by rank merges, left to right with bounded lookahead."""
 
     #: Live places (8 bytes each) of all states that are remembered; beyond it the automaton is made anew.
-    KEEP = 2_000_000
+    KEEP = 500_000
     #: Pre-tokens of more bytes are read one by one, and their settled tokens emitted every so many bytes.
     SHORT, EMIT = 128, 4096
     #: Moves that are remembered for long pre-tokens.
@@ -123,20 +124,19 @@ class Transducer:
             for k in range(1, len(t)):
                 if (a := number.get(t[:k])) is not None and (b := number.get(t[k:])) is not None:
                     pairs[a * self.n + b] = i
-        self.pairs = pairs
         self.pair_keys = np.array(sorted(pairs), np.int64)
         self.pair_makes = np.array([pairs[k] for k in self.pair_keys.tolist()], np.int64)
-        halves = [self._halves(t, number) for t in tokens]
+        halves = [self._halves(t, number, pairs) for t in tokens]
         self.left, self.right = np.array(halves, np.int64).reshape(-1, 2).T.copy()
         self._grow_tree(tokens)
         self.forget()
 
-    def _halves(self, data: bytes, number: dict[bytes, int]) -> tuple[int, int]:
+    def _halves(self, data: bytes, number: dict[bytes, int], pairs: dict[int, int]) -> tuple[int, int]:
         """The two tokens of the last merge that gives the token ``data``; NONE for one byte or no such merge."""
         token = number[data]
         parts = [number.get(data[i : i + 1], NONE) for i in range(len(data))]
         while len(parts) > 2:
-            made, i = min((self.pairs.get(parts[i] * self.n + parts[i + 1], token) if min(parts[i], parts[i + 1]) >= 0 else token, i) for i in range(len(parts) - 1))
+            made, i = min((pairs.get(parts[i] * self.n + parts[i + 1], token) if min(parts[i], parts[i + 1]) >= 0 else token, i) for i in range(len(parts) - 1))
             if made >= token:
                 break
             parts[i : i + 2] = [made]
@@ -152,7 +152,7 @@ class Transducer:
                     keys.append(nodes[t[: k - 1]] << 8 | t[k - 1])
         self.kids = LongMap(max(8, (4 * len(keys)).bit_length()))
         self.kids.add(np.array(keys, np.int64))  # a node is the place of its key plus one
-        self.kid = {k: i for i, k in enumerate(keys, 1)}
+        self.keys = np.array(keys, np.int64)
         self.inner = np.zeros(len(nodes), bool)
         self.inner[np.array(keys, np.int64) >> 8] = True
         self.depth = np.array([len(p) for p in nodes], np.int32)
@@ -305,6 +305,15 @@ class Transducer:
         self.forget()
         return self._states(np.cumsum(sizes) - sizes, nodes, lasts)[which]
 
+    @cached_property
+    def kid(self) -> dict[int, int]:
+        """``kids`` for one step at a time; only long pre-tokens need it, as ``pairs``."""
+        return {k: i for i, k in enumerate(self.keys.tolist(), 1)}
+
+    @cached_property
+    def pairs(self) -> dict[int, int]:
+        return dict(zip(self.pair_keys.tolist(), self.pair_makes.tolist(), strict=True))
+
     def _border(self, a: int, b: int) -> bool:
         """``adjacent`` of one pair."""
         limit = 1 << 62
@@ -554,6 +563,7 @@ def encode_texts(docs: DataFrame, vocab: str, pattern: str, text: str = "text",
                     lists[i].append(found.astype(np.int32))
             more = [pa.array(count), *([pa.array([np.concatenate(x) for x in lists], pa.list_(pa.int32()))] if ids else []), *(pa.array([x.hexdigest() for x in h], pa.string()) for h in (sha, back)), pa.array(chars)]
             yield pa.RecordBatch.from_arrays([*[b.column(f"_k{i}") for i in range(len(keep))], *more], names=[*[f"_k{i}" for i in range(len(keep))], *names])
+        pa.default_memory_pool().release_unused()
 
     kinds = ", ".join(f"_k{i} {kind}" for i, (_, kind) in enumerate(table.drop("_text").dtypes))
     results = ", ".join(["n_tokens long", *(["ids array<int>"] if ids else []), "ids_sha256 string", "decoded_sha256 string", "n_decoded long"])

@@ -231,6 +231,8 @@ def repeated_spans(docs: DataFrame, length: int, key: str = "doc_id", text: str
                         parts, held = [], 0
         if parts:
             yield block_rows(parts, length)
+        parts = None
+        pa.default_memory_pool().release_unused()
 
     found = cut_to_table(table.mapInArrow(blocks, "id long, print long, lo long, size int, core long, f1 long, f2 long, n int"))
     runs = found.where("n = 0").select("id", "print", "lo", (F.col("lo") + F.col("size")).alias("end"))
