@@ -154,3 +154,16 @@ def pixel_features(images: DataFrame, mode: str = "data") -> DataFrame:
 
     schema = "asset_id string, width int, height int, entropy double, edge_density double, border_edge_density double, center_edge_density double, near_uniform_fraction double, component_count int, alpha_coverage double, perceptual_hash string, blank_center boolean, strong_border boolean"
     return images.select(F.col("asset_id").cast("string").alias("asset_id"), "height", "width", "nChannels", mode).mapInArrow(run, schema)
+
+
+def placed(occurrences: DataFrame, placements: DataFrame) -> DataFrame:
+    """``occurrences`` (document_id, page, asset_id) with ``boxes``: the sorted places of the asset on the page, empty if none is known."""
+    box = F.struct("x0", "y0", "x1", "y1")
+    boxes = placements.groupBy("document_id", "page", "asset_id").agg(F.array_sort(F.collect_set(box)).alias("boxes"))
+    return occurrences.join(boxes, ["document_id", "page", "asset_id"], "left").withColumn("boxes", F.coalesce("boxes", F.array().cast(boxes.schema["boxes"].dataType)))
+
+
+def chunk_links(occurrences: DataFrame, chunks: DataFrame) -> DataFrame:
+    """asset_id, chunk_id, page: the chunks of each page that shows an asset. ``chunks``: document_id, pages, chunk_id."""
+    on_page = chunks.select("document_id", F.explode("pages").alias("page"), "chunk_id").distinct()
+    return occurrences.select("asset_id", "document_id", "page").distinct().join(on_page, ["document_id", "page"]).select("asset_id", "chunk_id", "page").distinct()

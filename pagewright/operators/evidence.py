@@ -73,3 +73,42 @@ def merged(first: DataFrame, second: DataFrame) -> DataFrame:
     once = top(both, ["query_id", "chunk_id"], ["_t", "rank"], 1, "_n")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("_t", "rank"))
     return once.withColumn("place", place).select("query_id", "chunk_id", "place")
+
+
+def distinct_evidence(items: DataFrame) -> DataFrame:
+    """``items`` (chunk_id, place, source_file, page, section, content) without repeats inside a chunk: the first of equal ones stays."""
+    return top(items, ["chunk_id", "source_file", "page", "section", "content"], ["place"], 1, "_n").drop("_n")
+
+
+def citation_ready(hits: DataFrame) -> DataFrame:
+    """query_id, hits, ready_rate: the share of a query's hits that name document, page and section."""
+    given = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) != ""
+    ready = given("document_id") & given("section") & F.coalesce(F.col("page") != 0, F.lit(False))
+    return hits.groupBy("query_id").agg(F.count("*").alias("hits"), F.avg(ready.cast("int")).alias("ready_rate"))
+
+
+def opened_page(evidence: DataFrame, requests: DataFrame) -> DataFrame:
+    """The evidence of each request's page: ``requests`` and ``evidence`` share query_id, document_id and page."""
+    return evidence.join(requests.select("query_id", "document_id", "page").distinct(), ["query_id", "document_id", "page"], "left_semi")
+
+
+def verbatim_answers(evidence: DataFrame) -> DataFrame:
+    """query_id, answer: the text of the first evidence; queries without evidence have none."""
+    return evidence.groupBy("query_id").agg(F.min_by("content", "rank").alias("answer"))
+
+
+def expanded(answers: DataFrame, evidence: DataFrame) -> DataFrame:
+    """``answers`` (query_id, text) with ``answer``: its markers as ``[title · p. page · section]`` of the query's evidence.
+
+    A marker of unknown evidence stays as it is.
+    """
+    label = F.concat(F.lit("["), F.col("document_title"), F.lit(" · p. "), F.col("page").cast("string"), F.lit(" · "), F.col("section"), F.lit("]"))
+    once = top(evidence, ["query_id", "chunk_id"], ["rank"], 1, "_n").select("query_id", F.col("chunk_id").cast("string").alias("id"), label.alias("label"))
+    known = once.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("id", "label"))).alias("_known"))
+    marks = F.array_distinct(F.regexp_extract_all("text", F.lit(MARKER), F.lit(1)))
+
+    def put(text, id):
+        marker = F.concat(F.lit("[source:"), id, F.lit("]"))
+        return F.replace(text, marker, F.coalesce(F.try_element_at("_known", id), marker))
+
+    return answers.join(known, "query_id", "left").withColumn("answer", F.aggregate(marks, F.col("text"), put)).drop("_known")

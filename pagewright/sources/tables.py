@@ -145,3 +145,44 @@ def device_catalog(chunks: DataFrame, categories: list[str]) -> DataFrame:
 def write_mirrored(df: DataFrame, path: str, *by: str) -> None:
     """JSON files in folders by ``by``, replacing only the folders that are written."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).json(path)
+
+
+def matching(filters: DataFrame, chunks: DataFrame, fields: list[str] = FILTER_FIELDS) -> DataFrame:
+    """``filters``' other columns and ``chunks``' chunk_id of each match: every field of a filter that isn't null is the chunk's.
+
+    Filters that set the same fields are one equality join; one that sets none matches every chunk and is refused.
+    """
+    rest = [c for c in filters.columns if c not in fields]
+    kinds = [tuple(f for f in fields if r[f]) for r in filters.select(*[F.col(f).isNotNull().alias(f) for f in fields]).distinct().collect()]  # at most 2 ** len(fields) rows
+    if () in kinds:
+        raise ValueError("a filter sets no field")
+    out = filters.select(*rest).limit(0).crossJoin(chunks.select("chunk_id").limit(0))
+    for kind in kinds:
+        own = filters.where(" AND ".join(f"{f} IS {'NOT ' if f in kind else ''}NULL" for f in fields))
+        out = out.unionByName(own.select(*rest, *kind).join(chunks.select("chunk_id", *kind), list(kind)).select(*rest, "chunk_id"))
+    return out
+
+
+def payload(chunks: DataFrame) -> DataFrame:
+    """``chunks`` (chunk_id, content, document struct, source_file, metadata map) as flat rows for a vector store.
+
+    ``category`` is the folder before the file's; identifier fields are null where the metadata lacks them.
+    """
+    parts = F.split("source_file", "/")
+    d = F.col("document")
+    return chunks.select(
+        "chunk_id", F.col("content").alias("text"), d["document_id"].alias("document_id"), d["manufacturer"].alias("manufacturer"), d["model"].alias("model"), d["version"].alias("document_version"),
+        F.try_element_at(parts, F.lit(-2)).alias("category"), d["title"].alias("document_title"), d["source_url"].alias("source_url"),
+        *[F.try_element_at("metadata", F.lit(k)).alias(k) for k in ("identifier_kind", "normalized_value")],
+    )
+
+
+def ocr_pages(items: DataFrame) -> DataFrame:
+    """document_id, page, text, confidence, items: the pages of recognised ``items`` (document_id, page, place, text, confidence).
+
+    Blank items are left out; the text has an item a line in order of place, the confidence is the items' mean.
+    """
+    seen = items.where(F.trim("text") != "")
+    return seen.groupBy("document_id", "page").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "text"))), lambda x: x["text"]), "\n").alias("text"), F.avg("confidence").alias("confidence"), F.count("*").alias("items")
+    )

@@ -72,3 +72,22 @@ def test_lsh_recall(spark):
     assert len(found) == len(exact) == 10 * len({q for q, _ in exact}) and {q for q, _ in exact} == set(range(0, 500, 20))
     print("recall of dense_topk_lsh", len(exact & set(found)) / len(exact))
     assert len(exact & set(found)) >= 0.9 * len(exact)
+
+
+def test_passages_are_found_by_anchors(spark):
+    texts = [(1, "the red foxes jump over a-lazy dog today"), (2, "Red fox jump over a-lazy dog"), (3, None), (4, "jump over"), (5, "red foxes jump over a lazy dog")]
+    asked = [(10, "ed foxes jump over a-lazy do"), (11, "jump over"), (12, None), (13, "zz"), (14, "over a-lazy dog")]
+    chunks, passages = spark.createDataFrame(texts, "chunk_id int, text string"), spark.createDataFrame(asked, "query_id int, passage string")
+    want = sorted((q, c) for q, p in asked for c, t in texts if p and t and p in t)
+    assert sorted(tuple(r) for r in R.holding(chunks, passages).collect()) == want and len(want) > 5
+    assert R.holding(chunks, passages.where("query_id = 10")).count() == 1 and R.holding(chunks.limit(0), passages).count() == 0
+
+
+def test_filters_need_a_field(spark):
+    from pagewright.sources import tables as X
+
+    chunks = spark.createDataFrame([(1, "a", "m"), (2, "a", None), (3, None, "m")], "chunk_id int, manufacturer string, model string")
+    filters = spark.createDataFrame([("x", "a", None), ("y", "a", "m"), ("z", None, "q")], "f string, manufacturer string, model string")
+    assert sorted(tuple(r) for r in X.matching(filters, chunks, ["manufacturer", "model"]).collect()) == [("x", 1), ("x", 2), ("y", 1)]
+    with pytest.raises(ValueError):
+        X.matching(filters.where("f = 'x'").withColumn("manufacturer", F.lit(None).cast("string")), chunks, ["manufacturer", "model"])
