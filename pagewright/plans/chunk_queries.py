@@ -81,12 +81,13 @@ _STEPS = _BASE + r""", s0 AS (
   SELECT document_id, run, arg_min(section, ls) AS section, count(*) AS steps, sum(warnings)::BIGINT AS warnings, min(lo) AS first_page, max(hi) AS last_page, string_agg(number || '. ' || content, chr(10) ORDER BY ls) AS text
   FROM st GROUP BY 1, 2
 ), nd AS (SELECT document_id, run + 1 AS run, count(*) AS prerequisites, min(page) AS np, max(page) AS xp FROM s3 WHERE number IS NULL AND NOT (ls IS NOT NULL AND lb < ls) AND regexp_matches(trim(text), '(?i)^(?:before you begin|prerequisites?|preparation|prepare|requirements?|required tools?|you will need)\b') GROUP BY 1, 2)
-SELECT rn.document_id, rn.run::BIGINT AS run, section, steps, warnings, least(first_page, np) AS first_page, greatest(last_page, xp) AS last_page, text, coalesce(prerequisites, 0) AS prerequisites
-FROM rn LEFT JOIN nd ON rn.document_id = nd.document_id AND rn.run = nd.run WHERE steps >= 2 AND section <> '' AND NOT regexp_matches(section, '(?i)\b(?:licenses?|trademarks?|copyright|glossary)\b')
 """
 
 
-@_query(_STEPS)
+@_query(_STEPS + r"""
+SELECT rn.document_id, rn.run::BIGINT AS run, section, steps, warnings, least(first_page, np) AS first_page, greatest(last_page, xp) AS last_page, text, coalesce(prerequisites, 0) AS prerequisites
+FROM rn LEFT JOIN nd ON rn.document_id = nd.document_id AND rn.run = nd.run WHERE steps >= 2 AND section <> '' AND NOT regexp_matches(section, '(?i)\b(?:licenses?|trademarks?|copyright|glossary)\b')
+""")
 def procedures(spark, sf_dir: str) -> DataFrame:
     """Procedures of the parts' manuals."""
     p = S.procedures(_lines(spark, sf_dir))
@@ -144,22 +145,99 @@ def identifier_chunks(spark, sf_dir: str) -> DataFrame:
     return c.select("chunk_id", "document_id", "section", F.element_at("pages", 1).alias("page"), "content", "normalized_value")
 
 
-@_query()
+def _packed(x: str, units: str, most: int) -> str:
+    """CTEs that pack ``units`` (k, n, text) one by one: ``{x}g`` has k, i, text and the number of the ``part``."""
+    word, unit = f"used + 1 + length(w.w) <= {most}", f"used + 1 + length(o.text) <= {most}"
+    return f""", {x}w AS (
+  SELECT k, n, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i FROM (SELECT k, n, regexp_split_to_array(text, '\\s+') AS ws FROM {units} WHERE length(text) > {most})
+), {x}r AS (
+  SELECT k, n, i, w, 1 AS piece, length(w) AS used FROM {x}w WHERE i = 1
+  UNION ALL SELECT w.k, w.n, w.i, w.w, CASE WHEN {word} THEN piece ELSE piece + 1 END, CASE WHEN {word} THEN used + 1 ELSE 0 END + length(w.w) FROM {x}r r JOIN {x}w w ON w.k = r.k AND w.n = r.n AND w.i = r.i + 1
+), {x}s AS (SELECT k, n, 1 AS piece, text FROM {units} WHERE length(text) <= {most} UNION ALL SELECT k, n, piece, string_agg(w, ' ' ORDER BY i) FROM {x}r GROUP BY 1, 2, 3
+), {x}o AS (SELECT k, row_number() OVER (PARTITION BY k ORDER BY n, piece) AS i, text FROM {x}s
+), {x}g AS (
+  SELECT k, i, text, 0 AS part, length(text) + 1 AS used FROM {x}o WHERE i = 1
+  UNION ALL SELECT o.k, o.i, o.text, CASE WHEN {unit} THEN part ELSE part + 1 END, CASE WHEN {unit} THEN used ELSE 0 END + length(o.text) + 1 FROM {x}g g JOIN {x}o o ON o.k = g.k AND o.i = g.i + 1
+)"""
+
+
+def _finished(source: str, strategy: str, kind: str, profiles: str, parent: str = "NULL::VARCHAR", over: str = "0") -> str:
+    """The columns of chunks of ``source`` (document_id, section, pages, content)."""
+    return f"SELECT {_PAGED_ID.format(strategy)} AS chunk_id, document_id, section, {_PAGES} AS pages, content, '{kind}' AS kind, '{strategy}' AS strategy, {parent} AS parent_chunk_id, ({over})::INT AS overlap_before, '{profiles}' AS retrieval_profiles FROM {source}"
+
+
+_PAGES = "array_to_string(pages, ',')"
+_PAGED_ID = "'{0}:' || substr(sha256(document_id || '|{0}|' || section || '|' || " + _PAGES + " || '|' || content), 1, 24)"
+_UNITS = r""", b0 AS (
+  SELECT document_id, section, pos, page, trim(text) AS text, CASE WHEN is_heading THEN 'heading' WHEN regexp_matches(trim(text), '(?i)\b(?:warning|caution|danger|notice|important)\b') THEN 'warning'
+         WHEN regexp_matches(trim(text), '(?i)^(?:before you begin|prerequisite|preparation|prepare|requirements?|required tools?)\b') THEN 'prerequisite' WHEN regexp_matches(trim(text), '^(?:\*\*)?\d+[.)](?:\*\*)?\s+') THEN 'ordered_list'
+         WHEN trim(text) LIKE '|%' AND trim(text) LIKE '%|' THEN 'table' WHEN regexp_matches(trim(text), '(?i)\b(?:error code|failure code|blink(?:ing)? pattern|part number|model number)\b') THEN 'technical_identifier' ELSE 'narrative' END AS kind
+  FROM l WHERE trim(text) <> '' AND section <> ''
+), b1 AS (SELECT *, coalesce(lag(kind) OVER w <> kind OR lag(kind) OVER w = 'heading', true)::INT AS new FROM b0 WINDOW w AS (PARTITION BY document_id, section ORDER BY pos)
+), b2 AS (SELECT *, document_id || '|' || section AS k, sum(new) OVER (PARTITION BY document_id, section ORDER BY pos) AS n FROM b1
+), b3 AS (SELECT k, n, string_agg(text, chr(10) ORDER BY pos) AS text FROM b2 GROUP BY 1, 2
+), sec AS (SELECT k, document_id, section, list_sort(list(DISTINCT page)) AS pages FROM b2 GROUP BY 1, 2, 3
+)"""
+_TEXT = "string_agg(text, chr(10) || chr(10) ORDER BY i)"
+_SECTIONS = _packed("s", "b3", 2400) + f", sc AS (SELECT k, document_id, section, pages, part, {_TEXT} AS content FROM sg JOIN sec USING (k) GROUP BY ALL)"
+_FAMILIES = (
+    _packed("p", "b3", 6000)
+    + f", pc AS (SELECT k || '|' || part AS k, document_id, section, pages, {_TEXT} AS content FROM pg JOIN sec USING (k) GROUP BY ALL), cu AS (SELECT k || '|' || part AS k, i AS n, text FROM pg)"
+    + _packed("c", "cu", 1160)
+    + f""", ct AS (SELECT k, part + 1 AS part, i, text, sum(length(text) + 1) OVER (PARTITION BY k, part ORDER BY i DESC) AS back FROM cg
+), cb AS (SELECT k, part, i, text, true AS before FROM ct WHERE back <= 240 AND (k, part) IN (SELECT (k, part) FROM cg) UNION ALL SELECT k, part, i, text, false FROM cg
+), cc AS (
+  SELECT document_id, section, pages, {_PAGED_ID.format('parent_child')} AS parent, cx.content, over FROM pc
+  JOIN (SELECT k, part, {_TEXT} AS content, coalesce(length({_TEXT} FILTER (before)), 0) AS over FROM cb GROUP BY 1, 2) cx USING (k)
+)""".replace("'|' || content)", "'|' || pc.content)")
+)
+_FRAMED = """, fr AS (
+  SELECT document_id, run, section, coalesce(needs, []) || coalesce(warned, []) AS frame, list_sort(list_distinct(spages || coalesce(wpages, []) || coalesce(npages, []))) AS pages
+  FROM (SELECT document_id, run, arg_min(section, ls) AS section, list(page) AS spages FROM st GROUP BY 1, 2 HAVING count(*) >= 2) a
+  LEFT JOIN (SELECT document_id, run, list(trim(text) ORDER BY pos) AS warned, list(page) AS wpages FROM s3 WHERE warn AND trim(text) <> '' AND ls IS NOT NULL AND lb < ls GROUP BY 1, 2) b USING (document_id, run)
+  LEFT JOIN (SELECT document_id, run + 1 AS run, list(trim(text) ORDER BY pos) AS needs, list(page) AS npages FROM s3 WHERE number IS NULL AND NOT (ls IS NOT NULL AND lb < ls) AND regexp_matches(trim(text), '(?i)^(?:before you begin|prerequisites?|preparation|prepare|requirements?|required tools?|you will need)\\b') GROUP BY 1, 2) c USING (document_id, run)
+  WHERE section <> '' AND NOT regexp_matches(section, '(?i)\\b(?:licenses?|licen[cs]es?|trademarks?|copyright|terms\\s*(?:and|&)\\s*conditions|glossary)\\b')
+), fs AS (SELECT document_id, run, page, number || '. ' || content AS line, row_number() OVER (PARTITION BY document_id, run ORDER BY ls) AS i FROM st
+), fw AS (
+  SELECT document_id, run, section, pages, frame, greatest(200, 1700 - length(array_to_string(frame, chr(10)))) AS room, array_to_string(frame || list(line ORDER BY i), chr(10)) AS content FROM fr JOIN fs USING (document_id, run) GROUP BY document_id, run, section, pages, frame
+), fg AS (
+  SELECT document_id, run, room, i, page, line, 0 AS part, 1 AS held, length(line) + 1 AS used FROM fw JOIN fs USING (document_id, run) WHERE i = 1
+  UNION ALL SELECT g.document_id, g.run, room, s.i, s.page, s.line, CASE WHEN {fits} THEN part ELSE part + 1 END, CASE WHEN {fits} THEN held ELSE 0 END + 1, CASE WHEN {fits} THEN used ELSE 0 END + length(s.line) + 1
+  FROM fg g JOIN fs s ON s.document_id = g.document_id AND s.run = g.run AND s.i = g.i + 1
+), fc AS (
+  SELECT document_id, section, list_sort(list(DISTINCT page)) AS pages, array_to_string(frame || list(line ORDER BY i), chr(10)) AS content, parent
+  FROM (SELECT *, {parent} AS parent FROM fw) JOIN fg USING (document_id, run) GROUP BY document_id, run, section, frame, part, parent
+)""".format(fits="held < 4 AND used + length(s.line) <= room", parent=_PAGED_ID.format("procedure"))
+_SECTION_ROWS = _finished("sc", "section", "section", "bm25,vector")
+_FAMILY_ROWS = _finished("pc", "parent_child", "parent", "context") + " UNION ALL " + _finished("cc", "parent_child", "child", "bm25,vector", "parent", "over")
+_PROCEDURE_ROWS = _finished("fw", "procedure", "procedure", "context") + " UNION ALL " + _finished("fc", "procedure", "step_group", "bm25,vector", "parent")
+
+
+def _recursive(sql: str) -> str:
+    return "WITH RECURSIVE" + sql.removeprefix("WITH")
+
+
+def _written(chunks: DataFrame) -> DataFrame:
+    """Chunks without their places, with lists as texts."""
+    return chunks.drop("at", "part").withColumns({c: F.array_join(c, ",") for c in ("pages", "retrieval_profiles")})
+
+
+@_query(_recursive(_BASE + _UNITS + _SECTIONS + _SECTION_ROWS))
 def section_chunks(spark, sf_dir: str) -> DataFrame:
     """Section chunks of the parts' manuals."""
-    return K.section_chunks(_lines(spark, sf_dir)).drop("at", "part")
+    return _written(K.section_chunks(_lines(spark, sf_dir)))
 
 
-@_query()
+@_query(_recursive(_BASE + _UNITS + _FAMILIES + _FAMILY_ROWS))
 def parent_child_chunks(spark, sf_dir: str) -> DataFrame:
     """Parent and child chunks of the parts' manuals."""
-    return K.parent_child_chunks(_lines(spark, sf_dir)).drop("at", "part")
+    return _written(K.parent_child_chunks(_lines(spark, sf_dir)))
 
 
-@_query()
+@_query(_recursive(_STEPS + _FRAMED + _PROCEDURE_ROWS))
 def procedure_step_groups(spark, sf_dir: str) -> DataFrame:
     """Procedure chunks of the parts' manuals."""
-    return K.procedure_chunks(S.procedures(_lines(spark, sf_dir))).drop("at", "part")
+    return _written(K.procedure_chunks(S.procedures(_lines(spark, sf_dir))))
 
 
 def every_chunk(spark, sf_dir: str) -> DataFrame:
@@ -168,7 +246,15 @@ def every_chunk(spark, sf_dir: str) -> DataFrame:
     return cut_lineage(K.all_chunks(K.section_chunks(line), K.parent_child_chunks(line), K.procedure_chunks(S.procedures(line)), K.table_row_chunks(S.table_rows(line)), K.identifier_chunks(S.identifiers(line))))
 
 
-@_query()
+#: The rows of ``every_chunk`` in SQL: CTE ``every``.
+EVERY = _recursive(_STEPS + _FRAMED + _UNITS + _SECTIONS + _FAMILIES + _ROWS.removeprefix(_BASE) + _IDENTS.removeprefix(_BASE)) + f""", trc AS (
+  SELECT document_id, section, [page] AS pages, array_to_string(list_filter(list_transform(list_zip(headers, cells, true), lambda x: CASE WHEN x[2] <> '' THEN CASE WHEN x[1] <> '' THEN x[1] || ': ' || x[2] ELSE x[2] END END), lambda x: x IS NOT NULL), ' | ') AS content FROM tr
+), idc AS (SELECT document_id, section, [page] AS pages, context AS content FROM idn
+), every AS ({_SECTION_ROWS} UNION ALL {_FAMILY_ROWS} UNION ALL {_PROCEDURE_ROWS} UNION ALL {_finished("trc", "table_row", "table_row", "exact,bm25,vector")} UNION ALL {_finished("idc", "exact", "identifier", "exact,bm25")})
+"""
+
+
+@_query(EVERY + ", p AS (SELECT strategy, kind, unnest(string_split(retrieval_profiles, ',')) AS profile FROM every) SELECT strategy, kind, " + ", ".join(f"nullif(count(*) FILTER (profile = '{p}'), 0) AS {p}" for p in ("exact", "bm25", "vector", "context")) + " FROM p GROUP BY 1, 2")
 def chunk_report(spark, sf_dir: str) -> DataFrame:
     """Chunks by strategy and profile."""
     return every_chunk(spark, sf_dir).select("strategy", "kind", F.explode("retrieval_profiles").alias("profile")).groupBy("strategy", "kind").pivot("profile", ["exact", "bm25", "vector", "context"]).count()

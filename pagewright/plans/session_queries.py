@@ -282,7 +282,41 @@ def _part_queries(spark, sf_dir, asked=WHOLE) -> DataFrame:
 _PQ = """pq AS (SELECT p_partkey AS query_id, CASE p_partkey % 3 WHEN 0 THEN 'which unit needs spare part M' || lpad(p_partkey::VARCHAR, 5, '0') || '-001' WHEN 1 THEN 'How do I check the ' || p_name ELSE 'warning for ' || p_name || ' will not print' END AS text FROM part WHERE p_partkey % 20 = 0)"""
 
 
-@_query()
+_SYNONYMS = """('topic', ['topics']), ('chapter', ['topics']), ('required', ['requirements', 'requirement']), ('setting', ['setup']), ('lcd', ['control', 'panel', 'overview', 'liquid', 'display']), ('toner', ['led']), ('paper', ['led']),
+  ('warning', ['caution', 'safety']), ('caution', ['warning', 'safety']), ('button', ['power']), ('buttons', ['power']), ('plus', ['buttons']), ('minus', ['buttons'])"""
+
+
+def _holds(text: str, *terms: str) -> str:
+    return "(" + " OR ".join(f"contains({text}, '{t}')" for t in terms) + ")"
+
+
+_REWRITTEN = Q.EVERY + f""", bc AS (SELECT chunk_id, any_value(document_id) AS document_id, any_value(section) AS section, any_value(string_split(pages, ',')[1]::INT) AS page, any_value(content) AS content FROM every WHERE retrieval_profiles LIKE '%bm25%' GROUP BY 1
+), bx AS (SELECT chunk_id, 'body' AS field, regexp_extract_all(lower(content), '[a-z0-9]+(?:[-_][a-z0-9]+)*') AS t FROM bc UNION ALL SELECT chunk_id, 'section', regexp_extract_all(lower(string_split(section, ' > ')[-1]), '[a-z0-9]+(?:[-_][a-z0-9]+)*') FROM bc
+), {_PQ}, qw AS (
+  SELECT query_id, lower(text) AS q, list_filter(regexp_extract_all(lower(text), '[a-z0-9]+(?:[-_][a-z0-9]+)*'), lambda w: NOT list_contains(regexp_extract_all(lower(p_brand), '[a-z0-9]+(?:[-_][a-z0-9]+)*'), w)) AS words FROM pq JOIN part ON query_id = p_partkey
+), syn AS (SELECT * FROM (VALUES {_SYNONYMS}) AS y(word, more)
+), qt AS (
+  SELECT query_id, words, unnest(words) AS token FROM qw UNION ALL SELECT query_id, words, unnest(more) FROM (SELECT query_id, words, unnest(words) AS word FROM qw) JOIN syn USING (word)
+  UNION ALL SELECT query_id, words, unnest(['power', 'button']) FROM qw WHERE list_has_all(words, ['turn', 'off'])
+  UNION ALL SELECT query_id, words, unnest(['printer', 'does', 'not', 'print', 'troubleshoot', 'problem', 'solve']) FROM qw WHERE list_contains(words, 'print') AND list_has_any(words, ['not', 'cannot', 'unable', 'wont', 'fails', 'failure', 'offline'])
+), qn AS (SELECT query_id, token, count(*) AS times FROM qt WHERE NOT list_has_any(words, ['topic', 'topics']) OR token IN ('topic', 'topics', 'chapter', 'section') GROUP BY 1, 2
+), qf AS (
+  SELECT query_id, CASE WHEN topic THEN 0.35::DOUBLE ELSE 1.0::DOUBLE END AS body, greatest(CASE WHEN topic THEN 6.0::DOUBLE WHEN plain THEN 2.5::DOUBLE ELSE 1.0::DOUBLE END, CASE WHEN failing THEN 4.0::DOUBLE ELSE 0.0::DOUBLE END) AS section
+  FROM (SELECT query_id, {_holds("q", "chapter", "topic", "section", "where is")} AS topic,
+    {_holds("q", "how do i", "how can i", "steps", "set up", "setup", "connect", "remove", "warning", "caution", "safety", "hot surface", "led", "light", "blink", "beep", "lcd", "button")} AS plain,
+    contains(q, 'print') AND {_holds("q", "not", "cannot", "unable", "won''t", "wont", "offline")} AS failing FROM qw)
+), bs AS (SELECT field, count(*) AS n, greatest(avg(len(t)), 1.0) AS mean FROM bx GROUP BY 1
+), bh AS (SELECT field, chunk_id, len, token, count(*) AS tf FROM (SELECT field, chunk_id, len(t) AS len, unnest(t) AS token FROM bx) WHERE token IN (SELECT token FROM qn) GROUP BY 1, 2, 3, 4
+), bf AS (SELECT field, token, count(*) AS df FROM bh GROUP BY 1, 2
+), bt AS (
+  SELECT query_id, chunk_id, round(sum(times * CASE field WHEN 'body' THEN qf.body ELSE qf.section END * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))), 6) AS score
+  FROM bh JOIN bf USING (field, token) JOIN bs USING (field) JOIN qn USING (token) JOIN qf USING (query_id) GROUP BY 1, 2
+), bq AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM bt QUALIFY rank <= 5)
+"""
+_EVIDENCE = _REWRITTEN + ", ev AS (SELECT query_id, rank, chunk_id, trim(content) AS content, document_id, page, section FROM bq JOIN bc USING (chunk_id) WHERE trim(content) <> '')"
+
+
+@_query(_REWRITTEN + "SELECT query_id, chunk_id, score, rank FROM bq")
 def bm25_query_rewrite(spark, sf_dir: str) -> DataFrame:
     """BM25 over table rows and identifiers of the parts' manuals with rewritten queries and weighted fields."""
     c = Q.every_chunk(spark, sf_dir).where(F.array_contains("retrieval_profiles", "bm25")).dropDuplicates(["chunk_id"])
@@ -293,9 +327,13 @@ def bm25_query_rewrite(spark, sf_dir: str) -> DataFrame:
     return bm25(chunks, q, 5, fields=("body", "section"))
 
 
-@_query("WITH " + _PQ + ", x AS (" + Q._IDENTS + "SELECT * FROM idn" + """), h AS (
+_EXACT = ", x AS (" + Q._IDENTS + "SELECT * FROM idn" + """), h AS (
   SELECT DISTINCT query_id, 'exact:' || substr(sha256(document_id || '|exact|' || section || '|' || page || '|' || context), 1, 24) AS chunk_id FROM x JOIN pq ON list_contains(list_transform(regexp_extract_all(lower(pq.text), '[a-z0-9]+(?:[-_][a-z0-9]+)+|[a-z]+\\d+|\\d+[a-z]+|\\b\\d{2,}\\b'), lambda v: regexp_replace(v, '[^a-z0-9]', '', 'g')), regexp_replace(lower(normalized_value), '[^a-z0-9]', '', 'g'))
-) SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY chunk_id)::INT AS rank, 1.0::DOUBLE AS score FROM h QUALIFY rank <= 5""")
+) """
+_EXACT_HITS = "SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY chunk_id)::INT AS rank, 1.0::DOUBLE AS score FROM h QUALIFY rank <= 5"
+
+
+@_query("WITH " + _PQ + _EXACT + _EXACT_HITS)
 def exact_identifier_hits(spark, sf_dir: str) -> DataFrame:
     """Identifier chunks that hold an identifier of the query."""
     return exact_hits(K_identifier_chunks(spark, sf_dir), _part_queries(spark, sf_dir), 5)
@@ -307,7 +345,7 @@ def K_identifier_chunks(spark, sf_dir) -> DataFrame:
     return chunking.identifier_chunks(structure.identifiers(Q._lines(spark, sf_dir)))
 
 
-@_query()
+@_query(_REWRITTEN + _EXACT + f", eh AS ({_EXACT_HITS}) SELECT query_id, chunk_id, rank, score, 'exact' AS route FROM eh UNION ALL SELECT query_id, chunk_id, rank, score, 'hybrid' FROM bq WHERE query_id NOT IN (SELECT query_id FROM eh)")
 def exact_identifier_route(spark, sf_dir: str) -> DataFrame:
     """Exact hits where the query names an identifier, BM25 hits elsewhere."""
     q = _part_queries(spark, sf_dir)
@@ -319,13 +357,13 @@ def _evidence(spark, sf_dir) -> DataFrame:
     return E.assembled(bm25_query_rewrite(spark, sf_dir), chunks)
 
 
-@_query()
+@_query(_EVIDENCE + "SELECT query_id, rank, document_id, page, section FROM ev QUALIFY row_number() OVER (PARTITION BY query_id, document_id, page, section ORDER BY rank) = 1")
 def citations(spark, sf_dir: str) -> DataFrame:
     """Citations of the rewritten queries' evidence, one a place."""
     return E.citations(_evidence(spark, sf_dir))
 
 
-@_query()
+@_query(_EVIDENCE + "SELECT query_id, string_agg('[source:' || chunk_id || '] ' || document_id || ' p. ' || page || ' ' || section || chr(10) || content, chr(10) || chr(10) ORDER BY rank) AS context FROM ev GROUP BY 1")
 def context_blocks(spark, sf_dir: str) -> DataFrame:
     """The evidence of each query as one text."""
     return E.contexts(_evidence(spark, sf_dir))
