@@ -58,6 +58,16 @@ def grouped(occurrences: DataFrame) -> DataFrame:
     return occurrences.groupBy(F.sha2("content", 256).alias("asset_id")).agg(F.array_sort(F.collect_set(place)).alias("occurrences")).withColumn("n_occurrences", F.size("occurrences"))
 
 
+def manifest(assets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Assets that stay, as they are, and the rejected ones with ``occurrence_count`` in place of their ``occurrences``.
+
+    The bytes (``content``) go with neither; an asset without a class stays, as nothing rejects it.
+    """
+    x = assets.drop("content")
+    out = F.coalesce(F.col("classification") == "reject", F.lit(False))
+    return x.where(~out), x.where(out).withColumn("occurrence_count", F.coalesce("n_occurrences", F.lit(0))).drop("occurrences", "n_occurrences")
+
+
 def for_hits(assets: DataFrame, links: DataFrame, hits: DataFrame) -> DataFrame:
     """query_id, asset_id, page: the first valid asset that a hit's chunk shows. ``links``: asset_id, chunk_id, page."""
     valid = assets.where("classification = 'valid'").select("asset_id")

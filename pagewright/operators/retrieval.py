@@ -8,13 +8,16 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.text import any_of, identifiers, tokens
-from ..runtime import cut_to_table, python_ready
+from ..runtime import cut_lineage, cut_to_table, python_ready
 
 K1, B = 1.2, 0.75
 #: A table of query tokens of at most so many rows is broadcast.
 BROADCAST_ROWS = 200_000
 #: Query vectors and vectors that meet in one task are about so many at most.
 QUERY_BLOCK, VECTOR_CHUNK = 20_000, 16_384
+#: A scope of so many vectors at most is searched exactly; the settings of the search tools.
+EXACT_CANDIDATES = 128
+SEARCH = {"limit": 5, "candidates": 32, "weights": (1.0, 1.5), "rrf_k": 30}
 #: Expansions of query tokens, and the words that a broad failure report brings in.
 SYNONYMS = {
     "topic": ["topics"], "chapter": ["topics"], "required": ["requirements", "requirement"], "setting": ["setup"],
@@ -145,7 +148,8 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int, match: list[str] | Non
     keys = [*(match or []), "_size"]
 
     def ready(df: DataFrame, name: str) -> DataFrame:
-        x = df.select(name, *keys[:-1], F.size("vector").alias("_size"), F.transform("vector", lambda x: x.cast("double")).alias("vector"), norm(F.col("vector")).alias("_n"))
+        # fresh columns, since queries are often made of the vectors
+        x = df.select(F.col(name).alias(name), *[F.col(c).alias(c) for c in keys[:-1]], F.size("vector").alias("_size"), F.transform("vector", lambda x: x.cast("double")).alias("vector"), norm(F.col("vector")).alias("_n"))
         return x.where("_n > 0").dropna(subset=keys)
 
     def dealt(name: str, n: int) -> Column:
@@ -181,6 +185,66 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int, match: list[str] | Non
     return top(found, "query_id", [F.desc("score"), "chunk_id"], k)
 
 
+def approximate(vectors: DataFrame, queries: DataFrame, k: int, match: list[str] | None = None) -> DataFrame:
+    """Like ``dense``, by random projections of unit vectors of one size; scores to five places.
+
+    A query that shares buckets with fewer than ``k`` vectors of its scope is answered exactly.
+    """
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector
+
+    keys = match or []
+
+    def unit(df: DataFrame, name: str) -> DataFrame:
+        x = df.withColumn("_n", norm(F.col("vector"))).where("_n > 0")
+        return x.select(name, *keys, "vector", array_to_vector(F.transform("vector", lambda v: v.cast("double") / F.col("_n"))).alias("unit"))
+
+    v, asked = unit(vectors, "chunk_id"), unit(queries, "query_id")
+    model = BucketedRandomProjectionLSH(inputCol="unit", outputCol="hash", bucketLength=0.6, numHashTables=24, seed=7).fit(v)
+    near = model.approxSimilarityJoin(asked, v, 2.1, "distance")  # no two unit vectors are farther apart
+    for key in keys:
+        near = near.where(F.col(f"datasetA.{key}") == F.col(f"datasetB.{key}"))
+    scored = near.select("datasetA.query_id", "datasetB.chunk_id", F.round(1 - F.col("distance") * F.col("distance") / 2, 5).alias("score")).distinct()
+    found = cut_lineage(top(scored, "query_id", [F.desc("score"), "chunk_id"], k))
+    short = asked.join(found.where(F.col("rank") == k), "query_id", "left_anti").select("query_id", *keys, "vector")
+    rest = dense(v.select("chunk_id", *keys, "vector"), short, k, match).withColumn("score", F.round("score", 5))
+    return found.join(short, "query_id", "left_anti").unionByName(rest)
+
+
+def strategies(vectors: DataFrame, queries: DataFrame, match: list[str], exact: bool | None = None) -> DataFrame:
+    """query_id, candidates, exact: a query whose scope has few vectors is searched exactly, unless ``exact`` decides for all."""
+    n = vectors.groupBy(*match).agg(F.count("*").alias("candidates"))
+    x = queries.select("query_id", *match).join(n, match, "left").withColumn("candidates", F.coalesce("candidates", F.lit(0).cast("long")))
+    return x.select("query_id", "candidates", (F.col("candidates") <= EXACT_CANDIDATES if exact is None else F.lit(exact)).alias("exact"))
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, match: list[str], exact: bool | None = None) -> DataFrame:
+    """query_id, chunk_id, score, rank of the scope's nearest vectors, exactly or by projections as ``strategies`` says."""
+    own = queries.join(strategies(vectors, queries, match, exact).select("query_id", "exact"), "query_id")
+    near = dense(vectors, own.where("exact").drop("exact"), k, match).withColumn("score", F.round("score", 5)) if exact is not False else None
+    far = approximate(vectors, own.where("NOT exact").drop("exact"), k, match) if exact is not True else None
+    return near.unionByName(far) if near is not None and far is not None else near if far is None else far
+
+
+def tool_query(tool: Column, value: Column) -> Column:
+    """What a tool call searches for; null for a blank value and for tools that don't search."""
+    said = F.nullif(F.trim(value), F.lit(""))
+    return F.when(tool == "find_error_code", F.concat(F.lit("error code "), said)).when(tool == "search_manual", said)
+
+
+def manual_search(chunks: DataFrame, vectors: DataFrame, calls: DataFrame, group: str) -> DataFrame:
+    """query_id, chunk_id, score, rank for tool ``calls`` (query_id, tool, value, vector).
+
+    Word and vector candidates are fused by rank, and one hit of each ``group`` comes first.  ``chunks``
+    has chunk_id, body and ``group``; calls that search for nothing have no rows.
+    """
+    q = calls.withColumn("text", tool_query(F.col("tool"), F.col("value"))).where("text IS NOT NULL")
+    words = bm25(chunks, q.select("query_id", tokens(F.col("text")).alias("terms")), SEARCH["candidates"])
+    hits = fuse(dense(vectors, q.select("query_id", "vector"), SEARCH["candidates"]), words, SEARCH["candidates"], SEARCH["weights"], SEARCH["rrf_k"])
+    hits = chunks.select("chunk_id", group).join(small(hits), "chunk_id")
+    return diversify(hits, group, SEARCH["limit"]).select("query_id", "chunk_id", "score", "rank")
+
+
 def fuse(dense_hits: DataFrame, lexical_hits: DataFrame, k: int, weights: tuple[float, float] = (1.0, 1.5), rrf_k: int = 30) -> DataFrame:
     """query_id, chunk_id, score, rank, dense_rank, lexical_rank by reciprocal rank fusion; ties keep dense order first."""
     if k <= 0 or rrf_k <= 0 or min(weights) < 0 or max(weights) == 0:

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.text import tokens
 from ..operators import retrieval as R
-from ..runtime import cut_lineage, table
+from ..operators.embedding import embedded
+from ..runtime import table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -160,19 +161,18 @@ def dense_topk_lsh(spark, sf_dir: str) -> DataFrame:
 
     A query that shares buckets with fewer than ten vectors is answered exactly.
     """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
+    v = _vectors(spark, sf_dir).drop("label")
+    return R.approximate(v, v.where(WHOLE.format(id="chunk_id")).withColumnRenamed("chunk_id", "query_id"), 10)
+
 
-    v = _vectors(spark, sf_dir).withColumn("n", R.norm(F.col("vector"))).where("n > 0")
-    v = v.withColumn("unit", array_to_vector(F.transform("vector", lambda x: x.cast("double") / F.col("n")))).select("chunk_id", "vector", "unit")
-    model = BucketedRandomProjectionLSH(inputCol="unit", outputCol="hash", bucketLength=0.6, numHashTables=24, seed=7).fit(v)
-    asked = v.where(WHOLE.format(id="chunk_id"))
-    near = model.approxSimilarityJoin(asked, v, 2.1, "distance")  # no two unit vectors are farther apart
-    scored = near.select(F.col("datasetA.chunk_id").alias("query_id"), F.col("datasetB.chunk_id").alias("chunk_id"), F.round(1 - F.col("distance") * F.col("distance") / 2, 5).alias("score")).distinct()
-    found = cut_lineage(R.top(scored, "query_id", [F.desc("score"), "chunk_id"], 10))
-    short = asked.join(found.where("rank = 10"), F.col("query_id") == asked["chunk_id"], "left_anti").select(asked["chunk_id"].alias("query_id"), "vector")
-    rest = R.dense(v.select("chunk_id", "vector"), short, 10).withColumn("score", F.round("score", 5))
-    return found.join(short, "query_id", "left_anti").unionByName(rest)
+@_query("""
+WITH n AS (SELECT label, count(*) AS candidates FROM embeddings GROUP BY 1)
+SELECT vec_id AS query_id, coalesce(candidates, 0) AS candidates, coalesce(candidates, 0) <= 128 AS exact FROM embeddings LEFT JOIN n USING (label) WHERE vec_id % 20 = 0
+""")
+def search_strategies(spark, sf_dir: str) -> DataFrame:
+    """Whether each query vector is searched exactly inside its label."""
+    v = _vectors(spark, sf_dir)
+    return R.strategies(v, v.where(WHOLE.format(id="chunk_id")).withColumnRenamed("chunk_id", "query_id"), ["label"])
 
 
 _FUSED = _DENSE + """, lex AS (
@@ -241,6 +241,50 @@ def _diagnosed(spark, sf_dir, asked=WHOLE) -> DataFrame:
     return R.abstentions(counts, hits, near, 0.999).join(counts, "query_id")
 
 
+_FIRST = "trim(split_part(text, chr(10), 1))"
+
+
+@_query(_DENSE + f""", q AS (SELECT doc_id AS query_id, CASE WHEN doc_id % 3 = 0 THEN 'error code ' ELSE '' END || {_FIRST} AS text FROM documents WHERE doc_id % 20 = 0 AND {_FIRST} <> ''
+), qt AS (SELECT query_id, token, count(*) AS times FROM (SELECT query_id, unnest({_TOKENS.format('text')}) AS token FROM q) GROUP BY 1, 2
+), d AS (SELECT doc_id, {_TOKENS.format('text')} AS t FROM documents
+), s AS (SELECT count(*) AS n, greatest(avg(len(t)), 1.0) AS mean FROM d WHERE t IS NOT NULL
+), h AS (SELECT doc_id, len, token, count(*) AS tf FROM (SELECT doc_id, len(t) AS len, unnest(t) AS token FROM d) WHERE token IN (SELECT token FROM qt) GROUP BY 1, 2, 3
+), f AS (SELECT token, count(*) AS df FROM h GROUP BY 1
+), r AS (
+  SELECT query_id, doc_id AS chunk_id, round(sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))), 6) AS score FROM h JOIN f USING (token) JOIN qt USING (token), s GROUP BY 1, 2
+), lex AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM r QUALIFY rank <= 32
+), fused AS (
+  SELECT query_id, chunk_id, d.rank AS dense_rank, l.rank AS lexical_rank, round(coalesce(1.0::DOUBLE / (30.0::DOUBLE + d.rank), 0) + coalesce(1.5::DOUBLE / (30.0::DOUBLE + l.rank), 0), 9) AS score
+  FROM (SELECT * FROM dense WHERE query_id IN (SELECT query_id FROM q)) d FULL JOIN lex l USING (query_id, chunk_id)
+), w AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, dense_rank NULLS LAST, lexical_rank NULLS LAST, chunk_id) AS was FROM fused QUALIFY was <= 32
+), g AS (SELECT w.*, row_number() OVER (PARTITION BY query_id, source ORDER BY was) > 1 AS later FROM w JOIN documents ON chunk_id = doc_id)
+SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY later, was)::INT AS rank FROM g QUALIFY rank <= 5
+""")
+def manual_search(spark, sf_dir: str) -> DataFrame:
+    """Tool calls for the first lines of documents, every third one as an error code."""
+    d = table(spark, sf_dir, "documents")
+    tool = F.when(F.col("doc_id") % 3 == 0, "find_error_code").otherwise("search_manual")
+    v = _vectors(spark, sf_dir).drop("label")
+    calls = d.where(WHOLE.format(id="doc_id")).select(F.col("doc_id").alias("query_id"), tool.alias("tool"), F.substring_index("text", "\n", 1).alias("value")).join(v.withColumnRenamed("chunk_id", "query_id"), "query_id", "left")
+    return R.manual_search(d.select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("body"), "source"), v, calls, "source")
+
+
+_LETTERS = "aeinorst"
+
+
+@_query(f"""
+WITH c AS (SELECT doc_id, text, [{", ".join(f"length(text) - length(replace(text, '{c}', ''))" for c in _LETTERS)}] AS v, len({_TOKENS.format('text')}) AS n FROM documents
+), e AS (SELECT *, CASE WHEN text IS NULL THEN 'no_text' WHEN n > 2000 THEN 'too_long' WHEN list_sum(v) = 0 THEN 'bad_vector' END AS fault FROM c)
+SELECT doc_id, fault, i::INT AS i, CASE WHEN fault IS NULL THEN round(v[i + 1] / sqrt(list_sum(list_transform(v, lambda x: x * x))), 6) END AS value FROM e, range({len(_LETTERS)}) t(i) WHERE fault IS NULL OR i = 0
+""")
+def embedded_documents(spark, sf_dir: str) -> DataFrame:
+    """Unit vectors of whole documents by a user function (here counts of letters), and why some have none."""
+    letters = _LETTERS  # the function is shipped with its values, not with this module
+    e = embedded(table(spark, sf_dir, "documents").select("doc_id", "text"), lambda texts: [[t.count(c) for c in letters] for t in texts], len(_LETTERS), most_tokens=2000)
+    x = e.select("doc_id", "fault", F.posexplode_outer("vector").alias("i", "value"))
+    return x.select("doc_id", "fault", F.coalesce("i", F.lit(0)).alias("i"), F.round("value", 6).alias("value"))
+
+
 @_query("""
 WITH e AS (SELECT embedding AS a, list_transform(embedding, lambda x: round(x::DOUBLE, 2)) AS b FROM embeddings),
 c AS (SELECT list_cosine_similarity(list_transform(a, lambda x: x::DOUBLE), b) AS s FROM e WHERE len(a) = 64)

@@ -251,6 +251,14 @@ def perceptual_dupes(spark, sf_dir: str) -> DataFrame:
     return A.demote(A.scored(_features(spark, sf_dir))).select("asset_id", "quality_score", "classification", "duplicate_of")
 
 
+@_query(_DEMOTED + "SELECT asset_id, cl AS classification, q::INT AS quality_score, CASE WHEN cl = 'reject' THEN p_partkey % 5 END AS occurrence_count FROM z JOIN part ON asset_id = p_partkey")
+def image_manifest(spark, sf_dir: str) -> DataFrame:
+    """Both lists of the images' manifest; only rejected ones have a count of occurrences."""
+    kept, rejected = A.manifest(A.demote(A.scored(_features(spark, sf_dir))))
+    columns = ["asset_id", "classification", "quality_score", "occurrence_count"]
+    return kept.withColumn("occurrence_count", F.lit(None).cast("long")).select(*columns).unionByName(rejected.select(*columns))
+
+
 @_query("SELECT sha256(p_name || p_type) AS asset_id, count(DISTINCT p_brand || '/' || p_size) AS n_occurrences, min(p_brand) AS first_document FROM part GROUP BY 1")
 def asset_groups(spark, sf_dir: str) -> DataFrame:
     """Parts' names as image bytes, grouped by content."""
