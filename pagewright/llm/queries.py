@@ -9,6 +9,7 @@ from .license_scan import op9_license_scans
 from .minhash import op1_minhash
 from .mixing import OP5_SQL, op5_mixing
 from .sketch import op4_fingerprints
+from .spelling import OP11_SQL, op11_spelling
 from .substring_dedup import op8_suffix_array
 from .toxicity import op2_toxicity
 from .url_filter import OP3_SQL, op3_url_filters
@@ -24,10 +25,12 @@ QUERIES = {
     "op8_suffix_array": op8_suffix_array,
     "op9_license_scans": op9_license_scans,
     "op10_top_k": op10_top_k,
+    "op11_spelling": op11_spelling,
 }
 
 ORACLES = {
     "op3_url_filters": OP3_SQL,
     "op5_mixing": OP5_SQL,
     "op10_top_k": OP10_SQL,
+    "op11_spelling": OP11_SQL,
 }
