@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op7_bpe
+from .collocations import OP13_SQL, op13_collocations
 from .knn import OP10_SQL, op10_top_k
 from .language import op6_language
 from .license_scan import op9_license_scans
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_license_scans": op9_license_scans,
     "op10_top_k": op10_top_k,
     "op11_spelling": op11_spelling,
+    "op13_collocations": op13_collocations,
 }
 
 ORACLES = {
@@ -33,4 +35,5 @@ ORACLES = {
     "op5_mixing": OP5_SQL,
     "op10_top_k": OP10_SQL,
     "op11_spelling": OP11_SQL,
+    "op13_collocations": OP13_SQL,
 }

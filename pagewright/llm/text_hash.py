@@ -59,8 +59,8 @@ def words_at(data: np.ndarray, cuts: np.ndarray | None = None) -> tuple[np.ndarr
     return np.flatnonzero(first), np.flatnonzero(last) + 1
 
 
-def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word, lower-cased."""
+def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray = _TABLE) -> np.ndarray:
+    """A 64-bit hash of each word, lower-cased; ``table`` has a value for each byte."""
     out = np.empty(len(starts), U64)
     long = np.flatnonzero(ends - starts > LONG)
     for i in long:
@@ -70,7 +70,7 @@ def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
             at = starts[a]
             c = min(b, max(a + 1, int(np.searchsorted(starts, at + SPAN))))
             run = np.zeros(int(ends[c - 1] - at) + 1, U64)
-            np.cumsum(_TABLE[data[at : ends[c - 1]]] * _POW[: len(run) - 1], out=run[1:])
+            np.cumsum(table[data[at : ends[c - 1]]] * _POW[: len(run) - 1], out=run[1:])
             s, e = starts[a:c] - at, ends[a:c] - at
             out[a:c] = (run[e] - run[s]) * _INV[s] + (e - s).astype(U64)
             a = c
