@@ -10,6 +10,7 @@ from .license_scan import op9_license_scans
 from .minhash import op1_minhash
 from .mixing import OP5_SQL, op5_mixing
 from .sketch import op4_fingerprints
+from .pieces import op12_pieces
 from .spelling import OP11_SQL, op11_spelling
 from .substring_dedup import op8_suffix_array
 from .toxicity import op2_toxicity
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_license_scans": op9_license_scans,
     "op10_top_k": op10_top_k,
     "op11_spelling": op11_spelling,
+    "op12_pieces": op12_pieces,
     "op13_collocations": op13_collocations,
 }
 
