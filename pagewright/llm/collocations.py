@@ -31,7 +31,7 @@ GROUP = 1 << 20
 #: Buckets of prefixes of one word and of two; their totals are all that the driver sees.
 BUCKETS = 4096
 #: Bytes of text cut into words at once, at the end of a piece; words that a task holds before it counts them.
-BLOCK, HELD = 1 << 22, 1_500_000
+BLOCK, HELD = 1 << 20, 400_000
 #: Slices of a language that rank their phrases before the language does.
 SLICES = 64
 
@@ -119,12 +119,13 @@ def _lists(batches, seed: int):
             word = np.array([low[s:e].decode() for s, e in zip(starts[at], stops[at], strict=True)], object)
             held.append((own, np.array(names, object)[lang[at]], word, n))
             total += len(own)
-            if total > HELD // 4:
+            if total >= HELD // 2:
                 yield counted()
                 held, total = [], 0
     if held:
         yield counted()
     some = np.flatnonzero(pairs)
+    pa.default_memory_pool().release_unused()
     yield pa.RecordBatch.from_arrays([pa.nulls(len(some), pa.string()), pa.nulls(len(some), pa.string()), pa.nulls(len(some), pa.int64()), pa.array(pairs[some]), pa.array(some.astype(np.int32))], names=["lang", "word", "id", "n", "bucket"])
 
 
@@ -183,11 +184,12 @@ def _suffixes(batches, seed: int, groups: Groups):
                 own, part = ids[s : s + HELD + 2], piece[s : s + HELD + 2]
                 held.append((own, np.append(part[1:] == part[:-1], False), HELD))
                 total += len(own)
-                if total >= HELD // 2:
+                if total >= HELD:
                     yield from counted()
                     held, total = [], 0
     if held:
         yield from counted()
+    pa.default_memory_pool().release_unused()
 
 
 def _subtrees(batches, least: int, whole: int):
