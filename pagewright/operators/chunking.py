@@ -1,14 +1,20 @@
-"""Chunks of structured lines: sections, parents and children, procedures, table rows and identifiers."""
+"""Chunks of structured lines: sections, parents and children, procedures, table rows and identifiers.
+
+Every chunk carries its evidence: the lines that its own units were made of, through splitting, packing and
+overlap.  Its pages are the pages of its evidence.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as T
+from ..runtime import cut_lineage
+from .packing import packed
 
 #: Caps in characters, overlap, and steps of a group.
 SECTION, PARENT, CHILD, OVERLAP, PROCEDURE, GROUP = 2400, 6000, 1400, 240, 1800, 4
-_UNIT = "array<struct<text:string,first:bigint,last:bigint>>"
+COLUMNS = ["chunk_id", "document_id", "section", "page", "pages", "content", "kind", "strategy", "parent_chunk_id", "overlap_before", "retrieval_profiles", "evidence", "at", "part"]
 
 
 def chunk_id(strategy: str, document: Column, section: Column, pages: Column, content: Column) -> Column:
@@ -18,61 +24,78 @@ def chunk_id(strategy: str, document: Column, section: Column, pages: Column, co
 
 
 def units(lines: DataFrame) -> DataFrame:
-    """document_id, section, units, pages: runs of one block type of each section, in order; blanks are skipped."""
-    x = lines.where((F.trim("text") != "") & (F.col("section") != "")).withColumn("kind", T.block_type(F.trim("text"), F.col("is_heading")))
+    """document_id, section, at, unit, block, text, evidence: runs of one block type of each section, in order.
+
+    Blank lines are skipped and a heading is a run of its own.  ``at`` is the place of the section's first
+    line, ``unit`` that of the run's first line; ``evidence`` has a row for each line.
+    """
+    x = lines.where((F.trim("text") != "") & (F.col("section") != "")).withColumn("block", T.block_type(F.trim("text"), F.col("is_heading")))
     w = Window.partitionBy("document_id", "section").orderBy("pos")
-    changed = F.lag("kind").over(w).isNull() | (F.lag("kind").over(w) != F.col("kind")) | (F.lag("kind").over(w) == "heading")
-    x = x.withColumn("unit", F.sum(changed.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    u = x.groupBy("document_id", "section", "unit").agg(F.min("pos").alias("first"), F.max("pos").alias("last"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.trim("text").alias("t")))), lambda v: v["t"]), "\n").alias("text"), F.collect_set("page").alias("p"))
-    return u.groupBy("document_id", "section").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("unit", "text", "first", "last"))), lambda v: F.struct(v["text"].alias("text"), v["first"].alias("first"), v["last"].alias("last"))).alias("units"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("p")))).alias("pages"), F.min("first").alias("at"),
-    )
+    changed = F.lag("block").over(w).isNull() | (F.lag("block").over(w) != F.col("block")) | (F.lag("block").over(w) == "heading")
+    x = x.withColumn("_run", F.sum(changed.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    x = x.withColumn("at", F.min("pos").over(Window.partitionBy("document_id", "section")))
+    line = F.struct("pos", F.trim("text").alias("t"), evidence_of(F.col("text")).alias("e"))
+    u = x.groupBy("document_id", "section", "at", "_run").agg(F.first("block").alias("block"), F.array_sort(F.collect_list(line)).alias("own"))
+    return u.select("document_id", "section", "at", F.element_at("own", 1)["pos"].alias("unit"), "block", F.array_join(F.col("own.t"), "\n").alias("text"), F.col("own.e").alias("evidence"))
 
 
-def split_long(parts: Column, most: int) -> Column:
-    """Units longer than ``most`` cut at words; no word is cut."""
+def evidence_of(content: Column) -> Column:
+    """The evidence of a line: where it stands, and what it says."""
+    line = F.col("line_index").cast("long")
+    return F.struct("source_file", "page", "section", content.alias("content"), line.alias("line_start"), line.alias("line_end"))
 
-    def cut(u: Column) -> Column:
-        words = F.split(u["text"], r"\s+")
-        packed = F.aggregate(
-            words, F.array().cast("array<string>"),
-            lambda out, w: F.when((F.size(out) > 0) & (F.length(F.element_at(out, -1)) + 1 + F.length(w) <= most), F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.concat(F.element_at(out, -1), F.lit(" "), w)))).otherwise(F.concat(out, F.array(w))),
-        )
-        return F.when(F.length(u["text"]) <= most, F.array(u)).otherwise(F.transform(packed, lambda t: F.struct(t.alias("text"), u["first"].alias("first"), u["last"].alias("last"))))
 
-    return F.flatten(F.transform(parts, cut))
+def said(evidence: Column, content: Column) -> Column:
+    """Evidence whose places are kept and whose content is that of a piece."""
+    return F.transform(evidence, lambda e: F.struct(e["source_file"].alias("source_file"), e["page"].alias("page"), e["section"].alias("section"), content.alias("content"), e["line_start"].alias("line_start"), e["line_end"].alias("line_end")))
 
 
-def pack(parts: Column, most: int) -> Column:
-    """Units packed greedily into groups: a group's lengths plus one each stay within ``most``."""
-    size = lambda g: F.aggregate(g, F.lit(0), lambda a, u: a + F.length(u["text"]) + 1)
+def pieces(text: Column, most: int) -> Column:
+    """A text cut at white space into pieces whose words, with one more character each, stay within ``most``; no word is cut."""
+    return F.regexp_extract_all(F.regexp_replace(F.trim(text), r"\s+", " "), F.lit(rf"(?s)(\S{{{most},}}|.{{1,{max(1, most - 1)}}})(?= |$) ?"), F.lit(1))
 
-    def step(out: Column, u: Column) -> Column:
-        last = F.element_at(out, -1)
-        fits = (F.size(out) > 0) & (size(last) + F.length(u["text"]) + 1 <= most)
-        return F.when(fits, F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.concat(last, F.array(u))))).otherwise(F.concat(out, F.array(F.array(u))))
 
-    return F.aggregate(split_long(parts, most), F.array().cast(f"array<{_UNIT}>"), step)
+def pack(parts: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """``parts`` (keys, unit, block, text, evidence) with ``piece`` and the number ``part`` of their group.
 
+    Groups take units while the lengths plus one each stay within ``most``.  A longer unit is cut at words,
+    none of which is cut, and each piece, the last too, is a group of its own; its evidence says the piece.
+    """
+    x = parts.withColumn("_alone", (F.length("text") > most).cast("int"))
+    x = x.select("*", F.posexplode(F.when(F.col("_alone") == 1, pieces(F.col("text"), most)).otherwise(F.array("text"))).alias("piece", "_text"))
+    x = x.withColumns({"text": F.col("_text"), "block": F.when(F.col("_alone") == 1, "narrative").otherwise(F.col("block")), "evidence": F.when(F.col("_alone") == 1, said(F.col("evidence"), F.col("_text"))).otherwise(F.col("evidence"))}).drop("_text")
+    w = Window.partitionBy(*keys).orderBy("unit", "piece")
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # a piece fills its group: what stands before it and after it is packed by itself
+    runs = packed(x.withColumn("_seg", F.sum("_alone").over(upto)), [*keys, "_seg", "_alone"], ["unit", "piece"], F.length("text") + 1, most)
+    here, before = F.struct("_seg", "_alone", "part"), F.lag(F.struct("_seg", "_alone", "part")).over(w)
+    return runs.withColumn("_new", (~here.eqNullSafe(before)).cast("int")).withColumn("part", (F.sum("_new").over(upto) - 1).cast("int")).drop("_new", "_seg", "_alone")
 
-def with_overlap(groups: Column, most: int) -> Column:
-    """Each group with the last units of the group before it, as many as fit in ``most`` characters."""
 
-    def tail(g: Column) -> Column:
-        return F.aggregate(
-            F.reverse(g), F.struct(F.array().cast(_UNIT).alias("kept"), F.lit(0).alias("n"), F.lit(True).alias("open")),
-            lambda s, u: F.when(
-                s["open"] & (s["n"] + F.length(u["text"]) + 1 <= most), F.struct(F.concat(F.array(u), s["kept"]).alias("kept"), (s["n"] + F.length(u["text"]) + 1).alias("n"), F.lit(True).alias("open"))
-            ).otherwise(F.struct(s["kept"].alias("kept"), s["n"].alias("n"), F.lit(False).alias("open"))),
-            lambda s: s["kept"],
-        )
+def with_overlap(groups: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """Packed units, each group with the last units of the group before it that fit in ``most`` (``before``: 1 for these)."""
+    whole, back = Window.partitionBy(*keys), Window.partitionBy(*keys, "part").orderBy(F.desc("unit"), F.desc("piece")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    x = groups.withColumns({"_back": F.sum(F.length("text") + 1).over(back), "_parts": F.max("part").over(whole)})
+    again = F.when((F.col("_back") <= most) & (F.col("part") < F.col("_parts")), F.array(F.struct(F.lit(0).alias("before"), F.lit(0).alias("up")), F.struct(F.lit(1).alias("before"), F.lit(1).alias("up"))))
+    x = x.withColumn("_copy", F.explode(F.coalesce(again, F.array(F.struct(F.lit(0).alias("before"), F.lit(0).alias("up"))))))
+    return x.withColumns({"part": F.col("part") + F.col("_copy.up"), "before": F.col("_copy.before")}).drop("_back", "_parts", "_copy")
 
-    return F.transform(groups, lambda g, i: F.struct(F.when(i > 0, tail(F.try_element_at(groups, i))).otherwise(F.array().cast(_UNIT)).alias("before"), g.alias("own")))
 
+def first_of_equal(df: DataFrame, evidence: str = "evidence") -> DataFrame:
+    """``df`` whose evidence has each content of a place (file, page, section) once, the first, in order."""
+    keyed = F.array_sort(F.transform(evidence, lambda e, i: F.struct(F.struct(e["source_file"], e["page"], e["section"], e["content"]).alias("k"), i.alias("i"), e.alias("e"))))
+    x = df.withColumn("_keyed", keyed)
+    kept = F.filter("_keyed", lambda v, i: (i == 0) | ~v["k"].eqNullSafe(F.get("_keyed", i - 1)["k"]))
+    ordered = F.array_sort(F.transform(kept, lambda v: F.struct(v["i"].alias("i"), v["e"].alias("e"))))
+    return x.withColumn(evidence, F.transform(ordered, lambda v: v["e"])).drop("_keyed")
 
-def content(group: Column) -> Column:
-    return F.array_join(F.transform(group, lambda u: u["text"]), "\n\n")
+
+def grouped(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, part, content, evidence, over: the units of each group; ``over`` counts the characters of those from before."""
+    x = rows if "before" in rows.columns else rows.withColumn("before", F.lit(0))
+    g = x.groupBy(*keys, "part").agg(
+        F.array_sort(F.collect_list(F.struct("unit", "piece", "text", "evidence"))).alias("_u"), F.sum(F.col("before") * (F.length("text") + 1)).cast("int").alias("over"))
+    return g.select(*keys, "part", F.array_join(F.col("_u.text"), "\n\n").alias("content"), F.flatten(F.col("_u.evidence")).alias("evidence"), "over")
 
 
 def profiles(kind: Column) -> Column:
@@ -81,76 +104,81 @@ def profiles(kind: Column) -> Column:
     return F.when(kind == "identifier", lit("exact", "bm25")).when(kind == "table_row", lit("exact", "bm25", "vector")).when(kind == "parent", lit("context")).otherwise(lit("bm25", "vector"))
 
 
+def finished(g: DataFrame, strategy: str, kind: str, role: str | None = None) -> DataFrame:
+    """Chunks of ``g`` (document_id, section, content, evidence, at, part and maybe parent_chunk_id, over): ids, pages and profiles."""
+    g = first_of_equal(g).withColumn("pages", F.array_sort(F.array_distinct(F.col("evidence.page"))))
+    have = set(g.columns)
+    return g.withColumns({
+        "chunk_id": chunk_id(strategy, F.col("document_id"), F.col("section"), F.col("pages"), F.col("content")), "page": F.element_at("pages", 1),
+        "kind": F.lit(kind), "strategy": F.lit(strategy), "parent_chunk_id": F.col("parent_chunk_id") if "parent_chunk_id" in have else F.lit(None).cast("string"),
+        "overlap_before": F.col("over") if "over" in have else F.lit(0), "retrieval_profiles": profiles(F.lit(role or kind)), "at": F.col("at").cast("long"),
+    })
+
+
 def section_chunks(lines: DataFrame) -> DataFrame:
     """Chunks of whole sections."""
-    g = units(lines).select("document_id", "section", "pages", "at", F.posexplode(pack(F.col("units"), SECTION)).alias("part", "group"))
-    return _finish(g, "section", "section", content(F.col("group")), F.lit(None).cast("string"))
+    return finished(grouped(pack(units(lines), ["document_id", "section", "at"], SECTION), ["document_id", "section", "at"]), "section", "section").select(*COLUMNS)
 
 
 def parent_child_chunks(lines: DataFrame) -> DataFrame:
     """Parents and their overlapping children, which name them."""
-    p = units(lines).select("document_id", "section", "pages", "at", F.posexplode(pack(F.col("units"), PARENT)).alias("part", "group"))
-    p = p.withColumn("parent", chunk_id("parent_child", F.col("document_id"), F.col("section"), F.col("pages"), content(F.col("group"))))
-    c = p.select("document_id", "section", "pages", "at", "part", "parent", F.posexplode(with_overlap(pack(F.col("group"), CHILD - OVERLAP), OVERLAP)).alias("child", "g"))
-    parents = _finish(p, "parent_child", "parent", content(F.col("group")), F.lit(None).cast("string"))
-    c = c.withColumn("group", F.concat("g.before", "g.own")).withColumn("part", F.col("part") * 100_000 + F.col("child"))
-    over = F.length(content(F.col("g.before"))).cast("int")
-    return parents.unionByName(_finish(c, "parent_child", "child", content(F.col("group")), F.col("parent"), over))
-
-
-def _finish(g: DataFrame, strategy: str, kind: str, text: Column, parent: Column, overlap: Column | None = None) -> DataFrame:
-    return g.select(
-        chunk_id(strategy, F.col("document_id"), F.col("section"), F.col("pages"), text).alias("chunk_id"), "document_id", "section", "pages", text.alias("content"),
-        F.lit(kind).alias("kind"), F.lit(strategy).alias("strategy"), parent.alias("parent_chunk_id"), F.coalesce(overlap if overlap is not None else F.lit(0), F.lit(0)).alias("overlap_before"),
-        profiles(F.lit(kind)).alias("retrieval_profiles"), "at", "part",
-    )
+    keys = ["document_id", "section", "at"]
+    held = cut_lineage(pack(units(lines), keys, PARENT))  # read three times
+    parents = finished(grouped(held, keys), "parent_child", "parent")
+    own = [*keys, "parent"]
+    # a parent's pieces are the units of its children
+    inner = held.withColumnRenamed("part", "parent").withColumn("unit", F.row_number().over(Window.partitionBy(*own).orderBy("unit", "piece"))).drop("piece")
+    children = grouped(with_overlap(pack(inner, own, CHILD - OVERLAP), own, OVERLAP), own)
+    children = children.join(parents.select(*keys, F.col("part").alias("parent"), F.col("chunk_id").alias("parent_chunk_id")), own)
+    children = children.withColumn("part", (F.col("parent") * 100_000 + F.col("part")).cast("int"))
+    return parents.select(*COLUMNS).unionByName(finished(children, "parent_child", "child").select(*COLUMNS))
 
 
 def procedure_chunks(procedures: DataFrame) -> DataFrame:
-    """Each procedure as a parent, and groups of up to four steps with its prerequisites and warnings."""
-    line = lambda s: F.concat(s["number"].cast("string"), F.lit(". "), s["content"])
-    frame = F.concat(F.col("prerequisites"), F.col("warnings"))
-    room = F.greatest(F.lit(200), F.lit(PROCEDURE - 100) - F.length(F.array_join(frame, "\n")))
-    x = procedures.withColumn("frame", frame).withColumn("room", room)
-    whole = F.array_join(F.concat("frame", F.transform("steps", line)), "\n")
-    x = x.withColumn("parent", chunk_id("procedure", F.col("document_id"), F.col("section"), F.col("pages"), whole)).withColumn("whole", whole)
-    kind = "array<array<struct<number:bigint,page:int,content:string>>>"
-
-    def step(out: Column, s: Column) -> Column:
-        last = F.element_at(out, -1)
-        used = F.aggregate(last, F.lit(0), lambda a, v: a + F.length(line(v)) + 1)
-        fits = (F.size(out) > 0) & (F.size(last) < GROUP) & (used + F.length(line(s)) <= F.col("room"))
-        return F.when(fits, F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.concat(last, F.array(s))))).otherwise(F.concat(out, F.array(F.array(s))))
-
-    groups = F.aggregate(F.col("steps").cast("array<struct<number:bigint,page:int,content:string>>"), F.array().cast(kind), step)
-    parents = x.select(F.col("parent").alias("chunk_id"), "document_id", "section", "pages", F.col("whole").alias("content"), F.lit("procedure").alias("kind"), F.lit("procedure").alias("strategy"), F.lit(None).cast("string").alias("parent_chunk_id"), F.lit(0).alias("overlap_before"), profiles(F.lit("parent")).alias("retrieval_profiles"), F.col("run").cast("long").alias("at"), F.lit(0).alias("part"))
-    g = x.select("*", F.posexplode(groups).alias("part", "group"))
-    own = F.array_sort(F.array_distinct(F.transform("group", lambda s: s["page"])))
-    g = g.withColumn("pages", own).withColumn("text", F.array_join(F.concat("frame", F.transform("group", line)), "\n"))
-    steps = g.select(chunk_id("procedure", F.col("document_id"), F.col("section"), F.col("pages"), F.col("text")).alias("chunk_id"), "document_id", "section", "pages", F.col("text").alias("content"), F.lit("step_group").alias("kind"), F.lit("procedure").alias("strategy"), F.col("parent").alias("parent_chunk_id"), F.lit(0).alias("overlap_before"), profiles(F.lit("step_group")).alias("retrieval_profiles"), F.col("run").cast("long").alias("at"), F.col("part") + 1)
-    return parents.unionByName(steps.toDF(*parents.columns))
+    """Each procedure as a parent, and groups of up to four steps with its prerequisites and warnings.
+
+    A step that is longer than what the prerequisites and warnings leave is cut at words.
+    """
+    keys = ["document_id", "run"]
+    frame = F.concat(F.transform("prerequisites", lambda e: F.concat(F.lit("Prerequisite: "), e["content"])), F.transform("warnings", lambda e: F.concat(F.lit("Warning: "), e["content"])))
+    taken = F.length(F.array_join("frame", "\n")) + (F.size("frame") > 0).cast("int")
+    x = procedures.withColumn("frame", frame).withColumn("room", F.greatest(F.lit(200), F.lit(PROCEDURE - 100) - taken))
+    numbered = lambda s: F.concat(s["number"].cast("string"), F.lit(". "), s["content"])
+    framing = F.concat("prerequisites", "warnings")
+    parents = x.withColumns({"content": F.array_join(F.concat("frame", F.transform("steps", numbered)), "\n"), "evidence": F.concat(framing, F.transform("steps", lambda s: s["evidence"])), "at": F.col("run"), "part": F.lit(0)})
+    parents = cut_lineage(finished(parents, "procedure", "procedure", "parent"))  # read three times
+    step = parents.select(*keys, "room", F.posexplode("steps").alias("unit", "step"))
+    words = F.when(F.length("step.content") > F.col("room"), F.split(F.trim("step.content"), r"\s+")).otherwise(F.array("step.content"))
+    words = step.select(*keys, "unit", "room", F.posexplode(words).alias("_n", "_word"))
+    cut = packed(words, [*keys, "unit"], ["_n"], F.length("_word") + 1, F.col("room")).groupBy(*keys, "unit", "room", F.col("part").alias("piece"))
+    cut = cut.agg(F.array_join(F.array_sort(F.collect_list(F.struct("_n", "_word")))["_word"], " ").alias("text"))
+    groups = packed(cut, keys, ["unit", "piece"], F.length("text"), F.col("room"), GROUP)
+    own = groups.groupBy(*keys, "part").agg(F.array_sort(F.collect_list(F.struct("unit", "piece", "text"))).alias("own"))
+    g = own.join(parents.select(*keys, "section", "frame", "steps", framing.alias("framing"), F.col("chunk_id").alias("parent_chunk_id")), keys)
+    of = lambda o: F.element_at("steps", o["unit"] + 1)
+    lines = F.transform("own", lambda o: F.concat(of(o)["number"].cast("string"), F.lit(". "), o["text"]))
+    g = g.withColumns({"content": F.array_join(F.concat("frame", lines), "\n"), "evidence": F.concat("framing", F.transform("own", lambda o: of(o)["evidence"])), "at": F.col("run"), "part": F.col("part") + 1})
+    return parents.select(*COLUMNS).unionByName(finished(g, "procedure", "step_group").select(*COLUMNS))
 
 
 def table_row_chunks(rows: DataFrame) -> DataFrame:
-    """A chunk for each table row: ``header: cell`` of the non-empty cells."""
-    pair = F.zip_with("headers", "cells", lambda h, c: F.when(h.isNotNull() & c.isNotNull() & (c != ""), F.when(h != "", F.concat(h, F.lit(": "), c)).otherwise(c)))
-    text = F.array_join(F.array_compact(pair), " | ")
-    x = rows.select("document_id", "section", F.array("page").alias("pages"), text.alias("text"), F.col("table_pos").alias("at"), F.col("row_index").alias("part"))
-    return _finish(x, "table_row", "table_row", F.col("text"), F.lit(None).cast("string"))
+    """A chunk for each table row: ``header: cell``; what has no counterpart is left out."""
+    cell = F.transform(F.arrays_zip("headers", "cells"), lambda z: F.concat(z["headers"], F.lit(": "), z["cells"]))
+    x = rows.withColumns({"content": F.array_join(F.array_compact(cell), " | "), "evidence": F.array(evidence_of(F.col("text"))), "at": F.col("table_pos"), "part": F.col("row_index")})
+    return finished(x, "table_row", "table_row").select(*COLUMNS)
 
 
 def identifier_chunks(found: DataFrame) -> DataFrame:
     """A chunk for each identifier: its line, with kind and value."""
-    x = found.select("document_id", "section", F.array("page").alias("pages"), F.col("context").alias("text"), F.col("occurrence").cast("long").alias("at"), F.lit(0).alias("part"), F.col("kind").alias("identifier_kind"), "normalized_value")
-    out = _finish(x, "exact", "identifier", F.col("text"), F.lit(None).cast("string"))
-    return out.join(x.select("document_id", "at", "identifier_kind", "normalized_value"), ["document_id", "at"])
+    x = found.withColumns({"content": F.col("context"), "evidence": F.array(evidence_of(F.col("context"))), "at": F.col("occurrence"), "part": F.lit(0), "identifier_kind": F.col("kind")})
+    return finished(x, "exact", "identifier").select(*COLUMNS, "identifier_kind", "normalized_value")
 
 
 def all_chunks(*strategies: DataFrame) -> DataFrame:
     """The chunks of all strategies with their ordinals in the document: strategy by strategy, in order."""
     out = None
     for i, s in enumerate(strategies):
-        s = s.select("chunk_id", "document_id", "section", "pages", "content", "kind", "strategy", "parent_chunk_id", "overlap_before", "retrieval_profiles", "at", "part", (s["normalized_value"] if "normalized_value" in s.columns else F.lit(None).cast("string")).alias("normalized_value")).withColumn("_s", F.lit(i))
+        s = s.select(*COLUMNS, (s["normalized_value"] if "normalized_value" in s.columns else F.lit(None).cast("string")).alias("normalized_value")).withColumn("_s", F.lit(i))
         out = s if out is None else out.unionByName(s)
     order = Window.partitionBy("document_id").orderBy("_s", "at", "part", "kind", "chunk_id", F.col("normalized_value").asc_nulls_first())
     return out.withColumn("ordinal", F.row_number().over(order) - 1).drop("_s", "at", "part")

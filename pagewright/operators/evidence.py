@@ -38,18 +38,44 @@ def composed_query(df: DataFrame) -> DataFrame:
     return df.withColumn("composed", F.concat_ws(" ", "query", F.concat(F.lit("Observed: "), F.col("observed")), F.concat(F.lit("Selected result: "), F.col("selected"))))
 
 
-def assembled(hits: DataFrame, chunks: DataFrame) -> DataFrame:
-    """query_id, rank, chunk_id, content, citation: each hit's own text, else its parent's; each once, none empty."""
-    own = chunks.select("chunk_id", "content", "parent_chunk_id", "document_id", "section", F.element_at("pages", 1).alias("page"))
-    up = chunks.select(F.col("chunk_id").alias("parent_chunk_id"), F.col("content").alias("parent_content")).dropDuplicates(["parent_chunk_id"])
-    x = hits.join(own.dropDuplicates(["chunk_id"]), "chunk_id").join(up, "parent_chunk_id", "left")
-    text = F.coalesce(F.nullif(F.trim("content"), F.lit("")), F.nullif(F.trim("parent_content"), F.lit("")))
-    x = x.withColumn("content", text).where(F.col("content").isNotNull() & F.col("document_id").isNotNull())
-    return top(x, ["query_id", "chunk_id"], ["rank"], 1, "_n").select("query_id", "rank", "chunk_id", "content", F.struct("document_id", "page", "section").alias("citation"))
+#: What a hit's payload must hold to be cited as it is, and where a document has it.
+CITED = {"document_id": "document_id", "document_title": "title", "manufacturer": "manufacturer", "model": "model", "document_version": "version", "page": None, "section": None, "source_url": "source_url"}
+
+
+def assembled(hits: DataFrame, chunks: DataFrame, documents: DataFrame) -> DataFrame:
+    """query_id, rank, chunk_id, content, pages, citation: the hits that have a text and can be cited, each chunk once.
+
+    ``hits`` has query_id, rank, chunk_id and what its payload holds of text, parent_chunk_id and the fields of
+    a citation.  The text is the payload's, else the chunk's, else its parent's.  A payload that lacks a field
+    (null or empty) is cited by the first evidence of the chunk, else of the parent, and their document; hits
+    with neither are left out.  ``chunks`` and ``documents`` are looked up by id, one row an id.
+    """
+    have = set(hits.columns)
+    said = {c: F.col(c) if c in have else F.lit(None).cast("int" if c == "page" else "string") for c in ["text", "parent_chunk_id", *CITED]}
+    x = hits.select("query_id", "rank", "chunk_id", F.struct(*[v.alias(k) for k, v in said.items()]).alias("said"))
+    held = F.struct("content", "pages", "document_id", F.element_at("evidence", 1).alias("first"))
+    known = top(chunks.select("chunk_id", held.alias("held")), ["chunk_id"], ["held"], 1, "_n").drop("_n")
+    x = x.join(known.withColumnRenamed("held", "own"), "chunk_id", "left")
+    x = x.join(known.select(F.col("chunk_id").alias("_up"), F.col("held").alias("parent")), F.col("said.parent_chunk_id") == F.col("_up"), "left")
+    x = x.withColumn("base", F.coalesce("own", "parent"))
+    x = x.join(documents.select(F.col("document_id").alias("_doc"), F.struct(*[c for c in CITED.values() if c]).alias("doc")), F.col("base.document_id") == F.col("_doc"), "left")
+    text = lambda c: F.nullif(c, F.lit(""))
+    whole = F.lit(True)
+    for c in CITED:
+        whole = whole & (F.coalesce(F.col(f"said.{c}").cast("string"), F.lit("")) != "")
+    payload = F.struct(*[F.col(f"said.{c}").cast("int" if c == "page" else "string").alias(c) for c in CITED])
+    looked_up = F.struct(*[(F.col(f"base.first.{c}") if at is None else F.coalesce(F.col(f"doc.{at}"), F.lit("")) if c in ("model", "document_version") else F.col(f"doc.{at}")).alias(c) for c, at in CITED.items()])
+    x = x.withColumns({
+        "content": F.coalesce(text(F.trim("said.text")), text(F.col("own.content")), text(F.col("parent.content"))),
+        "citation": F.when(whole, payload).when(F.col("base.first").isNotNull() & F.col("doc").isNotNull(), looked_up),
+        "pages": F.coalesce("own.pages", "parent.pages", F.array(F.col("said.page").cast("int"))),
+    })
+    good = x.where(F.col("content").isNotNull() & F.col("citation").isNotNull())
+    return top(good, ["query_id", "chunk_id"], ["rank"], 1, "_n").select("query_id", "rank", "chunk_id", "content", "pages", "citation")
 
 
 def citations(evidence: DataFrame) -> DataFrame:
-    """query_id, document_id, page, section, rank: the first evidence of each place."""
+    """query_id, rank and the eight fields of a citation: the first evidence of each document, page and section."""
     x = evidence.select("query_id", "rank", "citation.*")
     return top(x, ["query_id", "document_id", "page", "section"], ["rank"], 1, "_n").drop("_n")
 

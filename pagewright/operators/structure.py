@@ -26,14 +26,15 @@ KINDS = ["error_code", "blink_pattern", "part_number", "model_number"]
 
 
 def structured_lines(pages: DataFrame) -> DataFrame:
-    """document_id, page, line_index, pos, text, is_heading, level, title, section.
+    """document_id, source_file, page, line_index, pos, text, is_heading, level, title, section.
 
-    ``pages`` has document_id, page_seq, page_number, text and maybe excluded_from_chunking; excluded
-    pages have no lines.  A heading of level L is on the path as long as no later heading is of L or less.
+    ``pages`` has document_id, page_seq, page_number, text and maybe source_file (else the document stands for
+    it) and excluded_from_chunking; excluded pages have no lines.  A heading of level L is on the path as long as no later heading is of L or less.
     """
     if "excluded_from_chunking" in pages.columns:
         pages = pages.where(~F.col("excluded_from_chunking"))
-    line = pages.select("document_id", "page_seq", F.col("page_number").alias("page"), F.posexplode(T.lines_of(F.col("text"))).alias("line_index", "text"))
+    source = F.col("source_file") if "source_file" in pages.columns else F.col("document_id")
+    line = pages.select("document_id", source.alias("source_file"), "page_seq", F.col("page_number").alias("page"), F.posexplode(T.lines_of(F.col("text"))).alias("line_index", "text"))
     doc = Window.partitionBy("document_id").orderBy("page_seq", "line_index")
     marks, asked = F.regexp_extract("text", T.HEADING, 1), F.regexp_extract("text", T.QUESTION_HEADING, 1)
     line = line.withColumn("pos", F.row_number().over(doc).cast("long"))
@@ -51,7 +52,7 @@ def structured_lines(pages: DataFrame) -> DataFrame:
         return F.when(ok, own["title"])
 
     path = F.concat_ws(" > ", *[live(n) for n in range(1, 7)])
-    return line.select("document_id", "page", "line_index", "pos", "text", F.col("level").isNotNull().alias("is_heading"), "level", "title", path.alias("section"))
+    return line.select("document_id", "source_file", "page", "line_index", "pos", "text", F.col("level").isNotNull().alias("is_heading"), "level", "title", path.alias("section"))
 
 
 def headings(lines: DataFrame) -> DataFrame:
@@ -61,6 +62,9 @@ def headings(lines: DataFrame) -> DataFrame:
 def procedures(lines: DataFrame) -> DataFrame:
     """document_id, run, section, pages, steps, prerequisites, warnings: numbered runs of two steps or more.
 
+    Prerequisites and warnings are evidence (source_file, page, section, content, line_start, line_end); a step
+    has number, page, content and the evidence of its first line, whose content goes on as the step's does.
+
     A run ends at a heading or at a paragraph after a blank line, and a step whose number isn't above
     the one before starts a new run.  Lines in between go on with the step; marked lines before a run,
     while none is active, are its prerequisites.
@@ -82,22 +86,26 @@ def procedures(lines: DataFrame) -> DataFrame:
     first_text_break = F.col("_brk") & ~F.col("is_heading") & F.col("_step_before").isNotNull() & (F.coalesce(F.lag("_last_break").over(doc), F.lit(-1)) < F.col("_step_before.pos"))
     need = ~step & ~inside & ~first_text_break & T.plain(F.col("text")).rlike(T.PREREQUISITE)
     x = x.withColumns({"_inside": inside, "_need": need, "_step": step, "_warn": mark})
+    line = F.col("line_index").cast("long")
+    x = x.withColumn("_e", F.struct("source_file", "page", "section", F.col("text").alias("content"), line.alias("line_start"), line.alias("line_end")))
     member = x.where("_inside").groupBy("document_id", "run", "_last_step").agg(
-        F.min("number").alias("number"), F.min("page").alias("page"), F.min(F.struct("pos", "section")).alias("at"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.when(F.col("_step"), F.col("body")).otherwise(F.trim("text")).alias("t")))), lambda v: v["t"]), " ").alias("content"),
-        F.array_sort(F.collect_list(F.when(F.col("_warn"), F.struct("pos", "text", "page")))).alias("warned"),
+        F.min_by(F.struct("number", "page", "section", "_e"), "pos").alias("first"),
+        F.array_sort(F.collect_list(F.struct("pos", F.when(F.col("_step"), F.col("body")).otherwise(F.col("text")).alias("t"), F.col("text").alias("raw")))).alias("said"),
+        F.array_sort(F.collect_list(F.when(F.col("_warn"), F.struct("pos", "_e")))).alias("warned"),
     )
+    joined = lambda c: F.array_join(F.col(c), "\n")
+    e = F.col("first._e")
+    whole = F.struct(e["source_file"].alias("source_file"), e["page"].alias("page"), e["section"].alias("section"), joined("said.raw").alias("content"), e["line_start"].alias("line_start"), e["line_end"].alias("line_end"))
+    step_of = F.struct("_last_step", F.struct(F.col("first.number").alias("number"), F.col("first.page").alias("page"), joined("said.t").alias("content"), whole.alias("evidence")).alias("s"))
     run = member.groupBy("document_id", "run").agg(
-        F.min("at").alias("at"), F.concat(F.collect_set("page"), F.transform(F.flatten(F.collect_list("warned")), lambda s: s["page"])).alias("_pages"),
-        F.transform(F.array_sort(F.collect_list(F.struct("_last_step", "number", "page", "content"))), lambda s: F.struct(s["number"].alias("number"), s["page"].alias("page"), s["content"].alias("content"))).alias("steps"),
-        F.transform(F.array_sort(F.flatten(F.collect_list("warned"))), lambda s: F.trim(s["text"])).alias("warnings"),
+        F.min_by("first.section", "_last_step").alias("section"), F.array_sort(F.collect_list(step_of))["s"].alias("steps"), F.array_sort(F.flatten(F.collect_list("warned")))["_e"].alias("warnings"),
     )
-    needs = x.where("_need").groupBy("document_id", (F.col("run") + 1).alias("run")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda s: F.trim(s["text"])).alias("prerequisites"), F.collect_set("page").alias("_need_pages"))
-    out = run.join(needs, ["document_id", "run"], "left").withColumn("section", F.col("at.section"))
-    # pages of the steps, of the prerequisites and of the warnings
-    out = out.withColumn("pages", F.array_sort(F.array_distinct(F.concat("_pages", F.coalesce("_need_pages", F.array().cast("array<int>"))))))
+    needs = x.where("_need").groupBy("document_id", (F.col("run") + 1).alias("run")).agg(F.array_sort(F.collect_list(F.struct("pos", "_e")))["_e"].alias("prerequisites"))
+    out = run.join(needs, ["document_id", "run"], "left").withColumn("prerequisites", F.coalesce("prerequisites", F.array().cast("array<struct<source_file:string,page:int,section:string,content:string,line_start:bigint,line_end:bigint>>")))
+    of_steps = F.transform("steps", lambda s: s["page"])
+    out = out.withColumn("pages", F.array_sort(F.array_distinct(F.concat(of_steps, F.col("prerequisites.page"), F.col("warnings.page")))))
     good = (F.size("steps") >= 2) & (F.col("section") != "") & ~F.col("section").rlike(T.NO_PROCEDURE)
-    return out.where(good).select("document_id", "run", "section", "pages", "steps", F.coalesce("prerequisites", F.array().cast("array<string>")).alias("prerequisites"), "warnings")
+    return out.where(good).select("document_id", "run", "section", "pages", "steps", "prerequisites", "warnings")
 
 
 def cells(row: Column) -> Column:
@@ -107,7 +115,7 @@ def cells(row: Column) -> Column:
 
 
 def table_rows(lines: DataFrame) -> DataFrame:
-    """document_id, table_pos, row_index, page, section, headers, cells: rows of pipe tables that have a header and a separator."""
+    """document_id, table_pos, row_index, page, section, headers, cells, source_file, line_index, text: rows of pipe tables that have a header and a separator."""
     doc = Window.partitionBy("document_id").orderBy("pos")
     pipe = ~F.col("is_heading") & F.col("text").rlike(T.PIPE_ROW)
     x = lines.withColumn("_pipe", pipe).withColumn("_new", F.col("_pipe") & ~F.coalesce(F.lag("_pipe").over(doc), F.lit(False)))
@@ -119,11 +127,11 @@ def table_rows(lines: DataFrame) -> DataFrame:
     x = x.withColumn("_head", F.min(F.when(F.col("_some") & F.col("_sep_next"), F.struct("pos", "cells"))).over(run))
     rows = x.where(F.col("_some") & (F.col("pos") > F.col("_head.pos") + 1))
     at = F.row_number().over(Window.partitionBy("document_id", "_run").orderBy("pos")) - 1
-    return rows.select("document_id", F.col("_head.pos").alias("table_pos"), at.alias("row_index"), "page", "section", F.col("_head.cells").alias("headers"), "cells")
+    return rows.select("document_id", F.col("_head.pos").alias("table_pos"), at.alias("row_index"), "page", "section", F.col("_head.cells").alias("headers"), "cells", "source_file", "line_index", "text")
 
 
 def identifiers(lines: DataFrame) -> DataFrame:
-    """document_id, kind, value, normalized_value, page, section, context, occurrence: identifiers in their contexts, once per page and section."""
+    """document_id, kind, value, normalized_value, page, section, context, occurrence, source_file, line_index: identifiers in their contexts, once per page and section."""
     t = F.col("text")
     found = lambda p: F.transform(F.regexp_extract_all(t, F.lit(p), F.lit(0)), lambda v: F.trim(v))
     none = F.array().cast("array<string>")
@@ -139,9 +147,9 @@ def identifiers(lines: DataFrame) -> DataFrame:
         return F.transform(F.coalesce(values, none), lambda v, i: F.struct(F.lit(kind).alias("k"), i.alias("i"), v.alias("value")))
 
     pairs = F.flatten(F.array(*[numbered(v, k) for k, v in enumerate(by_kind)]))
-    x = lines.where("section <> ''").select("document_id", "page", "section", "pos", F.col("text").alias("context"), F.explode(pairs).alias("v"))
+    x = lines.where("section <> ''").select("document_id", "source_file", "line_index", "page", "section", "pos", F.col("text").alias("context"), F.explode(pairs).alias("v"))
     x = x.select("*", F.element_at(F.array(*map(F.lit, KINDS)), F.col("v.k") + 1).alias("kind"), F.col("v.value").alias("value"), F.upper(F.regexp_replace("v.value", r"\s+", "")).alias("normalized_value"))
     once = F.row_number().over(Window.partitionBy("document_id", "kind", "normalized_value", "page", "section").orderBy("pos", "v.k", "v.i"))
     x = x.where("normalized_value <> ''").withColumn("_n", once).where("_n = 1")
     nth = F.row_number().over(Window.partitionBy("document_id").orderBy("pos", "v.k", "v.i"))
-    return x.select("document_id", "kind", "value", "normalized_value", "page", "section", "context", nth.alias("occurrence"))
+    return x.select("document_id", "kind", "value", "normalized_value", "page", "section", "context", nth.alias("occurrence"), "source_file", "line_index")

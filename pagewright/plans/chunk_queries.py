@@ -75,7 +75,8 @@ _STEPS = _BASE + r""", s0 AS (
 ), s3 AS (SELECT *, sum((number IS NOT NULL AND (sb IS NULL OR lb > sb.p OR number <= sb.n))::INT) OVER (PARTITION BY document_id ORDER BY pos) AS run FROM s2
 ), st AS (
   SELECT document_id, run, ls, min(number) AS number, min(page) AS page, arg_min(section, pos) AS section,
-         string_agg(CASE WHEN number IS NOT NULL THEN body ELSE trim(text) END, ' ' ORDER BY pos) AS content, count(*) FILTER (warn) AS warnings, least(min(page), min(page) FILTER (warn)) AS lo, greatest(min(page), max(page) FILTER (warn)) AS hi
+         string_agg(CASE WHEN number IS NOT NULL THEN body ELSE text END, chr(10) ORDER BY pos) AS content, count(*) FILTER (warn) AS warnings,
+         {'page': arg_min(page, pos), 'section': arg_min(section, pos), 'line': arg_min(line_index, pos), 'content': string_agg(text, chr(10) ORDER BY pos)} AS e, least(min(page), min(page) FILTER (warn)) AS lo, greatest(min(page), max(page) FILTER (warn)) AS hi
   FROM s3 WHERE trim(text) <> '' AND ls IS NOT NULL AND lb < ls GROUP BY 1, 2, 3
 ), rn AS (
   SELECT document_id, run, arg_min(section, ls) AS section, count(*) AS steps, sum(warnings)::BIGINT AS warnings, min(lo) AS first_page, max(hi) AS last_page, string_agg(number || '. ' || content, chr(10) ORDER BY ls) AS text
@@ -100,7 +101,7 @@ _ROWS = _BASE + r""", t0 AS (SELECT *, NOT is_heading AND regexp_matches(text, '
 ), t2 AS (SELECT *, sum(new::INT) OVER (PARTITION BY document_id ORDER BY pos) AS run, list_transform(string_split(regexp_replace(regexp_replace(trim(text), '^\|', ''), '\|$', ''), '|'), lambda x: trim(x)) AS cells FROM t1
 ), t3 AS (SELECT *, min(CASE WHEN sep AND len(list_filter(cells, lambda x: x <> '')) > 0 THEN {'p': pos, 'c': cells} END) OVER (PARTITION BY document_id, run) AS head FROM t2 WHERE pipe AND section <> ''
 ), tr AS (
-  SELECT document_id, head.p AS table_pos, (row_number() OVER (PARTITION BY document_id, run ORDER BY pos) - 1)::INT AS row_index, page, section, head.c AS headers, cells
+  SELECT document_id, head.p AS table_pos, (row_number() OVER (PARTITION BY document_id, run ORDER BY pos) - 1)::INT AS row_index, page, section, head.c AS headers, cells, [{'page': page, 'section': section, 'line': line_index, 'content': text}] AS ev
   FROM t3 WHERE pos > head.p + 1 AND len(list_filter(cells, lambda x: x <> '')) > 0
 )"""
 
@@ -108,14 +109,14 @@ _ROWS = _BASE + r""", t0 AS (SELECT *, NOT is_heading AND regexp_matches(text, '
 @_query(_ROWS + "SELECT document_id, table_pos, row_index, page, section, array_to_string(headers, '|') AS headers, array_to_string(cells, '|') AS cells FROM tr")
 def table_rows(spark, sf_dir: str) -> DataFrame:
     """Table rows of the parts' manuals."""
-    return S.table_rows(_lines(spark, sf_dir)).withColumns({"headers": F.array_join("headers", "|"), "cells": F.array_join("cells", "|")})
+    return S.table_rows(_lines(spark, sf_dir)).withColumns({"headers": F.array_join("headers", "|"), "cells": F.array_join("cells", "|")}).drop("source_file", "line_index", "text")
 
 
 _CHUNK_ID = "'{0}:' || substr(sha256(document_id || '|{0}|' || section || '|' || page || '|' || content), 1, 24)"
 
 
 @_query(_ROWS + f"""SELECT {_CHUNK_ID.format('table_row')} AS chunk_id, document_id, section, page, content FROM (
-  SELECT *, array_to_string(list_filter(list_transform(list_zip(headers, cells, true), lambda x: CASE WHEN x[2] <> '' THEN CASE WHEN x[1] <> '' THEN x[1] || ': ' || x[2] ELSE x[2] END END), lambda x: x IS NOT NULL), ' | ') AS content FROM tr)""")
+  SELECT *, array_to_string(list_transform(list_zip(headers, cells, true), lambda x: x[1] || ': ' || x[2]), ' | ') AS content FROM tr)""")
 def table_row_chunks(spark, sf_dir: str) -> DataFrame:
     """Chunks of the table rows."""
     c = K.table_row_chunks(S.table_rows(_lines(spark, sf_dir)))
@@ -123,19 +124,19 @@ def table_row_chunks(spark, sf_dir: str) -> DataFrame:
 
 
 _IDENTS = _BASE + r""", v AS (
-  SELECT document_id, page, section, pos, text, 0 AS k, 'error_code' AS kind, unnest(regexp_extract_all(text, '\[\s*\d{1,2}(?:\s*[,/-]\s*\d{1,2})+\s*\]')) AS value, unnest(range(50)) AS i FROM l WHERE section <> '' AND regexp_matches(text, '(?i)\b(?:error|failure|fault|diagnostic|message)\b')
-  UNION ALL SELECT document_id, page, section, pos, text, 2, 'part_number', unnest(regexp_extract_all(text, '(?i)\b[A-Z]\d{4,6}-(?:\d{3}|[A-Z0-9]{3})\b')), unnest(range(50)) FROM l WHERE section <> '' AND regexp_matches(text, '(?i)\b(?:part|spare part|replacement part|FRU|component)\s+number\b')
+  SELECT document_id, page, line_index, section, pos, text, 0 AS k, 'error_code' AS kind, unnest(regexp_extract_all(text, '\[\s*\d{1,2}(?:\s*[,/-]\s*\d{1,2})+\s*\]')) AS value, unnest(range(50)) AS i FROM l WHERE section <> '' AND regexp_matches(text, '(?i)\b(?:error|failure|fault|diagnostic|message)\b')
+  UNION ALL SELECT document_id, page, line_index, section, pos, text, 2, 'part_number', unnest(regexp_extract_all(text, '(?i)\b[A-Z]\d{4,6}-(?:\d{3}|[A-Z0-9]{3})\b')), unnest(range(50)) FROM l WHERE section <> '' AND regexp_matches(text, '(?i)\b(?:part|spare part|replacement part|FRU|component)\s+number\b')
 ), o AS (
   SELECT *, upper(regexp_replace(value, '\s+', '', 'g')) AS normalized_value FROM v WHERE value IS NOT NULL
 ), d AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY document_id, kind, normalized_value, page, section ORDER BY pos, k, i) = 1
-), idn AS (SELECT document_id, kind, value, normalized_value, page, section, text AS context, row_number() OVER (PARTITION BY document_id ORDER BY pos, k, i)::INT AS occurrence FROM d)
+), idn AS (SELECT document_id, kind, value, normalized_value, page, section, text AS context, row_number() OVER (PARTITION BY document_id ORDER BY pos, k, i)::INT AS occurrence, [{'page': page, 'section': section, 'line': line_index, 'content': text}] AS ev FROM d)
 """
 
 
-@_query(_IDENTS + "SELECT * FROM idn")
+@_query(_IDENTS + "SELECT * EXCLUDE (ev) FROM idn")
 def identifiers(spark, sf_dir: str) -> DataFrame:
     """Identifiers of the parts' manuals."""
-    return S.identifiers(_lines(spark, sf_dir))
+    return S.identifiers(_lines(spark, sf_dir)).drop("source_file", "line_index")
 
 
 @_query(_IDENTS + f"SELECT {_CHUNK_ID.format('exact')} AS chunk_id, document_id, section, page, content, normalized_value FROM (SELECT *, context AS content FROM idn)")
@@ -145,69 +146,90 @@ def identifier_chunks(spark, sf_dir: str) -> DataFrame:
     return c.select("chunk_id", "document_id", "section", F.element_at("pages", 1).alias("page"), "content", "normalized_value")
 
 
+def _piece(text: str) -> str:
+    return f"list_transform(ev, lambda e: {{'page': e.page, 'section': e.section, 'line': e.line, 'content': {text}}})"
+
+
 def _packed(x: str, units: str, most: int) -> str:
-    """CTEs that pack ``units`` (k, n, text) one by one: ``{x}g`` has k, i, text and the number of the ``part``."""
-    word, unit = f"used + 1 + length(w.w) <= {most}", f"used + 1 + length(o.text) <= {most}"
+    """CTEs that pack ``units`` (k, n, text, ev) one by one: ``{x}g`` has k, i, text, ev and the number of the ``part``."""
+    word, unit = f"used + length(w.w) + 1 <= {most}", f"NOT o.alone AND NOT g.alone AND used + length(o.text) + 1 <= {most}"
     return f""", {x}w AS (
   SELECT k, n, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i FROM (SELECT k, n, regexp_split_to_array(text, '\\s+') AS ws FROM {units} WHERE length(text) > {most})
 ), {x}r AS (
-  SELECT k, n, i, w, 1 AS piece, length(w) AS used FROM {x}w WHERE i = 1
-  UNION ALL SELECT w.k, w.n, w.i, w.w, CASE WHEN {word} THEN piece ELSE piece + 1 END, CASE WHEN {word} THEN used + 1 ELSE 0 END + length(w.w) FROM {x}r r JOIN {x}w w ON w.k = r.k AND w.n = r.n AND w.i = r.i + 1
-), {x}s AS (SELECT k, n, 1 AS piece, text FROM {units} WHERE length(text) <= {most} UNION ALL SELECT k, n, piece, string_agg(w, ' ' ORDER BY i) FROM {x}r GROUP BY 1, 2, 3
-), {x}o AS (SELECT k, row_number() OVER (PARTITION BY k ORDER BY n, piece) AS i, text FROM {x}s
+  SELECT k, n, i, w, 1 AS piece, length(w) + 1 AS used FROM {x}w WHERE i = 1
+  UNION ALL SELECT w.k, w.n, w.i, w.w, CASE WHEN {word} THEN piece ELSE piece + 1 END, CASE WHEN {word} THEN used ELSE 0 END + length(w.w) + 1 FROM {x}r r JOIN {x}w w ON w.k = r.k AND w.n = r.n AND w.i = r.i + 1
+), {x}p AS (SELECT k, n, piece, string_agg(w, ' ' ORDER BY i) AS t FROM {x}r GROUP BY 1, 2, 3
+), {x}s AS (SELECT k, n, 1 AS piece, text, ev, false AS alone FROM {units} WHERE length(text) <= {most} UNION ALL SELECT k, n, piece, t, {_piece('t')}, true FROM {x}p JOIN {units} USING (k, n)
+), {x}o AS (SELECT k, row_number() OVER (PARTITION BY k ORDER BY n, piece) AS i, text, ev, alone FROM {x}s
 ), {x}g AS (
-  SELECT k, i, text, 0 AS part, length(text) + 1 AS used FROM {x}o WHERE i = 1
-  UNION ALL SELECT o.k, o.i, o.text, CASE WHEN {unit} THEN part ELSE part + 1 END, CASE WHEN {unit} THEN used ELSE 0 END + length(o.text) + 1 FROM {x}g g JOIN {x}o o ON o.k = g.k AND o.i = g.i + 1
+  SELECT k, i, text, ev, alone, 0 AS part, length(text) + 1 AS used FROM {x}o WHERE i = 1
+  UNION ALL SELECT o.k, o.i, o.text, o.ev, o.alone, CASE WHEN {unit} THEN part ELSE part + 1 END, CASE WHEN {unit} THEN used ELSE 0 END + length(o.text) + 1 FROM {x}g g JOIN {x}o o ON o.k = g.k AND o.i = g.i + 1
 )"""
 
 
+def _ready(source: str) -> str:
+    """Rows of ``source`` (ev) with repeated evidence left out, and with their pages."""
+    return f"""(SELECT *, list_sort(list_distinct(list_transform(ev, lambda e: e.page))) AS pages FROM (
+      SELECT * EXCLUDE (ev, ks), list_filter(ev, lambda e, i: list_position(ks, ks[i]) = i) AS ev FROM (SELECT *, list_transform(ev, lambda e: {{'p': e.page, 's': e.section, 'c': e.content}}) AS ks FROM {source})))"""
+
+
 def _finished(source: str, strategy: str, kind: str, profiles: str, parent: str = "NULL::VARCHAR", over: str = "0") -> str:
-    """The columns of chunks of ``source`` (document_id, section, pages, content)."""
-    return f"SELECT {_PAGED_ID.format(strategy)} AS chunk_id, document_id, section, {_PAGES} AS pages, content, '{kind}' AS kind, '{strategy}' AS strategy, {parent} AS parent_chunk_id, ({over})::INT AS overlap_before, '{profiles}' AS retrieval_profiles FROM {source}"
+    """The columns of chunks of ``source`` (document_id, section, content, ev)."""
+    return f"""SELECT {_PAGED_ID.format(strategy)} AS chunk_id, document_id, section, pages[1] AS page, {_PAGES} AS pages, content, '{kind}' AS kind, '{strategy}' AS strategy, {parent} AS parent_chunk_id, ({over})::INT AS overlap_before, '{profiles}' AS retrieval_profiles,
+  array_to_string(list_transform(ev, lambda e: e.page || ':' || e.line || ' ' || e.section || ' ' || e.content), chr(10)) AS evidence FROM {_ready(source)}"""
 
 
 _PAGES = "array_to_string(pages, ',')"
 _PAGED_ID = "'{0}:' || substr(sha256(document_id || '|{0}|' || section || '|' || " + _PAGES + " || '|' || content), 1, 24)"
 _UNITS = r""", b0 AS (
-  SELECT document_id, section, pos, page, trim(text) AS text, CASE WHEN is_heading THEN 'heading' WHEN regexp_matches(trim(text), '(?i)\b(?:warning|caution|danger|notice|important)\b') THEN 'warning'
+  SELECT document_id, section, pos, page, line_index, text AS raw, trim(text) AS text, CASE WHEN is_heading THEN 'heading' WHEN regexp_matches(trim(text), '(?i)\b(?:warning|caution|danger|notice|important)\b') THEN 'warning'
          WHEN regexp_matches(trim(text), '(?i)^(?:before you begin|prerequisite|preparation|prepare|requirements?|required tools?)\b') THEN 'prerequisite' WHEN regexp_matches(trim(text), '^(?:\*\*)?\d+[.)](?:\*\*)?\s+') THEN 'ordered_list'
          WHEN trim(text) LIKE '|%' AND trim(text) LIKE '%|' THEN 'table' WHEN regexp_matches(trim(text), '(?i)\b(?:error code|failure code|blink(?:ing)? pattern|part number|model number)\b') THEN 'technical_identifier' ELSE 'narrative' END AS kind
   FROM l WHERE trim(text) <> '' AND section <> ''
 ), b1 AS (SELECT *, coalesce(lag(kind) OVER w <> kind OR lag(kind) OVER w = 'heading', true)::INT AS new FROM b0 WINDOW w AS (PARTITION BY document_id, section ORDER BY pos)
 ), b2 AS (SELECT *, document_id || '|' || section AS k, sum(new) OVER (PARTITION BY document_id, section ORDER BY pos) AS n FROM b1
-), b3 AS (SELECT k, n, string_agg(text, chr(10) ORDER BY pos) AS text FROM b2 GROUP BY 1, 2
-), sec AS (SELECT k, document_id, section, list_sort(list(DISTINCT page)) AS pages FROM b2 GROUP BY 1, 2, 3
+), b3 AS (SELECT k, n, string_agg(text, chr(10) ORDER BY pos) AS text, list({'page': page, 'section': section, 'line': line_index, 'content': raw} ORDER BY pos) AS ev FROM b2 GROUP BY 1, 2
+), sec AS (SELECT DISTINCT k, document_id, section FROM b2
 )"""
-_TEXT = "string_agg(text, chr(10) || chr(10) ORDER BY i)"
-_SECTIONS = _packed("s", "b3", 2400) + f", sc AS (SELECT k, document_id, section, pages, part, {_TEXT} AS content FROM sg JOIN sec USING (k) GROUP BY ALL)"
+_TEXT, _EV = "string_agg(text, chr(10) || chr(10) ORDER BY i)", "flatten(list(ev ORDER BY i))"
+_SECTIONS = _packed("s", "b3", 2400) + f", sc AS (SELECT document_id, section, part, {_TEXT} AS content, {_EV} AS ev FROM sg JOIN sec USING (k) GROUP BY 1, 2, 3)"
 _FAMILIES = (
     _packed("p", "b3", 6000)
-    + f", pc AS (SELECT k || '|' || part AS k, document_id, section, pages, {_TEXT} AS content FROM pg JOIN sec USING (k) GROUP BY ALL), cu AS (SELECT k || '|' || part AS k, i AS n, text FROM pg)"
+    + f", pc AS (SELECT k || '|' || part AS k, document_id, section, {_TEXT} AS content, {_EV} AS ev FROM pg JOIN sec USING (k) GROUP BY k, part, document_id, section), cu AS (SELECT k || '|' || part AS k, i AS n, text, ev FROM pg)"
     + _packed("c", "cu", 1160)
-    + f""", ct AS (SELECT k, part + 1 AS part, i, text, sum(length(text) + 1) OVER (PARTITION BY k, part ORDER BY i DESC) AS back FROM cg
-), cb AS (SELECT k, part, i, text, true AS before FROM ct WHERE back <= 240 AND (k, part) IN (SELECT (k, part) FROM cg) UNION ALL SELECT k, part, i, text, false FROM cg
-), cc AS (
-  SELECT document_id, section, pages, {_PAGED_ID.format('parent_child')} AS parent, cx.content, over FROM pc
-  JOIN (SELECT k, part, {_TEXT} AS content, coalesce(length({_TEXT} FILTER (before)), 0) AS over FROM cb GROUP BY 1, 2) cx USING (k)
-)""".replace("'|' || content)", "'|' || pc.content)")
+    + f""", ct AS (SELECT k, part + 1 AS part, i, text, ev, sum(length(text) + 1) OVER (PARTITION BY k, part ORDER BY i DESC) AS back FROM cg
+), cb AS (SELECT k, part, i, text, ev, true AS before FROM ct WHERE back <= 240 AND (k, part) IN (SELECT (k, part) FROM cg) UNION ALL SELECT k, part, i, text, ev, false FROM cg
+), pi AS (SELECT k, document_id, section, {_PAGED_ID.format('parent_child')} AS parent FROM {_ready('pc')}
+), cc AS (SELECT document_id, section, parent, part, {_TEXT} AS content, {_EV} AS ev, coalesce(sum(length(text) + 1) FILTER (before), 0) AS over FROM pi JOIN cb USING (k) GROUP BY k, document_id, section, parent, part)"""
 )
-_FRAMED = """, fr AS (
-  SELECT document_id, run, section, coalesce(needs, []) || coalesce(warned, []) AS frame, list_sort(list_distinct(spages || coalesce(wpages, []) || coalesce(npages, []))) AS pages
-  FROM (SELECT document_id, run, arg_min(section, ls) AS section, list(page) AS spages FROM st GROUP BY 1, 2 HAVING count(*) >= 2) a
-  LEFT JOIN (SELECT document_id, run, list(trim(text) ORDER BY pos) AS warned, list(page) AS wpages FROM s3 WHERE warn AND trim(text) <> '' AND ls IS NOT NULL AND lb < ls GROUP BY 1, 2) b USING (document_id, run)
-  LEFT JOIN (SELECT document_id, run + 1 AS run, list(trim(text) ORDER BY pos) AS needs, list(page) AS npages FROM s3 WHERE number IS NULL AND NOT (ls IS NOT NULL AND lb < ls) AND regexp_matches(trim(text), '(?i)^(?:before you begin|prerequisites?|preparation|prepare|requirements?|required tools?|you will need)\\b') GROUP BY 1, 2) c USING (document_id, run)
+_LINE = "{'page': page, 'section': section, 'line': line_index, 'content': text}"
+_FRAMED = f""", fr AS (
+  SELECT document_id, run, section, coalesce(needs, []) || coalesce(warned, []) AS frame, coalesce(ne, []) || coalesce(we, []) AS fev
+  FROM (SELECT document_id, run, arg_min(section, ls) AS section FROM st GROUP BY 1, 2 HAVING count(*) >= 2) a
+  LEFT JOIN (SELECT document_id, run, list('Warning: ' || text ORDER BY pos) AS warned, list({_LINE} ORDER BY pos) AS we FROM s3 WHERE warn AND trim(text) <> '' AND ls IS NOT NULL AND lb < ls GROUP BY 1, 2) b USING (document_id, run)
+  LEFT JOIN (SELECT document_id, run + 1 AS run, list('Prerequisite: ' || text ORDER BY pos) AS needs, list({_LINE} ORDER BY pos) AS ne FROM s3 WHERE number IS NULL AND NOT (ls IS NOT NULL AND lb < ls) AND regexp_matches(trim(text), '(?i)^(?:before you begin|prerequisites?|preparation|prepare|requirements?|required tools?|you will need)\\b') GROUP BY 1, 2) c USING (document_id, run)
   WHERE section <> '' AND NOT regexp_matches(section, '(?i)\\b(?:licenses?|licen[cs]es?|trademarks?|copyright|terms\\s*(?:and|&)\\s*conditions|glossary)\\b')
-), fs AS (SELECT document_id, run, page, number || '. ' || content AS line, row_number() OVER (PARTITION BY document_id, run ORDER BY ls) AS i FROM st
+), fs AS (SELECT document_id, run, number, content AS body, e, row_number() OVER (PARTITION BY document_id, run ORDER BY ls) AS i FROM st
 ), fw AS (
-  SELECT document_id, run, section, pages, frame, greatest(200, 1700 - length(array_to_string(frame, chr(10)))) AS room, array_to_string(frame || list(line ORDER BY i), chr(10)) AS content FROM fr JOIN fs USING (document_id, run) GROUP BY document_id, run, section, pages, frame
+  SELECT document_id, run, section, frame, fev, greatest(200, 1700 - length(array_to_string(frame, chr(10))) - (len(frame) > 0)::INT) AS room, array_to_string(frame || list(number || '. ' || body ORDER BY i), chr(10)) AS content, fev || list(e ORDER BY i) AS ev
+  FROM fr JOIN fs USING (document_id, run) GROUP BY document_id, run, section, frame, fev
+), fx AS (SELECT document_id, run, i, room, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS j FROM (SELECT document_id, run, i, room, regexp_split_to_array(trim(body), '\\s+') AS ws FROM fw JOIN fs USING (document_id, run) WHERE length(body) > room)
+), fy AS (
+  SELECT *, 1 AS piece, length(w) + 1 AS used FROM fx WHERE j = 1
+  UNION ALL SELECT x.*, CASE WHEN y.used + length(x.w) + 1 <= x.room THEN piece ELSE piece + 1 END, CASE WHEN y.used + length(x.w) + 1 <= x.room THEN y.used ELSE 0 END + length(x.w) + 1 FROM fy y JOIN fx x ON x.document_id = y.document_id AND x.run = y.run AND x.i = y.i AND x.j = y.j + 1
+), fz AS (
+  SELECT document_id, run, room, e, number, body, row_number() OVER (PARTITION BY document_id, run ORDER BY i, piece) AS i FROM (
+    SELECT document_id, run, room, i, 0 AS piece, number, body, e FROM fw JOIN fs USING (document_id, run) WHERE length(body) <= room
+    UNION ALL SELECT document_id, run, room, i, piece, number, t, e FROM (SELECT document_id, run, i, room, piece, string_agg(w, ' ' ORDER BY j) AS t FROM fy GROUP BY ALL) JOIN fs USING (document_id, run, i))
 ), fg AS (
-  SELECT document_id, run, room, i, page, line, 0 AS part, 1 AS held, length(line) + 1 AS used FROM fw JOIN fs USING (document_id, run) WHERE i = 1
-  UNION ALL SELECT g.document_id, g.run, room, s.i, s.page, s.line, CASE WHEN {fits} THEN part ELSE part + 1 END, CASE WHEN {fits} THEN held ELSE 0 END + 1, CASE WHEN {fits} THEN used ELSE 0 END + length(s.line) + 1
-  FROM fg g JOIN fs s ON s.document_id = g.document_id AND s.run = g.run AND s.i = g.i + 1
+  SELECT *, 0 AS part, 1 AS held, length(body) AS used FROM fz WHERE i = 1
+  UNION ALL SELECT s.*, CASE WHEN {{fits}} THEN part ELSE part + 1 END, CASE WHEN {{fits}} THEN held ELSE 0 END + 1, CASE WHEN {{fits}} THEN used ELSE 0 END + length(s.body)
+  FROM fg g JOIN fz s ON s.document_id = g.document_id AND s.run = g.run AND s.i = g.i + 1
+), fi AS (SELECT document_id, run, section, frame, fev, {_PAGED_ID.format('procedure')} AS parent FROM {_ready('fw')}
 ), fc AS (
-  SELECT document_id, section, list_sort(list(DISTINCT page)) AS pages, array_to_string(frame || list(line ORDER BY i), chr(10)) AS content, parent
-  FROM (SELECT *, {parent} AS parent FROM fw) JOIN fg USING (document_id, run) GROUP BY document_id, run, section, frame, part, parent
-)""".format(fits="held < 4 AND used + length(s.line) <= room", parent=_PAGED_ID.format("procedure"))
+  SELECT document_id, section, parent, array_to_string(frame || list(number || '. ' || body ORDER BY i), chr(10)) AS content, fev || list(e ORDER BY i) AS ev
+  FROM fi JOIN fg USING (document_id, run) GROUP BY document_id, run, section, frame, fev, part, parent
+)""".replace("{fits}", "held < 4 AND used + length(s.body) <= s.room")
 _SECTION_ROWS = _finished("sc", "section", "section", "bm25,vector")
 _FAMILY_ROWS = _finished("pc", "parent_child", "parent", "context") + " UNION ALL " + _finished("cc", "parent_child", "child", "bm25,vector", "parent", "over")
 _PROCEDURE_ROWS = _finished("fw", "procedure", "procedure", "context") + " UNION ALL " + _finished("fc", "procedure", "step_group", "bm25,vector", "parent")
@@ -219,7 +241,8 @@ def _recursive(sql: str) -> str:
 
 def _written(chunks: DataFrame) -> DataFrame:
     """Chunks without their places, with lists as texts."""
-    return chunks.drop("at", "part").withColumns({c: F.array_join(c, ",") for c in ("pages", "retrieval_profiles")})
+    said = F.transform("evidence", lambda e: F.concat(e["page"].cast("string"), F.lit(":"), e["line_start"].cast("string"), F.lit(" "), e["section"], F.lit(" "), e["content"]))
+    return chunks.drop("at", "part").withColumns({c: F.array_join(c, ",") for c in ("pages", "retrieval_profiles")}).withColumn("evidence", F.array_join(said, "\n"))
 
 
 @_query(_recursive(_BASE + _UNITS + _SECTIONS + _SECTION_ROWS))
@@ -248,8 +271,8 @@ def every_chunk(spark, sf_dir: str) -> DataFrame:
 
 #: The rows of ``every_chunk`` in SQL: CTE ``every``.
 EVERY = _recursive(_STEPS + _FRAMED + _UNITS + _SECTIONS + _FAMILIES + _ROWS.removeprefix(_BASE) + _IDENTS.removeprefix(_BASE)) + f""", trc AS (
-  SELECT document_id, section, [page] AS pages, array_to_string(list_filter(list_transform(list_zip(headers, cells, true), lambda x: CASE WHEN x[2] <> '' THEN CASE WHEN x[1] <> '' THEN x[1] || ': ' || x[2] ELSE x[2] END END), lambda x: x IS NOT NULL), ' | ') AS content FROM tr
-), idc AS (SELECT document_id, section, [page] AS pages, context AS content FROM idn
+  SELECT document_id, section, ev, array_to_string(list_transform(list_zip(headers, cells, true), lambda x: x[1] || ': ' || x[2]), ' | ') AS content FROM tr
+), idc AS (SELECT document_id, section, ev, context AS content FROM idn
 ), every AS ({_SECTION_ROWS} UNION ALL {_FAMILY_ROWS} UNION ALL {_PROCEDURE_ROWS} UNION ALL {_finished("trc", "table_row", "table_row", "exact,bm25,vector")} UNION ALL {_finished("idc", "exact", "identifier", "exact,bm25")})
 """
 

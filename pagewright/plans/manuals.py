@@ -47,6 +47,18 @@ UNION ALL SELECT DISTINCT manual, page, 41, concat('Page ', page) FROM paged
 """
 
 
+#: The parts' manuals as documents, in SQL that both engines run.
+MANUAL_DOCUMENTS = """
+SELECT document_id, concat(document_id, ' service manual') AS title, min(p_brand) AS manufacturer, min(p_type) AS model, concat('edition ', CAST(count(*) AS INT)) AS version, concat('https://manuals.example/', document_id) AS source_url
+FROM (SELECT *, concat(p_brand, '/', CAST(floor(p_partkey / 20000) AS INT)) AS document_id FROM {part}) GROUP BY document_id
+"""
+
+
+def manual_documents(spark, sf_dir: str) -> DataFrame:
+    """document_id, title, manufacturer, model, version, source_url of the parts' manuals."""
+    return spark.sql(MANUAL_DOCUMENTS, part=table(spark, sf_dir, "part"))
+
+
 def manual_lines(spark, sf_dir: str) -> DataFrame:
     """document_id, page, line_index, text."""
     return spark.sql(MANUAL_LINES, part=table(spark, sf_dir, "part"))

@@ -12,7 +12,7 @@ from ..operators.retrieval import bm25, exact_hits, field_weights, rewritten, ro
 from ..runtime import shared_folder, table
 from ..sources import tables as X
 from ..streaming import sessions as Z
-from . import chunk_queries as Q
+from . import chunk_queries as Q, manuals as M
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -298,7 +298,7 @@ def _holds(text: str, *terms: str) -> str:
     return "(" + " OR ".join(f"contains({text}, '{t}')" for t in terms) + ")"
 
 
-_REWRITTEN = Q.EVERY + f""", bc AS (SELECT chunk_id, any_value(document_id) AS document_id, any_value(section) AS section, any_value(string_split(pages, ',')[1]::INT) AS page, any_value(content) AS content FROM every WHERE retrieval_profiles LIKE '%bm25%' GROUP BY 1
+_REWRITTEN = Q.EVERY + f""", bc AS (SELECT chunk_id, any_value(document_id) AS document_id, any_value(section) AS section, any_value(page) AS page, any_value(regexp_extract(evidence, '^(\d+):', 1)::INT) AS first_page, any_value(content) AS content FROM every WHERE retrieval_profiles LIKE '%bm25%' GROUP BY 1
 ), bx AS (SELECT chunk_id, 'body' AS field, regexp_extract_all(lower(content), '[a-z0-9]+(?:[-_][a-z0-9]+)*') AS t FROM bc UNION ALL SELECT chunk_id, 'section', regexp_extract_all(lower(string_split(section, ' > ')[-1]), '[a-z0-9]+(?:[-_][a-z0-9]+)*') FROM bc
 ), {_PQ}, qw AS (
   SELECT query_id, lower(text) AS q, list_filter(regexp_extract_all(lower(text), '[a-z0-9]+(?:[-_][a-z0-9]+)*'), lambda w: NOT list_contains(regexp_extract_all(lower(p_brand), '[a-z0-9]+(?:[-_][a-z0-9]+)*'), w)) AS words FROM pq JOIN part ON query_id = p_partkey
@@ -321,7 +321,7 @@ _REWRITTEN = Q.EVERY + f""", bc AS (SELECT chunk_id, any_value(document_id) AS d
   FROM bh JOIN bf USING (field, token) JOIN bs USING (field) JOIN qn USING (token) JOIN qf USING (query_id) GROUP BY 1, 2
 ), bq AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM bt QUALIFY rank <= 5)
 """
-_EVIDENCE = _REWRITTEN + ", ev AS (SELECT query_id, rank, chunk_id, trim(content) AS content, document_id, page, section FROM bq JOIN bc USING (chunk_id) WHERE trim(content) <> '')"
+_EVIDENCE = _REWRITTEN + ", ev AS (SELECT query_id, rank, chunk_id, content, document_id, page, first_page, section FROM bq JOIN bc USING (chunk_id) WHERE trim(content) <> '')"
 
 
 @_query(_REWRITTEN + "SELECT query_id, chunk_id, score, rank FROM bq")
@@ -361,17 +361,24 @@ def exact_identifier_route(spark, sf_dir: str) -> DataFrame:
 
 
 def _evidence(spark, sf_dir) -> DataFrame:
-    chunks = Q.every_chunk(spark, sf_dir)
-    return E.assembled(bm25_query_rewrite(spark, sf_dir), chunks)
-
-
-@_query(_EVIDENCE + "SELECT query_id, rank, document_id, page, section FROM ev QUALIFY row_number() OVER (PARTITION BY query_id, document_id, page, section ORDER BY rank) = 1")
+    """Evidence of the rewritten queries; every third query's hits come with a payload that can be cited as it is."""
+    chunks = Q.every_chunk(spark, sf_dir).dropDuplicates(["chunk_id"])
+    documents = M.manual_documents(spark, sf_dir)
+    hits = bm25_query_rewrite(spark, sf_dir).join(chunks.select("chunk_id", "document_id", "page", "section", "parent_chunk_id"), "chunk_id").join(documents, "document_id")
+    payload = hits.withColumns({"document_title": F.upper("title"), "document_version": F.when(F.col("query_id") % 3 == 0, F.col("version"))})
+    return E.assembled(payload, chunks, documents)
+
+
+@_query(_EVIDENCE + f""", dd AS ({M.MANUAL_DOCUMENTS.replace('{part}', 'part')})
+SELECT query_id, rank, document_id, CASE WHEN query_id % 3 = 0 THEN upper(title) ELSE title END AS document_title, manufacturer, model, version AS document_version, page, section, source_url
+FROM (SELECT query_id, rank, document_id, section, CASE WHEN query_id % 3 = 0 THEN page ELSE first_page END AS page FROM ev) JOIN dd USING (document_id)
+QUALIFY row_number() OVER (PARTITION BY query_id, document_id, page, section ORDER BY rank) = 1""")
 def citations(spark, sf_dir: str) -> DataFrame:
     """Citations of the rewritten queries' evidence, one a place."""
     return E.citations(_evidence(spark, sf_dir))
 
 
-@_query(_EVIDENCE + "SELECT query_id, string_agg('[source:' || chunk_id || '] ' || document_id || ' p. ' || page || ' ' || section || chr(10) || content, chr(10) || chr(10) ORDER BY rank) AS context FROM ev GROUP BY 1")
+@_query(_EVIDENCE + "SELECT query_id, string_agg('[source:' || chunk_id || '] ' || document_id || ' p. ' || CASE WHEN query_id % 3 = 0 THEN page ELSE first_page END || ' ' || section || chr(10) || content, chr(10) || chr(10) ORDER BY rank) AS context FROM ev GROUP BY 1")
 def context_blocks(spark, sf_dir: str) -> DataFrame:
     """The evidence of each query as one text."""
     return E.contexts(_evidence(spark, sf_dir))
