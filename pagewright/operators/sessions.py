@@ -11,6 +11,7 @@ from pyspark.sql.types import BooleanType, StructField, StructType
 
 from ..functions import text as T
 from ..runtime import cut_lineage, partitions, python_ready
+from .asof import asof_join
 
 
 def latest_facts(events: DataFrame) -> DataFrame:
@@ -43,6 +44,75 @@ def progress(turns: DataFrame) -> DataFrame:
     return x.withColumn("completed", done).where("role = 'user'").select("session", "turn", "acknowledged", "completed")
 
 
+#: What happens in a session, in order of ``seq``: requests (observation, option, query), turns of the planner and deletions.
+EVENT = (
+    "session long, seq long, kind string, observation string, selected_option string, query string, turn_id string, acts boolean, "
+    "facts array<struct<key:string,value:string,label:string>>, ruled_out array<string>, "
+    "asks struct<request_id:string,fact_key:string,recheck:boolean,options:array<struct<id:string,label:string,value:string>>>"
+)
+#: A session's state after an event; lists are in the order in which their members first came.
+STATE = (
+    "session long, seq long, deleted boolean, acknowledged boolean, pending string, completed array<string>, ruled_out array<string>, "
+    "observations array<struct<id:string,text:string>>, facts array<struct<key:string,value:string,after:string>>"
+)
+
+
+def submitted(observation: Column, option: Column, query: Column, options: Column) -> Column:
+    """What a request reports: the chosen option's value (else label), else its observation, its option or its query."""
+    some = lambda c: F.nullif(c, F.lit(""))
+    hit = F.try_element_at(F.filter(options, lambda o: o["id"] == option), F.lit(1))
+    chosen = F.when(hit.isNotNull(), F.coalesce(some(hit["value"]), hit["label"], F.lit("")))
+    return F.coalesce(chosen, some(observation), some(option), query)
+
+
+def session_states(events: DataFrame) -> DataFrame:
+    """The state of each session (STATE) after all its ``events`` (EVENT); deleted sessions have none, and start anew.
+
+    A report completes the request of the turn before, unless it only acknowledges it in words; facts complete
+    it too where they answer it.  Steps and causes count once, observations and facts keep their place and take
+    the last text; a fact says the action it was observed after, if a recheck was asked for.
+    """
+    whole, order = Window.partitionBy("session"), Window.partitionBy("session").orderBy("seq")
+    upto, before = order.rowsBetween(Window.unboundedPreceding, Window.currentRow), order.rowsBetween(Window.unboundedPreceding, -1)
+    x = events.withColumn("_life", F.sum((F.col("kind") == "delete").cast("int")).over(upto)).withColumn("_last", F.max("_life").over(whole))
+    x = x.where((F.col("_life") == F.col("_last")) & (F.col("kind") != "delete"))
+    x = x.withColumn("_turn", F.last(F.when(F.col("kind") == "turn", F.struct("turn_id", "acts", "asks")), True).over(before))
+    request, now = F.col("_turn.asks"), F.col("kind") == "request"
+    said = submitted(F.col("observation"), F.col("selected_option"), F.col("query"), request["options"])
+    x = x.withColumn("_said", F.when(now, F.nullif(said, F.lit(""))))
+    x = x.withColumn("_ack", now & F.col("_said").isNotNull() & request.isNotNull() & F.coalesce(F.col("selected_option"), F.lit("")).isin("") & T.acknowledgement(F.col("_said")))
+    reports = now & F.col("_said").isNotNull() & request.isNotNull() & ~F.col("_ack")
+    answered = F.exists("facts", lambda f: f["key"] == request["fact_key"])
+    after = F.when(request["recheck"] & F.col("_turn.acts"), F.concat("_turn.turn_id", F.lit(":action")))
+    none = F.array().cast("array<struct<kind:string,id:string,text:string,after:string>>")
+    item = lambda kind, id, text, then=F.lit(None).cast("string"): F.struct(F.lit(kind).alias("kind"), id.alias("id"), text.alias("text"), then.alias("after"))
+    empty, fact = F.lit(None).cast("string"), F.coalesce("facts", F.array().cast("array<struct<key:string,value:string,label:string>>"))
+    parts = [
+        F.when(reports | F.coalesce(answered & ~now, F.lit(False)), F.array(item("step", request["request_id"], empty))), F.when(reports, F.array(item("observation", request["request_id"], F.col("_said")))),
+        F.when(~now, F.transform(fact, lambda f: item("observation", f["key"], F.concat(f["label"], F.lit(": "), f["value"])))),
+        F.when(~now, F.transform(fact, lambda f: item("fact", f["key"], f["value"], F.when(f["key"] == request["fact_key"], after)))),
+        F.when(~now, F.transform(F.coalesce("ruled_out", F.array().cast("array<string>")), lambda c: item("cause", c, empty))),
+    ]
+    x = x.select("session", "seq", "kind", "_said", "_ack", F.flatten(F.array(*[F.coalesce(p, none) for p in parts])).alias("_items"))
+    last = x.groupBy("session").agg(F.max("seq").alias("seq"), F.max_by(F.struct(F.col("_ack").alias("ack"), F.when(~F.col("_ack"), F.col("_said")).alias("pending")), "seq").alias("end"))
+    items = x.select("session", "seq", F.posexplode("_items").alias("pos", "i")).groupBy("session", "i.kind", "i.id")
+    items = items.agg(F.min(F.struct("seq", "pos")).alias("place"), F.max_by(F.struct("i.text", "i.after"), F.struct("seq", "pos")).alias("now"))
+    lists = items.groupBy("session").agg(F.array_sort(F.collect_list(F.struct("place", "kind", "id", "now"))).alias("all"))
+    of = lambda kind: F.filter(F.coalesce("all", F.array().cast("array<struct<place:struct<seq:bigint,pos:int>,kind:string,id:string,now:struct<text:string,after:string>>>")), lambda v: v["kind"] == kind)
+    ids = lambda kind: F.transform(of(kind), lambda v: v["id"])
+    return last.join(lists, "session", "left").select(
+        "session", "seq", F.lit(False).alias("deleted"), F.col("end.ack").alias("acknowledged"), F.col("end.pending").alias("pending"), ids("step").alias("completed"), ids("cause").alias("ruled_out"),
+        F.transform(of("observation"), lambda v: F.struct(v["id"].alias("id"), v["now"]["text"].alias("text"))).alias("observations"),
+        F.transform(of("fact"), lambda v: F.struct(v["id"].alias("key"), v["now"]["text"].alias("value"), v["now"]["after"].alias("after"))).alias("facts"),
+    )
+
+
+def latest_sessions(snapshots: DataFrame) -> DataFrame:
+    """The last snapshot (by seq) of each session; sessions whose last one says deleted have none."""
+    held = snapshots.groupBy("session").agg(F.max_by(F.struct(*snapshots.columns), "seq").alias("s"))
+    return held.select("s.*").where("NOT deleted")
+
+
 def streaks(turns: DataFrame, mode: str, value: str) -> DataFrame:
     """session, longest: the longest run of turns whose ``mode`` is ``value``."""
     w = Window.partitionBy("session").orderBy("turn")
@@ -208,6 +278,52 @@ def parsed_turns(raw: DataFrame) -> DataFrame:
     return x.withColumn("options", options).withColumn("violations", bad)
 
 
+#: A turn as its planner writes it, in JSON.
+PLANNED = (
+    "mode string, response string, interpretation string, next_action struct<instruction:string,why:string>, "
+    "observation_request struct<request_id:string,fact_key:string,question:string,recheck_after_action:boolean,options:array<struct<id:string,label:string,value:string>>>, "
+    "decision_basis struct<why_not_solved:string,discriminates_between:array<string>>, facts_learned array<struct<key:string,value:string,label:string>>, source_ids array<string>"
+)
+
+
+def canonical_source(id: Column) -> Column:
+    """A cited source's bare id: without white space around it, ``[source:`` or ``source:`` before it and ``]`` after it."""
+    bare = F.regexp_replace(F.regexp_replace(F.trim(id), r"^\[source:", ""), "^source:", "")
+    return F.trim(F.regexp_replace(bare, r"\]$", ""))
+
+
+def contract_violations(turns: DataFrame) -> DataFrame:
+    """``turns`` with ``violations``: what breaks the contract of a turn, in the order of the rules.
+
+    ``turns``: session, seq, evidence_ids and the fields of PLANNED.  A fact is known to a turn if an earlier
+    turn of its session learned it (an as-of join); to ask for it again takes a recheck, and that an action.
+    """
+    sources = F.transform(F.coalesce("source_ids", F.array().cast("array<string>")), canonical_source)
+    keys, ids = F.transform("facts_learned", lambda f: f["key"]), F.transform("observation_request.options", lambda o: o["id"])
+    learned = turns.select("session", "seq", F.explode("facts_learned").alias("f")).where("f.key IS NOT NULL").select("session", F.col("f.key").alias("fact_key"), "seq", F.col("f.value").alias("value"))
+    x = asof_join(turns.withColumn("fact_key", F.col("observation_request.fact_key")), learned, ["session", "fact_key"], "seq", "_known")
+    mode, asks, acts, basis = F.col("mode"), F.col("observation_request").isNotNull(), F.col("next_action").isNotNull(), F.col("decision_basis")
+    recheck = F.coalesce("observation_request.recheck_after_action", F.lit(False))
+    rules = [
+        (mode.isNull(), "unreadable"), (~mode.isin("solve", "advance", "clarify", "abstain"), "unknown_mode"),
+        (F.size(sources) == 0, "no_source"), (F.size(F.array_except(sources, "evidence_ids")) > 0, "unknown_source"),
+        (F.size(F.array_distinct(keys)) < F.size(keys), "fact_twice"), (F.size(F.array_distinct(ids)) < F.size(ids), "option_twice"),
+        (F.col("_known").isNotNull() & ~recheck, "known_fact_asked_again"), (asks & recheck & ~acts, "recheck_without_action"),
+        ((mode == "advance") & ~acts, "advance_without_action"), ((mode == "advance") & acts & (F.coalesce("next_action.why", F.lit("")) == ""), "advance_without_reason"),
+        ((mode == "advance") & (F.coalesce(F.size("decision_basis.discriminates_between"), F.lit(0)) < 2), "advance_without_discrimination"),
+        ((mode == "clarify") & ~asks, "clarify_without_question"), ((mode == "clarify") & acts, "clarify_with_action"), ((mode == "clarify") & basis.isNull(), "clarify_without_basis"),
+        ((mode == "solve") & (asks | acts), "solve_goes_on"), ((mode == "solve") & basis.isNotNull(), "solve_with_basis"),
+        ((mode == "abstain") & (asks | acts), "abstain_goes_on"), ((mode == "abstain") & basis.isNotNull(), "abstain_with_basis"),
+    ]
+    return x.withColumn("violations", F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(r)) for c, r in rules]))).drop("_known", "fact_key")
+
+
+def planned_turns(raw: DataFrame) -> DataFrame:
+    """``raw`` (json and more) with the fields of PLANNED, read from the JSON without the code fences around it."""
+    bare = F.trim(F.regexp_replace(F.regexp_replace(F.trim("json"), r"^```(?:json)?\s*", ""), r"\s*```$", ""))
+    return raw.withColumn("_turn", F.from_json(bare, PLANNED)).select(*raw.columns, "_turn.*")
+
+
 def stable_id(prefix: str, *parts: Column) -> Column:
     """An id from the SHA-256 of the parts."""
     return F.concat(F.lit(prefix), F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 16))

@@ -88,6 +88,75 @@ def repeat_query_collapse(spark, sf_dir: str) -> DataFrame:
     return S.collapse_repeats(_asked(table(spark, sf_dir, "conversations"), F.col("text")), 900.0, []).select("query_id", "reused")
 
 
+#: Conversations as events of sessions, in SQL that both engines run: users report, assistants ask, some sessions are deleted on the way.
+_SESSION_EVENTS = """
+SELECT session, seq * 2 + 1 AS seq, CASE WHEN role = 'user' THEN 'request' ELSE 'turn' END AS kind, role, n, CASE WHEN n % 3 > 0 THEN text END AS observation, CASE WHEN n % 5 = 0 THEN concat('o', CAST(n % 3 AS INT)) END AS selected_option, text AS query
+FROM (SELECT CAST(conv_id AS BIGINT) AS session, CAST(turn AS BIGINT) AS seq, role, text, length(text) AS n FROM {conversations})
+UNION ALL SELECT CAST(conv_id AS BIGINT), CAST(turn AS BIGINT) * 2, 'delete', role, 0, NULL, NULL, NULL FROM {conversations} WHERE length(text) % 13 = 0
+"""
+
+
+def _session_events(c: DataFrame) -> DataFrame:
+    """The events with what their turns ask and learn."""
+    x = c.sparkSession.sql(_SESSION_EVENTS, conversations=c)
+    n, turn = F.col("n"), F.col("kind") == "turn"
+    name = lambda prefix, k: F.concat(F.lit(prefix), (n % k).cast("string"))
+    option = lambda i, value: F.struct(F.lit(f"o{i}").alias("id"), F.lit(f"Option {i}").alias("label"), value.alias("value"))
+    asks = F.struct(name("r", 4).alias("request_id"), name("k", 3).alias("fact_key"), (n % 2 == 0).alias("recheck"), F.array(option(0, F.lit(None).cast("string")), option(1, name("value ", 7))).alias("options"))
+    fact = lambda k, v: F.struct(name("k", k).alias("key"), name("v", v).alias("value"), name("Fact ", k).alias("label"))
+    return x.select(
+        "session", "seq", "kind", "observation", "selected_option", "query", F.when(turn, F.concat(F.lit("t"), F.col("seq").cast("string"))).alias("turn_id"), F.when(turn, n % 3 != 1).alias("acts"),
+        F.when(turn, F.array(fact(5, 4), fact(3, 2))).alias("facts"), F.when(turn, F.array(name("c", 5), name("c", 3))).alias("ruled_out"), F.when(turn & (n % 7 != 0), asks).alias("asks"),
+    )
+
+
+def _state_text(states: DataFrame) -> DataFrame:
+    """States with their lists as texts."""
+    return states.select(
+        "session", "seq", "acknowledged", "pending", F.array_join("completed", ",").alias("completed"), F.array_join("ruled_out", ",").alias("ruled_out"),
+        F.array_join(F.transform("observations", lambda o: F.concat(o["id"], F.lit("="), o["text"])), "|").alias("observations"),
+        F.array_join(F.transform("facts", lambda f: F.concat(f["key"], F.lit("="), f["value"], F.coalesce(F.concat(F.lit("@"), f["after"]), F.lit("")))), "|").alias("facts"),
+    )
+
+
+_STATES = f"""
+WITH e0 AS ({_SESSION_EVENTS.replace('{conversations}', 'conversations')}
+), e1 AS (SELECT *, count(*) FILTER (kind = 'delete') OVER (PARTITION BY session ORDER BY seq) AS life, count(*) FILTER (kind = 'delete') OVER (PARTITION BY session) AS lives FROM e0
+), e2 AS (SELECT *, max(CASE WHEN kind = 'turn' THEN {{'seq': seq, 'n': n}} END) OVER (PARTITION BY session ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS t FROM e1 WHERE life = lives AND kind <> 'delete'
+), e3 AS (SELECT *, CASE WHEN t.n % 7 <> 0 THEN t.n END AS asked, CASE WHEN kind = 'request' THEN nullif(CASE WHEN t.n % 7 <> 0 AND selected_option = 'o0' THEN 'Option 0' WHEN t.n % 7 <> 0 AND selected_option = 'o1' THEN 'value ' || (t.n % 7) ELSE coalesce(nullif(observation, ''), selected_option, query) END, '') END AS said FROM e2
+), e4 AS (SELECT *, {_ACK.replace('text', 'said')} AS bare FROM e3
+), e5 AS (
+  SELECT *, coalesce(kind = 'request' AND said IS NOT NULL AND asked IS NOT NULL AND selected_option IS NULL AND (list_contains({_ACKS}, bare) OR (len(string_split(bare, ' ')) <= 12 AND len(list_filter({_ACK_PHRASES}, lambda k: contains(bare, k))) > 0)), false) AS ack FROM e4
+), i AS (
+  SELECT session, seq, 0 AS pos, 'step' AS what, 'r' || (asked % 4) AS id, NULL AS txt, NULL AS aft FROM e5 WHERE asked IS NOT NULL AND ((kind = 'request' AND said IS NOT NULL AND NOT ack) OR (kind = 'turn' AND (n % 5 = asked % 3 OR n % 3 = asked % 3)))
+  UNION ALL SELECT session, seq, 0, 'observation', 'r' || (asked % 4), said, NULL FROM e5 WHERE asked IS NOT NULL AND kind = 'request' AND said IS NOT NULL AND NOT ack
+  UNION ALL SELECT session, seq, 1, 'observation', 'k' || (n % 5), 'Fact ' || (n % 5) || ': v' || (n % 4), NULL FROM e5 WHERE kind = 'turn'
+  UNION ALL SELECT session, seq, 2, 'observation', 'k' || (n % 3), 'Fact ' || (n % 3) || ': v' || (n % 2), NULL FROM e5 WHERE kind = 'turn'
+  UNION ALL SELECT session, seq, 1, 'fact', 'k' || (n % 5), 'v' || (n % 4), CASE WHEN asked % 2 = 0 AND t.n % 3 <> 1 AND n % 5 = asked % 3 THEN 't' || t.seq || ':action' END FROM e5 WHERE kind = 'turn'
+  UNION ALL SELECT session, seq, 2, 'fact', 'k' || (n % 3), 'v' || (n % 2), CASE WHEN asked % 2 = 0 AND t.n % 3 <> 1 AND n % 3 = asked % 3 THEN 't' || t.seq || ':action' END FROM e5 WHERE kind = 'turn'
+  UNION ALL SELECT session, seq, 1, 'cause', 'c' || (n % 5), NULL, NULL FROM e5 WHERE kind = 'turn' UNION ALL SELECT session, seq, 2, 'cause', 'c' || (n % 3), NULL, NULL FROM e5 WHERE kind = 'turn'
+), j AS (SELECT session, what, id, min(seq * 10 + pos) AS place, arg_max(txt, seq * 10 + pos) AS txt, max({{'s': seq * 10 + pos, 'a': aft}}).a AS aft FROM i GROUP BY 1, 2, 3
+), k AS (
+  SELECT session, coalesce(string_agg(id, ',' ORDER BY place) FILTER (what = 'step'), '') AS completed, coalesce(string_agg(id, ',' ORDER BY place) FILTER (what = 'cause'), '') AS ruled_out,
+         coalesce(string_agg(id || '=' || txt, '|' ORDER BY place) FILTER (what = 'observation'), '') AS observations, coalesce(string_agg(id || '=' || txt || coalesce('@' || aft, ''), '|' ORDER BY place) FILTER (what = 'fact'), '') AS facts FROM j GROUP BY 1
+), z AS (SELECT session, max(seq) AS seq, arg_max(ack, seq) AS acknowledged, max({{'s': seq, 'p': CASE WHEN NOT ack THEN said END}}).p AS pending FROM e5 GROUP BY 1)
+SELECT z.session, z.seq, acknowledged, pending, coalesce(completed, '') AS completed, coalesce(ruled_out, '') AS ruled_out, coalesce(observations, '') AS observations, coalesce(facts, '') AS facts FROM z LEFT JOIN k ON z.session = k.session
+"""
+
+
+@_query(_STATES)
+def session_states(spark, sf_dir: str) -> DataFrame:
+    """The state of each conversation's session, from its last deletion on: steps, causes, observations and facts."""
+    return _state_text(S.session_states(_session_events(table(spark, sf_dir, "conversations"))))
+
+
+@_query(_STATES)
+def session_state_stream(spark, sf_dir: str) -> DataFrame:
+    """The same sessions through the state store: the last snapshot of each one that is not deleted."""
+    raw = spark.readStream.schema(table(spark, sf_dir, "conversations").schema).parquet(f"{sf_dir}/conversation[s].parquet")
+    return _state_text(S.latest_sessions(Z.collected(spark, Z.session_states_stream(_session_events(raw)), *_work(spark, "sessions"))))
+
+
 def _turns(spark, sf_dir) -> DataFrame:
     """Conversation turns as diagnostic turns with some faults; a turn learns one or two facts."""
     c, t = table(spark, sf_dir, "conversations"), F.col("turn")
@@ -184,6 +253,40 @@ def turn_gate(spark, sf_dir: str) -> DataFrame:
     return p.select("conv_id", F.col("n").alias("turn"), S.stable_id("turn-", F.col("conv_id").cast("string"), F.col("n").cast("string"), F.col("mode")).alias("turn_id"), F.array_join("violations", ",").alias("violations"))
 
 
+_PLANS = """
+WITH t AS (
+  SELECT conv_id AS session, turn AS seq, length(text) AS n, CASE (length(text) + turn) % 6 WHEN 0 THEN 'solve' WHEN 1 THEN 'advance' WHEN 2 THEN 'clarify' WHEN 3 THEN 'abstain' WHEN 4 THEN 'clarify' ELSE 'guess' END AS mode FROM conversations
+), f AS (SELECT *, mode <> 'solve' AND n % 7 <> 0 AS asks, n % 3 = 0 AS acts, n % 5 <> 1 AS basis, 'k' || (n % 4) AS wants, n % 2 = 0 AS recheck, 'k' || (n % 5) AS a, 'k' || (n % 2) AS b FROM t
+), k AS (SELECT session, key, min(seq) AS since FROM (SELECT session, a AS key, seq FROM f UNION ALL SELECT session, b, seq FROM f) GROUP BY 1, 2)
+SELECT f.session, f.seq, array_to_string(list_filter([
+  CASE WHEN mode = 'guess' THEN 'unknown_mode' END, CASE WHEN n % 11 = 0 THEN 'no_source' END, CASE WHEN n % 11 = 1 THEN 'unknown_source' END, CASE WHEN a = b THEN 'fact_twice' END, CASE WHEN asks AND n % 9 = 0 THEN 'option_twice' END,
+  CASE WHEN asks AND since < f.seq AND NOT recheck THEN 'known_fact_asked_again' END, CASE WHEN asks AND recheck AND NOT acts THEN 'recheck_without_action' END,
+  CASE WHEN mode = 'advance' AND NOT acts THEN 'advance_without_action' END, CASE WHEN mode = 'advance' AND acts AND n % 2 = 1 THEN 'advance_without_reason' END, CASE WHEN mode = 'advance' AND NOT (basis AND n % 4 > 1) THEN 'advance_without_discrimination' END,
+  CASE WHEN mode = 'clarify' AND NOT asks THEN 'clarify_without_question' END, CASE WHEN mode = 'clarify' AND acts THEN 'clarify_with_action' END, CASE WHEN mode = 'clarify' AND NOT basis THEN 'clarify_without_basis' END,
+  CASE WHEN mode = 'solve' AND acts THEN 'solve_goes_on' END, CASE WHEN mode = 'solve' AND basis THEN 'solve_with_basis' END,
+  CASE WHEN mode = 'abstain' AND (asks OR acts) THEN 'abstain_goes_on' END, CASE WHEN mode = 'abstain' AND basis THEN 'abstain_with_basis' END], lambda x: x IS NOT NULL), ',') AS violations
+FROM f LEFT JOIN k ON f.session = k.session AND k.key = wants
+"""
+
+
+@_query(_PLANS)
+def turn_contract(spark, sf_dir: str) -> DataFrame:
+    """Conversation turns as planned turns in JSON, held against the whole contract with the facts known by then."""
+    n = F.length("text")
+    name = lambda prefix, k: F.concat(F.lit(prefix), (n % k).cast("string"))
+    t = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session"), F.col("turn").alias("seq"), n.alias("n"), F.element_at(F.array(*map(F.lit, ["solve", "advance", "clarify", "abstain", "clarify", "guess"])), ((n + F.col("turn")) % 6 + 1).cast("int")).alias("mode"), name("k", 4).alias("wants"), name("k", 5).alias("a"), name("k", 2).alias("b"))
+    m, fact = F.col("n"), lambda k: F.struct(k.alias("key"), F.lit("v").alias("value"))
+    options = F.array(F.struct(F.lit("x").alias("id")), F.struct(F.when(m % 9 == 0, "x").otherwise("y").alias("id")))
+    turn = F.struct(
+        "mode", F.when(m % 3 == 0, F.struct(F.lit("do").alias("instruction"), F.when(m % 2 == 0, "since").alias("why"))).alias("next_action"),
+        F.when((F.col("mode") != "solve") & (m % 7 != 0), F.struct(F.col("wants").alias("fact_key"), (m % 2 == 0).alias("recheck_after_action"), options.alias("options"))).alias("observation_request"),
+        F.when(m % 5 != 1, F.struct(F.when(m % 4 > 1, F.array(F.lit("p"), F.lit("q"))).otherwise(F.array(F.lit("p"))).alias("discriminates_between"))).alias("decision_basis"),
+        F.array(fact(F.col("a")), fact(F.col("b"))).alias("facts_learned"), F.when(m % 11 == 1, F.array(F.lit("s9"))).when(m % 11 != 0, F.array(F.lit(" [source:s1]"))).alias("source_ids"),
+    )
+    raw = t.select("session", "seq", F.concat(F.lit("```json\n"), F.to_json(turn), F.lit("\n```")).alias("json"), F.array(F.lit("s1"), F.lit("s2")).alias("evidence_ids"))
+    return S.contract_violations(S.planned_turns(raw)).select("session", "seq", F.array_join("violations", ",").alias("violations"))
+
+
 @_query("""
 WITH r AS (SELECT s_name, n_name AS manufacturer FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 10 <> 0), f AS (SELECT s_name, s_acctbal FROM supplier WHERE s_suppkey % 9 <> 0)
 SELECT coalesce(r.s_name, f.s_name) AS relative_path, manufacturer, s_acctbal AS size, CASE WHEN r.s_name IS NULL THEN 'unregistered_file' WHEN f.s_name IS NULL THEN 'missing_file' ELSE 'matched' END AS status FROM r FULL JOIN f ON r.s_name = f.s_name
