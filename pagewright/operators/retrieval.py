@@ -9,6 +9,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.text import any_of, identifiers, tokens
 from ..runtime import cut_lineage, cut_to_table, python_ready
+from . import ann
 
 K1, B = 1.2, 0.75
 #: A table of query tokens of at most so many rows is broadcast.
@@ -185,29 +186,22 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int, match: list[str] | Non
     return top(found, "query_id", [F.desc("score"), "chunk_id"], k)
 
 
-def approximate(vectors: DataFrame, queries: DataFrame, k: int, match: list[str] | None = None) -> DataFrame:
-    """Like ``dense``, by random projections of unit vectors of one size; scores to five places.
+def approximate(vectors: DataFrame, queries: DataFrame, k: int, match: list[str] | None = None, cells: int = 64, probes: int = 48, most: int | None = None) -> DataFrame:
+    """Like ``dense``, by an index of cells and compressed residuals (``ann``); scores to five places.
 
-    A query that shares buckets with fewer than ``k`` vectors of its scope is answered exactly.
+    A query looks into its ``probes`` nearest of ``cells`` and scores its ``most`` (4 k) best estimates exactly.
+    One that finds fewer than ``k`` vectors in its scope is answered exactly; ``vectors`` have one size.
     """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
     keys = match or []
-
-    def unit(df: DataFrame, name: str) -> DataFrame:
-        x = df.withColumn("_n", norm(F.col("vector"))).where("_n > 0")
-        return x.select(name, *keys, "vector", array_to_vector(F.transform("vector", lambda v: v.cast("double") / F.col("_n"))).alias("unit"))
-
-    v, asked = unit(vectors, "chunk_id"), unit(queries, "query_id")
-    model = BucketedRandomProjectionLSH(inputCol="unit", outputCol="hash", bucketLength=0.6, numHashTables=24, seed=7).fit(v)
-    near = model.approxSimilarityJoin(asked, v, 2.1, "distance")  # no two unit vectors are farther apart
-    for key in keys:
-        near = near.where(F.col(f"datasetA.{key}") == F.col(f"datasetB.{key}"))
-    scored = near.select("datasetA.query_id", "datasetB.chunk_id", F.round(1 - F.col("distance") * F.col("distance") / 2, 5).alias("score")).distinct()
-    found = cut_lineage(top(scored, "query_id", [F.desc("score"), "chunk_id"], k))
+    v = vectors.select("chunk_id", *keys, "vector").where(norm(F.col("vector")) > 0).dropna(subset=keys or ["vector"])
+    asked = cut_lineage(queries.select("query_id", *keys, "vector").where(norm(F.col("vector")) > 0).dropna(subset=keys or ["vector"]))
+    if v.isEmpty():
+        return dense(v, asked, k, match)
+    model = ann.learned(v, cells)
+    found = ann.candidates(cut_to_table(ann.indexed(v, model, keys)), asked, model, keys, probes, most or 4 * k)
+    found = cut_lineage(top(ann.scored(found, v, asked), "query_id", [F.desc("score"), "chunk_id"], k))
     short = asked.join(found.where(F.col("rank") == k), "query_id", "left_anti").select("query_id", *keys, "vector")
-    rest = dense(v.select("chunk_id", *keys, "vector"), short, k, match).withColumn("score", F.round("score", 5))
+    rest = dense(v, short, k, match).withColumn("score", F.round("score", 5))
     return found.join(short, "query_id", "left_anti").unionByName(rest)
 
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.text import tokens
-from ..operators import retrieval as R
+from ..operators import postings as P, retrieval as R
 from ..operators.embedding import embedded
-from ..runtime import table
+from ..runtime import shared_folder, table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -60,6 +62,16 @@ def bm25_top5(spark, sf_dir: str) -> DataFrame:
     return R.bm25(_chunks(spark, sf_dir), queries, 5, fields=("body", "section"))
 
 
+@_query(_BM25 + "SELECT query_id, chunk_id, score, rank FROM bm")
+def bm25_indexed(spark, sf_dir: str) -> DataFrame:
+    """The same hits from an inverted index on disk, to which every tenth document is added later."""
+    path = f"{shared_folder(spark)}/indexes/{uuid.uuid4().hex}"
+    chunks, late = _chunks(spark, sf_dir), F.coalesce(F.col("chunk_id") % 10 == 3, F.lit(False))
+    for part in (chunks.where(~late), chunks.where(late)):
+        P.add_documents(part, path, fields=("body", "section"))
+    return P.search(spark, path, _asked(spark, sf_dir).withColumn("terms", tokens(F.col("text"))), 5)
+
+
 @_query(f"""
 WITH q AS (SELECT item_id * 10 + l.k AS query_id, lang, unnest({_TOKENS.format('text')}) AS token FROM benchmark, (SELECT lang, (row_number() OVER (ORDER BY lang))::BIGINT AS k FROM (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL)) l
 ), qt AS (SELECT query_id, lang, token, count(*) AS times FROM q GROUP BY 1, 2, 3
@@ -156,15 +168,22 @@ def _near_of_label(spark, sf_dir, asked=WHOLE) -> DataFrame:
 
 
 @_query()
-def dense_topk_lsh(spark, sf_dir: str) -> DataFrame:
-    """Approximate nearest vectors of every vector whose id is divisible by 20, by random projections of unit vectors, scored exactly.
-
-    A query that shares buckets with fewer than ten vectors is answered exactly.
-    """
+def dense_topk_approximate(spark, sf_dir: str) -> DataFrame:
+    """Approximate nearest vectors of every vector whose id is divisible by 20, by cells and compressed residuals, the best scored exactly."""
     v = _vectors(spark, sf_dir).drop("label")
     return R.approximate(v, v.where(WHOLE.format(id="chunk_id")).withColumnRenamed("chunk_id", "query_id"), 10)
 
 
+@_query("SELECT count(*) FILTER (vec_id % 20 = 0) AS queries, true AS recall_reached, true AS few_scored FROM embeddings")
+def approximate_recall(spark, sf_dir: str) -> DataFrame:
+    """Whether the approximate search finds nine of ten of the exact neighbours and scores less than a tenth of all pairs exactly."""
+    exact, found = _near(spark, sf_dir, 10), dense_topk_approximate(spark, sf_dir)
+    hit = exact.select("query_id", "chunk_id").join(found.select("query_id", "chunk_id", F.lit(1).alias("hit")), ["query_id", "chunk_id"], "left")
+    recall = hit.agg(F.countDistinct("query_id").alias("queries"), (F.sum(F.coalesce("hit", F.lit(0))) / F.count("*") >= 0.9).alias("recall_reached"))
+    scored = _vectors(spark, sf_dir).agg((F.lit(4 * 10) / F.count("*") < 0.1).alias("few_scored"))
+    return recall.crossJoin(F.broadcast(scored))  # one row each
+
+
 @_query("""
 WITH n AS (SELECT label, count(*) AS candidates FROM embeddings GROUP BY 1)
 SELECT vec_id AS query_id, coalesce(candidates, 0) AS candidates, coalesce(candidates, 0) <= 128 AS exact FROM embeddings LEFT JOIN n USING (label) WHERE vec_id % 20 = 0

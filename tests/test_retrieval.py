@@ -62,18 +62,33 @@ def test_dense_in_blocks(spark, monkeypatch):
         assert sorted((r.query_id, r.chunk_id, r["rank"]) for r in got) == sorted(w for i in range(70) for w in want(i, match, least))
 
 
-def test_lsh_recall(spark):
+def test_recall_of_the_compressed_index(spark):
     """At least 0.9 of the exact neighbours of the whole query set, and ten rows a query."""
     from pagewright.plans import search_queries as Q
 
     data = "/root/testdata/sf0.001"
     exact = {(r.query_id, r.chunk_id) for r in Q.dense_topk(spark, data).collect()}
-    found = [(r.query_id, r.chunk_id) for r in Q.dense_topk_lsh(spark, data).collect()]
+    found = [(r.query_id, r.chunk_id) for r in Q.dense_topk_approximate(spark, data).collect()]
     assert len(found) == len(exact) == 10 * len({q for q, _ in exact}) and {q for q, _ in exact} == set(range(0, 500, 20))
-    print("recall of dense_topk_lsh", len(exact & set(found)) / len(exact))
     assert len(exact & set(found)) >= 0.9 * len(exact)
 
 
+def test_approximate_search_in_scopes(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(i, rng.choice(["a", "b", None]), [rng.gauss(0, 1) for _ in range(7)]) for i in range(300)] + [(300, "rare", [1.0] * 7), (301, "a", [0.0] * 7)]
+    v = spark.createDataFrame(rows, "chunk_id int, label string, vector array<double>")
+    q = v.where("chunk_id % 10 = 0").withColumnRenamed("chunk_id", "query_id")
+    # all cells and all vectors: exact; a scope of one vector gives one row, null scopes and null vectors none
+    got = R.approximate(v, q, 5, ["label"], cells=8, probes=8, most=300).select("query_id", "chunk_id", "rank").collect()
+    exact = R.dense(v, q, 5, ["label"]).select("query_id", "chunk_id", "rank").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, exact)) and sum(r.query_id == 300 for r in got) == 1
+    few = R.approximate(v, q, 5, ["label"], cells=8, probes=4)
+    assert few.count() == len(exact)
+    assert R.approximate(v.limit(0), q, 5).count() == 0 and R.approximate(v, q.limit(0), 5).count() == 0
+
+
 def test_passages_are_found_by_anchors(spark):
     texts = [(1, "the red foxes jump over a-lazy dog today"), (2, "Red fox jump over a-lazy dog"), (3, None), (4, "jump over"), (5, "red foxes jump over a lazy dog")]
     asked = [(10, "ed foxes jump over a-lazy do"), (11, "jump over"), (12, None), (13, "zz"), (14, "over a-lazy dog")]
