@@ -28,9 +28,30 @@ def specific_evidence(hits: DataFrame) -> DataFrame:
     return hits.where(~T.broad_failure(F.col("query")) | (says & ~foreign & ~F.contains(s, F.lit("after "))))
 
 
-def missing_observations(sessions: DataFrame, *fields: str) -> DataFrame:
-    """``sessions`` with the names of the fields that are null or blank."""
-    return sessions.withColumn("missing", F.array_compact(F.array(*[F.when(F.trim(F.coalesce(f, F.lit(""))) == "", F.lit(f)) for f in fields])))
+#: What a broad failure report lacks, and what to ask for each list of missing facts.
+DETAIL = "any message or error code shown on the printer control panel"
+QUESTIONS = {
+    (DETAIL,): "What exactly appears on the printer control panel—an error code, a message, or its normal status?",
+    ("manufacturer", "model"): "Which manufacturer and model are you working with?",
+    ("manufacturer",): "Which manufacturer made the device?",
+    ("model",): "What is the device model?",
+}
+NO_QUESTION = "I could not verify a safe next step from the available manual evidence."
+
+
+def missing_observations(requests: DataFrame, detail: bool = False) -> DataFrame:
+    """``requests`` (query, manufacturer, model) with what is ``missing`` and the ``question`` that asks for it (null: nothing is missing).
+
+    With ``detail``, a report that only says that printing fails lacks what the panel shows.
+    """
+    gone = [F.when(F.coalesce(f, F.lit("")) == "", F.lit(f)) for f in ("manufacturer", "model")]
+    if detail:
+        gone.append(F.when(F.coalesce(T.broad_failure(F.col("query")), F.lit(False)), F.lit(DETAIL)))
+    x = requests.withColumn("missing", F.array_compact(F.array(*gone)))
+    question = F.when(F.size("missing") == 0, F.lit(None).cast("string"))
+    for facts, asked in QUESTIONS.items():
+        question = question.when(F.col("missing") == F.array(*map(F.lit, facts)), asked)
+    return x.withColumn("question", question.otherwise(NO_QUESTION))
 
 
 def composed_query(df: DataFrame) -> DataFrame:

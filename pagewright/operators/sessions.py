@@ -156,6 +156,8 @@ def collapse_repeats(asked: DataFrame, ttl: float, keys: list[str]) -> DataFrame
             then = bisect_left(times, times[i] + ttl)
             final[i] = final[then] if then < len(times) else times[i]
         steps = [i for i in range(len(times)) if i + 1 == len(times) or final[i] != final[i + 1]]
+        # a retrieval from before the range serves until ttl after the range's first time at most
+        steps = steps[: bisect_left([times[i] for i in steps], times[0] + ttl) + 1] if times else steps
         row = {"part": part, "first": first, "upto": [times[i] for i in steps], "final": [final[i] for i in steps], "last": last, "start": None if start is None else float(start)}
         yield pa.RecordBatch.from_pylist([row], schema=pa.schema([("part", pa.int32()), ("first", pa.string()), ("upto", pa.list_(pa.float64())), ("final", pa.list_(pa.float64())), ("last", pa.string()), ("start", pa.float64())]))
 

@@ -158,12 +158,50 @@ def evidence_dedupe(spark, sf_dir: str) -> DataFrame:
 _OCR = "SELECT l_orderkey AS document_id, l_linenumber % 3 AS page, CAST(l_linenumber AS BIGINT) * 1000000000 + l_partkey AS place, CASE WHEN l_partkey % 7 = 0 THEN ' ' ELSE concat('P', l_partkey) END AS text, (l_partkey % 100) / 100.0D AS confidence FROM {lineitem}"
 
 
-@_query(f"SELECT document_id, page, string_agg(text, chr(10) ORDER BY place) AS text, round(avg(confidence), 6) AS confidence, count(*) AS items FROM ({_duck(_OCR).replace('100.0D', '100.0::DOUBLE')}) WHERE trim(text) <> '' GROUP BY 1, 2")
+_RECOGNISED = """SELECT document_id, page, coalesce(string_agg(text, chr(10) ORDER BY place, text) FILTER (trim(text) <> ''), '') AS text, coalesce(avg(confidence) FILTER (trim(text) <> ''), 0) AS confidence, count(*) FILTER (trim(text) <> '') AS items
+FROM ({items}) GROUP BY 1, 2"""
+_OCR_DUCK = _duck(_OCR).replace("100.0D", "100.0::DOUBLE")
+
+
+@_query(f"SELECT * REPLACE (round(confidence, 6) AS confidence) FROM ({_RECOGNISED.format(items=_OCR_DUCK)})")
 def ocr_pages(spark, sf_dir: str) -> DataFrame:
-    """Recognised items as pages."""
+    """Recognised items as pages; a page of blank items is empty."""
     return X.ocr_pages(_sql(spark, sf_dir, _OCR)).withColumn("confidence", F.round("confidence", 6))
 
 
+# sums of these confidences are exact
+_SMALL = _OCR.replace("(l_partkey % 100) / 100.0D", "(l_partkey % 64) / 64.0D")
+_AGAIN = _SMALL.replace("concat('P', l_partkey)", "concat('Q', l_suppkey)").replace("(l_partkey % 64)", "(l_suppkey % 64)")
+
+
+@_query(f"""WITH a AS ({_RECOGNISED.format(items=_duck(_SMALL).replace('64.0D', '64.0::DOUBLE'))}), b AS ({_RECOGNISED.format(items=_duck(_AGAIN).replace('64.0D', '64.0::DOUBLE'))}), c AS (SELECT a.*, b.text AS t, b.confidence AS f, b.items AS i, a.confidence < 0.85 AND b.confidence > a.confidence AS better FROM a JOIN b USING (document_id, page))
+SELECT document_id, page, CASE WHEN better THEN t ELSE text END AS text, round(CASE WHEN better THEN f ELSE confidence END, 6) AS confidence, CASE WHEN better THEN i ELSE items END AS items, CASE WHEN better THEN 'small' END AS fallback_from FROM c""")
+def ocr_fallback(spark, sf_dir: str) -> DataFrame:
+    """Unsure pages as a second model recognised them, where it is surer."""
+    first, second = X.ocr_pages(_sql(spark, sf_dir, _SMALL)), X.ocr_pages(_sql(spark, sf_dir, _AGAIN))
+    return X.with_fallback(first, second, "small").withColumn("confidence", F.round("confidence", 6))
+
+
+@_query("""WITH p AS (SELECT DISTINCT l_suppkey AS document_id, l_partkey AS page FROM lineitem), o AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY page) - 1 AS i, count(*) OVER (PARTITION BY document_id) AS n, document_id % 5 + 1 AS want FROM p WHERE document_id % 10 > 0)
+SELECT document_id, page FROM o WHERE i % greatest(1, n // want) = 0 AND i / greatest(1, n // want) < want""")
+def ocr_sample(spark, sf_dir: str) -> DataFrame:
+    """Pages at equal strides of each document, for a benchmark of recognition."""
+    pages = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("document_id"), F.col("l_partkey").alias("page")).distinct()
+    wanted = pages.where("document_id % 10 > 0").select("document_id", (F.col("document_id") % 5 + 1).alias("count")).distinct()
+    return X.strided_sample(pages, wanted)
+
+
+_LACKING = "SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN 'My printer will not print' ELSE concat('How to use ', p_name) END AS query, CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE '' END AS manufacturer, CASE WHEN p_partkey % 5 < 3 THEN p_type END AS model FROM {part}"
+_PANEL, _ASK = E.DETAIL, {k: v.replace("'", "''") for k, v in E.QUESTIONS.items()}
+
+
+@_query(f"""WITH r AS ({_duck(_LACKING)}), m AS (SELECT id, list_filter([CASE WHEN manufacturer = '' THEN 'manufacturer' END, CASE WHEN model IS NULL THEN 'model' END, CASE WHEN id % 3 = 0 THEN '{_PANEL}' END], lambda x: x IS NOT NULL) AS missing FROM r)
+SELECT id, array_to_string(missing, '|') AS missing, CASE array_to_string(missing, '|') WHEN '' THEN NULL {" ".join(f"WHEN '{'|'.join(k)}' THEN '{v}'" for k, v in _ASK.items())} ELSE '{E.NO_QUESTION}' END AS question FROM m""")
+def observation_questions(spark, sf_dir: str) -> DataFrame:
+    """What reports about parts lack, and the question that asks for it."""
+    return E.missing_observations(_sql(spark, sf_dir, _LACKING), detail=True).select("id", F.array_join("missing", "|").alias("missing"), "question")
+
+
 @_query("""SELECT p_partkey AS chunk_id, p_name AS text, 'd' || p_size AS document_id, p_brand AS manufacturer, p_type AS model, 'v1' AS document_version, lower(p_type) AS category, p_name AS document_title, 'http://x/' || p_partkey AS source_url,
   CASE WHEN p_partkey % 3 = 0 THEN 'code' END AS identifier_kind, NULL::VARCHAR AS normalized_value FROM part""")
 def payload_rows(spark, sf_dir: str) -> DataFrame:
@@ -171,7 +209,7 @@ def payload_rows(spark, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     doc = F.struct(F.concat(F.lit("d"), F.col("p_size").cast("string")).alias("document_id"), F.col("p_name").alias("title"), F.col("p_brand").alias("manufacturer"), F.col("p_type").alias("model"), F.lit("v1").alias("version"), F.concat(F.lit("http://x/"), k.cast("string")).alias("source_url"))
     meta = F.when(k % 3 == 0, F.create_map(F.lit("identifier_kind"), F.lit("code"))).otherwise(F.create_map().cast("map<string,string>"))
-    return X.payload(table(spark, sf_dir, "part").select(k.alias("chunk_id"), F.col("p_name").alias("content"), doc.alias("document"), F.concat(F.lit("raw/"), F.lower("p_type"), F.lit("/x.pdf")).alias("source_file"), meta.alias("metadata")))
+    return X.payload(table(spark, sf_dir, "part").select(k.alias("chunk_id"), F.col("p_name").alias("content"), doc.alias("document"), F.concat(F.lit("data/raw/"), F.lower("p_type"), F.lit("/x.pdf")).alias("source_file"), meta.alias("metadata")))
 
 
 _SHOWN = "SELECT concat('a', l_partkey % 200) AS asset_id, l_suppkey AS document_id, l_linenumber AS page FROM {lineitem}"

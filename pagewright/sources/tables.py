@@ -54,12 +54,20 @@ def page_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def chunk_lines(spark: SparkSession, path: str, profile: str | None = None, document_id: str | None = None, limit: int | None = None, category: str | None = None) -> DataFrame:
-    """Chunks of JSON lines in a stable order; a line that can't be read is an error. ``category``: a folder of the path."""
-    raw = spark.read.schema(CHUNK + ", _corrupt_record string").option("columnNameOfCorruptRecord", "_corrupt_record").json(path).withColumn("_file", F.input_file_name())
-    bad = raw.select("_file", "_corrupt_record").cache()
-    if rows := bad.where("_corrupt_record IS NOT NULL").limit(1).collect():
-        raise ValueError(f"{rows[0][0]}: not a chunk: {rows[0][1][:200]}")
-    bad.unpersist()
+    """Chunks of JSON lines in a stable order; a line that can't be read is an error that names file and line. ``category``: a folder of the path.
+
+    Blank lines are passed over.
+    """
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    lines = spark.read.text(path).select("value", place.alias("_at"))
+    read = F.from_json("value", CHUNK + ", _corrupt_record string", {"columnNameOfCorruptRecord": "_corrupt_record"})
+    raw = lines.where(F.trim("value") != "").select(read.alias("c"), "_at", "value")
+    bad = raw.where("c IS NULL OR c._corrupt_record IS NOT NULL").select("_at", "value").orderBy("_at").limit(1).collect()
+    if bad:
+        at = bad[0]["_at"]
+        own = lines.select("_at.*").where((F.col("file") == at.file) & ((F.col("block") < at.block) | ((F.col("block") == at.block) & (F.col("row") <= at.row))))
+        raise ValueError(f"{at.file}:{own.count()}: not a chunk: {bad[0]['value'][:200]}")
+    raw = raw.select("c.*", F.col("_at.file").alias("_file"))
     out = raw.drop("_corrupt_record")
     if category:
         out = out.where(F.array_contains(F.split("_file", "/"), category))
@@ -166,13 +174,13 @@ def matching(filters: DataFrame, chunks: DataFrame, fields: list[str] = FILTER_F
 def payload(chunks: DataFrame) -> DataFrame:
     """``chunks`` (chunk_id, content, document struct, source_file, metadata map) as flat rows for a vector store.
 
-    ``category`` is the folder before the file's; identifier fields are null where the metadata lacks them.
+    ``category`` is the third part of the file's path, ``unknown`` without one; identifier fields are null where the metadata lacks them.
     """
     parts = F.split("source_file", "/")
     d = F.col("document")
     return chunks.select(
         "chunk_id", F.col("content").alias("text"), d["document_id"].alias("document_id"), d["manufacturer"].alias("manufacturer"), d["model"].alias("model"), d["version"].alias("document_version"),
-        F.try_element_at(parts, F.lit(-2)).alias("category"), d["title"].alias("document_title"), d["source_url"].alias("source_url"),
+        F.coalesce(F.get(parts, 2), F.lit("unknown")).alias("category"), d["title"].alias("document_title"), d["source_url"].alias("source_url"),
         *[F.try_element_at("metadata", F.lit(k)).alias(k) for k in ("identifier_kind", "normalized_value")],
     )
 
@@ -181,8 +189,30 @@ def ocr_pages(items: DataFrame) -> DataFrame:
     """document_id, page, text, confidence, items: the pages of recognised ``items`` (document_id, page, place, text, confidence).
 
     Blank items are left out; the text has an item a line in order of place, the confidence is the items' mean.
+    A page of blank items only has an empty text and the confidence 0.
     """
-    seen = items.where(F.trim("text") != "")
-    return seen.groupBy("document_id", "page").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "text"))), lambda x: x["text"]), "\n").alias("text"), F.avg("confidence").alias("confidence"), F.count("*").alias("items")
+    seen = F.trim("text") != ""
+    return items.groupBy("document_id", "page").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(seen, F.struct("place", "text")))), lambda x: x["text"]), "\n").alias("text"),
+        F.coalesce(F.avg(F.when(seen, F.col("confidence"))), F.lit(0.0)).alias("confidence"), F.count(F.when(seen, 1)).alias("items"),
     )
+
+
+#: A page recognised less surely than this is recognised again by the fallback model.
+SURE = 0.85
+
+
+def with_fallback(pages: DataFrame, fallback: DataFrame, model: str, sure: float = SURE) -> DataFrame:
+    """``pages`` (``ocr_pages``) where an unsure page is the ``fallback``'s if that is surer; ``fallback_from`` then names ``model``."""
+    again = fallback.select("document_id", "page", F.struct("text", "confidence", "items").alias("_again"))
+    better = (F.col("confidence") < sure) & F.coalesce(F.col("_again.confidence") > F.col("confidence"), F.lit(False))
+    x = pages.join(again, ["document_id", "page"], "left").withColumn("_better", better)
+    return x.select("document_id", "page", *[F.when(F.col("_better"), F.col(f"_again.{c}")).otherwise(F.col(c)).alias(c) for c in ("text", "confidence", "items")], F.when(F.col("_better"), F.lit(model)).alias("fallback_from"))
+
+
+def strided_sample(pages: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The pages (document_id, page) at equal strides of each document, as many as ``wanted`` (document_id, count) asks for; from the first on."""
+    order = F.row_number().over(Window.partitionBy("document_id").orderBy("page")) - 1
+    n = pages.groupBy("document_id").agg(F.count("*").alias("_n"))
+    x = pages.join(n, "document_id").join(wanted, "document_id").withColumn("_i", order).withColumn("_stride", F.greatest(F.lit(1), F.floor(F.col("_n") / F.greatest("count", F.lit(1)))))
+    return x.where((F.col("_i") % F.col("_stride") == 0) & (F.col("_i") / F.col("_stride") < F.col("count"))).select(*pages.columns)
