@@ -233,6 +233,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
 
     pairs = cut_lineage(members.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct())
     links = cut_lineage(_linked(pairs, sets, percent))
+    # a key with several sets is one document: its sets' representatives are linked
+    several = cut_lineage(signed.where("id IS NOT NULL").select("id", "s1", "s2").distinct().groupBy("id").count().where("count > 1").select("id"))
+    repeated = not several.isEmpty()
+    if repeated:
+        sets_of = signed.where("n_shingles > 0").select("id", "s1", "s2").distinct().join(several, "id").join(reps.select("s1", "s2", "rep"), ["s1", "s2"]).select("id", "rep")
+        first = sets_of.groupBy("id").agg(F.min("rep").alias("a"))
+        links = cut_lineage(links.union(sets_of.join(first, "id").where("a <> rep").select("a", F.col("rep").alias("b"))).distinct())
     graph = components(links)
     # a leader is compared with all of its buckets; what still has two components is compared in blocks
     named = members.where("rep <> lead").join(graph, F.col("rep") == F.col("node"), "left").select("bucket", "lead", "rep", F.coalesce("component", "rep").alias("comp"))
@@ -244,6 +251,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
             graph = components(links.union(more))
     named = reps.select("s1", "s2", "rep").join(graph, F.col("rep") == F.col("node"), "left").select("s1", "s2", F.coalesce("component", "rep").alias("component"))
     rows = signed.select("id", "n_shingles", "s1", "s2").join(named, ["s1", "s2"], "left")
+    if repeated:  # a row without words goes with its key's others
+        whole = cut_lineage(rows.join(several, "id").groupBy("id").agg(F.min("component").alias("whole")))
+        rows = rows.join(whole, "id", "left").withColumn("component", F.coalesce("whole", "component"))
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return rows.select(F.col("id").alias(key), "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
 
