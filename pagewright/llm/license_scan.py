@@ -16,7 +16,7 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Phrases whose places are counted exactly, and their labels.
 BASE = [("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl")]
 #: Substrings of which every match of a rule has one.
-GATES = ["licen", "copyright", "domain", "under"]
+GATES = ["licen", "copyright", "domain", "under", "gpl", "permission", "redistribut", "warranty", "cc0", "cddl", "endorse", "altered", "contributor", "invariant", "proprietary", "unauthori"]
 
 #: Label, keywords (each match has one as a word), regex of the name in normalised words.
 NAMES = [
@@ -87,15 +87,52 @@ SHAPES = [
     (LICENSES, "(?:the )?{n} " + LICENSE + VERSION, 4, 0.85),
     (LICENSES, LICENSE + " (?:is )?(?:the )?{n}" + VERSION, 3, 0.75),
     ("licensed licenced licensing licencing", "{n}" + VERSION + " licen[sc](?:ed|ing)", 2, 0.6),
+    ("identifier", "spdx licen[sc]e identifier {n}(?: [0-9]+){0,2}(?: only| or later)?", 6, 1.0),
 ]
-#: Words between ``copyright`` and ``all rights reserved`` at most.
-HOLDER = 40
-#: Statements that name no license: label, keywords, anchors, regex, priority, confidence.
+#: Statements of a license that are more than a name in a shape, most of them the opening words of its
+#: text: label, keywords, anchors, regex, priority, confidence.
 STATEMENTS = [
-    ("all-rights-reserved", "reserved", "copyright", "copyright (?:[^ ]+ ){0,%d}?all rights reserved" % HOLDER, 1, 0.7),
+    ("mit", "hereby", "person", "permission is hereby granted free of charge to any person obtaining a copy", 5, 0.95),
+    ("boost", "hereby", "organization", "permission is hereby granted free of charge to any person or organization obtaining a copy", 5, 0.95),
+    ("isc", "permission", "distribute", "permission to use copy modify and or distribute this software for any purpose", 5, 0.95),
+    ("postgresql", "permission", "documentation", "permission to use copy modify and distribute this software and its documentation for any purpose", 5, 0.9),
+    ("bsd", "redistribution", "binary", "redistribution and use in source and binary forms", 5, 0.95),
+    ("bsd", "redistributions", "retain", "redistributions of source code must retain the above copyright notice", 5, 0.9),
+    ("bsd", "redistributions", "reproduce", "redistributions in binary form must reproduce the above copyright notice", 5, 0.9),
+    ("bsd", "endorse", "promote", "neither the name of .{1,120}? may be used to endorse or promote products", 4, 0.85),
+    ("zlib", "warranty", "express", "this software is provided as is without any express or implied warranty", 4, 0.85),
+    ("zlib", "altered", "versions", "altered source versions must be plainly marked as such", 5, 0.9),
+    ("apache", "compliance", "except", "you may not use this file except in compliance with the license", 4, 0.9),
+    ("apache", "contributor", "royalty", "each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free", 4, 0.85),
+    ("gpl", "redistribute", "modify", "this program is free software you can redistribute it and or modify it", 4, 0.9),
+    ("gpl", "gnu", "received", "you should have received a copy of the gnu general public licen[sc]e", 5, 0.95),
+    ("lgpl", "redistribute", "modify", "this library is free software you can redistribute it and or modify it", 4, 0.9),
+    ("lgpl", "gnu", "received", "you should have received a copy of the gnu (?:lesser|library) general public licen[sc]e", 5, 0.95),
+    ("agpl", "gnu", "received", "you should have received a copy of the gnu affero general public licen[sc]e", 5, 0.95),
+    ("agpl", "affero", "network", "gnu affero general public licen[sc]e .{1,400}? users interacting with it remotely through a computer network", 5, 0.95),
+    ("gpl", "gpl gplv1 gplv2 gplv3", "gnu", "gnu gpl(?:v[123]| v?[123]| version [123])(?: 0)?(?: or (?:any )?later| only)?", 4, 0.85),
+    ("lgpl", "lgpl lgplv2 lgplv3", "gnu", "gnu lgpl(?:v[23]| v?[23]| version [23])(?: [01])?(?: or (?:any )?later| only)?", 4, 0.85),
+    ("agpl", "agpl agplv1 agplv3", "gnu", "gnu agpl(?:v[13]| v?[13]| version [13])(?: 0)?(?: or (?:any )?later| only)?", 4, 0.85),
+    ("gfdl", "invariant", "sections", "with no invariant sections no front cover texts and no back cover texts", 5, 0.9),
+    ("mpl", "mozilla", "subject", "this source code form is subject to the terms of the mozilla public licen[sc]e", 6, 1.0),
+    ("epl", "eclipse", "accompanying", "this program and the accompanying materials are made available under the terms of the eclipse public licen[sc]e", 6, 1.0),
+    ("cddl", "cddl development", "contents", "the contents of this file are subject to the terms of the (?:common development and distribution licen[sc]e|cddl)", 6, 1.0),
+    ("unlicense", "unencumbered", "released", "this is free and unencumbered software released into the public domain", 6, 1.0),
+    ("wtfpl", "fuck", "want", "do what the fuck you want to public licen[sc]e", 5, 0.95),
+    ("cc0", "waiving", "dedicated", "has dedicated the work to the public domain by waiving all of his or her rights", 5, 0.95),
+    ("cc0", "cc0", "universal", "cc0 1 0 universal", 5, 0.95),
+    ("cc", "commons", "work", "this work is licen[sc]ed under (?:a|the) creative commons", 4, 0.9),
+    ("ofl", "font", "sil", "this font software is licen[sc]ed under the sil open font licen[sc]e", 6, 1.0),
+    ("artistic", "perl", "itself", "under the same terms as perl itself", 4, 0.7),
+    ("python", "python", "agreement", "this licen[sc]e agreement is between the python software foundation", 6, 1.0),
+    ("ms-pl", "microsoft", "ms", "microsoft public licen[sc]e ms pl", 6, 1.0),
+    ("proprietary", "confidential", "proprietary", "(?:confidential and proprietary|proprietary and confidential)", 3, 0.8),
+    ("proprietary", "unauthorized unauthorised", "prohibited", "unauthori[sz]ed (?:copying|use|reproduction|distribution) .{1,120}? (?:is )?(?:strictly )?prohibited", 3, 0.75),
     ("copyright", "copyright", "copyright", "copyright (?:c )?(?:19|20)[0-9]{2}", 1, 0.5),
     ("public-domain", "domain", "domain", "(?:released into|dedicated to|placed in|placed into) the public domain", 1, 0.7),
 ]
+#: Fixed values: ``copyright`` and the next ``all rights reserved``, however far: label, priority, confidence.
+RESERVED = ("all-rights-reserved", 1, 0.7)
 PRIORITIES = 6
 
 
@@ -118,6 +155,25 @@ def _rule_array() -> Column:
     return F.array(*[F.struct(F.lit(a), _words(k), _words(n), F.lit(f"(?<= ){r}(?= )"), F.lit(p), F.lit(c)) for a, k, n, r, p, c in rules()]).cast(kind)
 
 
+def _reserved() -> Column:
+    """From the last ``copyright`` before each ``all rights reserved`` and after the one before it, to its end.
+
+    The line is cut at ``all rights reserved``; the words of a part after its last ``copyright`` say where that is.
+    """
+    label, priority, confidence = RESERVED
+    parts = F.split("_line", " all rights reserved(?= )")
+    sized = F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda p: F.struct(
+        _spaces(p).cast("long").alias("n"), F.when(F.contains(F.concat(p, F.lit(" ")), F.lit(" copyright ")), _spaces(F.substring_index(F.concat(p, F.lit(" ")), " copyright ", -1)).cast("long")).alias("after")))
+    none = F.array().cast("array<struct<label:string,start:bigint,end:bigint,priority:int,confidence:double>>")
+
+    def step(s: Column, p: Column) -> Column:
+        here = s["at"] + p["n"]
+        found = F.struct(F.lit(label).alias("label"), (here - p["after"] - 1).alias("start"), (here + 3).alias("end"), F.lit(priority).alias("priority"), F.lit(confidence).alias("confidence"))
+        return F.struct((here + 3).alias("at"), F.when(p["after"].isNotNull(), F.concat(s["finds"], F.array(found))).otherwise(s["finds"]).alias("finds"))
+
+    return F.aggregate(sized, F.struct(F.lit(0).cast("long").alias("at"), none.alias("finds")), step, lambda s: s["finds"])
+
+
 def _unbeaten(finds: Column) -> Column:
     """The finds that no other suppresses, by start: one that contains the find's interval and has a higher
     priority, or the same and more words.
@@ -171,7 +227,7 @@ def scan_licenses(docs: DataFrame, text: str = "text") -> DataFrame:
         return F.struct(F.lit(label).alias("label"), places.alias("places"), F.when(places > 0, first).alias("first"), F.when(places > 0, last.cast("long")).alias("last"))
 
     d = d.withColumn("base_places", F.array(*[base(p, label) for p, label in BASE]))
-    known = sorted({w for _, k, n, *_ in rules() for w in (k + " " + n).split()})
+    known = sorted({"copyright", "reserved", *(w for _, k, n, *_ in rules() for w in (k + " " + n).split())})
     d = d.withColumn("_keys", F.array_intersect("_words", F.array(*map(F.lit, known)))).withColumn("_rules", _rule_array())
 
     def finds(r: Column) -> Column:
@@ -187,7 +243,7 @@ def scan_licenses(docs: DataFrame, text: str = "text") -> DataFrame:
     fit = F.filter("_rules", lambda r: F.arrays_overlap(r["keywords"], F.col("_keys")) & F.arrays_overlap(r["anchors"], F.col("_keys")))
     fit = F.filter(fit, lambda r: F.call_function("rlike", F.col("_line"), r["regex"]))
     kind = "array<struct<label:string,start:bigint,end:bigint,priority:int,confidence:double>>"
-    d = d.withColumn("_finds", F.when(F.size("_keys") > 0, F.flatten(F.transform(fit, finds))))
+    d = d.withColumn("_finds", F.when(F.size("_keys") > 0, F.concat(F.flatten(F.transform(fit, finds)), F.when(F.array_contains("_keys", "copyright") & F.array_contains("_keys", "reserved"), _reserved()).otherwise(F.array().cast(kind)))))
     d = d.withColumn("detections", F.when(F.size("_finds") > 0, _unbeaten(F.col("_finds"))).otherwise(F.array()).cast(kind))
     based = F.transform(F.filter("base_places", lambda b: b["places"] > 0), lambda b: b["label"])
     d = d.withColumn("labels", F.array_sort(F.array_distinct(F.concat(based, F.transform("detections", lambda x: x["label"])))))

@@ -270,6 +270,12 @@ def test_license_scan_is_exhaustive(spark):
     def everywhere(text):
         line = f" {' '.join(re.findall(license_scan.WORD, text.lower()))} "
         found = {(label, line.count(" ", 0, m.start()) - 1, line.count(" ", 0, m.end()), p, c) for label, r, p, c in patterns for m in r.finditer(line)}
+        words, since = line.split(), 0
+        for i in range(len(words)):
+            if i >= since and words[i : i + 3] == ["all", "rights", "reserved"]:
+                if "copyright" in words[since:i]:
+                    found.add((license_scan.RESERVED[0], max(j for j in range(since, i) if words[j] == "copyright"), i + 3, *license_scan.RESERVED[1:]))
+                since = i + 3
         beaten = lambda x, y: y[1] <= x[1] and y[2] >= x[2] and (y[3] > x[3] or (y[3] == x[3] and y[2] - y[1] > x[2] - x[1]))
         return sorted(x for x in found if not any(beaten(x, y) for y in found))
 
@@ -285,7 +291,29 @@ def test_license_scan_is_exhaustive(spark):
     assert labels["licensed under creative commons attribution noderivatives"] == ["cc-by-nd"] and len(texts) > 1000
     assert labels[texts[-156]] == ["mit"] and labels["Released under GPLv3."] == ["gpl"] and labels["released into the public domain"] == ["public-domain"]
     assert [x.priority for x in got[texts.index("mit license, mit license; MIT License")].detections].count(4) == 3
-    assert labels[texts[-152]] == ["all-rights-reserved"] and labels[texts[-151]] == ["copyright"]
+    assert labels[texts[-152]] == ["all-rights-reserved"] and labels[texts[-151]] == ["all-rights-reserved"]
+
+
+def test_license_tags_and_texts(spark):
+    texts = {
+        "SPDX-License-Identifier: MIT": ["mit"], "// SPDX-License-Identifier: BSD-3-Clause": ["bsd"], "SPDX-License-Identifier: GPL-2.0-or-later": ["gpl"], "SPDX-License-Identifier: Apache-2.0": ["apache"],
+        "SPDX-License-Identifier: CC-BY-SA-4.0": ["cc-by-sa"], "Permission is hereby granted, free of charge, to any person obtaining a copy": ["mit"],
+        "Redistribution and use in source and binary forms, with or without modification": ["bsd"], "GNU AGPL version 3": ["agpl"], "it is under the GNU LGPL v2.1": ["lgpl"],
+        "This program is free software; you can redistribute it and/or modify it": ["gpl"], "Copyright Ann " + "and Bob " * 30 + "All rights reserved.": ["all-rights-reserved"],
+        "copyright a all rights reserved b all rights reserved": ["all-rights-reserved"], "all rights reserved copyright": [], "Permission to go home": [], "identifier MIT": [], "an altered contributor": [],
+    }
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in license_scan.scan_licenses(rows).collect()}
+    assert [got[i] for i in range(len(texts))] == list(texts.values())
+
+
+def test_a_key_with_two_texts_is_one_document(spark):
+    a, b, c = ("one two three four five six", "seven eight nine ten eleven twelve", "a b c d e f g")
+    rows = [(3, a), (5, a), (5, b), (7, b), (5, None), (9, c), (9, ""), (8, c), (2, None), (None, a)]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), str(r.component_id), r.kept) for r in got) == sorted(
+        [("3", "3", True), ("5", "3", False), ("5", "3", False), ("7", "3", False), ("5", "3", False), ("9", "8", False), ("9", "8", False), ("8", "8", True), ("2", "2", True), ("None", "None", True)]
+    )
 
 
 def test_urls(spark):
