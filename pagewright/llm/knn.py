@@ -21,6 +21,8 @@ QUERY_BLOCK, DATA_BLOCK = 4096, 32_768
 #: Pivots: one for each block of queries, within these bounds; the rows of least id hash.  Only pivots, their
 #: summaries (k+1 numbers a cell) and counts reach the driver.
 LEAST_PIVOTS, MOST_PIVOTS = 4, 1024
+#: Rows that a task sends to groups at once.
+SENT = 10_000
 
 
 def usable(vector: Column) -> Column:
@@ -47,7 +49,7 @@ def _gaps(x: np.ndarray, last: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(sq[:, None] + (pivots * pivots).sum(1) - 2 * dot, 0))
 
 
-def top_k(data: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "vector", n_pivots: int | None = None, query_block: int = QUERY_BLOCK, data_block: int = DATA_BLOCK) -> DataFrame:
+def top_k(data: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "vector", n_pivots: int | None = None, query_block: int = QUERY_BLOCK, data_block: int = DATA_BLOCK, sent_rows: int = SENT) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` highest inner products of each query with all of ``data``.
 
     ``vector`` is an array of whole numbers.  A query's own row, that is any row of its id, is no
@@ -107,8 +109,13 @@ def top_k(data: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vect
             go = of_data(_matrix(b["v"], width)) <= bound[None]
             row, cell = np.nonzero(go)
             times = blocks[cell]
-            row, cell, turn = np.repeat(row, times), np.repeat(cell, times), np.concatenate([np.arange(t) for t in times] or [np.empty(0, int)])
-            yield pd.DataFrame({"vec_id": b["vec_id"].values[row], "v": b["v"].values[row], "cell": cell.astype("int32"), "block": turn.astype("int32")})
+            ends, at = np.cumsum(times), 0
+            while at < len(row):  # a vector that goes to many groups is not repeated for all of them at once
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + sent_rows, "right")))
+                which, group = np.repeat(row[at:to], times[at:to]), np.repeat(cell[at:to], times[at:to])
+                turn = np.concatenate([np.arange(t) for t in times[at:to]])
+                yield pd.DataFrame({"vec_id": b["vec_id"].values[which], "v": b["v"].values[which], "cell": group.astype("int32"), "block": turn.astype("int32")})
+                at = to
 
     left = (
         cells.withColumn("block", F.pmod(F.xxhash64("query_id"), F.element_at(F.array(*[F.lit(int(max(x, 1))) for x in blocks]), F.col("cell") + 1)).cast("int"))

@@ -428,7 +428,7 @@ def test_top_k(spark):
     ready = table.where(knn.usable(F.col("embedding"))).select("vec_id", F.transform("embedding", lambda x: F.floor(x)).alias("vector"))
     for n_pivots, block in ((3, 8), (1, 1000)):
         got = {}
-        for r in knn.top_k(ready, ready.where("vec_id % 5 = 0"), 4, n_pivots=n_pivots, query_block=4, data_block=block).collect():
+        for r in knn.top_k(ready, ready.where("vec_id % 5 = 0"), 4, n_pivots=n_pivots, query_block=4, data_block=block, sent_rows=5 * block - 33).collect():
             got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
         ids = [*range(90), 5]
         for q in range(0, 90, 5):
