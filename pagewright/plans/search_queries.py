@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.text import tokens
-from ..operators import postings as P, retrieval as R
+from ..operators import percentiles, postings as P, retrieval as R
 from ..operators.embedding import embedded
 from ..runtime import shared_folder, table
 
@@ -194,52 +194,49 @@ def search_strategies(spark, sf_dir: str) -> DataFrame:
     return R.strategies(v, v.where(WHOLE.format(id="chunk_id")).withColumnRenamed("chunk_id", "query_id"), ["label"])
 
 
-_FUSED = _DENSE + """, lex AS (
-  SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, chunk_id)::INT AS rank FROM (
-    SELECT a.doc_id AS query_id, b.doc_id AS chunk_id, len(list_intersect(a.t, b.t)) AS n FROM
-      (SELECT doc_id, list_distinct(regexp_extract_all(lower(split_part(text, chr(10), 1)), '[a-z0-9]+(?:[-_][a-z0-9]+)*')) AS t FROM documents WHERE doc_id % 20 = 0) a
-      JOIN (SELECT doc_id, list_distinct(regexp_extract_all(lower(split_part(text, chr(10), 1)), '[a-z0-9]+(?:[-_][a-z0-9]+)*')) AS t FROM documents) b ON len(list_intersect(a.t, b.t)) > 0
-  ) QUALIFY rank <= 32
+_DENSE_ITEMS = _DENSE.replace("q.vec_id % 20 = 0", "q.vec_id IN (SELECT item_id FROM benchmark)")
+
+
+def _lexical_sql(asked: str) -> str:
+    """CTEs up to ``lex``: the 32 best whole texts by BM25 for each row (query_id, text) of ``asked``."""
+    return f""", q AS ({asked}), qt AS (SELECT query_id, token, count(*) AS times FROM (SELECT query_id, unnest({_TOKENS.format('text')}) AS token FROM q) GROUP BY 1, 2
+), d AS (SELECT doc_id, {_TOKENS.format('text')} AS t FROM documents
+), s AS (SELECT count(*) AS n, greatest(avg(len(t)), 1.0) AS mean FROM d WHERE t IS NOT NULL
+), h AS (SELECT doc_id, len, token, count(*) AS tf FROM (SELECT doc_id, len(t) AS len, unnest(t) AS token FROM d) WHERE token IN (SELECT token FROM qt) GROUP BY 1, 2, 3
+), f AS (SELECT token, count(*) AS df FROM h GROUP BY 1
+), r AS (
+  SELECT query_id, doc_id AS chunk_id, round(sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))), 6) AS score FROM h JOIN f USING (token) JOIN qt USING (token), s GROUP BY 1, 2
+), lex AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM r QUALIFY rank <= 32
 ), fused AS (
-  SELECT query_id, chunk_id, d.rank AS dense_rank, l.rank AS lexical_rank,
-         round(coalesce(1.0::DOUBLE / (30.0::DOUBLE + d.rank), 0) + coalesce(1.5::DOUBLE / (30.0::DOUBLE + l.rank), 0), 9) AS score
-  FROM dense d FULL JOIN lex l USING (query_id, chunk_id)
+  SELECT query_id, chunk_id, d.rank AS dense_rank, l.rank AS lexical_rank, round(coalesce(1.0::DOUBLE / (30.0::DOUBLE + d.rank), 0) + coalesce(1.5::DOUBLE / (30.0::DOUBLE + l.rank), 0), 9) AS score
+  FROM (SELECT * FROM dense WHERE query_id IN (SELECT query_id FROM q)) d FULL JOIN lex l USING (query_id, chunk_id)
 )"""
 
 
-def _lexical(spark, sf_dir, asked=WHOLE) -> DataFrame:
-    first = table(spark, sf_dir, "documents").select("doc_id", F.array_distinct(tokens(F.substring_index("text", "\n", 1))).alias("t"))
-    asked = R.small(first.where(asked.format(id="doc_id")).select(F.col("doc_id").alias("query_id"), F.explode("t").alias("token")))
-    n = first.select(F.col("doc_id").alias("chunk_id"), F.explode("t").alias("token")).join(asked, "token").groupBy("query_id", "chunk_id").agg(F.count("*").alias("n"))
-    return R.top(n, "query_id", [F.desc("n"), "chunk_id"], 32)
+_FUSED = _DENSE_ITEMS + _lexical_sql("SELECT item_id AS query_id, text FROM benchmark")
 
 
-def _fused(spark, sf_dir, k, asked=WHOLE):
-    near = _near(spark, sf_dir, 32, asked)
-    return near, R.fuse(near, _lexical(spark, sf_dir, asked), k)
+def _fused(spark, sf_dir, k):
+    """Each whole passage of ``benchmark`` against all whole texts by words, and the vector of its id against all vectors."""
+    asked, v = _asked(spark, sf_dir), _vectors(spark, sf_dir).drop("label")
+    near = R.dense(v, v.join(asked, F.col("chunk_id") == F.col("query_id"), "left_semi").withColumnRenamed("chunk_id", "query_id"), 32)
+    words = R.bm25(_chunks(spark, sf_dir), asked.select("query_id", tokens(F.col("text")).alias("terms")), 32)
+    return near, R.fuse(near, words, k)
 
 
 @_query(_FUSED + "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, dense_rank NULLS LAST, lexical_rank NULLS LAST, chunk_id)::INT AS rank FROM fused QUALIFY rank <= 10")
 def rrf_fusion(spark, sf_dir: str) -> DataFrame:
-    """Dense hits of vectors and first-line hits of documents, fused by rank."""
-    return _best(spark, sf_dir)
-
+    """Dense hits of vectors and word hits of whole documents, fused by rank."""
+    return _fused(spark, sf_dir, 10)[1].select("query_id", "chunk_id", "dense_rank", "lexical_rank", "score", "rank")
 
-def _best(spark, sf_dir, asked=WHOLE) -> DataFrame:
-    return _fused(spark, sf_dir, 10, asked)[1].select("query_id", "chunk_id", "dense_rank", "lexical_rank", "score", "rank")
 
-
-@_query(_FUSED + """, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, dense_rank NULLS LAST, lexical_rank NULLS LAST, chunk_id)::INT AS was FROM fused QUALIFY was <= 32
-), g AS (SELECT r.*, source, row_number() OVER (PARTITION BY query_id, source ORDER BY was) > 1 AS later FROM r JOIN documents ON chunk_id = doc_id)
+@_query(_FUSED + """, top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, dense_rank NULLS LAST, lexical_rank NULLS LAST, chunk_id)::INT AS was FROM fused QUALIFY was <= 32
+), g AS (SELECT top.*, source, row_number() OVER (PARTITION BY query_id, source ORDER BY was) > 1 AS later FROM top JOIN documents ON chunk_id = doc_id)
 SELECT query_id, chunk_id, source, score, row_number() OVER (PARTITION BY query_id ORDER BY later, was)::INT AS rank FROM g QUALIFY rank <= 5
 """)
 def rrf_diversified(spark, sf_dir: str) -> DataFrame:
     """The fused hits with one hit of each source first."""
-    return _diverse(spark, sf_dir)
-
-
-def _diverse(spark, sf_dir, asked=WHOLE) -> DataFrame:
-    _, hits = _fused(spark, sf_dir, 32, asked)
+    _, hits = _fused(spark, sf_dir, 32)
     source = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "source")
     return R.diversify(source.join(R.small(hits), "chunk_id"), "source", 5).select("query_id", "chunk_id", "source", "score", "rank")
 
@@ -251,40 +248,24 @@ FROM fused LEFT JOIN status USING (query_id) GROUP BY query_id, best
 """)
 def retrieval_diagnostics(spark, sf_dir: str) -> DataFrame:
     """Candidates of both lists, their overlap, and abstention at a dense threshold."""
-    return _diagnosed(spark, sf_dir)
-
-
-def _diagnosed(spark, sf_dir, asked=WHOLE) -> DataFrame:
-    near, hits = _fused(spark, sf_dir, 1000, asked)
+    near, hits = _fused(spark, sf_dir, 1000)
     counts = hits.groupBy("query_id").agg(F.count("dense_rank").alias("dense_candidates"), F.count("lexical_rank").alias("lexical_candidates"), F.count_if(F.col("dense_rank").isNotNull() & F.col("lexical_rank").isNotNull()).alias("overlap"))
     return R.abstentions(counts, hits, near, 0.999).join(counts, "query_id")
 
 
-_FIRST = "trim(split_part(text, chr(10), 1))"
+_SAID = "SELECT item_id AS query_id, CASE WHEN item_id % 3 = 0 THEN 'error code ' ELSE '' END || trim(text) AS text FROM benchmark WHERE trim(text) <> ''"
 
 
-@_query(_DENSE + f""", q AS (SELECT doc_id AS query_id, CASE WHEN doc_id % 3 = 0 THEN 'error code ' ELSE '' END || {_FIRST} AS text FROM documents WHERE doc_id % 20 = 0 AND {_FIRST} <> ''
-), qt AS (SELECT query_id, token, count(*) AS times FROM (SELECT query_id, unnest({_TOKENS.format('text')}) AS token FROM q) GROUP BY 1, 2
-), d AS (SELECT doc_id, {_TOKENS.format('text')} AS t FROM documents
-), s AS (SELECT count(*) AS n, greatest(avg(len(t)), 1.0) AS mean FROM d WHERE t IS NOT NULL
-), h AS (SELECT doc_id, len, token, count(*) AS tf FROM (SELECT doc_id, len(t) AS len, unnest(t) AS token FROM d) WHERE token IN (SELECT token FROM qt) GROUP BY 1, 2, 3
-), f AS (SELECT token, count(*) AS df FROM h GROUP BY 1
-), r AS (
-  SELECT query_id, doc_id AS chunk_id, round(sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))), 6) AS score FROM h JOIN f USING (token) JOIN qt USING (token), s GROUP BY 1, 2
-), lex AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM r QUALIFY rank <= 32
-), fused AS (
-  SELECT query_id, chunk_id, d.rank AS dense_rank, l.rank AS lexical_rank, round(coalesce(1.0::DOUBLE / (30.0::DOUBLE + d.rank), 0) + coalesce(1.5::DOUBLE / (30.0::DOUBLE + l.rank), 0), 9) AS score
-  FROM (SELECT * FROM dense WHERE query_id IN (SELECT query_id FROM q)) d FULL JOIN lex l USING (query_id, chunk_id)
-), w AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, dense_rank NULLS LAST, lexical_rank NULLS LAST, chunk_id) AS was FROM fused QUALIFY was <= 32
+@_query(_DENSE_ITEMS + _lexical_sql(_SAID) + """, w AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, dense_rank NULLS LAST, lexical_rank NULLS LAST, chunk_id) AS was FROM fused QUALIFY was <= 32
 ), g AS (SELECT w.*, row_number() OVER (PARTITION BY query_id, source ORDER BY was) > 1 AS later FROM w JOIN documents ON chunk_id = doc_id)
 SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY later, was)::INT AS rank FROM g QUALIFY rank <= 5
 """)
 def manual_search(spark, sf_dir: str) -> DataFrame:
-    """Tool calls for the first lines of documents, every third one as an error code."""
-    d = table(spark, sf_dir, "documents")
-    tool = F.when(F.col("doc_id") % 3 == 0, "find_error_code").otherwise("search_manual")
+    """Tool calls for the whole benchmark passages, every third one as an error code."""
+    d, asked = table(spark, sf_dir, "documents"), _asked(spark, sf_dir)
+    tool = F.when(F.col("query_id") % 3 == 0, "find_error_code").otherwise("search_manual")
     v = _vectors(spark, sf_dir).drop("label")
-    calls = d.where(WHOLE.format(id="doc_id")).select(F.col("doc_id").alias("query_id"), tool.alias("tool"), F.substring_index("text", "\n", 1).alias("value")).join(v.withColumnRenamed("chunk_id", "query_id"), "query_id", "left")
+    calls = asked.select("query_id", tool.alias("tool"), F.col("text").alias("value")).join(v.withColumnRenamed("chunk_id", "query_id"), "query_id", "left")
     return R.manual_search(d.select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("body"), "source"), v, calls, "source")
 
 
@@ -339,3 +320,16 @@ def latency_summary(spark, sf_dir: str) -> DataFrame:
     p = lambda x: F.round(F.percentile("value", F.lit(x)), 6)
     g = e.groupingSets([("event_type",), ()], "event_type").agg(p(0.5).alias("p50"), p(0.7).alias("p70"), p(0.99).alias("p99"), p(1.0).alias("p100"), F.max("value").alias("max"))
     return g.select(F.coalesce("event_type", F.lit("all")).alias("component"), "p50", "p70", "p99", "p100", "max")
+
+
+@_query("SELECT event_type AS component, i::INT AS place, count(*) AS n, true AS near FROM events, range(3) t(i) WHERE value IS NOT NULL GROUP BY 1, 2")
+def latency_sketches(spark, sf_dir: str) -> DataFrame:
+    """Percentiles 0.5, 0.7 and 0.99 by component from sketches of each day: whether their ranks are within 2 % of the rows."""
+    shares = [0.5, 0.7, 0.99]
+    e = table(spark, sf_dir, "events")
+    found = percentiles.merged_percentiles(percentiles.day_sketches(e, ["event_type"], F.to_date("ts"), "value"), ["event_type"], shares)
+    asked = found.select(F.col("event_type").alias("component"), "n", F.posexplode("percentiles").alias("place", "estimate"))
+    # the ranks that rows equal to the estimate have
+    ranked = e.join(asked, F.col("event_type") == F.col("component")).groupBy("component", "place", "n").agg(F.count_if(F.col("value") < F.col("estimate")).alias("below"), F.count_if(F.col("value") <= F.col("estimate")).alias("upto"))
+    share = F.element_at(F.array(*map(F.lit, shares)), F.col("place") + 1)
+    return ranked.select("component", "place", "n", ((F.col("below") / F.col("n") <= share + 0.02) & (F.col("upto") / F.col("n") >= share - 0.02)).alias("near"))

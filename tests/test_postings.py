@@ -35,3 +35,14 @@ def test_index_equals_bm25_and_grows(spark, tmp_path, monkeypatch):
     for bad in (chunks.where("chunk_id = 5"), chunks.selectExpr("7000 AS chunk_id", "body", "section")):
         with pytest.raises(ValueError):
             P.add_documents(bad, path, fields)
+
+
+def test_merged_percentiles(spark):
+    from pagewright.operators import percentiles as K
+
+    rows = spark.range(30_000).selectExpr("id % 3 AS k", "id % 7 AS d", "CASE WHEN id % 1000 = 0 THEN NULL ELSE CAST((id * 7919) % 30000 AS DOUBLE) END AS v")
+    sketches = K.day_sketches(rows, ["k"], F.col("d"), "v")
+    assert sketches.count() == 21
+    for r in K.merged_percentiles(sketches, ["k"], [0.0, 0.5, 1.0]).collect():
+        assert r.n == 9990 and r.percentiles[0] < 60 and abs(r.percentiles[1] - 15_000) < 600 and r.percentiles[2] > 29_900
+    assert K.merged_percentiles(sketches.where("d < 2"), ["k"], [0.5]).count() == 3 and K.merged_percentiles(sketches.limit(0), ["k"], [0.5]).count() == 0
