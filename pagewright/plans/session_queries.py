@@ -10,7 +10,7 @@ from ..functions import text as T
 from ..operators import assets as A, evidence as E, sessions as S
 from ..operators.retrieval import bm25, exact_hits, field_weights, rewritten, routed
 from ..runtime import shared_folder, table
-from ..sources import tables as X
+from ..sources import store, tables as X
 from ..streaming import sessions as Z
 from . import chunk_queries as Q, manuals as M
 
@@ -316,6 +316,18 @@ def vector_merge(spark, sf_dir: str) -> DataFrame:
     return X.upsert(v, new, "vec_id", "seq").select("vec_id", "label", "seq")
 
 
+@_query(ORACLES["vector_merge"])
+def keyed_store(spark, sf_dir: str) -> DataFrame:
+    """The same merge through a keyed store on disk: three epochs, the second one written twice."""
+    path = f"{shared_folder(spark)}/stores/{uuid.uuid4().hex}"
+    v = table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").cast("int").alias("label"), F.lit(0).alias("seq"))
+    replaced = v.where("vec_id % 3 = 0").withColumns({"label": F.col("label") + 100, "seq": F.lit(1)})
+    added = v.where("vec_id % 5 = 0").withColumns({"vec_id": F.col("vec_id") + 1000000, "seq": F.lit(1)})
+    for epoch, batch in ((0, v), (1, replaced), (1, v.withColumn("seq", F.lit(9))), (2, added)):
+        store.merge(batch, epoch, path, "vec_id", "seq", buckets=8)
+    return store.read(spark, path, v.schema)
+
+
 @_query("SELECT vec_id, label FROM embeddings WHERE NOT (label = 3)")
 def scoped_delete(spark, sf_dir: str) -> DataFrame:
     """Vectors without those of one label."""

@@ -194,14 +194,11 @@ def collected(spark: SparkSession, stream: DataFrame, checkpoint: str, path: str
 
 
 def upsert_each_batch(stream: DataFrame, path: str, key: str, seq: str, checkpoint: str):
-    """Keep a Parquet table of the latest row of each key: each micro-batch is merged into the next version."""
-    from ..sources.tables import upsert
+    """Keep the latest row of each key in a keyed store (``sources.store``): a micro-batch rewrites only the buckets it touches."""
+    from ..sources import store
 
     def merge(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        batch = batch.dropDuplicates([key, seq])
-        old = f"{path}/v{epoch - 1}"
-        base = spark.read.schema(batch.schema).parquet(old) if epoch else batch.limit(0)
-        upsert(base, batch, key, seq).write.mode("overwrite").parquet(f"{path}/v{epoch}")
+        store.merge(batch.persist(), epoch, path, key, seq)
+        batch.unpersist()
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pagewright.functions.text import acknowledgement, broad_failure
 from pagewright.operators import assets as A
 from pagewright.operators import sessions as S
-from pagewright.sources import tables as X
+from pagewright.sources import store, tables as X
 from pagewright.streaming import sessions as Z
 
 
@@ -45,7 +45,27 @@ def test_streams(spark, tmp_path):
     assert sorted((r.session, r.seq, r.previous_value) for r in out.collect()) == [(1, 1, None), (1, 2, "a"), (2, 1, None)]
     plain = stream.select("session", "seq", "value")
     Z.upsert_each_batch(plain, str(tmp_path / "t"), "session", "seq", str(tmp_path / "c2")).awaitTermination()
-    assert sorted((r.session, r.value) for r in spark.read.parquet(str(tmp_path / "t" / "v0")).collect()) == [(1, "b"), (2, "a")]
+    assert sorted((r.session, r.value) for r in store.read(spark, str(tmp_path / "t"), plain.schema).collect()) == [(1, "b"), (2, "a")]
+
+
+def test_keyed_store(spark, tmp_path):
+    path, kind = str(tmp_path / "s"), "k long, seq long, v string, gone boolean"
+    rows = lambda *x: spark.createDataFrame(list(x), kind)
+    held = lambda epoch=None: sorted((r.k, r.v) for r in store.read(spark, path, rows().schema, epoch, "gone").collect())
+    assert held() == []
+    assert len(store.merge(spark.range(500).selectExpr("id AS k", "0L AS seq", "'a' AS v", "false AS gone"), 0, path, "k", "seq", 16)) == 16
+    before = store.folders(spark, path)
+    touched = store.merge(rows((7, 1, "b", False), (7, 2, "c", False), (8, 1, "x", True), (900, 0, "n", False), (9, -1, "late", False)), 1, path, "k", "seq", 16)
+    after = store.folders(spark, path)
+    assert 1 <= len(touched) <= 4 and {b for b in after if after[b] != before.get(b)} == set(touched)  # only these are rewritten
+    expected = sorted([(k, "a") for k in range(500) if k not in (7, 8)] + [(7, "c"), (900, "n")])
+    assert held() == expected and held(0) == [(k, "a") for k in range(500)]
+    assert store.merge(rows((1, 99, "other", False)), 1, path, "k", "seq", 16) == [] and held() == expected  # a replay
+    assert len(store.merge(rows((8, 0, "older", False)), 2, path, "k", "seq", 16)) == 1 and held() == expected  # the tombstone stays
+    assert store.merge(rows((5, 0, "p", False), (5, 0, "q", False)), 3, path, "k", "seq", 16) and (5, "q") in held()
+    assert store.vacuum(spark, path, keep=1) >= 2 and (5, "q") in held() and len(held()) == 500
+    with pytest.raises(ValueError):
+        store.merge(rows((None, 1, "x", False)), 4, path, "k", "seq", 16)
 
 
 def test_sources(spark, tmp_path):
