@@ -69,10 +69,14 @@ def manifest(assets: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def for_hits(assets: DataFrame, links: DataFrame, hits: DataFrame) -> DataFrame:
-    """query_id, asset_id, page: the first valid asset that a hit's chunk shows. ``links``: asset_id, chunk_id, page."""
+    """query_id, asset_id, document_title, page: one valid asset that a hit's chunk shows, the first by title, page and id.
+
+    ``links``: asset_id, chunk_id, document_title, page.  An asset stands where it comes first by page and title.
+    """
     valid = assets.where("classification = 'valid'").select("asset_id")
-    found = links.join(valid, "asset_id", "left_semi").join(hits.select("query_id", "chunk_id"), "chunk_id").groupBy("query_id", "asset_id").agg(F.min("page").alias("page"))
-    return found.withColumn("_n", F.row_number().over(Window.partitionBy("query_id").orderBy("page", "asset_id"))).where("_n = 1").drop("_n")
+    shown = links.join(valid, "asset_id", "left_semi").join(hits.select("query_id", "chunk_id"), "chunk_id")
+    found = shown.groupBy("query_id", "asset_id").agg(F.min(F.struct("page", "document_title")).alias("at")).select("query_id", "asset_id", "at.document_title", "at.page")
+    return found.withColumn("_n", F.row_number().over(Window.partitionBy("query_id").orderBy("document_title", "page", "asset_id"))).where("_n = 1").drop("_n")
 
 
 def _shrunk(grey: np.ndarray, rows: int, cols: int) -> np.ndarray:
@@ -167,8 +171,8 @@ def pixel_features(images: DataFrame, mode: str = "data") -> DataFrame:
 
 
 def placed(occurrences: DataFrame, placements: DataFrame) -> DataFrame:
-    """``occurrences`` (document_id, page, asset_id) with ``boxes``: the sorted places of the asset on the page, empty if none is known."""
-    box = F.struct("x0", "y0", "x1", "y1")
+    """``occurrences`` (document_id, page, asset_id) with ``boxes``: the sorted places of the asset on the page, to two places, empty if none is known."""
+    box = F.struct(*[F.round(c, 2).alias(c) for c in ("x0", "y0", "x1", "y1")])
     boxes = placements.groupBy("document_id", "page", "asset_id").agg(F.array_sort(F.collect_set(box)).alias("boxes"))
     return occurrences.join(boxes, ["document_id", "page", "asset_id"], "left").withColumn("boxes", F.coalesce("boxes", F.array().cast(boxes.schema["boxes"].dataType)))
 

@@ -188,7 +188,7 @@ def violations(chunks: DataFrame) -> DataFrame:
     """``chunks`` with the ``reasons`` why a chunk can't be cited; an empty array means none."""
     e = F.col("evidence")
     checks = [
-        (F.trim(F.coalesce("content", F.lit(""))) == "", "empty_content"), (F.trim(F.coalesce("model", F.lit(""))) == "", "unresolved_model"),
+        (F.trim(F.coalesce("content", F.lit(""))) == "", "empty_content"), (F.trim(F.coalesce("model", F.lit(""))) == "", "unresolved_model"), (F.trim(F.coalesce("version", F.lit(""))) == "", "unresolved_version"),
         (F.coalesce(F.size("pages"), F.lit(0)) <= 0, "no_pages"), (F.array_sort(F.array_distinct("pages")) != F.col("pages"), "pages_not_sorted"),
         (F.col("page") != F.element_at("pages", 1), "page_not_first"), (F.coalesce(F.size(e), F.lit(0)) <= 0, "no_evidence"),
         (F.size(F.array_except(F.transform(e, lambda v: v["page"]), F.col("pages"))) > 0, "evidence_page_unknown"),

@@ -285,17 +285,17 @@ def chunk_report(spark, sf_dir: str) -> DataFrame:
 
 @_query("""
 WITH c AS (
-  SELECT p_partkey AS id, p_name AS content, CASE WHEN p_partkey % 7 <> 0 THEN p_type END AS model, CASE WHEN p_partkey % 5 = 0 THEN [2, 1] ELSE [1, 2] END AS pages, CASE WHEN p_partkey % 11 = 0 THEN 9 WHEN p_partkey % 5 = 0 THEN 2 ELSE 1 END AS page,
+  SELECT p_partkey AS id, p_name AS content, CASE WHEN p_partkey % 7 <> 0 THEN p_type END AS model, CASE WHEN p_partkey % 19 <> 0 THEN 'v1' END AS version, CASE WHEN p_partkey % 5 = 0 THEN [2, 1] ELSE [1, 2] END AS pages, CASE WHEN p_partkey % 11 = 0 THEN 9 WHEN p_partkey % 5 = 0 THEN 2 ELSE 1 END AS page,
          CASE WHEN p_partkey % 13 = 0 THEN NULL WHEN p_partkey % 17 = 0 THEN [3] ELSE [1] END AS ev FROM part
 )
-SELECT id, array_to_string(list_filter([CASE WHEN model IS NULL THEN 'unresolved_model' END, CASE WHEN pages <> list_sort(pages) THEN 'pages_not_sorted' END, CASE WHEN page <> pages[1] THEN 'page_not_first' END,
+SELECT id, array_to_string(list_filter([CASE WHEN model IS NULL THEN 'unresolved_model' END, CASE WHEN version IS NULL THEN 'unresolved_version' END, CASE WHEN pages <> list_sort(pages) THEN 'pages_not_sorted' END, CASE WHEN page <> pages[1] THEN 'page_not_first' END,
   CASE WHEN ev IS NULL THEN 'no_evidence' END, CASE WHEN ev[1] = 3 THEN 'evidence_page_unknown' END], lambda x: x IS NOT NULL), ',') AS reasons FROM c
 """)
 def chunk_quality_gate(spark, sf_dir: str) -> DataFrame:
     """Faulty chunks made of parts, with the reasons why they can't be cited."""
     k = F.col("p_partkey")
     p = table(spark, sf_dir, "part").select(
-        k.alias("id"), F.col("p_name").alias("content"), F.when(k % 7 != 0, F.col("p_type")).alias("model"), F.when(k % 5 == 0, F.array(F.lit(2), F.lit(1))).otherwise(F.array(F.lit(1), F.lit(2))).alias("pages"),
+        k.alias("id"), F.col("p_name").alias("content"), F.when(k % 7 != 0, F.col("p_type")).alias("model"), F.when(k % 19 != 0, "v1").alias("version"), F.when(k % 5 == 0, F.array(F.lit(2), F.lit(1))).otherwise(F.array(F.lit(1), F.lit(2))).alias("pages"),
         F.when(k % 11 == 0, 9).when(k % 5 == 0, 2).otherwise(1).alias("page"),
         F.when(k % 13 == 0, None).otherwise(F.array(F.struct(F.when(k % 17 == 0, 3).otherwise(1).alias("page"), F.lit("manual.pdf").alias("source_file")))).alias("evidence"),
     )

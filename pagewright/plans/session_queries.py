@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as T
+from ..functions.canonical import turn_id
 from ..operators import assets as A, evidence as E, sessions as S
 from ..operators.retrieval import bm25, exact_hits, field_weights, rewritten, routed
 from ..runtime import shared_folder, table
@@ -382,11 +383,11 @@ def asset_groups(spark, sf_dir: str) -> DataFrame:
     return g.select("asset_id", F.col("n_occurrences").cast("long").alias("n_occurrences"), F.element_at("occurrences", 1)["document_id"].alias("first_document"))
 
 
-@_query(_DEMOTED + ", h AS (SELECT l_orderkey AS query_id, l_partkey % 500 AS chunk_id FROM lineitem), k AS (SELECT p_partkey AS asset_id, p_partkey % 500 AS chunk_id, p_size AS page FROM part), g AS (SELECT query_id, k.asset_id, min(page) AS page FROM k JOIN z ON k.asset_id = z.asset_id AND cl = 'valid' JOIN h USING (chunk_id) GROUP BY 1, 2) SELECT query_id, asset_id, page FROM g QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY page, asset_id) = 1")
+@_query(_DEMOTED + ", h AS (SELECT l_orderkey AS query_id, l_partkey % 500 AS chunk_id FROM lineitem), k AS (SELECT p_partkey AS asset_id, p_partkey % 500 AS chunk_id, p_size AS page, p_brand AS title FROM part), g AS (SELECT query_id, k.asset_id, min({'p': page, 't': title}) AS a FROM k JOIN z ON k.asset_id = z.asset_id AND cl = 'valid' JOIN h USING (chunk_id) GROUP BY 1, 2) SELECT query_id, asset_id, a.t AS document_title, a.p AS page FROM g QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY a.t, a.p, asset_id) = 1")
 def image_for_hits(spark, sf_dir: str) -> DataFrame:
     """The first valid image of each query's hits."""
     assets = A.demote(A.scored(_features(spark, sf_dir)))
-    links = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("asset_id"), (F.col("p_partkey") % 500).alias("chunk_id"), F.col("p_size").alias("page"))
+    links = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("asset_id"), (F.col("p_partkey") % 500).alias("chunk_id"), F.col("p_brand").alias("document_title"), F.col("p_size").alias("page"))
     hits = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("query_id"), (F.col("l_partkey") % 500).alias("chunk_id"))
     return A.for_hits(assets, links, hits)
 
@@ -554,3 +555,13 @@ def repeat_query_stream(spark, sf_dir: str) -> DataFrame:
     raw = spark.readStream.schema(table(spark, sf_dir, "conversations").schema).parquet(f"{sf_dir}/conversation[s].parquet")
     asked = _asked(raw, F.col("text")).withColumn("at", F.timestamp_seconds(F.col("at") + 1_700_000_000))
     return Z.collected(spark, Z.first_queries_stream(asked), *_work(spark, "queries")).select("query_id", "canonical")
+
+
+@_query("""
+SELECT event_id, 'turn-' || substr(sha256('{"event":"' || event_type || '","id":' || event_id || ',"props":' || replace(props, ' ', '') || ',"user":{"id":' || user_id || ',"name":"\\u00fc"}}'), 1, 16) AS turn_id FROM events
+""")
+def canonical_turn_ids(spark, sf_dir: str) -> DataFrame:
+    """Ids of events as JSON payloads whose keys are in another order."""
+    text = lambda c: F.col(c).cast("string")
+    payload = F.concat(F.lit('{"user": {"name": "ü", "id": '), text("user_id"), F.lit('},\n "props": '), F.col("props"), F.lit(', "id": '), text("event_id"), F.lit(', "event": "'), F.col("event_type"), F.lit('"}'))
+    return table(spark, sf_dir, "events").select("event_id", turn_id(payload).alias("turn_id"))
