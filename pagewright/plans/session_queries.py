@@ -414,7 +414,7 @@ def _holds(text: str, *terms: str) -> str:
     return "(" + " OR ".join(f"contains({text}, '{t}')" for t in terms) + ")"
 
 
-_REWRITTEN = Q.EVERY + f""", bc AS (SELECT chunk_id, any_value(document_id) AS document_id, any_value(section) AS section, any_value(page) AS page, any_value(regexp_extract(evidence, '^(\d+):', 1)::INT) AS first_page, any_value(content) AS content FROM every WHERE retrieval_profiles LIKE '%bm25%' GROUP BY 1
+_REWRITTEN = Q.EVERY + f""", bc AS (SELECT chunk_id, any_value(document_id) AS document_id, any_value(section) AS section, any_value(page) AS page, any_value(regexp_extract(evidence, '^([0-9]+):', 1)::INT) AS first_page, any_value(content) AS content FROM every WHERE retrieval_profiles LIKE '%bm25%' GROUP BY 1
 ), bx AS (SELECT chunk_id, 'body' AS field, regexp_extract_all(lower(content), '[a-z0-9]+(?:[-_][a-z0-9]+)*') AS t FROM bc UNION ALL SELECT chunk_id, 'section', regexp_extract_all(lower(string_split(section, ' > ')[-1]), '[a-z0-9]+(?:[-_][a-z0-9]+)*') FROM bc
 ), {_PQ}, qw AS (
   SELECT query_id, lower(text) AS q, list_filter(regexp_extract_all(lower(text), '[a-z0-9]+(?:[-_][a-z0-9]+)*'), lambda w: NOT list_contains(regexp_extract_all(lower(p_brand), '[a-z0-9]+(?:[-_][a-z0-9]+)*'), w)) AS words FROM pq JOIN part ON query_id = p_partkey
