@@ -111,3 +111,20 @@ def test_canonical_sources(spark):
     ids = ["a", " [source:a] ", "source:a", "[source:source:a]", "a]", "[a"]
     df = spark.createDataFrame([(x,) for x in ids], "id string").select(S.canonical_source(F.col("id")).alias("c"))
     assert [r.c for r in df.collect()] == ["a", "a", "a", "a", "a", "[a"]
+
+
+def test_typed_stream_on_a_session_without_rocksdb(spark):
+    """The state store that typed state needs is set for the stream alone."""
+    import os
+
+    import pytest
+
+    from pagewright.plans import session_queries as Q
+
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("no test tables")
+    own, default = spark.newSession(), "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+    own.conf.set(Z.PROVIDER, default)
+    got, want = Q.session_state_stream(own, "/root/testdata/sf0.001"), Q.session_states(own, "/root/testdata/sf0.001")
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.select(*got.columns).collect()))
+    assert own.conf.get(Z.PROVIDER) == default
