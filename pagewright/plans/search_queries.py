@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.text import tokens
 from ..operators import percentiles, postings as P, retrieval as R
 from ..operators.embedding import embedded
-from ..runtime import shared_folder, table
+from ..runtime import cut_lineage, shared_folder, table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -236,7 +236,7 @@ SELECT query_id, chunk_id, source, score, row_number() OVER (PARTITION BY query_
 """)
 def rrf_diversified(spark, sf_dir: str) -> DataFrame:
     """The fused hits with one hit of each source first."""
-    _, hits = _fused(spark, sf_dir, 32)
+    hits = cut_lineage(_fused(spark, sf_dir, 32)[1])  # 32 rows a query, counted and joined
     source = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "source")
     return R.diversify(source.join(R.small(hits), "chunk_id"), "source", 5).select("query_id", "chunk_id", "source", "score", "rank")
 
