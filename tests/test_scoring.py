@@ -47,3 +47,22 @@ def test_few_rows_leave_a_task(spark, monkeypatch):
     monkeypatch.setattr(scoring, "best", lambda *a: seen.append(best(*a)) or seen[-1])
     R.bm25(chunks, asked, 2).collect()
     assert seen[0].count() <= 2 * 33 * seen[0].rdd.getNumPartitions() and asked.count() == 33
+
+
+def test_tasks_grow_with_rows(spark):
+    from pagewright.runtime import spread
+
+    df = spread(spark.range(1000).withColumn("document_id", F.col("id") % 50), 20, "document_id")
+    assert df.rdd.getNumPartitions() == 50 and df.count() == 1000
+
+
+def test_chunks_are_made_once(spark, monkeypatch):
+    """A query that needs hits and their chunks makes the chunks once, and sorts none of them for ordinals that it doesn't use."""
+    from pagewright.plans import chunk_queries as Q, session_queries as S
+
+    made, every = [], Q.every_chunk
+    monkeypatch.setattr(Q, "every_chunk", lambda *a: made.append(every(*a)) or made[-1])
+    S.citations(spark, "/root/testdata/sf0.001")
+    assert len(made) == 1
+    plan = made[0].select("strategy", "kind")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan
