@@ -11,11 +11,6 @@ def canonical_json(text: Column) -> Column:
     Characters above ASCII are written as ``\\uXXXX`` (lower-case digits, two for those above U+FFFF).  Numbers with a
     fraction or an exponent are written as Spark's variants write them, so 1.0 is 1.
     """
-    plain = F.to_json(F.try_parse_json(text))
-    # escapes of control characters in lower case; a backslash before them is no escape's own
-    for digit in "ABCDEF":
-        plain = F.when(F.contains(plain, F.lit("\\u00")), F.regexp_replace(plain, r"(?<!\\)((?:\\\\)*\\u00[01])" + digit, "$1" + digit.lower())).otherwise(plain)
-    parts = F.regexp_extract_all(plain, F.lit(r"(?s)[ -~]+|[^ -~]"), F.lit(0))
     four = lambda code: F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(code)), 4, "0"))
 
     def written(part: Column) -> Column:
@@ -23,7 +18,23 @@ def canonical_json(text: Column) -> Column:
         wide = F.concat(four(F.lit(0xD800) + F.shiftright(over, 10)), four(F.lit(0xDC00) + over.bitwiseAND(F.lit(1023))))
         return F.when((code >= 32) & (code <= 126), part).when(code > 0xFFFF, wide).otherwise(four(code))
 
-    return F.array_join(F.transform(parts, written), "")
+    def lowered(plain: Column) -> Column:
+        """Escapes of control characters in lower case; a backslash before them is no escape's own."""
+        out = plain
+        for digit in "ABCDEF":
+            out = F.regexp_replace(out, r"(?<!\\)((?:\\\\)*\\u00[01])" + digit, "$1" + digit.lower())
+        return F.when(F.contains(plain, F.lit("\\u00")), out).otherwise(plain)
+
+    def in_ascii(plain: Column) -> Column:
+        parts = F.regexp_extract_all(plain, F.lit(r"(?s)[ -~]+|[^ -~]"), F.lit(0))
+        return F.when(plain.rlike("^[ -~]*$"), plain).otherwise(F.array_join(F.transform(parts, written), ""))
+
+    return _let(_let(F.to_json(F.try_parse_json(text)), lowered), in_ascii)
+
+
+def _let(value: Column, then) -> Column:
+    """``then(value)``, where ``value`` is worked out once, however often ``then`` mentions it."""
+    return F.element_at(F.transform(F.array(value), then), 1)
 
 
 def turn_id(payload: Column) -> Column:

@@ -29,3 +29,8 @@ def test_canonical_json(spark):
 def test_option_ids(spark):
     rows = spark.createDataFrame([("It beeps, twice!", 1), ("¿?", 2), ("A" * 80, 3), ("--x--", 4)], "label string, i int")
     assert [r[0] for r in rows.select(C.option_id(F.col("label"), F.col("i"))).collect()] == ["it-beeps-twice-1", "option-2", "a" * 56 + "-3", "x-4"]
+
+
+def test_each_step_is_worked_out_once(spark):
+    plan = spark.range(1).select(C.turn_id(F.col("id").cast("string")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("to_json") + plan.count("StructsToJson") <= 2
