@@ -511,3 +511,29 @@ def test_sample_has_every_label(spark):
 def test_folds(spark):
     rows = spark.range(50).withColumn("f", fold_of(F.col("id"))).collect()
     assert all(r.f == zlib.crc32(str(r.id).encode()) % 5 for r in rows)
+
+
+def test_toxicity_learns_from_every_row(spark, monkeypatch):
+    """A mark that one row of thousands has, in a text of more than 64 KB, is learned; shards make one model, however rows are dealt."""
+    rng = random.Random(3)
+    rows = [(i, words(rng, 8), "aa", i % 2) for i in range(1, 400)]
+    docs = spark.createDataFrame([(i, t + (" vilestuff" if bad else "") + " end", x) for i, t, x, bad in rows], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, b) for i, *_, b in rows], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "SHARD_ROWS", 50)
+    model, thresholds = toxicity.train(docs, labels)
+    again, same = toxicity.train(docs.repartition(5), labels.repartition(3))
+    assert np.array_equal(model.weights(), again.weights()) and thresholds == same
+    score = lambda m, t: float(m.score(m.pooled(t)))
+    assert score(model, "alphax vilestuff") > 0.5 > score(model, "alphax")
+    long = spark.createDataFrame([(i, t + " end" + (" vilestuff" + " golfy" * 12_000 if bad else ""), x) for i, t, x, bad in rows[:60]], "doc_id long, text string, lang string")
+    far, _ = toxicity.train(long, labels)
+    seen = toxicity._started(toxicity.cut_to_table(toxicity._features(long.join(labels, "doc_id").selectExpr("toxic", "lang", "false AS held", "0 AS shard", "doc_id AS turn", "text"))))
+    assert seen.table[toxicity.document("vilestuff")[0, 0], 0] > 0.3 and score(far, "vilestuff") > score(far, "alphax")
+
+
+def test_toxicity_thresholds(spark):
+    n = np.zeros((toxicity.STEPS + 1, 2), np.int64)
+    n[100, 0], n[300, 1], n[700, 1] = 9, 4, 4
+    assert toxicity._threshold(n) == 0.3
+    n[100, 0], n[300, 1] = 0, 0
+    assert toxicity._threshold(n) == 0.5
