@@ -37,6 +37,19 @@ def test_index_equals_bm25_and_grows(spark, tmp_path, monkeypatch):
             P.add_documents(bad, path, fields)
 
 
+def test_index_has_a_row_for_each_block(spark, tmp_path, monkeypatch):
+    """Lists are made where the texts are read: a token's row for each block of a task, not one for each text; few queries at once give the same."""
+    chunks = spark.createDataFrame([(f"d{i:03}", "same words here" + (" rare" if i in (7, 250) else "")) for i in range(256)] + [(None, "rare words")], "chunk_id string, body string").coalesce(1)
+    path = str(tmp_path / "index")
+    P.add_documents(chunks, path)
+    rows = P._postings(spark, path, P._segments(spark, path)[1])
+    assert sorted(r.n for r in rows.where("token = 'same'").collect()) == [128, 128] and rows.where("token = 'rare'").count() == 3
+    asked = spark.createDataFrame([(i, ["rare", "same"]) for i in range(9)], "query_id int, terms array<string>")
+    want = [tuple(r) for r in R.bm25(chunks, asked, 3).select("query_id", "chunk_id", "score", "rank").orderBy("query_id", "rank").collect()]
+    monkeypatch.setattr(P, "QUERIES", 2)
+    assert [tuple(r) for r in P.search(spark, path, asked, 3).orderBy("query_id", "rank").collect()] == want and len(want) == 27
+
+
 def test_merged_percentiles(spark):
     from pagewright.operators import percentiles as K
 
