@@ -204,3 +204,15 @@ def test_query_stream_is_its_batch_twin(spark, tmp_path):
             stream = spark.readStream.schema(part.schema).parquet(str(tmp_path / name))
             out = Z.collected(spark, Z.first_queries_stream(stream), str(tmp_path / f"c{name}"), str(tmp_path / f"o{name}"))
         assert sorted(r.query_id for r in out.collect()) == sorted(want)
+
+
+def test_query_stream_keeps_a_row_a_bucket(spark, tmp_path, monkeypatch):
+    """Thousands of different texts are judged in few groups; those of one bucket keep their own times."""
+    monkeypatch.setattr(Z, "TEXT_BUCKETS", 16, raising=False)
+    rows = [(i, None if i == 5 else f"text {i % 900}", float(i) / 10) for i in range(1800)]
+    asked = spark.createDataFrame(rows, "query_id long, text string, at double").withColumn("at", F.timestamp_seconds(F.col("at") + 1_700_000_000))
+    asked.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(asked.schema).parquet(str(tmp_path / "in"))
+    out = Z.collected(spark, Z.first_queries_stream(stream), str(tmp_path / "c"), str(tmp_path / "o"))
+    assert sorted(r.query_id for r in out.collect()) == [*range(900), 905]
+    assert spark.read.format("statestore").load(str(tmp_path / "c")).count() <= 16
