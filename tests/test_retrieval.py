@@ -98,6 +98,18 @@ def test_passages_are_found_by_anchors(spark):
     assert R.holding(chunks, passages.where("query_id = 10")).count() == 1 and R.holding(chunks.limit(0), passages).count() == 0
 
 
+def test_passages_are_found_in_the_rows_of_texts(spark):
+    """Nothing is shuffled for passages of at least 16 bytes; places, copies and ends of texts are told apart."""
+    rows = [(1, "ab " * 9 + "long passage with ünï end"), (2, ""), (3, None), (4, "long passage with ünï en"), (5, "x" + "long passage with ünï end" * 3), (6, " " * 40), (7, "d")]
+    asked = [("a", "long passage with ünï end"), ("b", "long passage with ünï en"), ("c", " " * 20), ("d", " " * 41), ("e", "long passage wit"), ("f", "ab ab ab ab ab ab ab "), ("g", None), ("a2", "long passage with ünï end")]
+    chunks, passages = spark.createDataFrame(rows, "chunk_id int, text string").coalesce(1), spark.createDataFrame(asked, "query_id string, passage string")
+    found = R.holding(chunks, passages)
+    want = sorted((q, c) for q, p in asked for c, t in rows if p and t and p in t)
+    assert sorted(tuple(r) for r in found.collect()) == want and len(want) > 9
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(tuple(r) for r in R.joined_holding(chunks, passages).collect()) == want
+
+
 def test_filters_need_a_field(spark):
     from pagewright.sources import tables as X
 
