@@ -41,3 +41,13 @@ def test_artifacts(spark):
 
 def test_empty_table(spark):
     assert clean(spark) == []
+
+
+def test_lines_stay_in_their_pages(spark):
+    """First occurrences, copies of a boundary line inside a page and lines of other manuals; no window carries lines."""
+    pages = [("d", i, f"Guide\nbody {i} one.\nbody {i} two.\nGuide\nbody {i} three.\nmid\nmore {i}.\nend {i}.\nENWW") for i in range(4)] + [("e", 1, "Guide\nonly."), ("e", 2, None)]
+    df = spark.createDataFrame([(d, i, i + 1, t) for d, i, t in pages], "document_id string, page_seq int, page_number int, text string")
+    gone = sorted((r.document_id, r.page_seq, r.line_index, r.line) for r in C.audit(df).where("reason = 'repeated_page_boundary'").collect())
+    assert gone == sorted([("d", i, j, "Guide") for i in range(4) for j in (0, 3) if (i, j) != (0, 0)] + [("d", i, 8, "ENWW") for i in range(4)])
+    plan = C.cleaned_pages(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan
