@@ -179,6 +179,40 @@ def test_repeats_of_null_keys(spark):
     assert sorted((r.doc_id or -1, r.n_removed > 0) for r in cut) == [(-1, False)] * 2 + [(-1, True)] * 3 + [(3, False), (3, True), (3, True)]
 
 
+def test_shorter_repeats_are_told(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "SEGMENT", 512)
+    rng = random.Random(11)
+    fresh = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    start, middle, end, whole, line = (fresh(n) for n in (300, 255, 255, 260, 200))
+    data = [
+        fresh(300) + middle + fresh(600), fresh(900) + middle + fresh(90), start + fresh(700), fresh(2500) + start, fresh(350) + end, end, fresh(30) + end,
+        whole, whole, *[fresh(200) + line + fresh(500) + line + fresh(100)], *(fresh(n) for n in (254, 255, 399, 400, 511, 912, 913, 3000)), "", None,
+    ]
+    cut = substring_dedup.remove_repeats(spark.createDataFrame(list(enumerate(data)), "doc_id long, text string").withColumn("repeats", F.lit("clash")), 400, passage=255)
+    got = {r.doc_id: (r.repeats, r.n_removed) for r in cut.collect()}
+    assert got == {i: (int(i < 9), 0) for i in range(len(data))}
+
+
+def test_repeats_of_common_cores(spark, docs, monkeypatch):
+    cut = lambda: sorted((r.doc_id, r.n_removed, r.n_spans, r.kept_sha256, r.repeats) for r in substring_dedup.remove_repeats(docs, 100, passage=70).collect())
+    want = cut()
+    monkeypatch.setattr(substring_dedup, "CORE_ROWS", 1)
+    monkeypatch.setattr(substring_dedup, "BLOCK", 500)
+    assert cut() == want and any(r[1] for r in want)
+
+
+def test_told_repeats_are_whole(spark, docs):
+    texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    holders = {}
+    for i, b in texts.items():
+        for p in range(len(b) - 254):
+            holders.setdefault(b[p : p + 255], set()).add(i)
+    want = {i for h in holders.values() if len(h) > 1 for i in h}
+    got = {r.doc_id: r for r in substring_dedup.remove_repeats(docs, 400, passage=255).collect()}
+    told = {i for i, r in got.items() if r.repeats}
+    assert want <= told and want - {i for i, r in got.items() if r.n_removed} and told < set(got)
+
+
 def test_repeats_in_long_texts(spark, monkeypatch):
     monkeypatch.setattr(substring_dedup, "SEGMENT", 64)
     data = np.frombuffer((words(random.Random(3), 60)).encode(), np.uint8)
