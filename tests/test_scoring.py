@@ -66,3 +66,57 @@ def test_chunks_are_made_once(spark, monkeypatch):
     assert len(made) == 1
     plan = made[0].select("strategy", "kind")._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan
+
+
+def test_many_queries_are_not_joined(spark, monkeypatch):
+    """Many different queries whose tokens no few texts have are scored where the texts are, in parts of any size; no join makes pairs of them."""
+    chunks, asked = tables(spark)
+    scopes = ((), ("lang",))
+    want = {s: rows(R.bm25(chunks, asked, 4, scope=list(s), fields=("body", "section"))) for s in scopes}
+    monkeypatch.setattr(R, "joined_bm25", None)
+    for name, value in (("MOST_CLASSES", 2), ("RARE", 1), ("MOST_TOKENS", 75), ("MOST_WEIGHTS", 90)):
+        monkeypatch.setattr(R, name, value, raising=False)
+    for name, value in (("PRODUCTS", 64), ("TEXTS", 16), ("WAITING", 5)):
+        monkeypatch.setattr(scoring, name, value, raising=False)
+    assert {s: rows(R.bm25(chunks, asked, 4, scope=list(s), fields=("body", "section"))) for s in scopes} == want
+
+
+def test_copies_are_one_text(spark):
+    chunks, asked = tables(spark)
+    twice = chunks.unionByName(chunks.where("chunk_id < 'c0100'"))
+    assert rows(R.bm25(twice, asked, 4, fields=("body", "section"), copies=True)) == rows(R.bm25(chunks, asked, 4, fields=("body", "section")))
+
+
+def test_scores_that_round_to_nothing_are_hits():
+    """As in SQL: a token that nearly all of millions of texts have gives 0.000000, and its texts are hits."""
+    import numpy as np
+    import pyarrow as pa
+
+    held = scoring.Best(1, 2)
+    held.add(np.array([2e-8, 0.0, 0.5]), None, pa.array([7, 8, 9]))
+    assert held.ids.to_pylist() == [9, 7] and held.score.tolist() == [0.5, 0.0]
+
+
+def test_rare_tokens_in_parts(monkeypatch):
+    """However few products are made at once, each text and query that share a rare token are found once, with the whole score."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    place = rng.integers(0, 30, 400)
+    weights = pa.table({"query_id": rng.integers(0, 50, 400), "_scope": rng.integers(0, 2, 400), "_field": rng.integers(0, 2, 400), "place": place, "w": rng.random(400), "rare": place > 9})
+    net = scoring.Weights(weights)
+    entry = np.unique(rng.integers(0, 2 * 60 * 33, 1500))  # field, text, token; tokens from 30 on are no query's
+    field, row, token = entry // (60 * 33), entry // 33 % 60, entry % 33
+    gains, scope = rng.random(len(entry)), rng.integers(0, 2, 60)
+    want = {}
+    for q, s, f, p, w, r in zip(*weights.to_pydict().values(), strict=True):
+        for i in np.flatnonzero((field == f) & (token == p) & (scope[row] == s)):
+            key = (row[i], int(np.searchsorted(net.queries, q)))
+            total, some = want.get(key, (0.0, False))
+            want[key] = total + w * gains[i], some or r
+    want = {k: round(v, 9) for k, (v, some) in want.items() if some}
+    for most in (1 << 23, 40):
+        monkeypatch.setattr(scoring, "PRODUCTS", most)
+        parts = [p for x in net.of_rare(60, row, field, scope, token, gains) for p in zip(*x, strict=True)]
+        assert len(parts) == len(want) > 100 and {(t, c): round(v, 9) for t, c, v in parts} == want
