@@ -117,3 +117,48 @@ def test_citations_with_and_without_a_payload(spark):
         ("q", 1): ("said", [4, 5], full), ("q", 3): ("parent text", [7], ("d2", "T2", "M2", "m2", "", 7, "U", "u2")),
         ("r", 1): ("own text", [4, 5], ("d1", "T1", "M1", "", "1", 5, "S > T", "u1")),
     }
+
+
+def test_groups_over_many_batches(spark):
+    """Groups made from rows in batches of any size, and from lists, are those of ``packed``, with rows that stand alone."""
+    from pagewright.operators.packing import grouped_lists, grouped_rows
+
+    rng = random.Random(4)
+    rows = [(k, i, f"{k}/{i}", rng.choice([1, 5, 30, 99, 120]), rng.random() < 0.1) for k in range(9) for i in range(rng.choice([1, 40, 150]))]
+    want, back = {}, {}
+    for k, i, t, size, alone in rows:
+        groups = want.setdefault(k, [])
+        if not groups or alone or groups[-1][-1][2] or sum(x[1] for x in groups[-1]) + size > 100:
+            groups.append([])
+        groups[-1].append((t, size, alone))
+    for k, groups in want.items():
+        back[k, 0] = (0, [x[0] for x in groups[0]])
+        for n, (one, two) in enumerate(zip(groups, groups[1:]), 1):
+            again = [x for j, x in enumerate(one) if sum(y[1] for y in one[j:]) <= 35]
+            back[k, n] = (sum(x[1] for x in again), [x[0] for x in again + two])
+    want = {(k, n): [x[0] for x in g] for k, groups in want.items() for n, g in enumerate(groups)}
+    df = spark.createDataFrame(rows, "k int, i int, t string, size long, alone boolean").repartition(3)
+    lists = df.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("i", "t", "size", "alone"))).alias("units"))
+    for batch in ("3", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        try:
+            got = grouped_rows(df, ["k"], ["i"], ["t"], F.col("size"), F.col("alone"), 100).collect()
+            assert {(r.k, r.part): r.t for r in got} == want and len(got) == len(want)
+            got = grouped_lists(lists, ["k"], ["t"], F.lit(100), 35).collect()
+            assert {(r.k, r.part): (r.over, r.t) for r in got} == back and len(got) == len(back)
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert grouped_rows(df.limit(0), ["k"], ["i"], ["t"], F.col("size"), F.col("alone"), 100).count() == 0
+
+
+def test_chunks_of_held_lines_shuffle_no_texts(spark):
+    """Lines that are dealt by document are packed and cut where they are."""
+    from pagewright.runtime import held
+
+    with held(lines(spark, "# S\n" + "\n".join(f"{i}. Step {i}\nNotice {i}" for i in range(90))).repartition(3, "document_id")) as line:
+        for make in (K.section_chunks, K.parent_child_chunks, lambda x: K.table_row_chunks(S.table_rows(x)), lambda x: K.identifier_chunks(S.identifiers(x))):
+            chunks = make(line)
+            chunks.count()
+            plan = chunks._jdf.queryExecution().executedPlan().toString()
+            own = [x for x in plan.split("InMemoryRelation")[0].splitlines() if "Exchange" in x]
+            assert not own, own

@@ -118,3 +118,25 @@ def test_filters_need_a_field(spark):
     assert sorted(tuple(r) for r in X.matching(filters, chunks, ["manufacturer", "model"]).collect()) == [("x", 1), ("x", 2), ("y", 1)]
     with pytest.raises(ValueError):
         X.matching(filters.where("f = 'x'").withColumn("manufacturer", F.lit(None).cast("string")), chunks, ["manufacturer", "model"])
+
+
+def test_looked_up_in_parts(spark, monkeypatch):
+    """Keys beyond what is broadcast at once are looked up in parts, and the rows are not shuffled."""
+    rows = spark.range(500).select(F.col("id").cast("string").alias("chunk_id"), "id")
+    asked = spark.createDataFrame([(str(i),) for i in [*range(0, 300, 3), 3, 6, 900]], "chunk_id string")
+    monkeypatch.setattr(R, "BROADCAST_ROWS", 20)
+    for most in (16, 2):
+        monkeypatch.setattr(R, "MOST_PARTS", most)
+        found = R.looked_up(rows, asked, "chunk_id")
+        assert sorted(r.id for r in found.collect()) == list(range(0, 300, 3))
+        assert most == 2 or "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_citations_sort_no_chunks(spark, monkeypatch):
+    """What is cited needs no ordinals: no table of chunks that is looked up has any."""
+    from pagewright.plans import session_queries as Q
+
+    seen, look = [], Q.looked_up
+    monkeypatch.setattr(Q, "looked_up", lambda rows, *a: seen.append(rows) or look(rows, *a))
+    Q._evidence(spark, "/root/testdata/sf0.001")
+    assert len(seen) == 2 and all("Window" not in x._jdf.queryExecution().optimizedPlan().toString() for x in seen)
