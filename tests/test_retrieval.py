@@ -140,3 +140,30 @@ def test_citations_sort_no_chunks(spark, monkeypatch):
     monkeypatch.setattr(Q, "looked_up", lambda rows, *a: seen.append(rows) or look(rows, *a))
     Q._evidence(spark, "/root/testdata/sf0.001")
     assert len(seen) == 2 and all("Window" not in x._jdf.queryExecution().optimizedPlan().toString() for x in seen)
+
+
+def test_route_makes_no_table_of_chunks(spark, monkeypatch):
+    """The exact route reads the identifiers alone, from lines that are kept, and the other route reads the chunks once."""
+    from pagewright.plans import chunk_queries as C, session_queries as Q
+    from pagewright.runtime import held
+
+    data = "/root/testdata/sf0.001"
+    monkeypatch.setattr(C, "every_chunk", None)
+    assert Q.exact_identifier_route(spark, data).count() > 2
+    with held(C._lines(spark, data)) as line:
+        plan = R.exact_hits(C.strategies(line), Q._part_queries(spark, data), 5)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("InMemoryRelation") == 1
+
+
+def test_evidence_is_dealt_by_query_once(spark):
+    """Contexts and citations are made where a query's evidence was put together."""
+    from pagewright.operators import evidence as E
+
+    spot = "array<struct<source_file:string,page:int,section:string,content:string,line_start:bigint,line_end:bigint>>"
+    chunks = spark.createDataFrame([("own", "own text", [4], "d1", [("f", 4, "S", "x", 0, 0)])], f"chunk_id string, content string, pages array<int>, document_id string, evidence {spot}")
+    documents = spark.createDataFrame([("d1", "T1", "M1", "m", "1", "u1")], "document_id string, title string, manufacturer string, model string, version string, source_url string")
+    hits = spark.createDataFrame([("q", 1, "own"), ("q", 2, "own"), ("r", 1, "own")], "query_id string, rank int, chunk_id string")
+    found = E.assembled(hits, chunks, documents)
+    for out, rows in ((E.contexts(found), 2), (E.citations(found), 2)):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("hashpartitioning(query_id") == 1 and out.count() == rows
